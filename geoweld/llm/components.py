@@ -1,0 +1,34 @@
+"""Connected components of a distributed edge list."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geoweld.llm.common import checkpointed
+
+
+def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """node, component (its smallest node) of the undirected links (a, b).
+
+    Alternating large-star and small-star steps: every node's neighbours are
+    joined to the smallest of them, first the larger ones, then the rest, until
+    the links are stars. Each step is one grouping; the number of steps grows
+    with the logarithm of the nodes. Nodes without a link aren't listed.
+    """
+    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(rounds):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = checkpointed(small.union(lowest.select("a", F.col("m").alias("b"))).distinct())
+        changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count()
+        edges = after
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"the components aren't settled after {rounds} rounds")
+    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

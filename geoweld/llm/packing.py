@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -95,30 +95,28 @@ def packed_documents(docs: DataFrame, room: int = 2048, end_id: int = 0, path: s
     are left out; an empty table gives an empty result.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(path or public_tokenizer()), np.array([end_id], "<u4")
-        found = []
-        for pdf in batches:
+        keys, made = [], []
+        for batch in batches:
             rows = []
-            for i, x in enumerate(encode.ids(pdf["text"].tolist())):
-                whole = np.concatenate([x, tail])
-                raw = whole.tobytes()
-                for piece, start in enumerate(range(0, len(whole), room)):
+            for i, x in enumerate(encode.ids(batch.column("text"))):
+                raw = np.concatenate([x, tail]).tobytes()
+                for piece, start in enumerate(range(0, len(raw) // 4, room)):
                     part = raw[4 * start : 4 * (start + room)]
                     rows.append((i, piece, start, len(part) // 4, zlib.crc32(part)))
-            made = np.array(rows, np.int64).reshape(-1, 5)
-            ids = pdf["doc_id"].astype("Int64").take(made[:, 0]).reset_index(drop=True)
-            found.append(pd.DataFrame({"doc_id": ids, **{k: made[:, j] for j, k in enumerate(("piece", "start", "length", "ids_crc32"), 1)}}))
-        if not found:
+            made.append(np.array(rows, np.int64).reshape(-1, 5))
+            keys.append(batch.column("doc_id").cast(pa.int64()).take(pa.array(made[-1][:, 0])))
+        if not made:
             return
-        out = pd.concat(found, ignore_index=True)
-        out["sequence_id"] = out["offset"] = 0
+        rows = np.concatenate(made)
         first = TaskContext.get().partitionId() << 40
-        lengths = out["length"].to_numpy()
-        sequence, offset = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64)
+        lengths = rows[:, 3]
+        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for number, members in enumerate(best_two_fit(lengths, room)):
             sequence[members] = first + number
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        yield out.assign(sequence_id=sequence, offset=offset)
+        columns = [pa.concat_arrays(keys), pa.array(rows[:, 1], pa.int32()), *(pa.array(x) for x in (rows[:, 2], lengths, rows[:, 4], sequence, offset))]
+        yield from pa.table(columns, names=[x.split()[0] for x in PACKED.split(", ")]).to_batches(max_chunksize=1 << 16)
 
-    return docs.select("doc_id", "text").mapInPandas(pack, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(pack, PACKED)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweld.llm import mixing, packing, quality_rules, tokens
+from geoweld.llm import language_id, mixing, ngram_join, packing, quality_rules, tokens
 from geoweld.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, language_id.not_held_out())
+    held_out = F.coalesce(~language_id.not_held_out(), F.lit(False))
+    return language_id.predicted(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     tokens.write_shards(tokens.token_shards(table(spark, sf_dir, "documents")), folder)
@@ -68,6 +81,22 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'), []) AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
 OP10_SQL = rf"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -97,10 +126,16 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op4_ngram_jaccard,
+        op5_language_id,
         op7_token_index,
         op8_best_two_fit,
         op10_quality_cascade,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op10_quality_cascade": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
+    "op10_quality_cascade": OP10_SQL,
+}

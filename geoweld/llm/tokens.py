@@ -17,15 +17,22 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: A word with marks after a final letter.
+MARKED = r"^(?P<stem>(?s:.)*[a-z])(?P<marks>[.,;:!?)|\]\"']+)$"
+#: Bytes of text that are split into words at once.
+TEXT_BYTES = 4 << 20
 #: Bytes of ids at which a shard closes.
 SHARD_BYTES = 1 << 20
 
@@ -42,8 +49,9 @@ class WordEncoder:
 
     Only for tokenizers that drop white space and fold case before the model, as
     word_bpe_49k.json does: words are keyed in lower case (ASCII only, which the
-    tokenizer's own folding subsumes). A text with a special token's opening
-    "<|" goes to the tokenizer whole.
+    tokenizer's own folding subsumes). Marks after a final ASCII letter are a
+    piece of their own, so stem and marks are kept apart. A text with a special
+    token's opening "<|" goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -52,55 +60,102 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words. A mark after a final letter is a piece of its own, so stem and marks are encoded apart."""
-        known, parts, new = self.known, [], {}
-        for w in words:
-            stem = w.rstrip(b".,;:!?)|]\"'")
-            cut = len(stem) if stem and stem != w and 97 <= stem[-1] <= 122 else len(w)
-            parts.append((w, cut))
-            for piece in (w[:cut], w[cut:]):
-                if piece and piece not in known:
-                    new[piece] = None
-        known.update(zip(new, self._raw([x.decode() for x in new]), strict=True))
-        for w, cut in parts:
-            if cut < len(w):
-                known[w] = known[w[:cut]] + known[w[cut:]]
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: the number of each piece; its ids are flat[starts[number]:][:sizes[number]]."""
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, joined, and how many each has. Pieces of letters end in an id that ends a word, so they are encoded as one text."""
+        if all(map(str.isalpha, pieces)):
+            ids = np.array(self._raw([" ".join(pieces)])[0], "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(pieces):
+                return ids, np.diff(ends, prepend=0)
+        found = self._raw(pieces)
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, pieces: list[str]) -> None:
+        pieces.sort(key=str.isalpha)
+        for start in range(0, len(pieces), 1000):
+            some = pieces[start : start + 1000]
+            ids, sizes = self._encoded(some)
+            number, used = len(self.known), self.used + len(ids)
+            if number + len(some) > len(self.sizes):
+                self.sizes, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts))
+            while used > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : used] = ids
+            self.sizes[number : number + len(some)] = sizes
+            self.starts[number : number + len(some)] = self.used + np.cumsum(sizes) - sizes
+            self.known.update(zip(some, range(number, number + len(some)), strict=True))
+            self.used = used
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        coded = pc.dictionary_encode(pieces)
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, distinct))
+        if new := [w for w, x in zip(distinct, found, strict=True) if x is None]:
+            self._learn(new)
+            found = list(map(self.known.__getitem__, distinct))
+        return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; none for a null one. A few MB of text are worked on at a time."""
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + TEXT_BYTES)))
+            yield from self._some_ids(texts.slice(start, end - start))
+            start = end
+
+    def _some_ids(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        whole = {i: t for i, t in enumerate(texts) if t and "<|" in t}
-        plain = pa.array(["" if t is None or i in whole else t for i, t in enumerate(texts)], pa.large_string())
-        split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        whole = self._raw(texts.take(pa.array(odd)).to_pylist()) if len(odd) else []
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = pc.dictionary_encode(split.flatten())
-        words = [w.encode() for w in coded.dictionary.to_pylist()]
-        self._learn([w for w in words if w not in self.known])
-        of_word = [self.known[w] for w in words] or [b""]
-        sizes = np.array([len(x) // 4 for x in of_word], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(of_word), "<u4")
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = sizes[at] if len(at) else np.zeros(0, np.int64)
-        total = int(n.sum())
+        words = coded.dictionary
+        marked = pc.extract_regex(words, MARKED)
+        stems, marks = pc.coalesce(marked.field("stem"), words), pc.fill_null(marked.field("marks"), "")
+        if marked.null_count:
+            plain = pc.is_null(marked)
+            stems, marks = pc.if_else(plain, words, stems), pc.if_else(plain, "", marks)
+        stems, marks = self._numbers(stems), self._numbers(marks)
+        # a text as the pieces of its words: a stem and its marks, mostly none, in turn
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = self.sizes[stems] + self.sizes[marks]
+        n = sizes[at]
         ends = np.cumsum(n)
-        every = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, "<u4")
+        pair = np.stack([stems, marks], axis=1).ravel()
+        of_word = spans(self.flat, self.starts[pair], self.sizes[pair])
+        every = spans(of_word, (np.cumsum(sizes) - sizes)[at], n)
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy(zero_copy_only=False)]
         out = [every[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for i, raw in zip(whole, self._raw(list(whole.values())), strict=True) if whole else ():
-            out[i] = np.frombuffer(raw, "<u4")
+        for i, raw in zip(odd, whole, strict=True):
+            out[i] = np.array(raw, "<u4")
         return out
 
 
+def spans(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] for each start and size, joined."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ends) else flat[:0]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker, so that what it has learnt serves its later tasks."""
@@ -166,6 +221,11 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 SHARD = "shard_id long, first_key long, last_key long, n_docs int, n_null int, n_ids long, ids binary, keys binary, ends binary, seeds binary, slots binary, fingerprints binary"
 
 
+def rows_of(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(k, kinds[t]) for k, t in map(str.split, SHARD.split(", "))]))
+
+
 def pack_shard(shard_id: int, keys: list[int | None], ids: list[np.ndarray]) -> dict:
     """A row of SHARD. keys are in order, null ones first; each distinct key has a slot, that of its first document."""
     n_null = sum(k is None for k in keys)
@@ -218,28 +278,27 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
     Other columns are left out; an empty table gives no shards.
     """
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or public_tokenizer())
         tail = np.array([] if end_id is None else [end_id], "<u4")
         shard_id = (TaskContext.get().partitionId() << 32) - 1
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         size = 0
-        for pdf in batches:
-            null = pdf["doc_id"].isna().tolist()
-            for key, none, x in zip(pdf["doc_id"].tolist(), null, encode.ids(pdf["text"].tolist()), strict=True):
-                keys.append(None if none else int(key))
+        for batch in batches:
+            for key, x in zip(batch.column("doc_id").to_pylist(), encode.ids(batch.column("text")), strict=True):
+                keys.append(key)
                 ids.append(np.concatenate([x, tail]))
                 size += 4 * len(ids[-1])
                 if size >= shard_bytes:
-                    yield pd.DataFrame([pack_shard(shard_id := shard_id + 1, keys, ids)])
+                    yield rows_of([pack_shard(shard_id := shard_id + 1, keys, ids)])
                     keys, ids, size = [], [], 0
         if keys:
-            yield pd.DataFrame([pack_shard(shard_id + 1, keys, ids)])
+            yield rows_of([pack_shard(shard_id + 1, keys, ids)])
 
     parts = max(1, -(-input_bytes(docs) // partition_bytes))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInPandas(build, SHARD)
+    return dealt.mapInArrow(build, SHARD)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import checkpointed
+from geoweld.llm.common import checkpointed, spent_shuffles_removed
 from geoweld.llm.components import connected_components
 from geoweld.llm.shingles import shingle_sets
 
@@ -33,8 +33,10 @@ from geoweld.llm.shingles import shingle_sets
 MOST_SHARED = 4
 #: Cost of verifying a pair against that of meeting a shingle of it.
 VERIFY_COST = 20
-#: Prefix entries for each entry of the list of frequent shingles at most; the list thus has at most 2**17 entries.
-FREQUENT_LIST = 1 << 17
+#: Entries that the list of frequent shingles has at most (8 MB): a shingle is on it if it holds more than this part of all prefix entries.
+FREQUENT_LIST = 1 << 20
+#: Prefixes that a shingle on it is in at least.
+FREQUENT = 16
 #: Bits of the filter that tells documents with candidates while texts are read.
 FILTER_BITS = 20
 
@@ -91,8 +93,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return checkpointed(sets.join(ids, "id", "left_semi"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b), which are checkpointed, whose sets reach the threshold."""
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
 
     @F.pandas_udf("boolean")
     def similar(x, y):
@@ -118,7 +121,7 @@ def _candidates(met: DataFrame, percent: int) -> DataFrame:
     k = F.least("ka", "kb")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     counted = met.where(near & (F.greatest("la", "lb") <= k)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), k.alias("k"))
-    return counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("k").alias("k")).where("shared >= k").select("a", "b")
+    return counted.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("shared")).where("shared >= k").select("a", "b")
 
 
 def _side(entries: DataFrame, s: str, *more: str) -> DataFrame:
@@ -136,12 +139,12 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
     row with a null doc_id takes the component of the documents with its
     shingles, null if there is none. Other columns are left out.
     """
-    nothing = np.zeros(0, np.uint64)
-    sketches = checkpointed(_sketches(docs, width, percent, nothing))
-    classes = sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
-    classes = checkpointed(classes)
-    entries = checkpointed(_repeated_entries(docs, sketches, classes, width, percent))
-    links = _all_links(docs, entries, width, percent)
+    with spent_shuffles_removed(docs.sparkSession):
+        sketches = checkpointed(_sketches(docs, width, percent, np.zeros(0, np.uint64)))
+        of_class = sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
+        classes = checkpointed(of_class.where("id IS NOT NULL"))
+        entries = checkpointed(_repeated_entries(docs, sketches, classes, width, percent))
+        links = _all_links(docs, entries, width, percent)
     joined = classes.join(links, F.col("id") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("size"), F.coalesce("component", "id").alias("component"))
     s = sketches.drop("tokens").alias("s")
     same = (F.col("s.d1") == F.col("j.d1")) & (F.col("s.d2") == F.col("j.d2")) & (F.col("s.n") == F.col("j.size"))
@@ -158,11 +161,12 @@ def _repeated_entries(docs: DataFrame, sketches: DataFrame, classes: DataFrame,
     entries = own.select(F.explode("tokens").alias("token"))
     counts = entries.groupBy("token").count()
     total = own.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    often = max(32, -(-total // FREQUENT_LIST))
-    frequent = np.sort(np.array([r[0] for r in counts.where(F.col("count") > often).select("token").collect()], np.int64).view(np.uint64))
+    often = max(FREQUENT, -(-total // FREQUENT_LIST))
+    found = counts.where(F.col("count") > often).select("token").toArrow().column(0).to_numpy()
+    frequent = np.sort(found.astype(np.int64).view(np.uint64))
     if len(frequent):
         again = _sketches(docs, width, percent, frequent).where("n > 0").drop("d1", "d2")
-        own = again.join(ids, "doc_id", "left_semi")
+        own = checkpointed(again.join(ids, "doc_id", "left_semi"))
     least = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
     placed = own.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select(
         "token", F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), F.col("pos") + 1 - least).cast("int").alias("level")
@@ -178,12 +182,11 @@ def _repeated_entries(docs: DataFrame, sketches: DataFrame, classes: DataFrame,
 
 def _all_links(docs: DataFrame, entries: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component over the class representatives that have a link."""
-    sets = _sets_of(docs, entries.select("id").distinct(), width)
     pivot = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "level", "k")).alias("p")
     pivots = entries.groupBy("token").agg(pivot).select("token", "p.*")
     met = _side(entries, "b").join(_side(pivots, "a"), "token").where("a <> b")
     tried = checkpointed(_candidates(met, percent))
-    links = _linked(tried, sets, percent)
+    links = _linked(docs, tried, width, percent)
     parts = checkpointed(connected_components(links))
 
     placed = entries.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
@@ -193,11 +196,11 @@ def _all_links(docs: DataFrame, entries: DataFrame, width: int, percent: int) ->
     outside = _side(open_.where("part <> main"), "a", "part")
     every = _side(open_, "b", "part", "main")
     met = outside.join(every, "token").where("part_a <> part_b AND (part_b = main_b OR a < b)")
-    left = _candidates(met, percent).join(tried, ["a", "b"], "left_anti")
-    more = _linked(left, sets, percent)
-    if more.isEmpty():
+    left = checkpointed(_candidates(met, percent).join(tried, ["a", "b"], "left_anti"))
+    if left.isEmpty():
         return parts
-    return connected_components(links.union(more))
+    more = _linked(docs, left, width, percent)
+    return parts if more.isEmpty() else checkpointed(connected_components(links.union(more)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

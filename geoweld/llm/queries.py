@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweld.llm import language_id, mixing, ngram_join, packing, quality_rules, tokens
+from geoweld.llm import ann, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, tokens, url_filters
 from geoweld.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_multi_index_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -35,6 +43,35 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).select("doc_id", "license", "score")
+
+
+#: A dated list: entry_id, key, action, date. The pages' table has no list and no fetch time, so the query has its own.
+URL_LIST = (
+    (1, "www.spam-farm.example.org", "block", "2024-01-01"),
+    (2, "www.spam-farm.example.org", "remove", "2024-05-01"),
+    (3, "www.spam-farm.example.org", "block", "2024-07-15"),
+    (4, "example.net", "block", "2024-03-01"),
+    (5, "example.net", "remove", "2024-09-01"),
+    (6, "tionsh.example.net", "allow", "2024-04-01"),
+    (7, "tionsh.example.net/en/", "block", "2024-06-01"),
+    (8, "tionsh.example.net/en/", "allow", "2024-08-01"),
+    (9, "example.com", "block", "2024-10-01"),
+    (10, "blog.tionble.example.com", "allow", "2024-11-01"),
+    (11, "www.ththes.example.net/fr/", "allow", "2024-03-15"),
+    (12, "example.org", "block", "2024-12-01"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched page_id % 366 days after the first of 2024."""
+    day = (F.col("page_id") % 366).cast("int")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), day).alias("fetched_at"))
+    entries = spark.createDataFrame(URL_LIST, "entry_id int, key string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    return url_filters.judged(captures, entries).select("page_id", "blocked", "rule_id", "rule_key")
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     tokens.write_shards(tokens.token_shards(table(spark, sf_dir, "documents")), folder)
@@ -97,6 +134,47 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
+def _values(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+OP6_SQL = rf"""
+WITH folded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+unit AS (
+  SELECT r, row_number() OVER () AS u, regexp_extract_all(x, '[a-z0-9]+') AS w
+  FROM (SELECT r, unnest(string_split(t, chr(10)) || string_split(t, chr(10) || chr(10)) || [t]) AS x FROM folded)),
+ub AS (
+  SELECT DISTINCT r, u, w[i] AS a, w[i + 1] AS b FROM (SELECT r, u, w, unnest(range(1, len(w))) AS i FROM unit WHERE len(w) BETWEEN 2 AND 400)),
+us AS (SELECT u, count(*) AS n FROM ub GROUP BY u),
+template AS (
+  SELECT row_number() OVER () AS k, name, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM (VALUES {_values(licenses.TEMPLATES)}) v(name, t)),
+tb AS (SELECT DISTINCT k, name, w[i] AS a, w[i + 1] AS b FROM (SELECT k, name, w, unnest(range(1, len(w))) AS i FROM template)),
+ts AS (SELECT k, count(*) AS n FROM tb GROUP BY k),
+hit AS (
+  SELECT r, name, 2.0::DOUBLE * c / (us.n + ts.n) AS score
+  FROM (SELECT r, u, k, name, count(*) AS c FROM ub JOIN tb USING (a, b) GROUP BY ALL) JOIN us USING (u) JOIN ts USING (k)),
+best AS (SELECT r, name, score FROM hit WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, name) = 1)
+SELECT doc_id, name AS license, score FROM folded LEFT JOIN best USING (r)
+"""
+
+OP9_SQL = rf"""
+WITH list AS (SELECT entry_id, key, action, CAST(dated AS DATE) AS since FROM (VALUES {_values(URL_LIST)}) v(entry_id, key, action, dated)),
+valid AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since, entry_id) AS until FROM list),
+c AS (
+  SELECT row_number() OVER () AS r, page_id, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
+         lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+(/[^?#]*)', 1) AS path
+  FROM pages),
+hit AS (
+  SELECT r, entry_id, key, action
+  FROM c JOIN valid v ON c.fetched >= v.since AND (v.until IS NULL OR c.fetched < v.until) AND v.action <> 'remove'
+    AND (v.key = host OR ends_with(host, '.' || v.key) OR (v.key LIKE '%/' AND starts_with(host || path, v.key)))),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(key) DESC, entry_id DESC) = 1)
+SELECT page_id, coalesce(action = 'block', FALSE) AS blocked, entry_id AS rule_id, key AS rule_key FROM c LEFT JOIN best USING (r)
+"""
+
 OP10_SQL = rf"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -126,10 +204,14 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_multi_index_ann,
+        op3_html_text,
         op4_ngram_jaccard,
         op5_language_id,
+        op6_license_scan,
         op7_token_index,
         op8_best_two_fit,
+        op9_url_filter,
         op10_quality_cascade,
     )
 }
@@ -137,5 +219,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op4_ngram_jaccard": OP4_SQL,
+    "op6_license_scan": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
     "op10_quality_cascade": OP10_SQL,
 }

@@ -296,14 +296,16 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
         if keys:
             yield rows_of([pack_shard(shard_id + 1, keys, ids)])
 
-    parts = max(1, -(-input_bytes(docs) // partition_bytes))
-    dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = input_bytes(docs)
+    parts = [] if size is None else [max(1, -(-size // partition_bytes))]
+    dealt = docs.select("doc_id", "text").repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(build, SHARD)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the plan's input as Spark estimates them from the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the plan's input as Spark estimates them from the files; None where it can't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else None
 
 
 def write_shards(shards: DataFrame, folder: str) -> None:

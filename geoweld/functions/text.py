@@ -37,7 +37,7 @@ def folded(text: Column) -> Column:
 def id_values(text: Column) -> Column:
     """The parts of an id list split at pipe, comma and semicolon, and the whole."""
     whole = F.trim(text)
-    parts = F.filter(F.transform(F.split(whole, r"[|,;]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(whole, r"[|,;]"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(whole != "", F.array_distinct(F.concat(F.array(whole), parts))).otherwise(F.array().cast("array<string>"))
 
 

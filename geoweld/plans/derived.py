@@ -9,16 +9,16 @@ from geoweld.plans.registry import table
 #: Cell of the grid joins over these layers: about a box and twice the radius.
 CELL = 40.0
 
-BASE = ["o_orderkey AS id", "CAST((o_orderkey * 7919) % 4001 AS DOUBLE) AS minx", "CAST((o_orderkey * 104729) % 4001 AS DOUBLE) AS miny",
-        "CAST((o_orderkey * 7919) % 4001 + 5 + (o_orderkey * 31) % 20 AS DOUBLE) AS maxx", "CAST((o_orderkey * 104729) % 4001 + 5 + (o_orderkey * 31) % 20 AS DOUBLE) AS maxy",
+BASE = ["o_orderkey AS id", "CAST((o_orderkey * 7919) % 12007 AS DOUBLE) AS minx", "CAST((o_orderkey * 104729) % 12007 AS DOUBLE) AS miny",
+        "CAST((o_orderkey * 7919) % 12007 + 5 + (o_orderkey * 31) % 20 AS DOUBLE) AS maxx", "CAST((o_orderkey * 104729) % 12007 + 5 + (o_orderkey * 31) % 20 AS DOUBLE) AS maxy",
         "o_totalprice AS height"]
-_OX, _OY, _OS = "((k * 7919) % 4001 + n * 3)", "((k * 104729) % 4001 + n * 2)", "(4 + (k * 17 + n * 7) % 20)"
+_OX, _OY, _OS = "((k * 7919) % 12007 + n * 3)", "((k * 104729) % 12007 + n * 2)", "(4 + (k * 17 + n * 7) % 20)"
 OTHER = ["k * 8 + n AS id", f"CAST({_OX} AS DOUBLE) AS minx", f"CAST({_OY} AS DOUBLE) AS miny", f"CAST({_OX} + {_OS} AS DOUBLE) AS maxx", f"CAST({_OY} + {_OS} AS DOUBLE) AS maxy",
          "CAST((k * 13 + n * 5) % 50 AS DOUBLE) AS height"]
-SEGMENT_A = ["o_orderkey AS id", "CAST((o_orderkey * 7919) % 4001 AS DOUBLE) AS x1", "CAST((o_orderkey * 104729) % 4001 AS DOUBLE) AS y1",
-             "CAST((o_orderkey * 7919) % 4001 + (o_orderkey * 31) % 41 - 20 AS DOUBLE) AS x2", "CAST((o_orderkey * 104729) % 4001 + (o_orderkey * 37) % 41 - 20 AS DOUBLE) AS y2"]
-SEGMENT_B = ["o_orderkey AS id", "CAST((o_orderkey * 7919) % 4001 + (o_orderkey * 3) % 9 AS DOUBLE) AS x1", "CAST((o_orderkey * 104729) % 4001 + (o_orderkey * 5) % 9 AS DOUBLE) AS y1",
-             "CAST((o_orderkey * 7919) % 4001 + (o_orderkey * 31) % 41 - 20 + (o_orderkey * 7) % 9 AS DOUBLE) AS x2", "CAST((o_orderkey * 104729) % 4001 + (o_orderkey * 37) % 41 - 18 AS DOUBLE) AS y2"]
+SEGMENT_A = ["o_orderkey AS id", "CAST((o_orderkey * 7919) % 12007 AS DOUBLE) AS x1", "CAST((o_orderkey * 104729) % 12007 AS DOUBLE) AS y1",
+             "CAST((o_orderkey * 7919) % 12007 + (o_orderkey * 31) % 41 - 20 AS DOUBLE) AS x2", "CAST((o_orderkey * 104729) % 12007 + (o_orderkey * 37) % 41 - 20 AS DOUBLE) AS y2"]
+SEGMENT_B = ["o_orderkey AS id", "CAST((o_orderkey * 7919) % 12007 + (o_orderkey * 3) % 9 AS DOUBLE) AS x1", "CAST((o_orderkey * 104729) % 12007 + (o_orderkey * 5) % 9 AS DOUBLE) AS y1",
+             "CAST((o_orderkey * 7919) % 12007 + (o_orderkey * 31) % 41 - 20 + (o_orderkey * 7) % 9 AS DOUBLE) AS x2", "CAST((o_orderkey * 104729) % 12007 + (o_orderkey * 37) % 41 - 18 AS DOUBLE) AS y2"]
 POINT_A = ["c_custkey AS id", "CAST((c_custkey * 7919) % 1009 AS DOUBLE) AS x", "CAST((c_custkey * 104729) % 1009 AS DOUBLE) AS y", "c_name AS name"]
 POINT_B = ["p_partkey AS id", "CAST((p_partkey * 6101) % 1009 AS DOUBLE) AS x", "CAST((p_partkey * 90001) % 1009 AS DOUBLE) AS y", "p_name AS name"]
 

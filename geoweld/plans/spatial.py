@@ -143,14 +143,14 @@ def height_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {SQL['a']}, t AS (SELECT i, j, i * 500.0 AS minx, j * 500.0 AS miny, i * 500.0 + 500 AS maxx, j * 500.0 + 500 AS maxy FROM range(9) x(i), range(9) y(j))
+@query(f"""WITH {SQL['a']}, t AS (SELECT i, j, i * 500.0 AS minx, j * 500.0 AS miny, i * 500.0 + 500 AS maxx, j * 500.0 + 500 AS maxy FROM range(25) x(i), range(25) y(j))
 SELECT format('tile_{{:03d}}_{{:03d}}', j, i) AS tile_id, count(*) FILTER ((a.minx + a.maxx) / 2 >= t.minx AND (a.minx + a.maxx) / 2 < t.maxx AND (a.miny + a.maxy) / 2 >= t.miny AND (a.miny + a.maxy) / 2 < t.maxy) AS owned, count(*) AS met
 FROM a JOIN t ON a.minx <= t.maxx AND t.minx <= a.maxx AND a.miny <= t.maxy AND t.miny <= a.maxy GROUP BY 1""")
 def tile_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each tile by either rule: middle within the tile (half open), or box that meets it."""
     from geoweld.operators.tiling import partition_bbox
 
-    tiles = partition_bbox(spark, (0.0, 0.0, 4500.0, 4500.0), 500.0, 0.0)
+    tiles = partition_bbox(spark, (0.0, 0.0, 12500.0, 12500.0), 500.0, 0.0)
     met = grid_join(base_boxes(spark, sf_dir), tiles.drop("buffered"), 500.0)
     cx, cy = (F.col("a_minx") + F.col("a_maxx")) / 2, (F.col("a_miny") + F.col("a_maxy")) / 2
     inside = (cx >= F.col("b_minx")) & (cx < F.col("b_maxx")) & (cy >= F.col("b_miny")) & (cy < F.col("b_maxy"))

@@ -37,15 +37,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def spent_shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within, Spark removes the shuffle files of an action once it has ended, as all that is read again is checkpointed."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def session_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Runtime settings of Spark SQL, underscores for dots, that hold within."""
+    names = {k.replace("_", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,12 +7,13 @@ n - ceil(t * n) + k shingles. Every document chooses its k: a longer prefix meet
 more shingles, but a pair must share k of them before it is verified, so k is
 the one of least estimated cost. A pair goes by the smaller k of the two.
 
-Only components are wanted, so links within one needn't all be tried. First each
-shingle's documents are tried against one of them, which settles groups of
-near copies in as many pairs as they have members. Then, for every shingle that
-still spans several components, the documents outside its largest one are tried
-against all of another component. No group is cut: a pair that shares k prefix
-shingles is either verified or within a component already.
+Only components are wanted, so links within one needn't all be tried. First, at
+shingles that many documents share, all are tried against a few, in rounds,
+which settles groups of near copies in some times as many pairs as they have members.
+Then, for every shingle that still spans several components, the documents
+outside its largest one are tried against all of another component. No group is
+cut: a pair that shares enough prefix shingles is either verified or within a
+component already.
 """
 
 from __future__ import annotations
@@ -25,18 +26,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import checkpointed, spent_shuffles_removed
+from geoweld.llm.common import checkpointed, session_settings
 from geoweld.llm.components import connected_components
 from geoweld.llm.shingles import shingle_sets
 
-#: Largest k of the prefixes.
-MOST_SHARED = 4
+#: The k of the prefixes.
+SHARED = (1, 2, 4, 8, 16)
 #: Cost of verifying a pair against that of meeting a shingle of it.
 VERIFY_COST = 20
 #: Entries that the list of frequent shingles has at most (8 MB): a shingle is on it if it holds more than this part of all prefix entries.
 FREQUENT_LIST = 1 << 20
 #: Prefixes that a shingle on it is in at least.
 FREQUENT = 16
+#: A shingle that so many documents share is a hub: its documents are first tried against a few of their own, in so many rounds.
+HUB, PIVOTS, ROUNDS, JITTER = 8, 4, 2, 0.3
+#: While the join runs, Spark removes an action's shuffle files once it has ended, as all that is read again is
+#: checkpointed, and hands Python batches of a few MB.
+SETTINGS = {
+    "spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true",
+    "spark_sql_execution_arrow_maxRecordsPerBatch": "1000",
+}
 #: Bits of the filter that tells documents with candidates while texts are read.
 FILTER_BITS = 20
 
@@ -62,7 +71,7 @@ def _sketches(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
                 if len(frequent) and len(u):
                     often = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
                     u = np.concatenate([u[~often], u[often]])
-                tokens.append(u[: len(u) - needed(len(u), percent) + MOST_SHARED].view(np.int64))
+                tokens.append(u[: len(u) - needed(len(u), percent) + SHARED[-1]].view(np.int64))
             offsets = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -113,15 +122,21 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return checkpointed(both.where(similar("of_a", "of_b")).select("a", "b"))
 
 
-def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share as many shingles of their prefixes as the smaller k asks.
+def _candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
+    """Pairs that share as many shingles of their prefixes as similar sets must, or that share of them.
 
-    met: a and b that meet in a shingle, with n, level and k of each (na, la, ka, nb, ...).
+    met: a and b that meet in a shingle, with n, level and k of each (na, la, ka, nb, ...). With the
+    smaller k of the two, a set of n has needed(n) - k shingles behind its prefix. What a pair shares
+    outside both prefixes lies behind the one that ends first, so similar sets
+    of n and m share within them all but that of their least overlap.
     """
     k = F.least("ka", "kb")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    counted = met.where(near & (F.greatest("la", "lb") <= k)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), k.alias("k"))
-    return counted.groupBy("a", "b", "k").agg(F.count(F.lit(1)).alias("shared")).where("shared >= k").select("a", "b")
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    behind = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - k
+    least = F.greatest(k, overlap - behind).cast("int")
+    counted = met.where(near & (F.greatest("la", "lb") <= k)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("least"))
+    return counted.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= share * F.col("least")).select("a", "b")
 
 
 def _side(entries: DataFrame, s: str, *more: str) -> DataFrame:
@@ -139,7 +154,7 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) ->
     row with a null doc_id takes the component of the documents with its
     shingles, null if there is none. Other columns are left out.
     """
-    with spent_shuffles_removed(docs.sparkSession):
+    with session_settings(docs.sparkSession, **SETTINGS):
         sketches = checkpointed(_sketches(docs, width, percent, np.zeros(0, np.uint64)))
         of_class = sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
         classes = checkpointed(of_class.where("id IS NOT NULL"))
@@ -173,34 +188,63 @@ def _repeated_entries(docs: DataFrame, sketches: DataFrame, classes: DataFrame,
     )
     repeated = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = checkpointed(placed.join(repeated, "token"))
-    cost = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) * (1 + VERIFY_COST / k) for k in range(1, MOST_SHARED + 1)]
+    cost = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) * (1 + VERIFY_COST / k) for k in SHARED]
     n = F.first("n")
-    within = [F.when(n - (n - F.floor((percent * n + 99) / 100)) >= k, F.struct(c.alias("cost"), F.lit(k).alias("k"))) for k, c in enumerate(cost, 1)]
+    within = [F.when(n - (n - F.floor((percent * n + 99) / 100)) >= k, F.struct(c.alias("cost"), F.lit(k).alias("k"))) for k, c in zip(SHARED, cost, strict=True)]
     chosen = met.groupBy("id").agg(F.least(*within)["k"].alias("k"))
     return met.drop("df").join(chosen, "id")
 
 
+def _parted(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """entries with the component found so far (part) of each document."""
+    if parts is None:
+        return entries.withColumn("part", F.col("id"))
+    return entries.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+
+
+def _hub_links(docs: DataFrame, entries: DataFrame, width: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links found at hubs and the components they make; (None, None) without hubs.
+
+    Each round a hub's documents are tried against a few of them that lie in other components: those that
+    meet the most others at hubs for their size, as the least changed of many near copies do, with some chance.
+    A pair is met at the hubs where one end is drawn, so half of what similar sets share is enough.
+    """
+    hubs = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= HUB)
+    at_hubs = checkpointed(entries.join(hubs, "token"))
+    central = at_hubs.groupBy("id").agg((F.sum("df") / F.first("n")).alias("central"))
+    at_hubs = checkpointed(at_hubs.drop("df").join(central, "id"))
+    links = parts = None
+    if at_hubs.isEmpty():
+        return None, None
+    for turn in range(ROUNDS):
+        placed = _parted(at_hubs, parts)
+        lot = [F.pmod(F.xxhash64(F.lit(PIVOTS * turn + i), "id"), F.lit(1000)) / 1000 for i in range(PIVOTS)]
+        drawn = [F.max(F.struct((F.col("central") * (1 - JITTER * x)).alias("h"), "id", "n", "level", "k", "part")) for x in lot]
+        spread = placed.groupBy("token").agg(F.array_distinct(F.transform(F.array(*drawn), lambda p: p.dropFields("h"))).alias("p"), F.min("part").alias("low"), F.max("part").alias("high"))
+        pivots = spread.where("low <> high").select("token", F.explode("p").alias("p")).select("token", "p.*")
+        met = _side(placed, "b", "part").join(_side(pivots, "a", "part"), "token").where("part_a <> part_b")
+        tried = checkpointed(_candidates(met, percent, 0.5))
+        if tried.isEmpty():
+            break
+        found = _linked(docs, tried, width, percent)
+        links = found if links is None else links.union(found)
+        parts = checkpointed(connected_components(links))
+    return links, parts
+
+
 def _all_links(docs: DataFrame, entries: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component over the class representatives that have a link."""
-    pivot = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "level", "k")).alias("p")
-    pivots = entries.groupBy("token").agg(pivot).select("token", "p.*")
-    met = _side(entries, "b").join(_side(pivots, "a"), "token").where("a <> b")
-    tried = checkpointed(_candidates(met, percent))
-    links = _linked(docs, tried, width, percent)
-    parts = checkpointed(connected_components(links))
-
-    placed = entries.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    links, parts = _hub_links(docs, entries, width, percent)
+    placed = _parted(entries, parts)
     sizes = placed.groupBy("token", "part").count()
     main = sizes.groupBy("token").agg(F.max(F.struct("count", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = checkpointed(placed.join(main.drop("parts"), "token"))
     outside = _side(open_.where("part <> main"), "a", "part")
     every = _side(open_, "b", "part", "main")
     met = outside.join(every, "token").where("part_a <> part_b AND (part_b = main_b OR a < b)")
-    left = checkpointed(_candidates(met, percent).join(tried, ["a", "b"], "left_anti"))
-    if left.isEmpty():
-        return parts
+    left = checkpointed(_candidates(met, percent))
     more = _linked(docs, left, width, percent)
-    return parts if more.isEmpty() else checkpointed(connected_components(links.union(more)))
+    return checkpointed(connected_components(more if links is None else links.union(more)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

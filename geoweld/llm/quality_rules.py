@@ -160,9 +160,9 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text"
 
     A null text has no words and goes as too short; so does an empty one.
     """
-    order, words = [c.name for c in rule_costs(docs, rules, text, sample_rows)], free_name(docs, "words_of_text")
-    kept = verdict(Measures(F.col(text), F.col(words)), rules, order)
-    return docs.withColumn(words, words_of(F.col(text))).where(kept).drop(words)
+    order = [c.name for c in rule_costs(docs, rules, text, sample_rows)]
+    # bound within the predicate: a column of words would be put in its place each time once Catalyst pushes the filter down
+    return docs.where(_let(words_of(F.col(text)), lambda words: verdict(Measures(F.col(text), words), rules, order)))
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 2000) -> DataFrame:

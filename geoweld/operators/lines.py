@@ -38,46 +38,52 @@ def line_candidates(base: DataFrame, other: DataFrame, cell: float, radius: floa
     return alike.withColumn("hausdorff_m", G.vertex_hausdorff(a, b)).where(F.col("hausdorff_m") <= hausdorff)
 
 
-def covered_interval(s: tuple[Column, ...], b: tuple[Column, ...], radius: float) -> Column:
-    """Where along s (0 to 1) the distance to segment b is at most radius; a struct (lo, hi), null if nowhere.
+def with_covered_interval(pairs: DataFrame, radius: float) -> DataFrame:
+    """pairs with `part`: where along segment a_ (0 to 1) the distance to segment b_ is at most radius, as (lo, hi); null if nowhere.
 
     Within the radius of a segment is a convex set, so a line meets it in one
-    interval: the hull of those in which it meets the two end circles and the strip between.
+    interval: the hull of those in which it meets the two end circles and the strip
+    between. Steps are columns of their own, so that none is worked out twice.
     """
-    (sx1, sy1, sx2, sy2), (bx1, by1, bx2, by2) = s, b
-    dx, dy, ux, uy = sx2 - sx1, sy2 - sy1, bx2 - bx1, by2 - by1
-    squared, long = dx * dx + dy * dy, F.sqrt(ux * ux + uy * uy)
-
-    def circle(px: Column, py: Column) -> tuple[Column, Column]:
+    c = F.col
+    sx1, sy1, sx2, sy2 = segment("a_")
+    bx1, by1, bx2, by2 = segment("b_")
+    made = pairs.withColumns({"_dx": sx2 - sx1, "_dy": sy2 - sy1, "_ux": bx2 - bx1, "_uy": by2 - by1})
+    made = made.withColumns({"_sq": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_long": F.sqrt(c("_ux") * c("_ux") + c("_uy") * c("_uy"))})
+    unit = F.when(c("_long") > 0, c("_long"))
+    per = F.when(c("_sq") > 0, c("_sq"))
+    step = {
+        "_p0": ((sx1 - bx1) * c("_ux") + (sy1 - by1) * c("_uy")) / unit, "_p1": ((sx2 - bx1) * c("_ux") + (sy2 - by1) * c("_uy")) / unit,
+        "_q0": ((sy1 - by1) * c("_ux") - (sx1 - bx1) * c("_uy")) / unit, "_q1": ((sy2 - by1) * c("_ux") - (sx2 - bx1) * c("_uy")) / unit,
+    }
+    for k, (px, py) in enumerate(((bx1, by1), (bx2, by2))):
         fx, fy = sx1 - px, sy1 - py
-        half = (fx * dx + fy * dy) / squared
-        root = half * half - (fx * fx + fy * fy - radius * radius) / squared
-        low, high = -half - F.sqrt(root), -half + F.sqrt(root)
-        real = (squared > 0) & (root >= 0) & (high >= 0) & (low <= 1)
-        return F.when(real, F.greatest(low, F.lit(0.0))), F.when(real, F.least(high, F.lit(1.0)))
-
-    # in the frame of b: along and across
-    along0, along1 = ((sx1 - bx1) * ux + (sy1 - by1) * uy) / long, ((sx2 - bx1) * ux + (sy2 - by1) * uy) / long
-    across0, across1 = ((sy1 - by1) * ux - (sx1 - bx1) * uy) / long, ((sy2 - by1) * ux - (sx2 - bx1) * uy) / long
-
-    def between(v0: Column, v1: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        d = v1 - v0
-        t0, t1 = (low - v0) / d, (high - v0) / d
-        whole = (v0 >= low) & (v0 <= high)
-        return (
-            F.when(d == 0, F.when(whole, 0.0)).otherwise(F.least(t0, t1)),
-            F.when(d == 0, F.when(whole, 1.0)).otherwise(F.greatest(t0, t1)),
-        )
-
-    a0, a1 = between(along0, along1, F.lit(0.0), long)
-    c0, c1 = between(across0, across1, F.lit(-radius), F.lit(radius))
-    known = a0.isNotNull() & c0.isNotNull()
-    s0, s1 = F.greatest(a0, c0, F.lit(0.0)), F.least(a1, c1, F.lit(1.0))
-    strip = F.when(long > 0, known & (s0 <= s1)).otherwise(False)
-    e1, e2 = circle(bx1, by1), circle(bx2, by2)
-    low = F.least(e1[0], e2[0], F.when(strip, s0))
-    high = F.greatest(e1[1], e2[1], F.when(strip, s1))
-    return F.when(low.isNotNull() & high.isNotNull(), F.struct(low.alias("lo"), high.alias("hi")))
+        step |= {f"_half{k}": (fx * c("_dx") + fy * c("_dy")) / per, f"_rest{k}": (fx * fx + fy * fy - radius * radius) / per}
+    made = made.withColumns(step)
+    made = made.withColumns({f"_root{k}": c(f"_half{k}") * c(f"_half{k}") - c(f"_rest{k}") for k in (0, 1)} | {"_dp": c("_p1") - c("_p0"), "_dq": c("_q1") - c("_q0")})
+    step = {}
+    for k in (0, 1):  # roots of the circles; null where the line misses one
+        root = F.sqrt(F.when(c(f"_root{k}") >= 0, c(f"_root{k}")))
+        step |= {f"_lo{k}": -c(f"_half{k}") - root, f"_hi{k}": -c(f"_half{k}") + root}
+    for v, d, low, high in (("_p0", "_dp", F.lit(0.0), c("_long")), ("_q0", "_dq", F.lit(-radius), F.lit(radius))):
+        slope = F.when(c(d) != 0, c(d))
+        level = F.when((c(d) == 0) & c(v).between(low, high), 1.0)
+        step |= {f"{d}a": F.coalesce((low - c(v)) / slope, level - 1.0), f"{d}b": F.coalesce((high - c(v)) / slope, level)}
+    made = made.withColumns(step)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    step = {}
+    for k in (0, 1):
+        real = (c(f"_hi{k}") >= 0) & (c(f"_lo{k}") <= 1)
+        step |= {f"_a{k}": F.when(real, F.greatest(c(f"_lo{k}"), zero)), f"_b{k}": F.when(real, F.least(c(f"_hi{k}"), one))}
+    known = c("_dpa").isNotNull() & c("_dqa").isNotNull()
+    step |= {
+        "_a2": F.when(known, F.greatest(F.least("_dpa", "_dpb"), F.least("_dqa", "_dqb"), zero)),
+        "_b2": F.when(known, F.least(F.greatest("_dpa", "_dpb"), F.greatest("_dqa", "_dqb"), one)),
+    }
+    made = made.withColumns(step)
+    strip = c("_a2") <= c("_b2")
+    low, high = F.least("_a0", "_a1", F.when(strip, c("_a2"))), F.greatest("_b0", "_b1", F.when(strip, c("_b2")))
+    return made.withColumn("part", F.when(low.isNotNull(), F.struct(low.alias("lo"), high.alias("hi")))).select(*pairs.columns, "part")
 
 
 def union_length(intervals: Column) -> Column:
@@ -93,7 +99,7 @@ def union_length(intervals: Column) -> Column:
 def coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float) -> DataFrame:
     """a_id, covered: the share of each supplement segment within radius of the base's segments, 0 where none is near."""
     near = grid_join(boxed(supplement), boxed(base), cell, radius)
-    parts = near.withColumn("part", covered_interval(segment("a_"), segment("b_"), radius)).where("part IS NOT NULL")
+    parts = with_covered_interval(near, radius).where("part IS NOT NULL")
     found = parts.groupBy("a_id").agg(union_length(F.collect_list("part")).alias("covered"))
     every = supplement.select(F.col("id").alias("a_id"))
     return every.join(found, "a_id", "left").select("a_id", F.coalesce("covered", F.lit(0.0)).alias("covered"))
@@ -102,7 +108,7 @@ def coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float)
 def residuals(supplement: DataFrame, base: DataFrame, cell: float, radius: float, least: float = 10.0) -> DataFrame:
     """id, part, x1, y1, x2, y2: what of each supplement segment lies beyond radius of the base, parts of `least` length or more."""
     near = grid_join(boxed(supplement), boxed(base), cell, radius)
-    parts = near.withColumn("part", covered_interval(segment("a_"), segment("b_"), radius)).where("part IS NOT NULL")
+    parts = with_covered_interval(near, radius).where("part IS NOT NULL")
     found = parts.groupBy("a_id").agg(F.array_sort(F.collect_list("part")).alias("covered"))
     rows = supplement.join(found, F.col("id") == F.col("a_id"), "left")
     empty = F.array().cast("array<struct<lo:double,hi:double>>")
@@ -141,8 +147,8 @@ def duplicate_supplements(supplement: DataFrame, base: DataFrame, cell: float, a
     """id of the supplement segments that one base segment doubles."""
     a, b = segment("a_"), segment("b_")
     pairs = grid_join(boxed(supplement), boxed(base), cell, near)
-    part = covered_interval(a, b, near)
-    like = pairs.where(G.angle_difference(G.bearing(*a), G.bearing(*b)) <= angle).withColumn("covered", F.coalesce(part["hi"] - part["lo"], F.lit(0.0)))
+    like = with_covered_interval(pairs.where(G.angle_difference(G.bearing(*a), G.bearing(*b)) <= angle), near)
+    like = like.withColumn("covered", F.coalesce(F.col("part.hi") - F.col("part.lo"), F.lit(0.0)))
     dup = like.where((F.col("covered") >= least) & ((length(a) <= longest * length(b)) | (F.col("covered") >= whole)))
     return dup.select(F.col("a_id").alias("id")).distinct()
 

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweld.llm.common import session_settings
+
 #: Words that a Python worker remembers; beyond, it starts anew.
 REMEMBERED = 700_000
 #: A word with marks after a final letter.
@@ -35,6 +37,8 @@ MARKED = r"^(?P<stem>(?s:.)*[a-z])(?P<marks>[.,;:!?)|\]\"']+)$"
 TEXT_BYTES = 4 << 20
 #: Bytes of ids at which a shard closes.
 SHARD_BYTES = 1 << 20
+#: Texts that a task is handed at once while shards are written; a few hundred long ones are some MB.
+BATCH_ROWS = "500"
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -268,7 +272,7 @@ class Shard:
         return None if number < 0 else self.ids[slice(*self.span(number))]
 
 
-def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES, partition_bytes: int = 24 << 20) -> DataFrame:
+def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES, partition_bytes: int = 12 << 20) -> DataFrame:
     """Rows of SHARD over the documents in ascending doc_id order (null first), with end_id after each document.
 
     A null text gives the end id alone. A shard closes once its ids reach
@@ -310,7 +314,8 @@ def input_bytes(df: DataFrame) -> int | None:
 
 def write_shards(shards: DataFrame, folder: str) -> None:
     """Parquet with small row groups, as a shard is one row of some MB."""
-    shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
+    with session_settings(shards.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=BATCH_ROWS):
+        shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -4,21 +4,32 @@ A page is read as tokens: each element by the path of tags, classes and ids down
 to it, and each block of text by its path and words. For every host, tokens with
 the same occurrence vector over its pages (told by a digest that adds up in any
 order, so no host's pages meet in one task) form an equivalence class. A class is
-valid if it stands on at least half of the host's pages; since tokens are paths,
-a class nests in the one that holds its parent. Valid classes are the host's
-template: once-a-page elements bound its slots, and blocks of text that are in a
-class are fixed wording. A slot's label (tag, class, id, role) and the share of
-link text it has over the whole host tell what it is for; the remaining slots
-hold the main text. Hosts with one page have no template and go by labels alone.
+valid if
+- it has at least two tokens, each on at least half of the host's pages,
+- its tokens come in one order, over and over where they repeat,
+- its occurrences lie in one slot of the class that encloses it,
+and the last two hold on nine tenths of the class's pages, which have at least
+two, and half of the host's, distinct articles. Pages that consist mostly of wording which
+other pages share, in slots where wording differs, are copies of one article.
+
+The elements of valid classes bound the template's slots: a block of text is in
+the slot of the lowest one around it. Slots whose own text is links over the whole
+host are menus, the texts of valid once-a-page classes are fixed wording, and
+the remaining slots hold the main text. An author's own mark of the main part
+(article, main) or of what isn't (nav, footer, a class like "sidebar") goes
+before the deduced template. Hosts with one page have no template and go by marks alone.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 import xxhash
@@ -54,7 +65,14 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORDS = re.compile(r"[a-zA-Z]+")
 NUMBER = re.compile(r"\d+")
 
-TOKENS = "host string, page long, token long, n long, chars long, link_chars long, text boolean"
+#: A token of a page: how often it stands there, and the element a text is in (0 for none, and for elements).
+TOKENS = "host string, page long, token long, n long, parent long, text boolean"
+#: A page's elements and texts in order: the index of the element around each, or -1, a text's code points, or -1, and those in links.
+SEQUENCE = "host string, tokens array<long>, around array<int>, chars array<int>, links array<int>, flags array<int>"
+#: What a page tells of a class (kind 0: order, nesting and article) or of a slot (kind 1: the slot around it and its own text).
+FACTS = "host string, kind int, id long, shape long, article long, chars long, link_chars long, kept boolean"
+MEMBER = "struct<token: long, text: boolean, parent: long, n: long, class: long>"
+MAIN, SKIP, TOP = 1, 2, 4
 
 
 @dataclass
@@ -64,6 +82,7 @@ class Node:
     path: str
     skip: bool = False
     main: bool = False
+    parent: Node | None = None
 
 
 @dataclass
@@ -88,7 +107,7 @@ def _node(parent: Node | None, tag: str, attrs: str) -> Node:
     main = bool(parent and parent.main) or tag in MAIN_TAGS or bool(words & MAIN_WORDS)
     header = (tag == "header" or bool(words & HEADER_WORDS)) and not main
     skip = bool(parent and parent.skip) or tag in SKIP_TAGS or header or (tag not in ("html", "body") and bool(words & SKIP_WORDS))
-    return Node(tag, _hash(path), path, skip, main)
+    return Node(tag, _hash(path), path, skip, main, parent)
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -161,36 +180,118 @@ def _text_token(block: Block, text: str) -> int:
     return _hash(f"{block.nodes[-1].path if block.nodes else ''}={text}")
 
 
-def page_tokens(host: str, page: int, source: str) -> Iterator[tuple]:
-    """Rows of TOKENS: one for each distinct token of the page, and one with token 0 that stands for the page."""
+def page_sequence(source: str) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+    """The columns of SEQUENCE but host."""
     nodes, blocks = parse(source)
-    yield host, page, 0, 1, 0, 0, False
-    chars: Counter = Counter()
-    links: Counter = Counter()
-    texts: Counter = Counter()
+    tokens, around, chars, links, flags = columns = ([], [], [], [], [])
+    at: dict[int, int] = {}
+    placed = iter(nodes)
+
+    def place(x: Node) -> None:
+        at[id(x)] = len(tokens)
+        for column, value in zip(columns, (x.token, at.get(id(x.parent), -1), -1, 0, MAIN * x.main + SKIP * x.skip + TOP * (x.tag in ("html", "body"))), strict=True):
+            column.append(value)
+
     for b in blocks:
-        text = b.text()
-        if text:
-            texts[_text_token(b, text)] += 1
-            for x in {x.token for x in b.nodes}:
-                chars[x] += len(text)
-                links[x] += b.link_chars
-    for token, n in Counter(x.token for x in nodes).items():
-        yield host, page, token, n, chars[token], links[token], False
-    for token, n in texts.items():
-        yield host, page, token, n, 0, 0, True
-
-
-def main_text(source: str, menus: frozenset[int], fixed: frozenset[int]) -> str:
-    """The page's main text, given the host's template: slots of link text, and fixed wording."""
+        inner = b.nodes[-1] if b.nodes else None
+        while inner and id(inner) not in at:
+            place(next(placed))
+        if text := b.text():
+            for column, value in zip(columns, (_text_token(b, text), at[id(inner)] if inner else -1, len(text), b.link_chars, MAIN * bool(inner and inner.main) + SKIP * bool(inner and inner.skip)), strict=True):
+                column.append(value)
+    for x in placed:
+        place(x)
+    return columns
+
+
+class Members:
+    """A host's classes, before they are judged."""
+
+    def __init__(self, members: list[dict]):
+        self.of = {m["token"]: m["class"] for m in members}
+        self.sizes = Counter(self.of.values())
+        self.texts = {m["token"] for m in members if m["text"]}
+
+    def facts(self, tokens: list[int], around: list[int], chars: list[int], links: list[int], flags: list[int]) -> Iterator[tuple]:
+        """FACTS of a page, but host."""
+        places: dict[int, list[int]] = defaultdict(list)
+        elements: dict[int, list[int]] = defaultdict(list)
+        slot: list[int] = []  # the lowest element of a class at or around each token
+        for i, token in enumerate(tokens):
+            known = self.of.get(token)
+            if known is not None:
+                places[known].append(i)
+                if chars[i] < 0:
+                    elements[known].append(i)
+            slot.append(i if chars[i] < 0 and known is not None else slot[around[i]] if around[i] >= 0 else -1)
+        article = self.article(tokens, chars, flags)
+        for known, at in places.items():
+            size = self.sizes[known]
+            first = [tokens[i] for i in at[:size]]
+            shape = len(set(first)) == size and len(at) % size == 0 and all(tokens[i] == first[k % size] for k, i in enumerate(at))
+            nests = set()
+            for i in at[::size] if shape else ():
+                up = slot[around[i]] if around[i] >= 0 else -1
+                while up >= 0 and self.of[tokens[up]] == known:
+                    up = slot[around[up]] if around[up] >= 0 else -1
+                outer = elements[self.of[tokens[up]]] if up >= 0 else []
+                nests.add((self.of[tokens[up]], tokens[outer[bisect_left(outer, i) - 1]]) if up >= 0 else None)
+            yield 0, known, _hash(repr((first, nests))) if shape and len(nests) == 1 else 0, article, 0, 0, False
+        own: dict[int, list] = {}
+        for i, token in enumerate(tokens):
+            if slot[i] == i:
+                up = slot[around[i]] if around[i] >= 0 else -1
+                x = own.setdefault(token, [tokens[up] if up >= 0 else 0, 0, 0, False])
+                x[3] = x[3] or bool(flags[i] & TOP)
+            elif chars[i] >= 0 and slot[i] >= 0:
+                own[tokens[slot[i]]][1] += chars[i]
+                own[tokens[slot[i]]][2] += links[i]
+        for token, (up, n, n_links, kept) in own.items():
+            yield 1, token, up, 0, n, n_links, kept
+
+    def article(self, tokens: list[int], chars: list[int], flags: list[int]) -> int:
+        """Tells pages with different texts apart."""
+        return _hash(repr([t for t, n, f in zip(tokens, chars, flags, strict=True) if n >= 0 and not f & SKIP]))
+
+
+class Template:
+    def __init__(self, rows: list[dict], link_share: float = 0.6):
+        self.fixed = {r["token"] for r in rows if r["text"]}
+        elements = {r["token"]: r for r in rows if not r["text"]}
+        self.bounds = {t for t, r in elements.items() if r["valid"]}
+        chars: Counter = Counter()
+        links: Counter = Counter()
+        kept = set()
+        for token, r in elements.items():
+            slot = token
+            while slot and slot not in self.bounds:  # what no valid class bounds is part of the slot around it
+                slot = elements[slot]["parent"] if slot in elements else 0
+            chars[slot] += r["chars"]
+            links[slot] += r["link_chars"]
+            if r["kept"]:
+                kept.add(slot)
+        self.menus = {t for t in self.bounds - kept if links[t] > link_share * chars[t]}
+        self.link_share = link_share
+
+    def is_menu(self, block: Block, length: int, token: int) -> bool:
+        """Links and fixed wording of a slot of links; other text in it isn't the menu's."""
+        slot = next((x.token for x in reversed(block.nodes) if x.token in self.bounds), 0)
+        return slot in self.menus and (block.link_chars > self.link_share * length or token in self.fixed)
+
+
+def main_text(source: str, template: Template) -> str:
+    """The page's main text, given the host's template."""
     _, blocks = parse(source)
     found = []
     for b in blocks:
         inner = b.nodes[-1] if b.nodes else None
-        if inner and (inner.skip or any(x.token in menus and not x.main for x in b.nodes)):
+        text = b.text()
+        if not text or (inner and inner.skip):
             continue
-        if text := b.text():
-            found.append((bool(inner and inner.main), _text_token(b, text) in fixed, text))
+        token = _text_token(b, text)
+        is_main = bool(inner and inner.main)
+        if is_main or not template.is_menu(b, len(text), token):
+            found.append((is_main, token in template.fixed, text))
     if any(is_main for is_main, _, _ in found):
         return "\n\n".join(t for is_main, _, t in found if is_main)
     free = [t for _, is_fixed, t in found if not is_fixed]
@@ -201,41 +302,84 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, least_share: float = 0.5, link_share: float = 0.6) -> DataFrame:
-    """host, menus, fixed: for each host with a template the tokens of its link slots and of its fixed wording.
+def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    names = [re.split("[ :]", x)[0] for x in schema.split(", ")]
+    while some := list(islice(rows, 20_000)):
+        yield pd.DataFrame(some, columns=names)
+
 
-    A host has at most 1 / least_share times the tokens of a page in valid
+def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9) -> DataFrame:
+    """host, template: for each host with a template the elements and fixed wording of its classes.
+
+    A host has at most 1 / least_share times the tokens of a page in its
     classes, so a row is no longer than a page or two.
     """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in TOKENS.split(", ")]
-        for pdf in batches:
-            rows: list[tuple] = []
-            for host, page, source in zip(pdf["host"], pdf["page"], pdf["source"], strict=True):
-                rows += page_tokens(host, int(page), source or "")
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    each = pages.select("host", F.xxhash64("page_id", "source").alias("page"), "source").mapInPandas(tokens, TOKENS)
-    digest = F.bit_xor(F.xxhash64("page", "n")).alias("digest")
+        def rows() -> Iterator[tuple]:
+            for pdf in batches:
+                for host, page, source in zip(pdf["host"], pdf["page"], pdf["source"], strict=True):
+                    found, around, chars, _, _ = page_sequence(source or "")
+                    parent = {t: found[i] if i >= 0 else 0 for t, i, n in zip(found, around, chars, strict=True) if n >= 0}
+                    for token, n in Counter(found).items():
+                        yield host, page, token, n, parent.get(token, 0), token in parent
+
+        yield from _frames(rows(), TOKENS)
+
+    def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(((h, *page_sequence(x or "")) for pdf in batches for h, x in zip(pdf["host"], pdf["source"], strict=True)), SEQUENCE)
+
+    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            known: dict[str, Members] = {}
+            for pdf in batches:
+                for host, members, *page in zip(*(pdf[c] for c in ("host", "members", "tokens", "around", "chars", "links", "flags")), strict=True):
+                    if host not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[host] = Members(json.loads(members))
+                    for row in known[host].facts(*(x.tolist() for x in page)):
+                        yield host, *row
+
+        yield from _frames(rows(), FACTS)
+
+    # each row is a page of its own in the digest, or rows that repeat would cancel out
+    page = F.xxhash64("page_id", "source", F.monotonically_increasing_id()).alias("page")
+    each = pages.select("host", page, "source").mapInPandas(tokens, TOKENS)
     seen = each.groupBy("host", "token", "text").agg(
-        F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), digest, F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
+        F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("page", "n")).alias("digest"), F.first("parent").alias("parent")
     ).where("pages > 1")
-    of_host = seen.where("token = 0").select("host", F.col("pages").alias("of_host"))
-    frequent = seen.where("token <> 0").join(of_host, "host").where(F.col("pages") >= least_share * F.col("of_host"))
-    classes = frequent.groupBy("host", "pages", "n", "digest").agg(
-        F.collect_list(F.struct("token", "text", "chars", "link_chars")).alias("tokens"), F.first("of_host").alias("of_host")
+    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
+    frequent = seen.join(of_host, "host").where(F.col("pages") >= least_share * F.col("of_host"))
+    classes = frequent.groupBy("host", "pages", "n", "digest").agg(F.collect_list(F.struct("token", "text", "parent")).alias("tokens")).where("size(tokens) > 1")
+    member = classes.select("host", "n", F.xxhash64("pages", "n", "digest").alias("class"), F.col("pages") == F.col("n"), F.explode("tokens").alias("t")).toDF("host", "n", "class", "once", "t")
+    # a text that repeats on a page bounds no slot and is no wording of the template
+    member = member.select("host", "t.token", "t.text", "t.parent", "n", "class", "once").where("once OR NOT text")
+    of_class = F.struct("token", "text", "parent", "n", "class").cast(MEMBER)
+    members = checkpointed(member.groupBy("host").agg(F.to_json(F.collect_list(of_class)).alias("members")))
+
+    told = pages.select("host", "source").mapInPandas(sequences, SEQUENCE).join(members, "host").mapInPandas(facts, FACTS)
+    article = told.groupBy("host", "kind", "id", "shape", "article").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.max("kept").alias("kept")
+    )
+    shape = article.groupBy("host", "kind", "id", "shape").agg(
+        F.count(F.lit(1)).alias("articles"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.max("kept").alias("kept")
     )
-    member = classes.select("host", "pages", "n", "of_host", F.explode("tokens").alias("t"))
-    once = F.col("pages") == F.col("n")
-    menu = ~F.col("t.text") & (F.col("t.link_chars") > link_share * F.col("t.chars")) & (F.col("t.chars") > 0)
-    wording = F.col("t.text") & once & (F.col("of_host") > 2)
-    return member.groupBy("host").agg(
-        F.collect_list(F.when(menu, F.col("t.token"))).alias("menus"), F.collect_list(F.when(wording, F.col("t.token"))).alias("fixed")
+    most = F.max(F.struct("pages", "shape", "articles"))
+    judged = shape.groupBy("host", "kind", "id").agg(most.alias("most"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.max("kept").alias("kept"))
+    by_host = judged.groupBy("host").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("most.articles"))).alias("articles"),
+        F.collect_list(F.struct("kind", "id", "most", "pages", "chars", "link_chars", "kept")).alias("facts"),
     )
+    fits = f"x -> x.kind = 0 AND x.most.shape <> 0 AND x.most.pages >= {agreement} * x.pages AND x.most.articles >= greatest(2, {least_share} * articles)"
+    valid = by_host.withColumn("valid", F.expr(f"transform(filter(facts, {fits}), x -> x.id)"))
+    wording = "transform(filter(members, m -> m.text AND articles > 2 AND array_contains(valid, m.class)), m -> named_struct('token', m.token, 'text', true, 'valid', true, 'parent', 0L, 'chars', 0L, 'link_chars', 0L, 'kept', false))"
+    bounds = "transform(filter(members, m -> NOT m.text), m -> m)"
+    of_token = "map_from_entries(transform(filter(facts, x -> x.kind = 1), x -> struct(x.id, x)))"
+    slots = "transform(elements, m -> named_struct('token', m.token, 'text', false, 'valid', array_contains(valid, m.class), 'parent', slot[m.token].most.shape, 'chars', slot[m.token].chars, 'link_chars', slot[m.token].link_chars, 'kept', slot[m.token].kept))"
+    members = members.withColumn("members", F.from_json("members", f"array<{MEMBER}>"))
+    whole = valid.join(members, "host").withColumn("elements", F.expr(bounds)).withColumn("slot", F.expr(of_token))
+    return whole.select("host", F.expr(f"to_json(concat({wording}, {slots}))").alias("template"))  # read once a host, not once a page
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -250,19 +394,19 @@ def extracted(pages: DataFrame) -> DataFrame:
     named = pages.withColumn(host, host_of(F.col("url")))
     # kept apart so that the join shuffles both sides and Spark may split a host with most of the pages
     found = checkpointed(templates(named.select(F.col(host).alias("host"), "page_id", F.col("html").alias("source"))))
-    of_host = found.select(F.col("host").alias(host), F.struct("menus", "fixed").alias(template))
+    of_host = found.select(F.col("host").alias(host), F.col("template").alias(template))
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[frozenset, frozenset]] = {}
+        known: dict[str, Template] = {}
         for hosts, sources, found in batches:
             out = []
-            for name, source, menus, fixed in zip(hosts, sources, found["menus"], found["fixed"], strict=True):
+            for name, source, rows in zip(hosts, sources, found, strict=True):
                 if name not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[name] = tuple(frozenset() if x is None else frozenset(map(int, x)) for x in (menus, fixed))
-                out.append(main_text(source or "", *known[name]))
+                    known[name] = Template(json.loads(rows) if rows else [])
+                out.append(main_text(source or "", known[name]))
             yield pd.Series(out, dtype=object)
 
     old = [c for c in pages.columns if c.lower() not in {"text", "n_chars"}]

@@ -146,6 +146,23 @@ def test_html_template_drops_fixed_wording_and_link_slots(spark):
     assert {r.text for r in html_text.extracted(df).collect()} == {f"Own words {i} of a story" for i in range(8)}
 
 
+def texts_of_pages(spark, bodies):
+    df = spark.createDataFrame([(i, "http://t.example/a", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extracted(df).orderBy("page_id").collect()]
+
+
+def test_html_template_is_of_valid_classes_only(spark):
+    def body(i):
+        shared = ["<p>Storm hits the coast</p>", "<p>Rain is to follow</p>"][:: 1 if i % 2 else -1] if i < 5 else []
+        alone = ["<p>Markets were closed</p>"] if i > 1 else []
+        return f"<div class='x2'>Always the same words</div><div class='x3'><p>Own words {i} of a story</p>{''.join(shared + alone)}</div>"
+
+    for i, text in enumerate(texts_of_pages(spark, map(body, range(8)))):
+        assert "Always" not in text and f"Own words {i}" in text
+        assert ("Storm" in text) == ("Rain" in text) == (i < 5)  # one class, in no order
+        assert ("Markets" in text) == (i > 1)  # a class of one token
+
+
 # --- 4 n-gram join ----------------------------------------------------------------------------------
 
 

@@ -210,7 +210,13 @@ class Members:
     def __init__(self, members: list[dict]):
         self.of = {m["token"]: m["class"] for m in members}
         self.sizes = Counter(self.of.values())
-        self.texts = {m["token"] for m in members if m["text"]}
+        counts = {m["token"]: m["n"] for m in members}
+        self.texts = {m["token"]: m["parent"] for m in members if m["text"]}
+        shared: Counter = Counter()
+        for token, parent in self.texts.items():
+            shared[parent] += counts[token]
+        # elements that hold little but shared wording wherever they stand; what other elements share may be copied
+        self.wording = {t for t, n in shared.items() if t in counts and n >= 0.9 * counts[t]}
 
     def facts(self, tokens: list[int], around: list[int], chars: list[int], links: list[int], flags: list[int]) -> Iterator[tuple]:
         """FACTS of a page, but host."""
@@ -237,12 +243,16 @@ class Members:
                 outer = elements[self.of[tokens[up]]] if up >= 0 else []
                 nests.add((self.of[tokens[up]], tokens[outer[bisect_left(outer, i) - 1]]) if up >= 0 else None)
             yield 0, known, _hash(repr((first, nests))) if shape and len(nests) == 1 else 0, article, 0, 0, False
+        around_main = set()
+        for i, flag in enumerate(flags):
+            while flag & MAIN and (i := around[i]) >= 0 and i not in around_main:
+                around_main.add(i)
         own: dict[int, list] = {}
         for i, token in enumerate(tokens):
             if slot[i] == i:
                 up = slot[around[i]] if around[i] >= 0 else -1
                 x = own.setdefault(token, [tokens[up] if up >= 0 else 0, 0, 0, False])
-                x[3] = x[3] or bool(flags[i] & TOP)
+                x[3] = x[3] or bool(flags[i] & TOP) or i in around_main
             elif chars[i] >= 0 and slot[i] >= 0:
                 own[tokens[slot[i]]][1] += chars[i]
                 own[tokens[slot[i]]][2] += links[i]
@@ -250,8 +260,11 @@ class Members:
             yield 1, token, up, 0, n, n_links, kept
 
     def article(self, tokens: list[int], chars: list[int], flags: list[int]) -> int:
-        """Tells pages with different texts apart."""
-        return _hash(repr([t for t, n, f in zip(tokens, chars, flags, strict=True) if n >= 0 and not f & SKIP]))
+        """Tells articles apart: the longest copied text if most of the page's text is copied, or else all of its texts."""
+        texts = [(n, t) for t, n, f in zip(tokens, chars, flags, strict=True) if n >= 0 and not f & SKIP]
+        copied = [x for x in texts if x[1] in self.texts and self.texts[x[1]] not in self.wording]
+        own = sum(n for n, t in texts if t not in self.texts)
+        return max(copied)[1] if sum(n for n, _ in copied) > own else _hash(repr([t for _, t in texts]))
 
 
 class Template:

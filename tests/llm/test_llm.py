@@ -163,6 +163,18 @@ def test_html_template_is_of_valid_classes_only(spark):
         assert ("Markets" in text) == (i > 1)  # a class of one token
 
 
+def test_html_keeps_articles_beside_long_menus_and_of_near_copies(spark):
+    menu = lambda i: f"<ul>{''.join(f'<li><a href=/{k}>Menu entry number {k} of {i}</a></li>' for k in range(12))}</ul>"
+    got = texts_of_pages(spark, [f"<div class='w'>{menu(i)}<article><p>Short story {i}</p></article></div>" for i in range(6)])
+    assert got == [f"Short story {i}" for i in range(6)]
+    got = texts_of_pages(spark, [f"<div class='w'>{menu(i)}<div class='y'>Short story {i}</div></div>" for i in range(6)])
+    assert got == [f"Short story {i}" for i in range(6)]
+    told = [f"Paragraph {k} of the story that many pages of this host have copied" for k in "abcd"]
+    stories = [[*told, f"A changed end, {i}"] for i in range(6)] + [[f"Other story {i}", f"It goes on {i}"] for i in range(4)]
+    frame = lambda s: f"<div class='x2'>Always the same words</div><div class='x3'>{''.join(f'<p>{x}</p>' for x in s)}</div>"
+    assert texts_of_pages(spark, map(frame, stories)) == ["\n\n".join(s) for s in stories]
+
+
 # --- 4 n-gram join ----------------------------------------------------------------------------------
 
 

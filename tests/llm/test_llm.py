@@ -272,6 +272,19 @@ def test_license_scan(spark):
     assert licenses.scanned(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_tells_near_notices_and_whole_texts(spark):
+    notice = "This {} is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nx"
+    want = {
+        "GPL-2.0": notice.format("program", ";", "", ";", "2"), "GPL-3.0": notice.format("program", ":", "", ",", "3"),
+        "AGPL-3.0": notice.format("program", ":", "Affero ", ",", "3"), "LGPL-2.1": notice.format("library", ";", "Lesser ", ";", "2.1"),
+        "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "CC-BY-3.0": "Licensed under CC BY 3.0",
+    }
+    texts = [*want.values(), *(" ".join(t.split()[:-60]) for _, t in licenses.TEXTS)]
+    got = {r.doc_id: r.license for r in licenses.scanned(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*want, *(n for n, _ in licenses.TEXTS)] and len(licenses.TEXTS) == 7
+
+
 # --- 7 and 8 tokens -------------------------------------------------------------------------------------------
 
 

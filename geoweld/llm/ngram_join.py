@@ -1,19 +1,26 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Texts with equal shingle sets form a class; one document stands for each class.
-All sets are ordered alike, shingles that are in many prefixes last. Two sets
+Texts with equal shingle sets form a class; the join runs over classes. All sets
+are ordered alike, shingles that are in many prefixes last. Two sets
 whose overlap reaches the threshold then share at least k of their first
-n - ceil(t * n) + k shingles. Every document chooses its k: a longer prefix meets
+n - ceil(t * n) + k shingles. Every class chooses its k: a longer prefix meets
 more shingles, but a pair must share k of them before it is verified, so k is
 the one of least estimated cost. A pair goes by the smaller k of the two.
 
-Only components are wanted, so links within one needn't all be tried. First, at
-shingles that many documents share, all are tried against a few, in rounds,
-which settles groups of near copies in some times as many pairs as they have members.
-Then, for every shingle that still spans several components, the documents
-outside its largest one are tried against all of another component. No group is
-cut: a pair that shares enough prefix shingles is either verified or within a
-component already.
+Prefixes can't tell apart the members of a large group of near copies, as all of them
+hold its common shingles. At shingles that many classes share, a few central ones are
+therefore drawn as pivots, and each class there is compared with them once: those
+within the threshold are linked, and each class keeps the pivot it is close to as its centre
+together with its difference from it, the shingles it adds and those it lacks. Between two
+classes of one centre the distance follows from the differences alone, so they
+never meet in the prefix join. They are joined by the shingles that they add, which are few
+and rare: classes x and y at most L apart share at least
+(added(x) + added(y) + |lacking(x) - lacking(y)| - L) / 2 of these. Where that is
+nothing, sizes are close, and classes of such sizes are compared by what they lack.
+
+Only components are wanted, so links within one needn't all be tried: in both joins the members
+outside a shingle's or a centre's largest part meet all of another one. No group is
+cut: a pair that shares enough shingles is either decided or within a component already.
 """
 
 from __future__ import annotations
@@ -22,11 +29,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import checkpointed, session_settings
+from geoweld.llm.common import checkpointed, free_name, session_settings
 from geoweld.llm.components import connected_components
 from geoweld.llm.shingles import shingle_sets
 
@@ -38,18 +46,23 @@ VERIFY_COST = 20
 FREQUENT_LIST = 1 << 20
 #: Prefixes that a shingle on it is in at least.
 FREQUENT = 16
-#: A shingle that so many documents share is a hub: its documents are first tried against a few of their own, in so many rounds.
-HUB, PIVOTS, ROUNDS, JITTER = 8, 4, 2, 0.3
+#: A shingle that so many classes share is a hub, where so many pivots are drawn; all but the first go by chance to this degree.
+HUB, PIVOTS, JITTER = 8, 4, 0.3
+#: A class is compared with a pivot if they share this part of the shingles that similar ones would. It takes the pivot that most
+#: others are similar to, of those at most NEARLY times as far as the nearest.
+TRIED, NEARLY = 0.25, 1.5
+#: Sizes of differences are put in so many steps of the centre's size.
+STEPS = 32
 #: While the join runs, Spark removes an action's shuffle files once it has ended, as all that is read again is
 #: checkpointed, and hands Python batches of a few MB.
 SETTINGS = {
     "spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true",
     "spark_sql_execution_arrow_maxRecordsPerBatch": "1000",
 }
-#: Bits of the filter that tells documents with candidates while texts are read.
-FILTER_BITS = 20
+#: Bits of the filter that tells documents whose sets are wanted while texts are read (2 MB).
+FILTER_BITS = 24
 
-SKETCH = "doc_id long, n long, d1 long, d2 long, tokens array<long>"
+SKETCH = "doc_id long, version long, n long, id long, tokens array<long>"
 
 
 def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -57,73 +70,106 @@ def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return (percent * n + 99) // 100
 
 
-def _sketches(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Size, digest and prefix (of the longest kind) of each document's set; rows of SKETCH."""
+def apart(n: Column, percent: int) -> Column:
+    """The most elements in which two similar sets with n elements between them (common ones twice) differ."""
+    return F.floor((100 - percent) * n / (100 + percent) + 1e-9)
+
+
+def digest_of(shingles: np.ndarray) -> int:
+    """A class's id."""
+    return int(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), np.int64)[0])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
+    return shingles[: len(shingles) - needed(len(shingles), percent) + SHARED[-1]]
+
+
+def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Size, digest and prefix (of the longest kind) of each document's set, by hash; rows of SKETCH."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, tokens = [], [], [], []
+            n, ids, tokens = [], [], []
             for u in shingle_sets(batch.column("text"), width):
                 n.append(len(u))
-                digest = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
-                d1.append(int(digest[0]))
-                d2.append(int(digest[1]))
-                if len(frequent) and len(u):
-                    often = frequent[np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)] == u
-                    u = np.concatenate([u[~often], u[often]])
-                tokens.append(u[: len(u) - needed(len(u), percent) + SHARED[-1]].view(np.int64))
-            offsets = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+                ids.append(digest_of(u))
+                tokens.append(_prefix(u, percent))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "d1", "d2", "tokens"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("version"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), _lists(tokens)],
+                names=["doc_id", "version", "n", "id", "tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(sketch, SKETCH)
+
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, shingles (as bytes) of the classes in wanted: id, doc_id (one of its documents), version of its text.
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id, shingles (as bytes) of the documents in ids. A filter of fixed size spares most other texts the hashing."""
-    size = 1 << FILTER_BITS
-    bucket = F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
-    there = np.zeros(size, bool)
-    there[[r[0] for r in ids.select(bucket).distinct().collect()]] = True  # at most 2**FILTER_BITS
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(there))
+    A filter of fixed size spares most other texts the hashing.
+    """
+    bit = F.pmod(F.xxhash64("doc_id", "version"), F.lit(1 << FILTER_BITS))
+    places = wanted.select((bit + 1).alias("bit"))  # Spark's bitmaps count from 1
+    maps = places.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    there = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for part, found in maps.collect():  # 4 KB for each 32768 bits
+        there[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(there)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(shared.value).astype(bool)
+        filled = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(mask[batch.column("bucket").to_numpy()]))
-            sets = [u.tobytes() for u in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            at = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((filled[at // 8] >> (at % 8)) & 1 == 1))
+            sets = list(shingle_sets(batch.column("text"), width))
+            ids = pa.array([digest_of(u) for u in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([u.tobytes() for u in sets], pa.binary())], names=["id", "shingles"])
 
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = named.withColumn("bucket", bucket).mapInArrow(hashed, "id long, shingles binary")
-    return checkpointed(sets.join(ids, "id", "left_semi"))
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).select("text", bit.alias("bit"))
+    sets = named.mapInArrow(hashed, "id long, shingles binary").join(wanted.select("id"), "id", "left_semi")
+    return checkpointed(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b), which are checkpointed, whose sets reach the threshold."""
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool = False) -> DataFrame:
+    """The pairs (a, b) with added (shingles of b that a lacks), lacking (of a that b lacks) and similar.
 
-    @F.pandas_udf("boolean")
-    def similar(x, y):
-        import pandas as pd
+    added and lacking are counts, or the shingles themselves if whole.
+    """
+    kind = "array<long>" if whole else "long"
 
+    @F.pandas_udf(f"added {kind}, lacking {kind}, similar boolean")
+    def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         out = []
         for p, q in zip(x, y, strict=True):
             u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(100 * both >= percent * (len(u) + len(v) - both))
-        return pd.Series(out, dtype=bool)
+            added, lacking = np.setdiff1d(v, u, assume_unique=True), np.setdiff1d(u, v, assume_unique=True)
+            both, union = len(v) - len(added), len(u) + len(added)
+            same = 100 * both >= percent * union
+            out.append((added.view(np.int64), lacking.view(np.int64), same) if whole else (len(added), len(lacking), same))
+        return pd.DataFrame(out, columns=["added", "lacking", "similar"])
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    return checkpointed(both.where(similar("of_a", "of_b")).select("a", "b"))
+    return checkpointed(both.select(*pairs.columns, compare("of_a", "of_b").alias("c")).select(*pairs.columns, "c.*"))
+
 
+def _ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that lie in a pair, as _sets_of wants them."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    return classes.select("id", "doc_id", "version").join(ids, "id", "left_semi")
 
-def _candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
-    """Pairs that share as many shingles of their prefixes as similar sets must, or that share of them.
+
+def _side(entries: DataFrame, s: str, *more: str) -> DataFrame:
+    return entries.select("token", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("level").alias(f"l{s}"), F.col("k").alias(f"k{s}"), *(F.col(m).alias(f"{m}_{s}") for m in more))
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share as many shingles of their prefixes as similar sets must.
 
     met: a and b that meet in a shingle, with n, level and k of each (na, la, ka, nb, ...). With the
     smaller k of the two, a set of n has needed(n) - k shingles behind its prefix. What a pair shares
@@ -132,129 +178,236 @@ def _candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
     """
     k = F.least("ka", "kb")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
-    behind = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - k
-    least = F.greatest(k, overlap - behind).cast("int")
-    counted = met.where(near & (F.greatest("la", "lb") <= k)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("least"))
-    return counted.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= share * F.col("least")).select("a", "b")
+    counted = met.where(near & (F.greatest("la", "lb") <= k)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _least(percent).alias("least"))
+    return counted.groupBy("a", "b", "least").agg(F.count(F.lit(1)).alias("shared")).where("shared >= least").select("a", "b")
 
 
-def _side(entries: DataFrame, s: str, *more: str) -> DataFrame:
-    return entries.select("token", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("level").alias(f"l{s}"), F.col("k").alias(f"k{s}"), *(F.col(m).alias(f"{m}_{s}") for m in more))
-
+def _least(percent: int) -> Column:
+    """Shingles of their prefixes that a similar pair shares at least."""
+    k = F.least("ka", "kb")
+    overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    behind = F.floor((percent * F.greatest("na", "nb") + 99) / 100) - k
+    return F.greatest(k, overlap - behind).cast("int")
 
-def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs.
 
-    Two documents link when their sets of distinct `width`-word shingles have a
-    Jaccard similarity of percent / 100 or more; component_id is the smallest
-    doc_id reachable by links, the document's own included. Shingles compare by
-    a 64-bit hash. A text without words, or a null one, has no shingles and links
-    to nothing. Rows that share a doc_id are one document with several texts. A
-    row with a null doc_id takes the component of the documents with its
-    shingles, null if there is none. Other columns are left out.
-    """
-    with session_settings(docs.sparkSession, **SETTINGS):
-        sketches = checkpointed(_sketches(docs, width, percent, np.zeros(0, np.uint64)))
-        of_class = sketches.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
-        classes = checkpointed(of_class.where("id IS NOT NULL"))
-        entries = checkpointed(_repeated_entries(docs, sketches, classes, width, percent))
-        links = _all_links(docs, entries, width, percent)
-    joined = classes.join(links, F.col("id") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("size"), F.coalesce("component", "id").alias("component"))
-    s = sketches.drop("tokens").alias("s")
-    same = (F.col("s.d1") == F.col("j.d1")) & (F.col("s.d2") == F.col("j.d2")) & (F.col("s.n") == F.col("j.size"))
-    return s.join(joined.alias("j"), same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def _classes(sketches: DataFrame) -> DataFrame:
+    """id, doc_id (the smallest), version (of one of its texts), n and tokens of each class that has shingles."""
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version")))
+    found = sketches.where("n > 0").groupBy("id").agg(first.alias("first"), F.min("version").alias("any"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return found.select("id", "first.doc_id", F.coalesce("first.version", "any").alias("version"), "n", "tokens")
 
 
-def _repeated_entries(docs: DataFrame, sketches: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """token, id, n, level, k: the prefix entries of class representatives whose shingle another one has as well.
+def _repeated_entries(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """token, id, n, level, k: the prefix entries of classes whose shingle another one has as well.
 
     level is the least k whose prefix holds the entry.
     """
-    ids = classes.select(F.col("id").alias("doc_id"))
-    own = sketches.where("n > 0").join(ids, "doc_id", "left_semi")
-    entries = own.select(F.explode("tokens").alias("token"))
-    counts = entries.groupBy("token").count()
-    total = own.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    total = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
     often = max(FREQUENT, -(-total // FREQUENT_LIST))
     found = counts.where(F.col("count") > often).select("token").toArrow().column(0).to_numpy()
-    frequent = np.sort(found.astype(np.int64).view(np.uint64))
-    if len(frequent):
-        again = _sketches(docs, width, percent, frequent).where("n > 0").drop("d1", "d2")
-        own = checkpointed(again.join(ids, "doc_id", "left_semi"))
+    frequent = classes.sparkSession.sparkContext.broadcast(np.sort(found.astype(np.int64).view(np.uint64)))
+
+    def often_in(u: np.ndarray) -> np.ndarray:
+        f = frequent.value
+        return f[np.minimum(np.searchsorted(f, u), len(f) - 1)] == u if len(f) else np.zeros(len(u), bool)
+
+    @F.pandas_udf("boolean")
+    def touched(prefixes: pd.Series) -> pd.Series:
+        return pd.Series([bool(often_in(p.view(np.uint64)).any()) for p in prefixes], dtype=bool)
+
+    @F.pandas_udf("array<long>")
+    def ordered(sets: pd.Series) -> pd.Series:
+        out = []
+        for p in sets:
+            u = np.frombuffer(p, np.uint64)
+            late = often_in(u)
+            out.append(_prefix(np.concatenate([u[~late], u[late]]), percent).view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    # a prefix without frequent shingles stays as it is when these come last
+    marked = checkpointed(classes.withColumn("late", touched("tokens")))
+    again = marked.where("late")
+    sets = _sets_of(docs, again, width)
+    moved = again.select("id", "n").join(sets, "id").select("id", "n", ordered("shingles").alias("tokens"))
+    own = marked.where("NOT late").select("id", "n", "tokens").union(moved)
     least = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
-    placed = own.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).select(
-        "token", F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), F.col("pos") + 1 - least).cast("int").alias("level")
-    )
+    placed = checkpointed(own.select("id", "n", F.posexplode("tokens").alias("pos", "token")).select(
+        "token", "id", F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), F.col("pos") + 1 - least).cast("int").alias("level")
+    ))
     repeated = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = checkpointed(placed.join(repeated, "token"))
     cost = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) * (1 + VERIFY_COST / k) for k in SHARED]
     n = F.first("n")
     within = [F.when(n - (n - F.floor((percent * n + 99) / 100)) >= k, F.struct(c.alias("cost"), F.lit(k).alias("k"))) for k, c in zip(SHARED, cost, strict=True)]
     chosen = met.groupBy("id").agg(F.least(*within)["k"].alias("k"))
-    return met.drop("df").join(chosen, "id")
-
+    return checkpointed(met.drop("df").join(chosen, "id"))
 
-def _parted(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """entries with the component found so far (part) of each document."""
-    if parts is None:
-        return entries.withColumn("part", F.col("id"))
-    return entries.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
+def _tried(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a pivot and a class that meets it at hubs often enough.
 
-def _hub_links(docs: DataFrame, entries: DataFrame, width: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links found at hubs and the components they make; (None, None) without hubs.
-
-    Each round a hub's documents are tried against a few of them that lie in other components: those that
-    meet the most others at hubs for their size, as the least changed of many near copies do, with some chance.
-    A pair is met at the hubs where one end is drawn, so half of what similar sets share is enough.
+    Pivots are those that meet the most others at hubs for their size, as the least changed of many near
+    copies do, and at each hub some more by chance. Each class meets at most PIVOTS of them there.
     """
     hubs = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= HUB)
-    at_hubs = checkpointed(entries.join(hubs, "token"))
+    at_hubs = entries.join(hubs, "token")
     central = at_hubs.groupBy("id").agg((F.sum("df") / F.first("n")).alias("central"))
     at_hubs = checkpointed(at_hubs.drop("df").join(central, "id"))
-    links = parts = None
-    if at_hubs.isEmpty():
-        return None, None
-    for turn in range(ROUNDS):
-        placed = _parted(at_hubs, parts)
-        lot = [F.pmod(F.xxhash64(F.lit(PIVOTS * turn + i), "id"), F.lit(1000)) / 1000 for i in range(PIVOTS)]
-        drawn = [F.max(F.struct((F.col("central") * (1 - JITTER * x)).alias("h"), "id", "n", "level", "k", "part")) for x in lot]
-        spread = placed.groupBy("token").agg(F.array_distinct(F.transform(F.array(*drawn), lambda p: p.dropFields("h"))).alias("p"), F.min("part").alias("low"), F.max("part").alias("high"))
-        pivots = spread.where("low <> high").select("token", F.explode("p").alias("p")).select("token", "p.*")
-        met = _side(placed, "b", "part").join(_side(pivots, "a", "part"), "token").where("part_a <> part_b")
-        tried = checkpointed(_candidates(met, percent, 0.5))
-        if tried.isEmpty():
-            break
-        found = _linked(docs, tried, width, percent)
-        links = found if links is None else links.union(found)
-        parts = checkpointed(connected_components(links))
-    return links, parts
-
-
-def _all_links(docs: DataFrame, entries: DataFrame, width: int, percent: int) -> DataFrame:
-    """node, component over the class representatives that have a link."""
-    links, parts = _hub_links(docs, entries, width, percent)
-    placed = _parted(entries, parts)
-    sizes = placed.groupBy("token", "part").count()
-    main = sizes.groupBy("token").agg(F.max(F.struct("count", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = checkpointed(placed.join(main.drop("parts"), "token"))
-    outside = _side(open_.where("part <> main"), "a", "part")
-    every = _side(open_, "b", "part", "main")
-    met = outside.join(every, "token").where("part_a <> part_b AND (part_b = main_b OR a < b)")
+    lot = [F.lit(0), *(F.pmod(F.xxhash64(F.lit(i), "id"), F.lit(1000)) / 1000 for i in range(1, PIVOTS))]
+    drawn = [F.max(F.struct((F.col("central") * (1 - JITTER * x)).alias("h"), "id", "n", "level", "k")) for x in lot]
+    spread = at_hubs.groupBy("token").agg(F.array_distinct(F.transform(F.array(*drawn), lambda p: p.dropFields("h"))).alias("p"))
+    pivots = spread.select("token", F.explode("p").alias("p")).select("token", "p.*")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = _side(at_hubs, "b").join(_side(pivots, "a"), "token").where((F.col("a") != F.col("b")) & near)
+    counted = met.groupBy("a", "b", _least(percent).alias("least")).agg(F.count(F.lit(1)).alias("shared"))
+    return checkpointed(counted.where(F.col("shared") >= TRIED * F.col("least")).select("a", "b"))
+
+
+def _centres(compared: DataFrame) -> DataFrame:
+    """a, b: the pivot a that class b takes as its centre. Pivots only take one that more classes are similar to."""
+    weight = compared.groupBy("a").agg(F.count_if("similar").alias("weight"))
+    of_b = weight.select(F.col("a").alias("b"), F.col("weight").alias("own"))
+    known = compared.join(weight, "a").join(of_b, "b", "left")
+    open_ = known.where(F.col("own").isNull() | (F.struct("own", "b") < F.struct("weight", "a")))
+    near = F.collect_list(F.struct("weight", "a", (F.col("added") + F.col("lacking")).alias("far")))  # no more than PIVOTS times its prefix
+    of = open_.groupBy("b").agg(near.alias("near"), F.min(F.col("added") + F.col("lacking")).alias("least"))
+    return of.select(F.array_max(F.filter("near", lambda x: x["far"] <= NEARLY * F.col("least")))["a"].alias("a"), "b")
+
+
+def _members(docs: DataFrame, classes: DataFrame, entries: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links found at pivots, and id, centre, size (the centre's), n, added, lacking of each class that has a centre."""
+    tried = _tried(entries, percent)
+    sets = _sets_of(docs, _ends(tried, classes), width)
+    compared = _compared(tried, sets, percent)
+    chosen = checkpointed(_centres(compared))
+    differ = _compared(chosen, sets, percent, whole=True).drop("similar")
+    size = classes.select(F.col("id").alias("a"), F.col("n").alias("size"))
+    n = F.col("size") + F.size("added") - F.size("lacking")
+    members = differ.join(size, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), "size", n.alias("n"), "added", "lacking")
+    return compared.where("similar").select("a", "b"), checkpointed(members)
+
+
+def _centre_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one centre and different parts, from their differences."""
+    of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    sizes = of.groupBy("centre", "part").count()
+    main = sizes.groupBy("centre").agg(F.max(F.struct("count", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    of = of.withColumns({"more": F.size("added"), "less": F.size("lacking")})
+    of = checkpointed(of.join(main.drop("parts"), "centre").select("id", "centre", "part", "main", "size", "n", "more", "less", "added", "lacking"))
+    sides = []
+    for s, side in (("a", of.where("part <> main")), ("b", of)):
+        sides.append(side.select("centre", *(F.col(c).alias(f"{c}_{s}") for c in of.columns if c != "centre")))
+    outside, every = sides
+    limit = apart(F.col("n_a") + F.col("n_b"), percent)
+    least = F.ceil((F.col("more_a") + F.col("more_b") + F.abs(F.col("less_a") - F.col("less_b")) - limit) / 2)
+    once = F.expr("part_a <> part_b AND (part_b = main_b OR id_a < id_b)")
+
+    wide = ["lacking_a", "lacking_b", "added_a", "added_b"]
+    met = outside.withColumn("token", F.explode("added_a")).drop(*wide).join(every.withColumn("token", F.explode("added_b")).drop(*wide), ["centre", "token"]).where(once)
+    counted = met.groupBy("id_a", "id_b", limit.alias("limit"), least.alias("least"), (F.col("more_a") + F.col("more_b") + F.col("less_a") + F.col("less_b")).alias("all")).agg(F.count(F.lit(1)).alias("shared"))
+    left = checkpointed(counted.where("shared >= least"))
+    lacking = of.select("id", "lacking")
+    both = left.join(lacking.withColumnsRenamed({"id": "id_a", "lacking": "lacking_a"}), "id_a").join(lacking.withColumnsRenamed({"id": "id_b", "lacking": "lacking_b"}), "id_b")
+    common = F.size(F.array_intersect("lacking_a", "lacking_b"))
+    by_added = both.where(F.col("all") - 2 * F.col("shared") - 2 * common <= F.col("limit")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    # classes that needn't share an added shingle: by steps of what they add and lack
+    step = lambda s: F.greatest(F.lit(1), F.floor(F.col(f"size_{s}") / STEPS))
+    kinds = [
+        side.withColumns({f"add_{s}": F.floor(F.col(f"more_{s}") / step(s)), f"lack_{s}": F.floor(F.col(f"less_{s}") / step(s))})
+        for s, side in (("a", outside), ("b", every))
+    ]
+    kind_a, kind_b = (k.select("centre", f"size_{s}", f"add_{s}", f"lack_{s}").distinct() for s, k in (("a", kinds[0]), ("b", kinds[1])))
+    w, lo = step("a"), {x: F.col(x) * step("a") for x in ("add_a", "add_b", "lack_a", "lack_b")}
+    between = F.greatest(F.lit(0), F.abs(lo["lack_a"] - lo["lack_b"]) - (w - 1))
+    # least <= 0 with n = size + added - lacking; the left side grows with every size, so the least of a step serves
+    may = (
+        2 * percent * (lo["add_a"] + lo["add_b"]) + (100 - percent) * (lo["lack_a"] + lo["lack_b"]) + (100 + percent) * between
+        <= 2 * (100 - percent) * F.col("size_a")
+    )
+    close = kind_a.join(kind_b, "centre").where(may).select("centre", "add_a", "lack_a", "add_b", "lack_b")
+    alike = kinds[0].drop("added_a").join(close, ["centre", "add_a", "lack_a"]).join(kinds[1].drop("added_b"), ["centre", "add_b", "lack_b"])
+    total = F.col("more_a") + F.col("more_b") + F.col("less_a") + F.col("less_b")
+    by_sizes = alike.where(once & (least <= 0) & (total - 2 * common <= limit)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return checkpointed(by_added.union(by_sizes))
+
+
+def _prefix_links(docs: DataFrame, classes: DataFrame, entries: DataFrame, centre: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different centres and parts, by their prefixes."""
+    placed = entries.join(centre, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.select("token", "id", "n", "level", "k", F.coalesce("centre", "id").alias("cell"), F.coalesce("component", "id").alias("part"))
+    sizes = placed.groupBy("token", "cell").agg(F.count(F.lit(1)).alias("count"), F.min("part").alias("low"), F.max("part").alias("high"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("count", "cell"))["cell"].alias("main"), F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).where("cells > 1 AND low <> high")
+    open_ = checkpointed(placed.join(main.select("token", "main"), "token"))
+    outside = _side(open_.where("cell <> main"), "a", "part", "cell")
+    every = _side(open_, "b", "part", "cell", "main")
+    met = outside.join(every, "token").where("part_a <> part_b AND cell_a <> cell_b AND (cell_b = main_b OR a < b)")
     left = checkpointed(_candidates(met, percent))
-    more = _linked(docs, left, width, percent)
-    return checkpointed(connected_components(more if links is None else links.union(more)))
+    sets = _sets_of(docs, _ends(left, classes), width)
+    return _compared(left, sets, percent).where("similar").select("a", "b")
+
+
+def _class_components(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes (id, doc_id, version, ...) and the links between them, both checkpointed."""
+    classes = checkpointed(_classes(sketches))
+    entries = _repeated_entries(docs, classes, width, percent)
+    links, members = _members(docs, classes, entries, width, percent)
+    parts = checkpointed(connected_components(links))
+    centre = members.select("id", "centre")
+    links = links.union(_centre_links(members, parts, percent))
+    links = links.union(_prefix_links(docs, classes, entries, centre, parts, width, percent))
+    return classes, checkpointed(links)
+
+
+def _of_each(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with their component, a number that stands for it."""
+    found = connected_components(links).withColumnRenamed("node", "id")
+    return classes.select("id", "doc_id", "version").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs.
+
+    Two documents link when their sets of distinct `width`-word shingles have a
+    Jaccard similarity of percent / 100 or more; component_id is the smallest
+    doc_id reachable by links, the document's own included. Shingles, and equal sets, compare by
+    64-bit hashes. A text without words, or a null one, has no shingles and links
+    to nothing. Rows that share a doc_id are one document with several texts, so all of them lie in
+    one component. Rows with a null doc_id link as others do; their component_id is
+    null where no row of the component has a doc_id. Other columns are left out; an empty table gives an empty result.
+    """
+    with session_settings(docs.sparkSession, **SETTINGS):
+        sketches = checkpointed(_sketches(docs, width, percent))
+        classes, links = _class_components(docs, sketches, width, percent)
+        texts = sketches.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "id")
+        several = texts.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+        same = texts.join(several, "doc_id").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+        of = checkpointed(_of_each(classes, links.union(same)))
+        least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = of.join(least, "component").select("id", "component_id")
+    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("id")).alias("id"))
+    return rows.join(named, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs but for near-duplicates: of each component the document with the smallest doc_id, once.
+    """The rows of docs but for near-duplicates: of each component of texts one row, that of the smallest doc_id.
 
-    Rows with a null doc_id stay. Columns are those of docs.
+    Links are those of similarity_components, but between texts: of a doc_id with several texts each is kept that
+    no smaller row covers. Of rows alike in doc_id and text one stays, by a hash of its other columns. Texts without words are no
+    duplicates of others, and rows with a null doc_id stay. Columns are those of docs; reruns agree.
     """
-    found = similarity_components(docs, width, percent)
-    first = found.where("component_id = doc_id").select(F.col("doc_id").alias("of")).distinct()
-    d = docs.alias("d")
-    kept = d.join(first, F.col("d.doc_id") == F.col("of")).select("d.*")
-    once = kept.dropDuplicates(["doc_id"])
+    with session_settings(docs.sparkSession, **SETTINGS):
+        sketches = checkpointed(_sketches(docs, width, percent))
+        classes, links = _class_components(docs, sketches, width, percent)
+        of = checkpointed(_of_each(classes, links)).where("doc_id IS NOT NULL")
+        first = of.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("f")).select("f.*")
+        bare = sketches.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "version").distinct()
+        keep = checkpointed(first.union(bare))
+    version, turn = free_name(docs, "version"), free_name(docs, "turn")
+    d = docs.withColumn(version, F.xxhash64("text")).alias("d")
+    k = keep.alias("k")
+    kept = d.join(k, (F.col("d.doc_id").cast("long") == F.col("k.doc_id")) & (F.col(f"d.{version}") == F.col("k.version")), "left_semi")
+    alike = Window.partitionBy("doc_id", version).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    once = kept.withColumn(turn, F.row_number().over(alike)).where(F.col(turn) == 1).drop(turn, version)
     return once.unionByName(docs.where("doc_id IS NULL"))

@@ -26,7 +26,7 @@ cut: a pair that shares enough shingles is either decided or within a component
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,13 +108,13 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(sketch, SKETCH)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, shingles (as bytes) of the classes in wanted: id, doc_id (one of its documents), version of its text.
+def _wanted(docs: DataFrame, classes: DataFrame, width: int, make: Callable[[np.ndarray], np.ndarray], column: str, kind: str) -> DataFrame:
+    """id, n and make(set) of the given classes: id, doc_id (one of its documents), version (of its text).
 
-    A filter of fixed size spares most other texts the hashing.
+    Texts are read and hashed again, so sets are never kept for all documents; a filter of fixed size spares most other texts the hashing.
     """
     bit = F.pmod(F.xxhash64("doc_id", "version"), F.lit(1 << FILTER_BITS))
-    places = wanted.select((bit + 1).alias("bit"))  # Spark's bitmaps count from 1
+    places = classes.select((bit + 1).alias("bit"))  # Spark's bitmaps count from 1
     maps = places.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     there = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for part, found in maps.collect():  # 4 KB for each 32768 bits
@@ -127,12 +127,19 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((filled[at // 8] >> (at % 8)) & 1 == 1))
             sets = list(shingle_sets(batch.column("text"), width))
-            ids = pa.array([digest_of(u) for u in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([u.tobytes() for u in sets], pa.binary())], names=["id", "shingles"])
+            made = [make(u) for u in sets]
+            made = _lists(made) if kind == "array<long>" else pa.array([x.tobytes() for x in made], pa.binary())
+            ids, n = pa.array([digest_of(u) for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, n, made], names=["id", "n", column])
 
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).select("text", bit.alias("bit"))
-    sets = named.mapInArrow(hashed, "id long, shingles binary").join(wanted.select("id"), "id", "left_semi")
-    return checkpointed(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
+    found = named.mapInArrow(hashed, f"id long, n long, {column} {kind}").join(classes.select("id"), "id", "left_semi")
+    return checkpointed(found.groupBy("id").agg(F.first("n").alias("n"), F.first(column).alias(column)))
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """id, shingles (as bytes) of the given classes."""
+    return _wanted(docs, classes, width, lambda u: u, "shingles", "binary").drop("n")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool = False) -> DataFrame:
@@ -216,25 +223,17 @@ def _repeated_entries(docs: DataFrame, classes: DataFrame, width: int, percent:
     def touched(prefixes: pd.Series) -> pd.Series:
         return pd.Series([bool(often_in(p.view(np.uint64)).any()) for p in prefixes], dtype=bool)
 
-    @F.pandas_udf("array<long>")
-    def ordered(sets: pd.Series) -> pd.Series:
-        out = []
-        for p in sets:
-            u = np.frombuffer(p, np.uint64)
-            late = often_in(u)
-            out.append(_prefix(np.concatenate([u[~late], u[late]]), percent).view(np.int64))
-        return pd.Series(out, dtype=object)
+    def late(u: np.ndarray) -> np.ndarray:
+        often = often_in(u)
+        return _prefix(np.concatenate([u[~often], u[often]]), percent)
 
     # a prefix without frequent shingles stays as it is when these come last
-    marked = checkpointed(classes.withColumn("late", touched("tokens")))
-    again = marked.where("late")
-    sets = _sets_of(docs, again, width)
-    moved = again.select("id", "n").join(sets, "id").select("id", "n", ordered("shingles").alias("tokens"))
-    own = marked.where("NOT late").select("id", "n", "tokens").union(moved)
+    moved = _wanted(docs, classes.where(touched("tokens")), width, late, "tokens", "array<long>")
+    own = classes.where(~touched("tokens")).select("id", "n", "tokens").union(moved)
     least = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
-    placed = checkpointed(own.select("id", "n", F.posexplode("tokens").alias("pos", "token")).select(
+    placed = own.select("id", "n", F.posexplode("tokens").alias("pos", "token")).select(
         "token", "id", F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), F.col("pos") + 1 - least).cast("int").alias("level")
-    ))
+    )
     repeated = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = checkpointed(placed.join(repeated, "token"))
     cost = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)) * (1 + VERIFY_COST / k) for k in SHARED]

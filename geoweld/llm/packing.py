@@ -4,22 +4,30 @@ A bin is filled greedily: the longest piece that still fits, again and again.
 Then its smallest piece is taken out if two unpacked pieces fill the widened gap
 better than it did. Each task packs the pieces of its own split and keeps counts by length
 rather than lists to search, so a step costs the sequence's length, not
-the number of pieces. Only a task's last bin or so stays open, so splits of thousands of
-pieces lose next to nothing against one heap.
+the number of pieces. Bins that stay open, mostly a task's last ones, are taken apart and their pieces
+(numbers only, no texts) packed once more in fewer tasks, until one task packs what is left. So the number
+of sequences hardly depends on how the table is split.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from geoweld.llm.common import checkpointed
 from geoweld.llm.tokens import encoder, public_tokenizer
 
+#: A bin with a gap of more than this part of its room is open.
+OPEN_PART = 32
+#: Pieces of open bins that a task packs again (5 MB), and the least part of their bins that another round must save.
+REST_PIECES, LEAST_SAVED = 100_000, 0.001
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -84,6 +92,22 @@ def two_that_fit(count: np.ndarray, room: int, above: int) -> list[int] | None:
     return sorted((int(there[k]), int(partner[k])), reverse=True)
 
 
+def _placed(lengths: np.ndarray, room: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each piece's sequence (numbered from first) and offset, and whether the sequence is open."""
+    sequence, offset, is_open = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+    for number, members in enumerate(best_two_fit(lengths, room)):
+        sequence[members] = first + number
+        ends = np.cumsum(lengths[members])
+        offset[members] = ends - lengths[members]
+        is_open[members] = OPEN_PART * (room - ends[-1]) > room
+    return sequence, offset, is_open
+
+
+def _first(turn: int) -> int:
+    """The first sequence number of this task in a round."""
+    return (turn << 56) + (TaskContext.get().partitionId() << 34)
+
+
 def packed_documents(docs: DataFrame, room: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
     """Every document's ids and end_id in pieces of at most room ids, with a sequence and a place in it for each piece.
 
@@ -91,7 +115,7 @@ def packed_documents(docs: DataFrame, room: int = 2048, end_id: int = 0, path: s
     ids_crc32 (over little-endian uint32), sequence_id, offset. Only documents
     longer than room are cut, all pieces but the last being full. A null text counts
     as empty: its piece holds end_id. Rows that repeat are packed each time; a
-    null doc_id stays null. sequence_id tells the task, so numbers leave gaps. Other columns
+    null doc_id stays null. sequence_id tells round and task, so numbers leave gaps. Other columns
     are left out; an empty table gives an empty result.
     """
 
@@ -110,13 +134,35 @@ def packed_documents(docs: DataFrame, room: int = 2048, end_id: int = 0, path: s
         if not made:
             return
         rows = np.concatenate(made)
-        first = TaskContext.get().partitionId() << 40
-        lengths = rows[:, 3]
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for number, members in enumerate(best_two_fit(lengths, room)):
-            sequence[members] = first + number
-            offset[members] = np.cumsum(lengths[members]) - lengths[members]
-        columns = [pa.concat_arrays(keys), pa.array(rows[:, 1], pa.int32()), *(pa.array(x) for x in (rows[:, 2], lengths, rows[:, 4], sequence, offset))]
-        yield from pa.table(columns, names=[x.split()[0] for x in PACKED.split(", ")]).to_batches(max_chunksize=1 << 16)
-
-    return docs.select("doc_id", "text").mapInArrow(pack, PACKED)
+        columns = [pa.concat_arrays(keys), pa.array(rows[:, 1], pa.int32()), *(pa.array(x) for x in (*rows[:, 2:].T, *_placed(rows[:, 3], room, _first(0))))]
+        yield from pa.table(columns, names=names).to_batches(max_chunksize=1 << 16)
+
+    def again(turn: int):
+        def pack_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if some := list(batches):
+                rows = pa.Table.from_batches(some)
+                for name, x in zip(names[-3:], _placed(rows.column("length").to_numpy(), room, _first(turn)), strict=True):
+                    rows = rows.set_column(names.index(name), name, pa.array(x))
+                yield from rows.to_batches(max_chunksize=1 << 16)
+
+        return pack_rest
+
+    kind = f"{PACKED}, open boolean"
+    names = [x.split()[0] for x in kind.split(", ")]
+    packed = checkpointed(docs.select("doc_id", "text").mapInArrow(pack, kind))
+    done, turn, tasks = [], 0, packed.select(F.shiftright("sequence_id", 34)).distinct().count()
+    while tasks > 1:
+        pieces, bins = _rest(packed)
+        done.append(packed.where("NOT open"))
+        turn, tasks = turn + 1, min(-(-pieces // REST_PIECES), tasks // 2)
+        packed = checkpointed(packed.where("open").repartition(max(1, tasks)).mapInArrow(again(turn), kind))
+        if packed.select("sequence_id").distinct().count() > (1 - LEAST_SAVED) * bins:
+            break
+    done.append(packed)
+    return reduce(DataFrame.union, done).drop("open")
+
+
+def _rest(packed: DataFrame) -> tuple[int, int]:
+    """Pieces and bins that are open."""
+    open_ = packed.where("open")
+    return open_.count(), open_.select("sequence_id").distinct().count()

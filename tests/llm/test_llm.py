@@ -394,6 +394,21 @@ def test_packing_covers_every_piece(spark, tokenizer):
     assert packing.packed_documents(documents(spark, [""]).limit(0)).count() == 0
 
 
+def test_packing_hardly_depends_on_the_split(spark, tokenizer):
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randrange(1, 700)) for _ in range(500)]
+    docs = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 50 > 0, F.col("doc_id")))
+    total = sum(len(x.ids) + 1 for x in tokenizer.encode_batch(texts, add_special_tokens=False))
+    for parts in (1, 8, 64):
+        got = packing.packed_documents(docs.repartition(parts)).collect()
+        assert sum(r.length for r in got) == total and sum(r.doc_id is None for r in got) >= 10
+        of = {}
+        for r in got:
+            of.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(a + n == b for x in of.values() for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:], strict=False))
+        assert len(of) <= 1.01 * -(-total // 2048) + 1
+
+
 def test_two_for_one():
     lengths = np.array([6, 5, 4, 4, 1], np.int64)
     bins = packing.best_two_fit(lengths, 10)
@@ -444,3 +459,24 @@ def test_quality_figures_and_cascade(spark):
     costs = quality_rules.rule_costs(docs, sample_rows=50)
     assert [c.rank for c in costs] == sorted((c.rank for c in costs), reverse=True) and len(costs) == len(quality_rules.RULES)
     assert quality_rules.judged(docs.limit(0)).count() == 0
+    assert quality_rules.keep_good(docs.limit(0)).count() == 0
+
+
+def test_quality_cascade_rejects_beyond_the_base(spark):
+    rng = random.Random(11)
+    clean = [f"{prose(rng, 60)}.\n{prose(rng, 60)}." for _ in range(6)]
+    bad = [
+        " ".join(w + "***" for w in prose(rng, 80).split()), prose(rng, 80).upper(), " | ".join(prose(rng, 60).split()), " ".join(str(rng.random()) for _ in range(60)),
+        *("\n".join(f"{start}{prose(rng, 8)}{end}" for _ in range(8)) for start, end in (("", ""), ("", "..."), ("- ", "."))),
+        " ".join("x" * rng.randrange(50, 90) + str(i) for i in range(40)),
+    ]
+    texts = clean + bad + ["w " * 9 + "\n" + t for t in clean] + [None, "", " ".join(clean * 80)]
+    docs = documents(spark, texts)
+    docs = docs.union(docs.where("doc_id = 0"))
+    got = sorted((r.doc_id, r.base_failed, r.kept) for r in quality_rules.judged(docs, sample_rows=20).collect())
+    n = len(clean)
+    assert [x for x in got if x[0] < n] == [(0, False, True)] + [(i, False, True) for i in range(n)]
+    assert [x for x in got if n <= x[0] < n + len(bad)] == [(n + i, False, False) for i in range(len(bad))]
+    assert all(x[1] != x[2] for x in got if x[0] >= n + len(bad))
+    alone = {r.name: quality_rules.keep_good(docs, [r], sample_rows=20).count() for r in quality_rules.RULES}
+    assert all(k < docs.count() for name, k in alone.items() if name not in ("repeated_lines",))

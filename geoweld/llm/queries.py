@@ -191,12 +191,19 @@ f AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+         len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x) AND length(x) >= 2)) AS n_capital_words,
+         len(list_filter(words, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words,
+         len(list_filter(lines, lambda x: regexp_matches(x, '{quality_rules.ENDED.replace("'", "''")}'))) AS n_ended_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_trailing_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
   FROM w LEFT JOIN covered c USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (2 * n_symbols > word_chars OR word_chars NOT BETWEEN 1.5 * n_words AND 40 * n_words
-                                OR 10 * n_dup_lines > 8 * n_lines) AS kept
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * n_capital_words > 4 * n_words OR 10 * n_letter_words < 8 * n_words
+                                OR word_chars NOT BETWEEN 1.5 * n_words AND 40 * n_words OR 10 * n_dup_lines > 8 * n_lines
+                                OR n_lines >= 5 AND (10 * n_ended_lines < n_lines OR 10 * n_trailing_lines > 3 * n_lines
+                                                     OR 10 * n_bullet_lines > 9 * n_lines)) AS kept
 FROM b
 """
 

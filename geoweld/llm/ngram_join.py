@@ -11,7 +11,7 @@ Prefixes can't tell apart the members of a large group of near copies, as all of
 hold its common shingles. At shingles that many classes share, a few central ones are
 therefore drawn as pivots, and each class there is compared with them once: those
 within the threshold are linked, and each class keeps the pivot it is close to as its centre
-together with its difference from it, the shingles it adds and those it lacks. Between two
+together with its difference from the centre's consensus, the shingles it adds and those it lacks. Between two
 classes of one centre the distance follows from the differences alone, so they
 never meet in the prefix join. They are joined by the shingles that they add, which are few
 and rare: classes x and y at most L apart share at least
@@ -287,6 +287,35 @@ def _members(docs: DataFrame, classes: DataFrame, entries: DataFrame, width: int
     return compared.where("similar").select("a", "b"), checkpointed(members)
 
 
+def _refined(members: DataFrame) -> DataFrame:
+    """members with differences from the centre's consensus: what most of its members hold.
+
+    A pivot has changes of its own, which all others would seem to lack or add alike.
+    Most members have no more than twice the average difference in common, so a centre's list is short.
+    """
+    each = members.select("centre", F.explode("added").alias("token"), F.lit(True).alias("more")).union(members.select("centre", F.explode("lacking"), F.lit(False)))
+    counts = each.groupBy("centre", "token", "more").count().join(members.groupBy("centre").agg(F.count(F.lit(1)).alias("of")), "centre").where("2 * count > of")
+    none = F.array().cast("array<long>")
+    of = counts.groupBy("centre").agg(F.collect_list(F.when(F.col("more"), F.col("token"))).alias("more"), F.collect_list(F.when(~F.col("more"), F.col("token"))).alias("fewer"))
+    known = members.join(of, "centre", "left").withColumns({x: F.coalesce(x, none) for x in ("more", "fewer")})
+    return checkpointed(known.select(
+        "id", "centre", (F.col("size") + F.size("more") - F.size("fewer")).alias("size"), "n",
+        F.concat(F.array_except("added", "more"), F.array_except("fewer", "lacking")).alias("added"),
+        F.concat(F.array_except("lacking", "fewer"), F.array_except("more", "added")).alias("lacking"),
+    ))
+
+
+def _to_nearest(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each centre's least different member a with the others."""
+    far = F.size("added") + F.size("lacking")
+    least = members.groupBy("centre").agg(F.min(F.struct(far, F.col("id"))).alias("least")).select("centre", F.col("least.id").alias("a"))
+    of = members.withColumnsRenamed({"id": "a", "n": "n_a", "added": "added_a", "lacking": "lacking_a"}).drop("size").join(least, ["centre", "a"])
+    both = members.join(of, "centre").where("a <> id")
+    common = F.size(F.array_intersect("added", "added_a")) + F.size(F.array_intersect("lacking", "lacking_a"))
+    apart_by = far + F.size("added_a") + F.size("lacking_a") - 2 * common
+    return checkpointed(both.where(apart_by <= apart(F.col("n") + F.col("n_a"), percent)).select("a", F.col("id").alias("b")))
+
+
 def _centre_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of one centre and different parts, from their differences."""
     of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
@@ -352,6 +381,8 @@ def _class_components(docs: DataFrame, sketches: DataFrame, width: int, percent:
     classes = checkpointed(_classes(sketches))
     entries = _repeated_entries(docs, classes, width, percent)
     links, members = _members(docs, classes, entries, width, percent)
+    members = _refined(members)
+    links = links.union(_to_nearest(members, percent))
     parts = checkpointed(connected_components(links))
     centre = members.select("id", "centre")
     links = links.union(_centre_links(members, parts, percent))

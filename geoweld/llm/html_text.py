@@ -16,7 +16,7 @@ The elements of valid classes bound the template's slots: a block of text is in
 the slot of the lowest one around it. Slots whose own text is links over the whole
 host are menus, the texts of valid once-a-page classes are fixed wording, and
 the remaining slots hold the main text. An author's own mark of the main part
-(article, main) or of what isn't (nav, footer, a class like "sidebar") goes
+(article, main), if it holds half of what remains, or of what isn't (nav, footer, a class like "sidebar") goes
 before the deduced template. Hosts with one page have no template and go by marks alone.
 """
 
@@ -38,15 +38,17 @@ from pyspark.sql import functions as F
 
 from geoweld.llm.common import checkpointed, free_name
 
-#: Elements without an end tag, elements whose content is not text, elements that bound a block. Fixed by the HTML standard.
+#: Elements without an end tag, elements whose content is not text (the first take in all up to their end tag, and the
+#: rest of a page that has none), elements that bound a block. Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title svg math iframe object select canvas audio video"
+RAW = "script style textarea title"
+EMBEDDED = "noscript template svg math iframe object select canvas audio video"
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: What a label says of a slot.
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset("article articlebody main maincontent".split())
-SKIP_TAGS = frozenset("nav footer aside form menu dialog button head label fieldset search".split())
+SKIP_TAGS = frozenset(f"nav footer aside form menu dialog button head fieldset search {EMBEDDED}".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adbox sponsor sponsored promo promotion banner breadcrumb breadcrumbs "
     "comment comments commentlist disqus replies respond consent cookie cookies gdpr footer copyright form login signup "
@@ -55,9 +57,13 @@ SKIP_WORDS = frozenset(
     "toolbar topbar widget widgets contentinfo complementary".split()
 )
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
+#: Words by which a class name only says what a part has beside it, or how it stands.
+ABOUT = frozenset("has have with without no not is open closed on off enabled disabled hidden free".split())
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})(?![\w:-]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<embedded>{'|'.join(EMBEDDED.split())})(?![\w:-]){ATTRIBUTES}(?<!/)>.*?</(?P=embedded)\s*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRIBUTES})>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
@@ -68,11 +74,13 @@ NUMBER = re.compile(r"\d+")
 #: A token of a page: how often it stands there, and the element a text is in (0 for none, and for elements).
 TOKENS = "host string, page long, token long, n long, parent long, text boolean"
 #: A page's elements and texts in order: the index of the element around each, or -1, a text's code points, or -1, and those in links.
-SEQUENCE = "host string, tokens array<long>, around array<int>, chars array<int>, links array<int>, flags array<int>"
+SEQUENCE = "host string, page long, tokens array<long>, around array<int>, chars array<int>, links array<int>, flags array<int>"
 #: What a page tells of a class (kind 0: order, nesting and article) or of a slot (kind 1: the slot around it and its own text).
 FACTS = "host string, kind int, id long, shape long, article long, chars long, link_chars long, kept boolean"
 MEMBER = "struct<token: long, text: boolean, parent: long, n: long, class: long>"
 MAIN, SKIP, TOP = 1, 2, 4
+#: Bytes of templates that are sent to every executor rather than joined by a shuffle of whole pages.
+SENT_BYTES = 32 << 20
 
 
 @dataclass
@@ -103,10 +111,18 @@ def _node(parent: Node | None, tag: str, attrs: str) -> Node:
     # ids often number the page's items, classes name its parts
     names = [NUMBER.sub("", b or c or d) if k.lower() == "id" else b or c or d for k, b, c, d in ATTRIBUTE.findall(attrs)] if attrs else []
     path = f"{parent.path if parent else ''}/{tag}{''.join('.' + x for x in names)}"
-    words = {w.lower() for x in names for w in WORDS.findall(x)} | {re.sub("[-_ ]", "", x).lower() for x in names}
-    main = bool(parent and parent.main) or tag in MAIN_TAGS or bool(words & MAIN_WORDS)
-    header = (tag == "header" or bool(words & HEADER_WORDS)) and not main
-    skip = bool(parent and parent.skip) or tag in SKIP_TAGS or header or (tag not in ("html", "body") and bool(words & SKIP_WORDS))
+    whole, pieces = set(), set()
+    for name in (x.lower() for n in names for x in n.split()):
+        own = WORDS.findall(name)
+        whole.add("".join(own))
+        if not ABOUT.intersection(own):
+            pieces.update(own, ("".join(own),))
+    is_main = tag in MAIN_TAGS or bool(pieces & MAIN_WORDS)
+    main = bool(parent and parent.main) or is_main
+    header = (tag == "header" or bool(pieces & HEADER_WORDS)) and not main
+    # a main part is only skipped by a name that is such a word as a whole
+    named = tag not in ("html", "body") and bool((whole if is_main else pieces) & SKIP_WORDS)
+    skip = bool(parent and parent.skip) or tag in SKIP_TAGS or header or named
     return Node(tag, _hash(path), path, skip, main, parent)
 
 
@@ -181,7 +197,7 @@ def _text_token(block: Block, text: str) -> int:
 
 
 def page_sequence(source: str) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
-    """The columns of SEQUENCE but host."""
+    """The columns of SEQUENCE but host and page."""
     nodes, blocks = parse(source)
     tokens, around, chars, links, flags = columns = ([], [], [], [], [])
     at: dict[int, int] = {}
@@ -305,9 +321,11 @@ def main_text(source: str, template: Template) -> str:
         is_main = bool(inner and inner.main)
         if is_main or not template.is_menu(b, len(text), token):
             found.append((is_main, token in template.fixed, text))
-    if any(is_main for is_main, _, _ in found):
-        return "\n\n".join(t for is_main, _, t in found if is_main)
-    free = [t for _, is_fixed, t in found if not is_fixed]
+    marked = [t for is_main, _, t in found if is_main]
+    free = [t for is_main, is_fixed, t in found if not is_fixed and not is_main]
+    if marked and sum(map(len, marked)) >= sum(map(len, free)):
+        return "\n\n".join(marked)
+    # what is marked is the lesser part, as a teaser is beside the story
     return "\n\n".join(free or [t for _, _, t in found])
 
 
@@ -321,6 +339,12 @@ def _frames(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(some, columns=names)
 
 
+def sent(of_hosts: DataFrame, column: str) -> DataFrame:
+    """of_hosts, which is checkpointed, to be broadcast if its texts have at most SENT_BYTES; beyond, a join shuffles, and Spark may split a hot host."""
+    size = of_hosts.agg(F.sum(F.octet_length(column) + F.octet_length("host") + 32)).first()[0] or 0
+    return F.broadcast(of_hosts) if size <= SENT_BYTES else of_hosts
+
+
 def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9) -> DataFrame:
     """host, template: for each host with a template the elements and fixed wording of its classes.
 
@@ -328,20 +352,20 @@ def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9
     classes, so a row is no longer than a page or two.
     """
 
+    def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(((h, p, *page_sequence(x or "")) for pdf in batches for h, p, x in zip(pdf["host"], pdf["page"], pdf["source"], strict=True)), SEQUENCE)
+
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for pdf in batches:
-                for host, page, source in zip(pdf["host"], pdf["page"], pdf["source"], strict=True):
-                    found, around, chars, _, _ = page_sequence(source or "")
+                for host, page, *lists in zip(*(pdf[c] for c in ("host", "page", "tokens", "around", "chars")), strict=True):
+                    found, around, chars = (x.tolist() for x in lists)
                     parent = {t: found[i] if i >= 0 else 0 for t, i, n in zip(found, around, chars, strict=True) if n >= 0}
                     for token, n in Counter(found).items():
                         yield host, page, token, n, parent.get(token, 0), token in parent
 
         yield from _frames(rows(), TOKENS)
 
-    def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(((h, *page_sequence(x or "")) for pdf in batches for h, x in zip(pdf["host"], pdf["source"], strict=True)), SEQUENCE)
-
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             known: dict[str, Members] = {}
@@ -358,7 +382,8 @@ def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9
 
     # each row is a page of its own in the digest, or rows that repeat would cancel out
     page = F.xxhash64("page_id", "source", F.monotonically_increasing_id()).alias("page")
-    each = pages.select("host", page, "source").mapInPandas(tokens, TOKENS)
+    parsed = checkpointed(pages.select("host", page, "source").mapInPandas(sequences, SEQUENCE))
+    each = parsed.mapInPandas(tokens, TOKENS)
     seen = each.groupBy("host", "token", "text").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("page", "n")).alias("digest"), F.first("parent").alias("parent")
     ).where("pages > 1")
@@ -371,7 +396,7 @@ def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9
     of_class = F.struct("token", "text", "parent", "n", "class").cast(MEMBER)
     members = checkpointed(member.groupBy("host").agg(F.to_json(F.collect_list(of_class)).alias("members")))
 
-    told = pages.select("host", "source").mapInPandas(sequences, SEQUENCE).join(members, "host").mapInPandas(facts, FACTS)
+    told = parsed.join(sent(members, "members"), "host").mapInPandas(facts, FACTS)
     article = told.groupBy("host", "kind", "id", "shape", "article").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.max("kept").alias("kept")
     )
@@ -405,9 +430,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     host, template = free_name(pages, "host_of_page"), free_name(pages, "template_of_host")
     named = pages.withColumn(host, host_of(F.col("url")))
-    # kept apart so that the join shuffles both sides and Spark may split a host with most of the pages
     found = checkpointed(templates(named.select(F.col(host).alias("host"), "page_id", F.col("html").alias("source"))))
-    of_host = found.select(F.col("host").alias(host), F.col("template").alias(template))
+    of_host = sent(found, "template").select(F.col("host").alias(host), F.col("template").alias(template))
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:

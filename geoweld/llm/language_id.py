@@ -113,23 +113,25 @@ def sgd(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: in
     return embed @ layer, bias
 
 
-def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800, max_labels: int = 256, buckets: int = 1 << 14, dim: int = 16, epochs: int = 12, rate: float = 0.5, refuse: float = 0.001, seed: int = 5) -> Model:
-    """Fit on about per_label rows of each of the max_labels commonest labels, among the usable rows.
+def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800, max_labels: int = 256, most_rows: int = 4096, buckets: int = 1 << 14, dim: int = 16, epochs: int = 12, rate: float = 0.5, refuse: float = 0.001, seed: int = 5) -> Model:
+    """Fit on about per_label rows of each of the max_labels commonest labels, and most_rows of them all, among the usable rows.
 
-    The bound on the sample is per_label * max_labels rows; they are chosen by a
-    hash of the key, so reruns choose alike. Rows with a null label or key, or a text without letters, are not
+    So the sample has about most_rows rows at most, each of no more than 6 bytes a bucket (400 MB if all texts fill
+    all buckets; some 6 KB a row is usual); they are chosen by a
+    hash of the key, of whatever type, so reruns choose alike. Rows with a null label or key, or a text without letters, are not
     learnt from. Without any such row the model knows no label and predicts
     UNKNOWN throughout. refuse is the share of correctly told texts
     that the rejection bound may cost.
     """
     rows = docs.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")
+        F.xxhash64(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")
     )
     sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
     labels = tuple(sorted(r["label"] for r in sizes))
     if not labels:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, per_label / r["count"])))))
+    of_each = min(per_label, most_rows // len(labels))
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, of_each / r["count"])))))
     draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.where(draw < share[F.col("label")])
 
@@ -139,12 +141,12 @@ def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lan
             for k, name, t in zip(pdf["key"], pdf["label"], pdf["text"], strict=True):
                 found, n = np.unique(ngrams(lowered(t), buckets)[0], return_counts=True)
                 if has_letter(t) and len(found):
-                    out.append((int(k), name, found.astype("<i4").tobytes(), (n / n.sum()).astype("<f4").tobytes()))
+                    out.append((k, name, found.astype("<u2").tobytes(), (n / n.sum()).astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["key", "label", "buckets", "shares"])
 
     found = sample.mapInPandas(count, "key long, label string, buckets binary, shares binary").toPandas()
-    found = found.sort_values("key", ignore_index=True)
-    counts = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for a, b in zip(found["buckets"], found["shares"], strict=True)]
+    found = found.sort_values(["key", "label", "buckets"], ignore_index=True)
+    counts = [(np.frombuffer(a, "<u2").astype(np.int32), np.frombuffer(b, "<f4")) for a, b in zip(found["buckets"], found["shares"], strict=True)]
     y = found["label"].map({k: i for i, k in enumerate(labels)}).to_numpy(np.int64)
     aside = np.random.default_rng(seed).random(len(y)) < 0.2 if len(y) >= 50 else np.zeros(len(y), bool)
     fit = np.flatnonzero(~aside)
@@ -238,8 +240,14 @@ def not_held_out(key: str = "doc_id") -> Column:
 
 
 def keep_told(docs: DataFrame, **params) -> DataFrame:
-    """The rows whose language is told with confidence, with the columns of docs. The model learns from docs."""
+    """The rows whose language is told with confidence, with the columns of docs. The model learns from docs.
+
+    Where docs has no row to learn from, nothing can be told and all rows stay. A null text, or one
+    without letters, goes otherwise; rows that repeat share their fate.
+    """
     row = F.struct(*docs.columns)
     model = train(docs, not_held_out(), **params)
+    if not model.labels:
+        return docs
     one = docs.select(row.alias("row"), "text")
     return predicted(one, model).where(~F.col("rejected")).select("row.*")

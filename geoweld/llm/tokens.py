@@ -37,6 +37,8 @@ MARKED = r"^(?P<stem>(?s:.)*[a-z])(?P<marks>[.,;:!?)|\]\"']+)$"
 TEXT_BYTES = 4 << 20
 #: Bytes of ids at which a shard closes.
 SHARD_BYTES = 1 << 20
+#: Bytes of texts in a range of keys, and the number of ranges from which they grow.
+LEAST_RANGE, MOST_RANGE, MANY_RANGES = 12 << 20, 512 << 20, 10_000
 #: Texts that a task is handed at once while shards are written; a few hundred long ones are some MB.
 BATCH_ROWS = "500"
 
@@ -272,7 +274,7 @@ class Shard:
         return None if number < 0 else self.ids[slice(*self.span(number))]
 
 
-def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES, partition_bytes: int = 12 << 20) -> DataFrame:
+def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows of SHARD over the documents in ascending doc_id order (null first), with end_id after each document.
 
     A null text gives the end id alone. A shard closes once its ids reach
@@ -301,11 +303,16 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
             yield rows_of([pack_shard(shard_id + 1, keys, ids)])
 
     size = input_bytes(docs)
-    parts = [] if size is None else [max(1, -(-size // partition_bytes))]
+    parts = [] if size is None else [partitions_for(size)]
     dealt = docs.select("doc_id", "text").repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(build, SHARD)
 
 
+def partitions_for(size: int) -> int:
+    """Ranges for so many bytes: of LEAST_RANGE until there are MANY_RANGES, then of more, up to MOST_RANGE (200,000 of them at 100 TB)."""
+    return max(1, -(-size // min(MOST_RANGE, max(LEAST_RANGE, size // MANY_RANGES))))
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the plan's input as Spark estimates them from the files; None where it can't."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -355,10 +362,20 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def fetch(shards: DataFrame, keys: list[int]) -> DataFrame:
-    """key, ids of the documents with these keys. Only shards whose range holds one of the keys are read."""
+    """key, ids of the documents with these keys, which the driver holds; no rows if there are none.
+
+    The shards' key ranges, three small columns, tell which of them to read: no more than hold an asked key. Their
+    ids are pushed down to the files, and in each the index gives a key's place in one probe. Of documents
+    that share a key the first in a shard is given; keys that aren't there, and null ones, give no row.
+    """
+    asked = np.unique(np.array([k for k in keys if k is not None], np.int64))
+
+    @F.pandas_udf("boolean")
+    def holds(first: pd.Series, last: pd.Series) -> pd.Series:
+        low, high = (x.fillna(y).to_numpy(np.int64) for x, y in ((first, 1), (last, 0)))
+        return pd.Series(np.searchsorted(asked, high, "right") > np.searchsorted(asked, low, "left"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = np.array(keys, np.int64)
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 shard = Shard(row)
@@ -366,7 +383,6 @@ def fetch(shards: DataFrame, keys: list[int]) -> DataFrame:
                 found = [(int(k), shard.ids[slice(*shard.span(int(i)))].tolist()) for k, i in zip(near, shard.numbers(near), strict=True) if i >= 0]
                 yield pd.DataFrame(found, columns=["key", "ids"])
 
-    in_range = F.lit(False)
-    for k in keys:
-        in_range = in_range | F.lit(k).between(F.col("first_key"), F.col("last_key"))
-    return shards.where(in_range).mapInPandas(read, "key long, ids array<long>")
+    near = shards.select("shard_id", "first_key", "last_key").where(holds("first_key", "last_key")).select("shard_id")
+    wanted = [r[0] for r in near.collect()] if len(asked) else []  # of a key, the shards that its documents lie in
+    return shards.where(F.col("shard_id").isin(wanted)).mapInPandas(read, "key long, ids array<long>")

@@ -175,6 +175,26 @@ def test_html_keeps_articles_beside_long_menus_and_of_near_copies(spark):
     assert texts_of_pages(spark, map(frame, stories)) == ["\n\n".join(s) for s in stories]
 
 
+@pytest.mark.parametrize("body", [
+    '<article class="post comments-open"><p>Real</p></article>', '<article class="post has-sidebar"><p>Real</p></article>', '<div class="content with-sidebar"><p>Real</p></div>',
+    '<article id="research-notice-12"><p>Real</p></article>', '<svg class="i"/><p>Real</p>', "<video-player></video-player><p>Real</p>", "<title-bar></title-bar><p>Real</p>",
+    '<div><object data="x"><p>gone</p></div><p>Real</p>', '<p><label>Real</label></p><form><label>gone</label></form>', '<article class="teaser"><p>a</p></article><div><p>Real</p></div>',
+    '<section class="comments"><article><p>gone</p></article></section><article><p>Real</p></article>', "<svg><text>gone</text></svg><iframe/><p>Real</p>", '<div class="site-footer">gone</div>Real',
+])
+def test_html_loses_no_text(body):
+    assert html_text.main_text(f"<html><body>{body}</body></html>", html_text.Template([])) == "Real"
+
+
+def test_html_odd_pages(spark, monkeypatch):
+    long = "<p>" + "</p><p>".join(f"line {i} of it" for i in range(30000)) + "</p>"
+    bodies = [f"<div class='x2'>Always the same words</div><div class='x3'><p>Own words {i}</p></div>" for i in range(8)]
+    once = texts_of_pages(spark, [*bodies, long])
+    assert once[:8] == [f"Own words {i}" for i in range(8)] and once[8] == "\n\n".join(f"line {i} of it" for i in range(30000))
+    monkeypatch.setattr(html_text, "SENT_BYTES", 0)  # by a shuffle
+    assert texts_of_pages(spark, [*bodies, long]) == once
+    assert texts_of_pages(spark, bodies[:1] * 5) == ["Always the same words\n\nOwn words 0"] * 5  # copies alone make no template
+
+
 # --- 4 n-gram join ----------------------------------------------------------------------------------
 
 

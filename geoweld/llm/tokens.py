@@ -274,12 +274,12 @@ class Shard:
         return None if number < 0 else self.ids[slice(*self.span(number))]
 
 
-def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None = 1, shard_bytes: int = SHARD_BYTES, partition_bytes: int | None = None) -> DataFrame:
     """Rows of SHARD over the documents in ascending doc_id order (null first), with end_id after each document.
 
     A null text gives the end id alone. A shard closes once its ids reach
     shard_bytes, so only a document longer than that makes a longer one. The
-    texts are dealt by ranges of doc_id; rows that repeat a doc_id stay
+    texts are dealt by ranges of doc_id, of partition_bytes or as partitions_for tells; rows that repeat a doc_id stay
     together in the order of their texts. shard_id ascends with the documents.
     Other columns are left out; an empty table gives no shards.
     """
@@ -303,7 +303,7 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
             yield rows_of([pack_shard(shard_id + 1, keys, ids)])
 
     size = input_bytes(docs)
-    parts = [] if size is None else [partitions_for(size)]
+    parts = [] if size is None else [-(-size // partition_bytes) if partition_bytes else partitions_for(size)]
     dealt = docs.select("doc_id", "text").repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(build, SHARD)
 

@@ -390,7 +390,9 @@ def test_token_shards_round_trip(spark, tokenizer, tmp_path):
         assert g == (start, r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert [list(r.ids) for r in tokens.fetch(shards, [9, 10**9]).collect()] == [tokenizer.encode(TRICKY[9], add_special_tokens=False).ids + [1]]
+    assert tokens.fetch(shards, []).count() == tokens.fetch(shards, [None]).count() == 0
     assert tokens.token_shards(docs.limit(0)).count() == 0
+    assert [tokens.partitions_for(x) for x in (0, 1, 1 << 30, 10**14)] == [1, 1, 86, 186265]
 
 
 def test_packing_covers_every_piece(spark, tokenizer):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
+from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import grid_join
 
 ENDS = ("x1", "y1", "x2", "y2")
@@ -165,21 +166,21 @@ def split_at_sharp_turns(lines: DataFrame, least_angle: float = 135.0) -> DataFr
     return cut.select("id", F.posexplode(spans).alias("part", "points"))
 
 
-def suppressed_in_order(edges: DataFrame, components: DataFrame) -> DataFrame:
+def suppressed_in_order(edges: DataFrame) -> DataFrame:
     """id of the rows that the sequential rule drops: from the first on, a row that stands drops those it has an edge to.
 
-    edges (id, other) mean that `id`, if it stands, drops `other`, a later one. The
-    rule is run apart in each component, which components (id, component) tells.
+    edges (id, other) mean that `id`, if it stands, drops `other`, a later one. In each round the rows that no row left
+    could drop stand, and what they drop leaves with its edges; there are as many rounds as the
+    longest chain of rows that wait for each other.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for i, others in pdf.sort_values(["id", "other"]).groupby("id", sort=True)["other"]:
-            if i not in gone:
-                gone.update(others)
-        return pd.DataFrame({"id": np.array(sorted(gone), np.int64)})
-
-    return edges.join(components, "id").groupBy("component").applyInPandas(run, "id long")
+    left, gone = checkpointed(edges.select("id", "other").distinct()), []
+    while not left.isEmpty():
+        stands = left.select("id").distinct().join(left.select(F.col("other").alias("id")), "id", "left_anti")
+        hit = checkpointed(left.join(stands, "id").select(F.col("other").alias("id")).distinct())
+        gone.append(hit)
+        rest = left.join(stands, "id", "left_anti").join(hit, "id", "left_anti")
+        left = checkpointed(rest.join(hit.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other"))
+    return reduce(DataFrame.union, gone) if gone else edges.select("id").limit(0)
 
 
 def chained(lines: DataFrame) -> DataFrame:

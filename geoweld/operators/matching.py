@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions.geometry import box, box_area, shared_area
+from geoweld.operators.components import checkpointed, connected_components
 from geoweld.operators.grid_join import best_per, grid_join
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a temporary one if a single machine names none."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+from geoweld.operators.naming import free_name
 
 
 def similar_boxes(base: DataFrame, other: DataFrame, cell: float, by: str = "least") -> DataFrame:
@@ -41,27 +37,50 @@ def two_pass_matches(pairs: DataFrame, least: float) -> DataFrame:
     return best_per(first, "b_id", down, F.col("a_id"))
 
 
-def greedy_one_to_one(pairs: DataFrame, *order: str, rounds: int = 100) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, *order: str, rounds: int = 3, most_pairs: int = 500_000) -> DataFrame:
     """Pairs (a_id, b_id, ...) that taking the first of all free pairs again and again would take.
 
-    In the total order (order, a_id, b_id), a pair that is the first of both its
-    ends is taken; its ends leave, and so on. Each round takes every such pair at once and the
-    rows left are checkpointed, so rounds count the longest chain of pairs that wait for each other.
+    In the total order (order, a_id, b_id), none of it null, a pair that is the first of both its
+    ends is taken; its ends leave, and so on. A round takes every such pair at once, which leaves little but chains
+    of pairs that wait for each other. After some rounds, what is left falls into connected groups; each of at most most_pairs pairs is
+    finished by the rule itself in a task of its own, and larger ones go through further rounds, until nothing is left.
     """
-    total = [*order, "a_id", "b_id"]
-    left, taken = checkpointed(pairs), None
-    for _ in range(rounds):
-        key = F.struct(*total)
-        of_a = left.groupBy("a_id").agg(F.min(key).alias("ka"))
-        of_b = left.groupBy("b_id").agg(F.min(key).alias("kb"))
-        mutual = checkpointed(left.join(of_a, "a_id").join(of_b, "b_id").where((key == F.col("ka")) & (key == F.col("kb"))).select(*pairs.columns))
-        if mutual.isEmpty():
-            break
-        taken = mutual if taken is None else taken.union(mutual)
-        left = checkpointed(left.join(mutual.select("a_id"), "a_id", "left_anti").join(mutual.select("b_id"), "b_id", "left_anti"))
-    else:
-        raise RuntimeError(f"pairs are left after {rounds} rounds")
-    return pairs.limit(0) if taken is None else taken
+    total, taken = [*order, "a_id", "b_id"], []
+    left = checkpointed(pairs)
+    while True:
+        for _ in range(rounds):
+            key = F.struct(*total)
+            of_a = left.groupBy("a_id").agg(F.min(key).alias("ka"))
+            of_b = left.groupBy("b_id").agg(F.min(key).alias("kb"))
+            mutual = checkpointed(left.join(of_a, "a_id").join(of_b, "b_id").where((key == F.col("ka")) & (key == F.col("kb"))).select(*pairs.columns))
+            if mutual.isEmpty():
+                return reduce(DataFrame.union, taken) if taken else pairs.limit(0)
+            taken.append(mutual)
+            left = checkpointed(left.join(mutual.select("a_id"), "a_id", "left_anti").join(mutual.select("b_id"), "b_id", "left_anti").select(*pairs.columns))
+        if left.isEmpty():
+            return reduce(DataFrame.union, taken)
+        node = F.concat(F.lit("a"), "a_id")
+        groups = connected_components(left.select(node.alias("a"), F.concat(F.lit("b"), "b_id").alias("b"))).where("node LIKE 'a%'")
+        group = free_name(left, "group")
+        grouped = checkpointed(left.withColumn("node of a", node).join(groups.toDF("node of a", group), "node of a").drop("node of a"))
+        sizes = grouped.groupBy(group).count().withColumn("small", F.col("count") <= most_pairs).drop("count")
+        sized = grouped.join(sizes, group)
+        taken.append(checkpointed(sized.where("small").drop("small").groupBy(group).applyInPandas(_one_by_one(total, group), pairs.schema)))
+        left = checkpointed(sized.where("NOT small").select(*pairs.columns))
+
+
+def _one_by_one(total: list[str], group: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns=[group]).sort_values(total, kind="stable")
+        used_a, used_b, keep = set(), set(), []
+        for a, b in zip(pdf["a_id"], pdf["b_id"], strict=True):
+            keep.append(a not in used_a and b not in used_b)
+            if keep[-1]:
+                used_a.add(a)
+                used_b.add(b)
+        return pdf[keep]
+
+    return take
 
 
 def merged_layer(base: DataFrame, other: DataFrame, matches: DataFrame, keep_base: bool = True) -> DataFrame:

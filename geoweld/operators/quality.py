@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions.text import semantic_null
@@ -32,10 +32,18 @@ def field_quality(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def gini(counts: DataFrame, value: str) -> DataFrame:
-    """gini of the values, one row; counts holds one row a source. 0 for no or all zero values."""
-    ranked = counts.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.orderBy(value)))
-    n, total = F.count(F.lit(1)), F.sum(value)
-    g = 2 * F.sum(F.col("i") * F.col(value)) / (n * total) - (n + 1) / n
+    """gini of the values, one row; counts holds one row a source. 0 for no or all zero values.
+
+    Equal values stand in a row of ranks, so only the distinct values are ranked.
+    """
+    from geoweld.operators.relational import with_running_total
+
+    v, c = F.col("v"), F.col("c")
+    sizes = counts.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = with_running_total(sizes, ["v"], "c", "before")
+    n, total = F.sum(c), F.sum(v * c)
+    ranks = c * F.col("before") + c * (c + 1) / 2
+    g = 2 * F.sum(ranks * v) / (n * total) - (n + 1) / n
     return ranked.agg(F.round(F.coalesce(F.when(total > 0, g), F.lit(0.0)), 6).alias("gini"))
 
 

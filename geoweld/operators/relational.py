@@ -8,20 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweld.functions.text import clamp, decay_weight
+from geoweld.operators.components import checkpointed
+from geoweld.operators.naming import first_rows, free_name, row_digest
 
 
 def top_k(df: DataFrame, k: int, *order: Column, per: Sequence[str] = ()) -> DataFrame:
     """The first k rows, of each key if given. Without a key this is a sort with limit, which keeps k rows a task."""
     if not per:
         return df.orderBy(*order).limit(k)
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
+    return first_rows(df, per, order, k)
 
 
 def upserted(current: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """One row a key, the one of the latest version; a change wins over a current row of equal version."""
-    both = current.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(F.col(version).desc(), F.col("_new").desc())
-    return both.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "_new")
+    """One row a key, the one of the latest version; a change wins over a current row of equal version.
+
+    Of rows alike in all that, the one with the largest digest of its columns stays, so reruns agree.
+    """
+    new = free_name(changes, free_name(current, "new"))
+    both = current.withColumn(new, F.lit(0)).unionByName(changes.withColumn(new, F.lit(1)), allowMissingColumns=True)
+    return first_rows(both, [key], [F.col(version).desc(), F.col(new).desc(), row_digest(both).desc()]).drop(new)
 
 
 def keyed_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -34,9 +39,10 @@ def keyed_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> DataF
 def with_margin(df: DataFrame, per: str, score: str, tie: str, margin: float = 0.10) -> DataFrame:
     """The top row of each key with `reason`: single_candidate, top_confidence_margin, or ambiguous if the next is closer than margin."""
     w = Window.partitionBy(per).orderBy(F.col(score).desc(), F.col(tie))
-    ranked = df.withColumns({"_rank": F.row_number().over(w), "_next": F.lead(score).over(w)}).where("_rank = 1")
-    reason = F.when(F.col("_next").isNull(), "single_candidate").when(F.col(score) - F.col("_next") >= margin, "top_confidence_margin").otherwise("ambiguous")
-    return ranked.withColumn("reason", reason).drop("_rank", "_next")
+    rank, after = free_name(df, "rank"), free_name(df, "next")
+    ranked = df.withColumns({rank: F.row_number().over(w), after: F.lead(score).over(w)}).where(F.col(rank) == 1)
+    reason = F.when(F.col(after).isNull(), "single_candidate").when(F.col(score) - F.col(after) >= margin, "top_confidence_margin").otherwise("ambiguous")
+    return ranked.withColumn("reason", reason).drop(rank, after)
 
 
 def learning_summary(records: DataFrame, entity: str, half_life_days: float = 30.0) -> DataFrame:
@@ -74,15 +80,53 @@ def compared(value: Column, op: Column, bound: Column) -> Column:
 def with_minted_ids(df: DataFrame, candidate: str, order: Sequence[str]) -> DataFrame:
     """df with `id`: the candidate where it is a number, else the largest one and 1, 2, ... in order.
 
-    Only the rows without an id are numbered in one sequence.
+    The rows without an id are sorted by ranges, which are numbered within and by the sizes of those before.
     """
     numeric = df.withColumn("id", F.col(candidate).try_cast("long"))
-    top = numeric.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    rest = numeric.where("id IS NULL").crossJoin(F.broadcast(top))
-    minted = rest.withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy(*order))).drop("_top")
+    top = free_name(numeric, "top")
+    largest = numeric.agg(F.coalesce(F.max("id"), F.lit(0)).alias(top))
+    numbered = with_row_numbers(numeric.where("id IS NULL").drop("id"), order, "id")
+    minted = numbered.crossJoin(F.broadcast(largest)).withColumn("id", F.col(top) + F.col("id")).drop(top)
     return numeric.where("id IS NOT NULL").unionByName(minted)
 
 
+def with_running_total(df: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows before each in a total order, without one task that sees them all.
+
+    Rows are dealt by ranges of the order; each range adds up by itself, and one row a range tells
+    the sum of those before it.
+    """
+    part, start = free_name(df, "part"), free_name(df, "start of part")
+    dealt = checkpointed(df.repartitionByRange(*(F.col(c) if isinstance(c, str) else c for c in order)).withColumn(part, F.spark_partition_id()))
+    none = F.lit(0).cast("long")
+    upto = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), none)
+    sums = dealt.groupBy(part).agg(F.sum(value).alias(value))
+    starts = sums.select(F.col(part), upto(Window.orderBy(part)).alias(start))
+    own = upto(Window.partitionBy(part).orderBy(*order))
+    return dealt.join(F.broadcast(starts), part).withColumn(name, F.col(start) + own).drop(part, start)
+
+
+def with_row_numbers(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with its rows' numbers, from 1, in a total order."""
+    one = free_name(df, "one")
+    return with_running_total(df.withColumn(one, F.lit(1).cast("long")), order, one, name).withColumn(name, F.col(name) + 1).drop(one)
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """One row with `quantile`: the q-quantile of the values by linear interpolation, null if there are none.
+
+    Distinct values are counted and ranked by ranges, so no task holds them all.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = checkpointed(with_running_total(sizes, ["v"], "c", "before"))
+    n = ranked.agg(F.sum("c").alias("n"))
+    at = q * (F.col("n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
+    ends = ranked.crossJoin(F.broadcast(n)).agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"), F.max(at - low).alias("t"))
+    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("quantile"))
+
+
 def set_metrics(expected: Column, found: Column) -> dict[str, Column]:
     """precision, recall and F1 of two arrays as sets; recall is 1 if nothing is expected, precision 1 only if nothing is found either."""
     hits, n_e, n_f = F.size(F.array_intersect(expected, found)), F.size(F.array_distinct(expected)), F.size(F.array_distinct(found))

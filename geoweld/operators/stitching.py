@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions.text import semantic_null
+from geoweld.operators.naming import first_rows, free_name, row_digest
 
 
 def first_source_per_tile(rows: DataFrame, tile: str, priority: str) -> DataFrame:
     """Of each tile the rows of the source that comes first in priority and has any."""
-    first = rows.groupBy(tile).agg(F.min(priority).alias("_first"))
-    return rows.join(first, tile).where(F.col(priority) == F.col("_first")).drop("_first")
+    name = free_name(rows, "first")
+    first = rows.groupBy(tile).agg(F.min(priority).alias(name))
+    return rows.join(first, tile).where(F.col(priority) == F.col(name)).drop(name)
 
 
 def stitched(rows: DataFrame, source: str, key: str, shape: Column, order: str) -> DataFrame:
@@ -19,16 +21,13 @@ def stitched(rows: DataFrame, source: str, key: str, shape: Column, order: str)
     own = semantic_null(F.col(key).cast("string"))
     name = F.coalesce(F.concat_ws("~", F.lit("id"), F.col(source), own).cast("string"), F.lit(""))
     name = F.when(own.isNotNull(), name).otherwise(F.concat(F.lit("shape~"), shape))
-    rank = F.row_number().over(Window.partitionBy("_name").orderBy(order))
-    return rows.withColumn("_name", name).withColumn("_rank", rank).where("_rank = 1").drop("_name", "_rank")
+    return first_rows(rows, [name], [order, row_digest(rows)])
 
 
 def best_candidates(rows: DataFrame, name: str, country: str, box: list[str], score: str, digits: int = 7) -> DataFrame:
     """One row for each name, country and rounded box, that of the highest score."""
     keys = [F.lower(name), F.upper(country), *(F.round(c, digits) for c in box)]
-    named = rows.withColumn("_key", F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))))
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(score).desc(), name))
-    return named.withColumn("_rank", rank).where("_rank = 1").drop("_key", "_rank")
+    return first_rows(rows, keys, [F.col(score).desc(), name, row_digest(rows)])
 
 
 def retry_jobs(attempts: DataFrame, backoff: Column, window_hours: int = 24) -> DataFrame:
@@ -38,7 +37,7 @@ def retry_jobs(attempts: DataFrame, backoff: Column, window_hours: int = 24) ->
     """
     key = F.concat_ws(":", "scenario", "run", "source")
     jobs = attempts.where("status <> 'available'").withColumn("job_key", key)
-    latest = jobs.withColumn("_rank", F.row_number().over(Window.partitionBy("job_key").orderBy(F.col("at").desc()))).where("_rank = 1")
+    latest = first_rows(jobs, ["job_key"], [F.col("at").desc(), row_digest(jobs)])
     return latest.select("job_key", "status", F.timestamp_seconds(F.unix_timestamp("at") + backoff).alias("next_retry"), (F.col("at") + F.expr(f"INTERVAL {window_hours} HOURS")).alias("window_ends"))
 
 
@@ -58,8 +57,9 @@ def aligned(base: DataFrame, other: DataFrame, cell: float, radius: float) -> Da
     a, b = prefixed(base, "a_"), prefixed(other, "b_")
     d = distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"))
     keyed = a.join(b, semantic_null(F.col("a_key")) == semantic_null(F.col("b_key"))).withColumn("dist", d)
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id"))
-    by_key = keyed.withColumn("_rank", rank).where("_rank = 1").select("a_id", "b_id", F.lit("key").alias("how"), "dist")
+    # the least of each a is kept while rows are joined, so a common key makes no rows beyond the join
+    best = keyed.groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("best"))
+    by_key = best.select("a_id", "best.b_id", F.lit("key").alias("how"), "best.dist")
     rest = base.join(by_key.select(F.col("a_id").alias("id")), "id", "left_anti")
     near = nearest_within(points(rest), points(other), cell, radius, d, F.col("b_id"))
     return by_key.union(near.select("a_id", "b_id", F.lit("nearest"), "dist"))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from geoweld.functions import geometry as G
 from geoweld.functions.text import name_score
 from geoweld.operators import matching as M
+from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import best_per, grid_join, nearest_within, points
 from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, other_boxes, other_points, other_segments
+from geoweld.operators.relational import exact_quantile
 from geoweld.plans.registry import query
 
 _PAIRS = f"WITH {SQL['a']}, {SQL['b']}, {SQL['pairs']}"
@@ -34,7 +36,7 @@ UNION ALL SELECT NULL, id, 'other' FROM b WHERE id NOT IN (SELECT b_id FROM m)""
 def building_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which boxes of one source double the other's, and the merged layer."""
     a, b = base_boxes(spark, sf_dir), other_boxes(spark, sf_dir)
-    return M.merged_layer(a, b, M.checkpointed(M.two_pass_matches(M.similar_boxes(a, b, CELL), 0.3).select("a_id", "b_id")))
+    return M.merged_layer(a, b, checkpointed(M.two_pass_matches(M.similar_boxes(a, b, CELL), 0.3).select("a_id", "b_id")))
 
 
 @query(f"{_PAIRS} SELECT a_id, b_id, round(shared / area_a, 6) AS ratio FROM pairs WHERE shared / area_a >= 0.1 AND shared >= 1")
@@ -50,7 +52,7 @@ UNION ALL SELECT 0, id, 0, 0, 'REF' FROM b WHERE id NOT IN (SELECT b_id FROM s)"
 def water_fusion_best_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best reference by overlap and how many there are; every reference that overlaps enough is used up."""
     a, b = base_boxes(spark, sf_dir), other_boxes(spark, sf_dir)
-    s = M.checkpointed(M.similar_boxes(a, b, CELL, "base").where("similarity >= 0.1").select("a_id", "b_id", "similarity"))
+    s = checkpointed(M.similar_boxes(a, b, CELL, "base").where("similarity >= 0.1").select("a_id", "b_id", "similarity"))
     best = s.groupBy("a_id").agg(F.min_by("b_id", F.struct(-F.col("similarity"), "b_id")).alias("ref"), F.max("similarity").alias("ratio"), F.count(F.lit(1)).alias("n"))
     base = a.join(best, a.id == best.a_id, "left").select(
         F.col("id").alias("osm_id"), F.coalesce("ref", F.lit(0)).alias("ref_id"), F.round(F.coalesce("ratio", F.lit(0.0)), 6).alias("ov_ratio"), F.coalesce("n", F.lit(0)).alias("match_cnt"), F.lit("OSM").alias("src")
@@ -136,7 +138,7 @@ def height_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by(F.when(F.col("r") >= 0.05, F.col("b_height")), F.when(F.col("r") >= 0.05, F.struct("s", -F.col("b_id")))).alias("o"),
         F.min_by("b_height", F.struct("d", "b_id")).alias("n"),
     )
-    middle = b.agg(F.percentile("height", 0.5).alias("m"))
+    middle = exact_quantile(b, "height", 0.5).select(F.col("quantile").alias("m"))
     return a.select("id").join(found, F.col("id") == F.col("a_id"), "left").crossJoin(F.broadcast(middle)).select(
         "id", F.round(F.coalesce("o", "n", "m"), 6).alias("height"),
         F.when(F.col("o").isNotNull(), "overlap").when(F.col("n").isNotNull(), "nearest").otherwise("median").alias("source"),

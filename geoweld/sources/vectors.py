@@ -1,7 +1,8 @@
 """Reading and writing vector layers.
 
 A layer has attribute columns, kind (point, line, polygon), parts (array of arrays of
-points) and the bounds minx, miny, maxx, maxy as columns of their own, so that a filter on them
+points), members (for each part, the number from 0 of the point, line or polygon that it belongs to; a polygon's first
+part is its outer ring, the others are its holes) and the bounds minx, miny, maxx, maxy as columns of their own, so that a filter on them
 reaches the Parquet statistics.
 """
 
@@ -60,6 +61,17 @@ def parts_of_json(kind: Column, coordinates: Column) -> Column:
     )
 
 
+def members_of_json(kind: Column, coordinates: Column, parts: Column) -> Column:
+    """Which point, line or polygon each of the parts belongs to."""
+    polygons = F.from_json(coordinates, "array<array<string>>")
+    by_polygon = F.flatten(F.transform(polygons, lambda rings, i: F.transform(rings, lambda r: i)))
+    return F.when(kind == "MultiPolygon", by_polygon).otherwise(_members(parts, kind == "Polygon"))
+
+
+def _members(parts: Column, one_polygon: Column) -> Column:
+    return F.transform(parts, lambda p, i: F.when(one_polygon, F.lit(0)).otherwise(i))
+
+
 def read_geojson_lines(spark: SparkSession, path: str, properties: str, polygons_only: bool = False) -> DataFrame:
     """One GeoJSON feature a line, gzipped or not; properties is the schema of the attributes.
 
@@ -68,7 +80,9 @@ def read_geojson_lines(spark: SparkSession, path: str, properties: str, polygons
     """
     raw = spark.read.schema(f"properties struct<{properties}>, geometry {GEOMETRY}").option("mode", "PERMISSIVE").json(path)
     kind = F.col("geometry.type")
-    made = raw.select("properties.*", kind.alias("geometry_type"), parts_of_json(kind, F.col("geometry.coordinates")).alias("parts"))
+    parts = parts_of_json(kind, F.col("geometry.coordinates"))
+    members = members_of_json(kind, F.col("geometry.coordinates"), parts)
+    made = raw.select("properties.*", kind.alias("geometry_type"), parts.alias("parts"), members.alias("members"))
     made = made.where(F.col("parts").isNotNull() & (F.size("parts") > 0))
     if polygons_only:
         made = made.where(F.col("geometry_type").isin("Polygon", "MultiPolygon"))
@@ -87,13 +101,21 @@ def parts_of_wkt(wkt: Column) -> Column:
     return F.transform(rings, lambda r: F.transform(F.split(r, ","), point))
 
 
+def members_of_wkt(wkt: Column) -> Column:
+    """Which polygon of a multipolygon, or which point or line, each part belongs to."""
+    rings = lambda t: F.regexp_extract_all(t, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    polygons = F.regexp_extract_all(wkt, F.lit(r"\(\s*(\([^()]+\)(?:\s*,\s*\([^()]+\))*)\s*\)"), F.lit(1))
+    by_polygon = F.flatten(F.transform(polygons, lambda t, i: F.transform(rings(t), lambda r: i)))
+    return F.when(wkt.rlike(r"(?i)^\s*MULTIPOLYGON"), by_polygon).otherwise(_members(rings(wkt), wkt.rlike(r"(?i)^\s*POLYGON")))
+
+
 def read_csv_wkt(spark: SparkSession, path: str, column: str = "geometry", polygons_only: bool = True) -> DataFrame:
     """A CSV file with header and a WKT column; an error if there is no such column."""
     raw = spark.read.csv(path, header=True)
     if column not in raw.columns:
         raise ValueError(f"{path} has no column {column}")
     kind = feature_kind(F.regexp_extract(F.col(column), r"^\s*([A-Za-z]+)", 1))
-    made = raw.withColumns({"kind": kind, "parts": parts_of_wkt(F.col(column))}).where("kind IS NOT NULL AND size(parts) > 0")
+    made = raw.withColumns({"kind": kind, "parts": parts_of_wkt(F.col(column)), "members": members_of_wkt(F.col(column))}).where("kind IS NOT NULL AND size(parts) > 0")
     return _with_bounds((made.where("kind = 'polygon'") if polygons_only else made).drop(column))
 
 
@@ -101,7 +123,7 @@ def read_tsv_points(spark: SparkSession, path: str, lon: str = "LONG", lat: str
     """A tab-separated file as points; rows without readable coordinates are left out."""
     raw = spark.read.csv(path, header=True, sep="\t")
     x, y = F.col(lon).try_cast("double"), F.col(lat).try_cast("double")
-    made = raw.withColumns({"kind": F.lit("point"), "parts": F.array(F.array(F.struct(x.alias("x"), y.alias("y"))))})
+    made = raw.withColumns({"kind": F.lit("point"), "parts": F.array(F.array(F.struct(x.alias("x"), y.alias("y")))), "members": F.array(F.lit(0))})
     return _with_bounds(made.where(x.isNotNull() & y.isNotNull()))
 
 
@@ -117,19 +139,27 @@ def read_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def geojson(df: DataFrame) -> DataFrame:
-    """value: a GeoJSON feature of each row, for write.text."""
-    attributes = [c for c in df.columns if c not in {"kind", "parts", *BOX}]
-    pairs = F.transform("parts", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-    text = lambda c: F.to_json(c)
+    """value: a GeoJSON feature of each row, for write.text; of several points, lines or polygons a Multi one.
+
+    Without a column members, the parts of a polygon are the rings of one. A row without parts has a null geometry.
+    """
+    attributes = [c for c in df.columns if c not in {"kind", "parts", "members", *BOX}]
+    polygon = F.col("kind") == "polygon"
+    members = F.col("members") if "members" in df.columns else _members(F.col("parts"), polygon)
+    rings = F.transform("parts", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    paired = F.arrays_zip(members.alias("m"), rings.alias("r"))
+    polygons = F.transform(F.array_distinct(members), lambda m: F.transform(F.filter(paired, lambda x: x["m"] == m), lambda x: x["r"]))
+    many = F.size(F.array_distinct(members)) > 1
+    first, text = F.get(rings, F.lit(0)), F.to_json
     coordinates = (
-        F.when((F.col("kind") == "point"), text(F.get(F.get(pairs, F.lit(0)), F.lit(0))))
-        .when(F.col("kind") == "line", text(F.when(F.size("parts") == 1, F.get(pairs, F.lit(0)))))
-        .otherwise(text(pairs))
-    )
-    many = (F.col("kind") == "line") & (F.size("parts") > 1)
-    kind = F.when(F.col("kind") == "point", "Point").when(many, "MultiLineString").when(F.col("kind") == "line", "LineString").otherwise("Polygon")
-    shape = F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), F.when(many, text(pairs)).otherwise(coordinates), F.lit("}"))
-    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"}), F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
+        F.when(polygon & many, text(polygons)).when(polygon, text(rings))
+        .when(F.col("kind") == "line", F.when(many, text(rings)).otherwise(text(first)))
+        .otherwise(F.when(many, text(F.transform(rings, lambda r: F.get(r, F.lit(0))))).otherwise(text(F.get(first, F.lit(0)))))
+    )
+    name = F.when(polygon, "Polygon").when(F.col("kind") == "line", "LineString").otherwise("Point")
+    shape = F.concat(F.lit('{"type":"'), F.when(many, "Multi").otherwise(""), name, F.lit('","coordinates":'), coordinates, F.lit("}"))
+    own = F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"}) if attributes else F.lit("{}")
+    return df.select(F.concat(F.lit('{"type":"Feature","properties":'), own, F.lit(',"geometry":'), F.coalesce(F.when(F.size("parts") > 0, shape), F.lit("null")), F.lit("}")).alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str) -> None:

@@ -8,12 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    from geoweld.operators.matching import checkpointed
-
-    checkpointed(spark.range(1))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+from geoweld.operators.components import shared_folder
+from geoweld.operators.naming import first_rows
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
@@ -33,19 +29,26 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str, delay: str = "1 hou
     return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("session"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_available(spark: SparkSession, source: DataFrame, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def run_available(spark: SparkSession, source: DataFrame, plan: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None) -> DataFrame:
     """What plan makes of all that source's stream has now: written to Parquet in the shared folder and read back.
 
-    For complete and update mode each batch is written whole by foreachBatch, and the last rows of a key hold.
+    In complete mode a batch takes the place of the one before. In update mode each batch has a folder of its own, which a batch that is
+    run again replaces, and the row of each of keys from the latest batch holds.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     made = plan(source)
     writer = made.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         started = writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start()
     else:
-        started = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+        of_batch = (lambda n: f"/batch={n}") if mode == "update" else (lambda n: "")
+        started = writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows{of_batch(n)}")).start()
     started.awaitTermination()
+    if mode == "update":
+        rows = spark.read.parquet(f"{folder}/rows")
+        return first_rows(rows, keys, [F.col("batch").desc()]).select(*made.columns)
     return spark.read.schema(made.schema).parquet(f"{folder}/rows")
 
 

@@ -42,6 +42,22 @@ def test_grid_join_with_nulls_and_nothing(spark):
     assert grid_join(some, some.limit(0), 5.0).count() == 0
 
 
+def test_grid_join_of_boxes_of_all_sizes(spark):
+    rng = random.Random(4)
+    def made(n):
+        out = []
+        for i in range(n):
+            x, y, w, h = rng.uniform(-900, 900), rng.uniform(-900, 900), 10 ** rng.uniform(-1, 5), 10 ** rng.uniform(-1, 5)
+            out.append((i, x, y, x + w, y + h))
+        return out
+    a, b = made(40), [*made(40), (90, -1e9, -1e9, 1e9, 1e9)]
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] - 2 <= q[3] and q[1] <= p[3] + 2 and p[2] - 2 <= q[4] and q[2] <= p[4] + 2)
+    odd = boxes(spark, (100, float("-inf"), 0, 1, 1), (101, float("nan"), 0, 1, 1))
+    for cell in (0.5, 40.0):
+        got = grid_join(boxes(spark, *a).union(odd), boxes(spark, *b), cell, 2.0).select("a_id", "b_id").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_building_match(spark):
     a = boxes(spark, (1, 0, 0, 10, 10), (2, 20, 20, 30, 30))
     b = boxes(spark, (1, 1, 1, 9, 9), (2, 40, 40, 50, 50))
@@ -62,6 +78,51 @@ def test_poi_greedy_prefers_the_nearer_pair(spark):
     assert [tuple(r) for r in taken.collect()] == [(1, 1, 3.0)]
 
 
+def test_greedy_finishes_long_chains(spark):
+    # each pair is nearer than the one before, so the rule takes every other one from the end
+    rows = [(i // 2 + i % 2, i // 2, 1000.0 - i) for i in range(1000)]
+    want = sorted((a, b, d) for a, b, d in rows if (999 - int(1000 - d)) % 2 == 0)
+    df = spark.createDataFrame(rows, "a_id long, b_id long, dist double").withColumn("group", F.lit("x"))
+    for most in (5000, 400):
+        got = matching.greedy_one_to_one(df.repartition(3), "dist", most_pairs=most) if most == 5000 else matching.greedy_one_to_one(df.where("dist > 960"), "dist", most_pairs=20)
+        assert sorted((r.a_id, r.b_id, r.dist) for r in got.collect()) == ([x for x in want] if most == 5000 else greedy_by_hand([r for r in rows if r[2] > 960]))
+
+
+def greedy_by_hand(rows):
+    a, b, out = set(), set(), []
+    for x, y, d in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
+        if x not in a and y not in b:
+            a.add(x)
+            b.add(y)
+            out.append((x, y, d))
+    return sorted(out)
+
+
+def test_ranks_and_quantiles_without_one_task(spark):
+    rng = random.Random(6)
+    values = [rng.choice([None, *range(12)]) for _ in range(200)]
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i long, v double").withColumn("part", F.lit(1))
+    got = relational.with_row_numbers(df.repartition(5), ["i"], "n").collect()
+    assert all(r.n == r.i + 1 and r.part == 1 for r in got) and len(got) == 200
+    known = sorted(v for v in values if v is not None)
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        at = q * (len(known) - 1)
+        lo, hi = known[math.floor(at)], known[math.ceil(at)]
+        assert relational.exact_quantile(df, "v", q).first().quantile == pytest.approx(lo + (hi - lo) * (at - math.floor(at)))
+    assert relational.exact_quantile(df.limit(0), "v", 0.5).first().quantile is None
+    n, total = len(known), sum(known)
+    assert quality.gini(df, "v").first().gini == pytest.approx(2 * sum((i + 1) * v for i, v in enumerate(known)) / (n * total) - (n + 1) / n, abs=1e-6)
+
+
+def test_upsert_keeps_other_columns_and_is_fixed(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (2, 1, "c")]
+    now = spark.createDataFrame(rows, "id long, v long, new string")
+    change = spark.createDataFrame([(1, 5, "d"), (1, 5, "e"), (3, 0, "f")], "id long, v long, new string")
+    got = sorted(map(tuple, relational.upserted(now, change, "id", "v").collect()))
+    assert [r[0] for r in got] == [1, 2, 3] and got[0][2] in "de"
+    assert got == sorted(map(tuple, relational.upserted(now.repartition(3), change.repartition(2), "id", "v").collect()))
+
+
 def test_greedy_equals_the_sequential_rule(spark):
     rng = random.Random(4)
     rows = sorted({(rng.randrange(12), rng.randrange(12)): float(rng.randrange(5)) for _ in range(60)}.items())
@@ -117,7 +178,10 @@ def test_duplicates_snapping_and_turns(spark):
 def test_suppression_in_order_and_chains(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "id long, other long")
     parts = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id long, component long")
-    assert ids(lines.suppressed_in_order(edges, parts)) == [2]
+    assert ids(lines.suppressed_in_order(edges)) == [2]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(0, 6), (0, 1)], "id long, other long")
+    assert ids(lines.suppressed_in_order(chain)) == [1, 3, 5, 6]
+    assert lines.suppressed_in_order(chain.limit(0)).count() == 0
     made = spark.createDataFrame([(9, 0.0, 0.0, 1.0, 0.0), (9, 2.0, 0.0, 1.0, 0.0), (9, 7.0, 7.0, 8.0, 8.0)], "key long, x1 double, y1 double, x2 double, y2 double")
     assert sorted(len(r.points) for r in lines.chained(made).collect()) == [2, 3]
 

@@ -23,6 +23,34 @@ def test_geojson_round_trip(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
 
 
+def test_multi_geometries_round_trip(spark, tmp_path):
+    ring = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shapes = [
+        {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]},
+        {"type": "MultiPolygon", "coordinates": [[ring(0, 9), ring(2, 3)], [ring(20, 22)]]}, {"type": "Polygon", "coordinates": [ring(0, 9), ring(2, 3)]},
+        {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}, {"type": "Point", "coordinates": [1, 2]},
+    ]
+    (tmp_path / "in").write_text("\n".join(json.dumps({"properties": {"id": i}, "geometry": g}) for i, g in enumerate(shapes)))
+    got = V.read_geojson_lines(spark, str(tmp_path / "in"), "id long")
+    V.write_geojson(got, str(tmp_path / "out"))
+    told = {json.loads(r.value)["properties"]["id"]: json.loads(r.value)["geometry"] for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert told == dict(enumerate(shapes))
+    (tmp_path / "w.csv").write_text('id,geometry\n0,"MULTIPOLYGON(((0 0,9 0,9 9,0 0),(2 2,3 2,3 3,2 2)),((20 20,22 20,22 22,20 20)))"\n1,"POLYGON((0 0,9 0,9 9,0 0),(2 2,3 2,3 3,2 2))"\n')
+    assert {r.id: r.members for r in V.read_csv_wkt(spark, str(tmp_path / "w.csv")).collect()} == {"0": [0, 0, 1], "1": [0, 0]}
+    assert json.loads(V.geojson(got.withColumn("parts", F.lit(None).cast(V.PARTS))).first().value)["geometry"] is None
+
+
+def test_update_mode_keeps_rows_of_earlier_batches(spark, tmp_path):
+    from geoweld.streaming import events as E
+
+    for i, rows in enumerate(['{"k":1,"v":1}\n{"k":2,"v":1}', '{"k":1,"v":5}']):
+        (tmp_path / f"{i}.json").write_text(rows)
+    stream = spark.readStream.schema("k long, v long").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    plan = lambda s: s.groupBy("k").agg(F.sum("v").alias("v"))
+    for mode in ("update", "complete"):
+        assert sorted(map(tuple, E.run_available(spark, stream, plan, mode, ["k"]).collect())) == [(1, 6), (2, 1)]
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "w.csv").write_text(f'name,geometry\nx,"{SQUARE}"\ny,POINT(1 1)\n')
     assert [(r.name, r.maxx) for r in V.read_csv_wkt(spark, str(tmp_path / "w.csv")).collect()] == [("x", 4.0)]

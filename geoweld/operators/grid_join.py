@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweld.functions.geometry import BOX, box, boxes_meet
+from geoweld.functions.geometry import box, boxes_meet
 from geoweld.operators.naming import first_rows
 
 
@@ -30,7 +30,9 @@ def _celled(df: DataFrame, prefix: str, cell: float, radius: float) -> DataFrame
     x1, y1, x2, y2 = box(prefix)
     cells = F.greatest(F.greatest(x2 - x1, y2 - y1) + 2 * radius, F.lit(0.0)) / cell
     level = F.greatest(F.lit(0), F.ceil(F.log(float(MOST_CELLS), F.greatest(cells, F.lit(1.0))) - 1)).cast("int")
-    return prefixed(df, prefix).withColumn(f"{prefix}{LEVEL}", level)
+    # null where the box isn't finite; a filter would be pushed down and carry the box's expressions along
+    size = F.abs(x1) + F.abs(y1) + F.abs(x2) + F.abs(y2)
+    return prefixed(df, prefix).withColumn(f"{prefix}{LEVEL}", F.when(size < float("inf"), level))
 
 
 def _at_levels(own: DataFrame, other: DataFrame, prefix: str, cell: float, radius: float) -> DataFrame:
@@ -39,7 +41,7 @@ def _at_levels(own: DataFrame, other: DataFrame, prefix: str, cell: float, radiu
     # at most one level for each six doublings of a box, so a few numbers
     used = F.broadcast(other.select(F.col(theirs).alias("used")).distinct().agg(F.sort_array(F.collect_set("used")).alias("used")))
     mine = F.col(f"{prefix}{LEVEL}")
-    levels = F.array_distinct(F.concat(F.array(mine), F.filter(F.col("used"), lambda v: v > mine)))
+    levels = F.when(mine.isNotNull(), F.array_distinct(F.concat(F.array(mine), F.filter(F.col("used"), lambda v: v > mine))))
     dealt = own.crossJoin(used).withColumn(LEVEL, F.explode(levels)).drop("used")
     x1, y1, x2, y2 = box(prefix)
     size = cell * F.pow(F.lit(float(MOST_CELLS)), F.col(LEVEL))
@@ -56,8 +58,7 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, radius: float = 0.
     MOST_CELLS cells goes to a grid of larger cells, so none makes more than about MOST_CELLS squared copies; boxes
     of different grids meet in the coarser one.
     """
-    finite = " AND ".join(f"abs({c}) < double('infinity') AND NOT isnan({c})" for c in BOX)
-    l, r = _celled(left.where(finite), "a_", cell, radius), _celled(right.where(finite), "b_", cell, 0.0)  # noqa: E741
+    l, r = _celled(left, "a_", cell, radius), _celled(right, "b_", cell, 0.0)  # noqa: E741
     a, b = box("a_"), box("b_")
     wide = (a[0] - radius, a[1] - radius, a[2] + radius, a[3] + radius)
     # each side is also dealt to the coarser grids that the other one uses, which are few

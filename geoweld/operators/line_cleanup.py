@@ -29,7 +29,7 @@ def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radiu
 def corridor_coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float, keep: Column) -> DataFrame:
     """id, covered: share of each supplement segment within radius of those base segments that keep admits."""
     near = grid_join(boxed(supplement), boxed(base), cell, radius, keep)
-    parts = with_covered_interval(near, radius).where("part IS NOT NULL")
+    parts = with_covered_interval(near, radius)
     return parts.groupBy(F.col("a_id").alias("id")).agg(union_length(F.collect_list("part")).alias("covered"))
 
 

@@ -44,7 +44,8 @@ def with_covered_interval(pairs: DataFrame, radius: float) -> DataFrame:
 
     Within the radius of a segment is a convex set, so a line meets it in one
     interval: the hull of those in which it meets the two end circles and the strip
-    between. Steps are columns of their own, so that none is worked out twice.
+    between. Steps are columns of their own, so that none is worked out twice; a filter on part would be pushed down
+    and undo that, so leave nulls to an aggregate.
     """
     c = F.col
     sx1, sy1, sx2, sy2 = segment("a_")
@@ -100,7 +101,7 @@ def union_length(intervals: Column) -> Column:
 def coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float) -> DataFrame:
     """a_id, covered: the share of each supplement segment within radius of the base's segments, 0 where none is near."""
     near = grid_join(boxed(supplement), boxed(base), cell, radius)
-    parts = with_covered_interval(near, radius).where("part IS NOT NULL")
+    parts = with_covered_interval(near, radius)
     found = parts.groupBy("a_id").agg(union_length(F.collect_list("part")).alias("covered"))
     every = supplement.select(F.col("id").alias("a_id"))
     return every.join(found, "a_id", "left").select("a_id", F.coalesce("covered", F.lit(0.0)).alias("covered"))
@@ -109,7 +110,7 @@ def coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float)
 def residuals(supplement: DataFrame, base: DataFrame, cell: float, radius: float, least: float = 10.0) -> DataFrame:
     """id, part, x1, y1, x2, y2: what of each supplement segment lies beyond radius of the base, parts of `least` length or more."""
     near = grid_join(boxed(supplement), boxed(base), cell, radius)
-    parts = with_covered_interval(near, radius).where("part IS NOT NULL")
+    parts = with_covered_interval(near, radius)
     found = parts.groupBy("a_id").agg(F.array_sort(F.collect_list("part")).alias("covered"))
     rows = supplement.join(found, F.col("id") == F.col("a_id"), "left")
     empty = F.array().cast("array<struct<lo:double,hi:double>>")
@@ -150,8 +151,8 @@ def duplicate_supplements(supplement: DataFrame, base: DataFrame, cell: float, a
     pairs = grid_join(boxed(supplement), boxed(base), cell, near)
     like = with_covered_interval(pairs.where(G.angle_difference(G.bearing(*a), G.bearing(*b)) <= angle), near)
     like = like.withColumn("covered", F.coalesce(F.col("part.hi") - F.col("part.lo"), F.lit(0.0)))
-    dup = like.where((F.col("covered") >= least) & ((length(a) <= longest * length(b)) | (F.col("covered") >= whole)))
-    return dup.select(F.col("a_id").alias("id")).distinct()
+    dup = (F.col("covered") >= least) & ((length(a) <= longest * length(b)) | (F.col("covered") >= whole))
+    return like.groupBy(F.col("a_id").alias("id")).agg(F.bool_or(dup).alias("dup")).where("dup").select("id")
 
 
 def split_at_sharp_turns(lines: DataFrame, least_angle: float = 135.0) -> DataFrame:

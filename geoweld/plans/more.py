@@ -46,13 +46,14 @@ def snapped_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "end", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "snapped")
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey % 50 AS tile, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS priority FROM orders WHERE o_custkey % 50 + (o_orderkey % 3) > 10 OR o_orderstatus = 'O')
+@query("""WITH r AS (SELECT o_orderkey, o_custkey % 50 AS tile, CASE WHEN o_orderstatus = 'F' AND o_custkey % 50 > 10 THEN 1 WHEN o_orderstatus = 'O' AND o_custkey % 50 > 3 THEN 2 ELSE 3 END AS priority FROM orders)
 SELECT o_orderkey, tile, priority FROM r QUALIFY priority = min(priority) OVER (PARTITION BY tile)""")
 def bounded_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tile takes the first source that has anything for it."""
-    priority = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
-    o = table(spark, sf_dir, "orders").where("o_custkey % 50 + (o_orderkey % 3) > 10 OR o_orderstatus = 'O'")
-    return T.first_source_per_tile(o.select("o_orderkey", (F.col("o_custkey") % 50).alias("tile"), priority.alias("priority")), "tile", "priority")
+    status, tile = F.col("o_orderstatus"), F.col("o_custkey") % 50
+    priority = F.when((status == "F") & (tile > 10), 1).when((status == "O") & (tile > 3), 2).otherwise(3)
+    o = table(spark, sf_dir, "orders")
+    return T.first_source_per_tile(o.select("o_orderkey", tile.alias("tile"), priority.alias("priority")), "tile", "priority")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS k, l_returnflag AS source, CASE WHEN l_orderkey % 5 = 0 THEN 'None' ELSE (l_orderkey % 700)::VARCHAR END AS own, l_partkey::VARCHAR AS shape, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS o FROM lineitem),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,15 +147,17 @@ def height_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {SQL['a']}, t AS (SELECT i, j, i * 500.0 AS minx, j * 500.0 AS miny, i * 500.0 + 500 AS maxx, j * 500.0 + 500 AS maxy FROM range(25) x(i), range(25) y(j))
+@query(f"""WITH {SQL['a']}, t AS (SELECT i, j, i * 100.0 AS minx, j * 100.0 AS miny, i * 100.0 + 100 AS maxx, j * 100.0 + 100 AS maxy FROM range(5) x(i), range((SELECT ceil(max(maxy) / 100)::BIGINT FROM a)) y(j))
 SELECT format('tile_{{:03d}}_{{:03d}}', j, i) AS tile_id, count(*) FILTER ((a.minx + a.maxx) / 2 >= t.minx AND (a.minx + a.maxx) / 2 < t.maxx AND (a.miny + a.maxy) / 2 >= t.miny AND (a.miny + a.maxy) / 2 < t.maxy) AS owned, count(*) AS met
 FROM a JOIN t ON a.minx <= t.maxx AND t.minx <= a.maxx AND a.miny <= t.maxy AND t.miny <= a.maxy GROUP BY 1""")
 def tile_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each tile by either rule: middle within the tile (half open), or box that meets it."""
     from geoweld.operators.tiling import partition_bbox
 
-    tiles = partition_bbox(spark, (0.0, 0.0, 12500.0, 12500.0), 500.0, 0.0)
-    met = grid_join(base_boxes(spark, sf_dir), tiles.drop("buffered"), 500.0)
+    boxes = base_boxes(spark, sf_dir)
+    top = boxes.agg(F.max("maxy")).first()[0] or 0.0
+    tiles = partition_bbox(spark, (0.0, 0.0, 500.0, 100.0 * math.ceil(top / 100)), 100.0, 0.0)
+    met = grid_join(boxes, tiles.drop("buffered"), 100.0)
     cx, cy = (F.col("a_minx") + F.col("a_maxx")) / 2, (F.col("a_miny") + F.col("a_maxy")) / 2
     inside = (cx >= F.col("b_minx")) & (cx < F.col("b_maxx")) & (cy >= F.col("b_miny")) & (cy < F.col("b_maxy"))
     return met.groupBy(F.col("b_tile_id").alias("tile_id")).agg(F.count_if(inside).alias("owned"), F.count(F.lit(1)).alias("met"))
@@ -201,12 +205,20 @@ def line_topology_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_topology(base_segments(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL['pa']}, {SQL['pb']}, near AS (
+  SELECT pa.id AS a, pb.id AS b, sqrt((pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2) AS d FROM pa JOIN pb ON abs(pa.x - pb.x) <= 25 AND abs(pa.y - pb.y) <= 25 WHERE (pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2 <= 625),
+w AS (
+  SELECT *, bool_or(t) OVER (PARTITION BY a) AS ga, bool_or(t) OVER (PARTITION BY b) AS gb FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY d, a) = 1 AS t FROM near)
+  UNION ALL
+  SELECT *, bool_or(t) OVER (PARTITION BY a) AS ga, bool_or(t) OVER (PARTITION BY b) AS gb FROM (
+    SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) = 1 AND row_number() OVER (PARTITION BY b ORDER BY d, a) = 1 AS t FROM w WHERE NOT ga AND NOT gb))
+SELECT a AS a_id, b AS b_id, round(d, 6) AS dist FROM w WHERE t""")
 def poi_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs within 25, the nearest first."""
     pairs = grid_join(points(base_points(spark, sf_dir)), points(other_points(spark, sf_dir)), 25.0, 25.0)
     near = pairs.withColumn("dist", G.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"))).where("dist <= 25")
-    return M.greedy_one_to_one(near.select("a_id", "b_id", "dist"), "dist")
+    return M.greedy_one_to_one(near.select("a_id", "b_id", "dist"), "dist").withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {SQL['pa']}, {SQL['pb']} SELECT pa.id AS a_id, pb.id AS b_id, round(sqrt((pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2), 6) AS dist
@@ -224,15 +236,14 @@ def poi_geohash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoweld.operators.poi import geohash_candidates
 
     place = lambda df: df.withColumn("lon", F.col("x") / 1000).withColumn("lat", F.col("y") / 1000)
-    parts = place(other_points(spark, sf_dir))
-    return geohash_candidates(parts.where("id % 2 = 0"), parts.where("id % 2 = 1"), 6, 0.75)
+    return geohash_candidates(place(base_points(spark, sf_dir)), place(other_points(spark, sf_dir)), 6, 0.75)
 
 
 @query()
 def part_name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name scores of the distinct part names that share a word."""
+    """Name scores of the distinct part names that share their first two words, which bounds how many meet."""
     from geoweld.plans.registry import table
 
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("word", F.explode(F.split("name", " ")))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("word", F.array_join(F.slice(F.split("name", " "), 1, 2), " "))
     pairs = names.alias("a").join(names.alias("b"), "word").where("a.name < b.name").select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
     return pairs.withColumn("score", F.round(name_score(F.col("left"), F.col("right")), 6))

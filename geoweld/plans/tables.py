@@ -208,19 +208,19 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_margin(c, "s_nationkey", "confidence", "s_suppkey")
 
 
-@query("""WITH u AS (SELECT o_orderkey % 2000 AS id, o_orderdate AS last, o_totalprice AS v, 0 AS n, o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey % 2000, o_orderdate, o_totalprice, 1, o_orderkey FROM orders WHERE o_orderkey % 2 = 1),
-k AS (SELECT id, max(last) AS last FROM u GROUP BY 1) SELECT id, last FROM k""")
+@query("""SELECT o_custkey AS id, o_orderkey AS version, o_totalprice AS price, o_orderstatus = 'F' AS changed FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""")
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2000).alias("id"), F.col("o_orderdate").alias("last"), "o_orderkey")
-    return R.upserted(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "id", "last").select("id", "last")
+    """Finished orders are the changes to the others; of a customer's the newest stays."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"), (F.col("o_orderstatus") == "F").alias("changed"))
+    return R.upserted(o.where("NOT changed"), o.where("changed"), "id", "version")
 
 
-@query("""WITH l AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 7 <> 0)
+@query("""WITH l AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer), r AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN -c_custkey ELSE c_custkey END AS k, CASE WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer)
 SELECT coalesce(l.k, r.k) AS k, l.v AS left_value, r.v AS right_value FROM l FULL JOIN r ON l.k = r.k WHERE l.v IS DISTINCT FROM r.v""")
 def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
-    changed = c.withColumn("v", F.when(F.col("k") % 3 == 0, "CHANGED").otherwise(F.col("v")))
-    return R.keyed_diff(c.where("k % 5 <> 0"), changed.where("k % 7 <> 0"), "k", "v")
+    changed = c.select(F.when(F.col("k") % 7 == 0, -F.col("k")).otherwise(F.col("k")).alias("k"), F.when(F.col("k") % 3 == 0, "CHANGED").otherwise(F.col("v")).alias("v"))
+    return R.keyed_diff(c, changed, "k", "v")
 
 
 @query("""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'x' ELSE (c_custkey * 3)::VARCHAR END AS raw FROM customer), t AS (SELECT *, TRY_CAST(raw AS BIGINT) AS id FROM n)

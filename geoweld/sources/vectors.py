@@ -166,6 +166,17 @@ def write_geojson(df: DataFrame, path: str) -> None:
     geojson(df).write.mode("overwrite").text(path)
 
 
+def write_report(df: DataFrame, folder: str, order: list[str]) -> None:
+    """A summary table, which is small, in order as CSV, JSON lines and a Markdown table, in folders of these names."""
+    rows = df.orderBy(*order).coalesce(1)
+    rows.write.mode("overwrite").csv(f"{folder}/csv", header=True)
+    rows.write.mode("overwrite").json(f"{folder}/json")
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("|" + "-|" * len(df.columns),)], "value string").coalesce(1)
+    own = rows.select(line([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+    head.union(own).coalesce(1).write.mode("overwrite").text(f"{folder}/md")
+
+
 def append_events(df: DataFrame, path: str) -> None:
     """JSON lines of an event log."""
     df.write.mode("append").json(path)

@@ -10,18 +10,19 @@ from geoweld.operators.grid_join import grid_join, points
 from geoweld.operators.lines import boxed, length, segment, union_length, with_covered_interval
 
 
-def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radius: float, step: float = 5.0) -> DataFrame:
-    """id, mean, p90, far: distances of evenly spaced samples of each segment to the nearest base segment.
+def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radius: float, step: float = 5.0, angle: float = 90.0) -> DataFrame:
+    """id, mean, p90, far: distances of evenly spaced samples of each segment to the nearest base segment, of those that differ by no more than angle in direction.
 
     A segment has ceil(length / step) + 1 samples, three at least; samples
     without a base segment within radius count as infinitely far.
     """
     n = F.greatest(F.ceil(length(segment()) / step) + 1, F.lit(3)).cast("int")
-    at = supplement.select("id", *segment(), n.alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = supplement.select("id", *segment(), n.alias("n"), G.bearing(*segment()).alias("way")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     t = F.col("i") / (F.col("n") - 1)
-    placed = at.select("id", "i", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
+    placed = at.select("id", "i", "way", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
     d = G.point_segment_distance(F.col("a_x"), F.col("a_y"), *segment("b_"))
-    near = grid_join(points(placed), boxed(base), cell, radius).groupBy(F.col("a_id").alias("id"), F.col("a_i").alias("i")).agg(F.min(d).alias("d"))
+    like = None if angle >= 90 else G.angle_difference(F.col("a_way"), G.bearing(*segment("b_"))) <= angle
+    near = grid_join(points(placed), boxed(base), cell, radius, like).groupBy(F.col("a_id").alias("id"), F.col("a_i").alias("i")).agg(F.min(d).alias("d"))
     each = placed.join(near, ["id", "i"], "left").withColumn("d", F.when(F.col("d") <= radius, F.col("d")).otherwise(float("inf")))
     return each.groupBy("id").agg(F.avg("d").alias("mean"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("far"))
 
@@ -57,6 +58,15 @@ def near_base_returns(supplement: DataFrame, base: DataFrame, cell: float, radiu
     return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90) & (F.col("far") <= far)).select("id")
 
 
+def crossing_duplicates(supplement: DataFrame, base: DataFrame, cell: float, corridor: float = 10.0, touch: float = 1.0, angle: float = 22.0, least: float = 0.82, mean: float = 6.0, p90: float = 10.0, far: float = 18.0) -> DataFrame:
+    """id of segments that touch or cross base segments of like direction and run along these: one road drawn twice, a little off."""
+    along = corridor_coverage(supplement, base, cell, corridor, _turned(angle)).where(F.col("covered") >= least).select("id")
+    touching = corridor_coverage(supplement, base, cell, touch, _turned(angle)).where("covered > 0").select("id")
+    some = supplement.join(along, "id", "left_semi").join(touching, "id", "left_semi")
+    near = sampled_distances(some, base, cell, far + 1, angle=angle)
+    return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90) & (F.col("far") <= far)).select("id")
+
+
 def dangling(lines: DataFrame, cell: float, radius: float = 1.0, one_free: float = 12.0, both_free: float = 30.0) -> DataFrame:
     """id of short segments that hang loose: up to both_free long with no end at another line, up to one_free with one."""
     ends = lines.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)))).alias("e")).select("id", "e.*")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
-from geoweld.operators.components import checkpointed
+from geoweld.operators.components import checkpointed, connected_components
 from geoweld.operators.grid_join import grid_join
 
 ENDS = ("x1", "y1", "x2", "y2")
@@ -110,7 +110,29 @@ def coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float)
 def residuals(supplement: DataFrame, base: DataFrame, cell: float, radius: float, least: float = 10.0) -> DataFrame:
     """id, part, x1, y1, x2, y2: what of each supplement segment lies beyond radius of the base, parts of `least` length or more."""
     near = grid_join(boxed(supplement), boxed(base), cell, radius)
-    parts = with_covered_interval(near, radius)
+    return beyond(supplement, with_covered_interval(near, radius), least)
+
+
+def erased_by_boxes(segments: DataFrame, boxes: DataFrame, cell: float, least: float = 0.0) -> DataFrame:
+    """id, part, x1, y1, x2, y2: what of each segment lies outside all boxes, parts longer than `least`."""
+    x1, y1, x2, y2 = segment("a_")
+    near = grid_join(boxed(segments), boxes, cell)
+
+    def span(a: Column, b: Column, low: str, high: str) -> tuple[Column, Column]:
+        d = F.when(a != b, b - a)
+        ends = (F.col(low) - a) / d, (F.col(high) - a) / d
+        flat = F.when((a == b) & a.between(F.col(low), F.col(high)), F.lit(1.0))
+        return F.coalesce(F.least(*ends), flat - 1.0), F.coalesce(F.greatest(*ends), flat)
+
+    (p, q), (r, s) = span(x1, x2, "b_minx", "b_maxx"), span(y1, y2, "b_miny", "b_maxy")
+    cut = near.withColumns({"from x": p, "to x": q, "from y": r, "to y": s})
+    lo, hi = F.greatest(F.col("from x"), F.col("from y"), F.lit(0.0)), F.least(F.col("to x"), F.col("to y"), F.lit(1.0))
+    both = F.col("from x").isNotNull() & F.col("from y").isNotNull() & (lo < hi)
+    return beyond(segments, cut.select("a_id", F.when(both, F.struct(lo.alias("lo"), hi.alias("hi"))).alias("part")), least)
+
+
+def beyond(supplement: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """id, part, x1, y1, x2, y2: the segments without the intervals (a_id, part) of them, parts of `least` length or more."""
     found = parts.groupBy("a_id").agg(F.array_sort(F.collect_list("part")).alias("covered"))
     rows = supplement.join(found, F.col("id") == F.col("a_id"), "left")
     empty = F.array().cast("array<struct<lo:double,hi:double>>")
@@ -167,6 +189,44 @@ def split_at_sharp_turns(lines: DataFrame, least_angle: float = 135.0) -> DataFr
     return cut.select("id", F.posexplode(spans).alias("part", "points"))
 
 
+def split_by_length(segments: DataFrame, most: float) -> DataFrame:
+    """id, part (from 1), x1, y1, x2, y2: each segment in equal pieces, as few as keep to `most`; one without length stays."""
+    n = F.greatest(F.ceil(length(segment()) / most), F.lit(1)).cast("int")
+    cut = segments.select("id", *segment(), n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    at = lambda a, b, k: (F.col(a) + (F.col(b) - F.col(a)) * k / F.col("n"))
+    k = F.col("part")
+    return cut.select("id", "part", at("x1", "x2", k - 1).alias("x1"), at("y1", "y2", k - 1).alias("y1"), at("x1", "x2", k).alias("x2"), at("y1", "y2", k).alias("y2"))
+
+
+def ring_segments(layer: DataFrame) -> DataFrame:
+    """id, part, place, x1, y1, x2, y2: the lines, and the rings of polygons, of a layer (id, parts) as segments in order."""
+    each = layer.select("id", F.posexplode("parts").alias("part", "ring")).where(F.size("ring") > 1)
+    pairs = F.transform(F.slice("ring", 2, F.size("ring")), lambda q, i: F.struct(F.get("ring", i).alias("p"), q.alias("q")))
+    made = each.select("id", "part", F.posexplode(pairs).alias("place", "s"))
+    return made.select("id", "part", "place", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
+
+
+def directed(segments: DataFrame) -> DataFrame:
+    """Segments that start at their lower left end, so that one drawn either way is the same."""
+    x1, y1, x2, y2 = segment()
+    turn = (x1 > x2) | ((x1 == x2) & (y1 > y2))
+    pick = lambda a, b: F.when(turn, b).otherwise(a)
+    return segments.withColumns({"x1": pick(x1, x2), "y1": pick(y1, y2), "x2": pick(x2, x1), "y2": pick(y2, y1)})
+
+
+def joined_ends(segments: DataFrame, cell: float, radius: float) -> DataFrame:
+    """Segments whose ends that lie within radius of each other, by steps, are moved to one place, that of the least of them in order."""
+    ends = segments.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)))).alias("e")).select("id", "e.*")
+    node = F.struct("x", "y")
+    places = ends.select("x", "y").distinct().withColumns({"minx": F.col("x"), "miny": F.col("y"), "maxx": F.col("x"), "maxy": F.col("y")})
+    near = grid_join(places, places, cell, radius).where(G.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")) <= radius)
+    links = near.select(F.struct(F.col("a_x").alias("x"), F.col("a_y").alias("y")).alias("a"), F.struct(F.col("b_x").alias("x"), F.col("b_y").alias("y")).alias("b"))
+    of = checkpointed(connected_components(links))
+    moved = ends.withColumn("node", node).join(of, "node", "left").select("id", "end", F.coalesce("component", "node").alias("to"))
+    both = moved.groupBy("id").agg(F.max(F.when(F.col("end") == 1, F.col("to"))).alias("p"), F.max(F.when(F.col("end") == 2, F.col("to"))).alias("q"))
+    return segments.drop(*ENDS).join(both, "id").select(*(c for c in segments.columns if c not in ENDS), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
 def suppressed_in_order(edges: DataFrame) -> DataFrame:
     """id of the rows that the sequential rule drops: from the first on, a row that stands drops those it has an edge to.
 

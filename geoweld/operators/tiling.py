@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,9 @@ def tile_size_for(features: int, area_km2: float, size: float, most_features: in
     if features <= most_features and area_km2 <= most_km2:
         return 1
     return max(1, min(most_tiles, math.ceil(area_km2 * 1e6 / (size * size))))
+
+
+def tiles_for(features: Column, km2: Column, size: float, most_features: int = 300_000, most_km2: float = 50_000.0, most_tiles: int = 64) -> Column:
+    """tile_size_for as an expression over a table of runs."""
+    several = F.greatest(F.lit(1), F.least(F.lit(most_tiles), F.ceil(km2 * 1e6 / (size * size))))
+    return F.when((features <= most_features) & (km2 <= most_km2), F.lit(1)).otherwise(several).cast("int")

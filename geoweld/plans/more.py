@@ -43,13 +43,14 @@ def _point_to(b: str) -> str:
     return f"CASE WHEN {d} > 0 THEN greatest(0, least(1, ((x - {b}.x1) * ({b}.x2 - {b}.x1) + (y - {b}.y1) * ({b}.y2 - {b}.y1)) / {d})) ELSE 0 END"
 
 
-def _sampled(name: str, r: float) -> str:
+def _sampled(name: str, r: float, angle: float = 90.0) -> str:
     """CTEs that end in `name`: id, mean, p90, far of the distances of samples of each supplement to the base."""
     beside = f"b.x1 + t * (b.x2 - b.x1) - x AS ox, b.y1 + t * (b.y2 - b.y1) - y AS oy"
     return f"""{name}_n AS (SELECT *, greatest(ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 5) + 1, 3)::INT AS n FROM sb),
-{name}_s AS (SELECT id, i, x1 + i / (n - 1) * (x2 - x1) AS x, y1 + i / (n - 1) * (y2 - y1) AS y FROM (SELECT *, unnest(range(n)) AS i FROM {name}_n)),
+{name}_s AS (SELECT id, i, (degrees(atan2(y2 - y1, x2 - x1)) + 360) % 180 AS way, x1 + i / (n - 1) * (x2 - x1) AS x, y1 + i / (n - 1) * (y2 - y1) AS y FROM (SELECT *, unnest(range(n)) AS i FROM {name}_n)),
 {name}_d AS (SELECT id, i, min(sqrt(ox ** 2 + oy ** 2)) AS d FROM (SELECT o.id, i, {beside} FROM (SELECT s.id, s.i, s.x, s.y, b.id AS b_id, {_point_to('b')} AS t
-    FROM {name}_s s JOIN sa b ON x - {r} <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= x + {r} AND y - {r} <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= y + {r}) o JOIN sa b ON b.id = o.b_id) GROUP BY id, i),
+    FROM {name}_s s JOIN sa b ON x - {r} <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= x + {r} AND y - {r} <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= y + {r}
+      AND least(abs(way - (degrees(atan2(b.y2 - b.y1, b.x2 - b.x1)) + 360) % 180), 180 - abs(way - (degrees(atan2(b.y2 - b.y1, b.x2 - b.x1)) + 360) % 180)) <= {angle}) o JOIN sa b ON b.id = o.b_id) GROUP BY id, i),
 {name} AS (SELECT id, avg(e) AS mean, quantile_cont(e, 0.9) AS p90, max(e) AS far FROM (SELECT s.id, CASE WHEN d <= {r} THEN d ELSE 'inf'::DOUBLE END AS e FROM {name}_s s LEFT JOIN {name}_d d ON s.id = d.id AND s.i = d.i) GROUP BY id)"""
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from geoweld.operators.components import shared_folder
 from geoweld.operators.naming import first_rows
@@ -59,6 +61,31 @@ def due_and_expired(jobs: DataFrame, now: str) -> DataFrame:
     return jobs.withColumn("state", state)
 
 
+def timed_out(stream: DataFrame, run: str, at: str, seconds: int, delay: str) -> DataFrame:
+    """run_id, last_seen of each run of whose events none came within so many seconds of event time after the last, as the watermark passes it.
+
+    The state of a run is the time of its last event; its timer moves on with each of them, and
+    an event after a timeout starts it anew.
+    """
+    micros = F.unix_micros(at)
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"run_id": [key[0]], "last": [last]})
+            return
+        last = max(int(pdf["micros"].max()) for pdf in batches)
+        if state.exists:
+            last = max(last, state.get[0])
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+
+    seen = stream.withWatermark(at, delay).select(F.col(run).alias("run_id"), F.col(at).alias("at"), micros.alias("micros"))
+    found = seen.groupBy("run_id").applyInPandasWithState(watch, "run_id long, last long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("run_id", F.timestamp_micros("last").alias("last_seen"))
+
+
 def stale(runs: DataFrame, now: str, seconds: int = 300) -> DataFrame:
     """Runs whose last sign of life is at least that old, the oldest first."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last_seen")

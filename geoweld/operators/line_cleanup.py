@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
-from geoweld.operators.grid_join import grid_join, points
-from geoweld.operators.lines import boxed, length, segment, union_length, with_covered_interval
+from geoweld.operators.components import checkpointed
+from geoweld.operators.grid_join import best_per, grid_join, points
+from geoweld.operators.lines import ENDS, boxed, duplicate_supplements, length, line_candidates, residuals, segment, snapped_segments, union_length, with_covered_interval
 
 
 def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radius: float, step: float = 5.0, angle: float = 90.0) -> DataFrame:
@@ -58,12 +59,12 @@ def near_base_returns(supplement: DataFrame, base: DataFrame, cell: float, radiu
     return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90) & (F.col("far") <= far)).select("id")
 
 
-def crossing_duplicates(supplement: DataFrame, base: DataFrame, cell: float, corridor: float = 10.0, touch: float = 1.0, angle: float = 22.0, least: float = 0.82, mean: float = 6.0, p90: float = 10.0, far: float = 18.0) -> DataFrame:
+def crossing_duplicates(supplement: DataFrame, base: DataFrame, cell: float, corridor: float = 12.0, touch: float = 1.0, angle: float = 22.0, least: float = 0.82, mean: float = 6.0, p90: float = 10.0, far: float = 18.0, step: float = 30.0) -> DataFrame:
     """id of segments that touch or cross base segments of like direction and run along these: one road drawn twice, a little off."""
     along = corridor_coverage(supplement, base, cell, corridor, _turned(angle)).where(F.col("covered") >= least).select("id")
     touching = corridor_coverage(supplement, base, cell, touch, _turned(angle)).where("covered > 0").select("id")
     some = supplement.join(along, "id", "left_semi").join(touching, "id", "left_semi")
-    near = sampled_distances(some, base, cell, far + 1, angle=angle)
+    near = sampled_distances(some, base, cell, far + 1, step, angle)
     return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90) & (F.col("far") <= far)).select("id")
 
 
@@ -76,3 +77,31 @@ def dangling(lines: DataFrame, cell: float, radius: float = 1.0, one_free: float
     counted = lines.join(tied, "id", "left").withColumn("tied", F.coalesce("tied", F.lit(0)))
     long = length(segment())
     return counted.where(((F.col("tied") == 0) & (long <= both_free)) | ((F.col("tied") == 1) & (long <= one_free))).select("id")
+
+
+def conflated(base: DataFrame, supplement: DataFrame, cell: float, radius: float = 3.0, least: float = 5.0) -> DataFrame:
+    """id, of, part, role, x1, y1, x2, y2: the base network with what supplements add to it.
+
+    A supplement that is some base line's best match adds only its parts beyond radius of the base (part from 1, role residual), any other one
+    the whole of it (part 0, role supplement). Of these the ones go that one base line, several, a corridor along the
+    base or a crossing of it double, then the short ones that hang loose in the network. The ends of the rest are moved
+    to the base where that doesn't bend them. The id of a supplement's part is 100 times its own plus the part; base lines keep theirs as `of` and
+    have role base.
+    """
+    best = best_per(line_candidates(base, supplement, cell), "a_id", F.col("hausdorff_m"), F.col("angle_diff_deg"), F.col("b_id"))
+    matched = checkpointed(best.select(F.col("b_id").alias("id")).distinct())
+    ends = [F.col(c) for c in ENDS]
+    whole = supplement.join(matched, "id", "left_anti").select((F.col("id") * 100).alias("id"), *ends)
+    rest = residuals(supplement.join(matched, "id", "left_semi"), base, cell, radius, least).select((F.col("id") * 100 + F.col("part")).alias("id"), *ends)
+    parts = checkpointed(whole.union(rest))
+    doubles = [duplicate_supplements(parts, base, cell), group_duplicates(parts, base, cell), near_base_returns(parts, base, cell), crossing_duplicates(parts, base, cell)]
+    gone = doubles[0]
+    for df in doubles[1:]:
+        gone = gone.union(df)
+    left = checkpointed(parts.join(gone.distinct(), "id", "left_anti"))
+    network = left.union(base.select((-1 - F.col("id")).alias("id"), *ends))
+    tied = left.join(dangling(network, cell), "id", "left_anti")
+    snapped = snapped_segments(tied, base, cell)
+    part = (F.col("id") % 100).cast("int")
+    added = snapped.select("id", F.floor(F.col("id") / 100).alias("of"), part.alias("part"), F.when(part == 0, "supplement").otherwise("residual").alias("role"), *ends)
+    return base.select((-1 - F.col("id")).alias("id"), F.col("id").alias("of"), F.lit(0).alias("part"), F.lit("base").alias("role"), *ends).union(added)

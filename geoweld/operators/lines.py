@@ -167,6 +167,18 @@ def snapped_endpoints(supplement: DataFrame, base: DataFrame, cell: float, radiu
     return ends.join(best, ["id", "end"], "left").select("id", "end", F.coalesce("to.px", "x").alias("x"), F.coalesce("to.py", "y").alias("y"), F.col("to").isNotNull().alias("snapped"))
 
 
+def snapped_segments(supplement: DataFrame, base: DataFrame, cell: float, radius: float = 10.0, bend: float = 35.0, least: float = 1.0) -> DataFrame:
+    """Segments (id, x1, y1, x2, y2) with their ends at the base's nearest points within radius; one that would turn by more than bend, or be shorter than least, stays as it is."""
+    to = snapped_endpoints(supplement, base, cell, radius).groupBy("id").agg(*(F.max(F.when(F.col("end") == k, F.col(c))).alias(f"to {c}{k}") for k in (1, 2) for c in "xy"))
+    moved = supplement.select("id", *segment()).join(to, "id")
+    new = tuple(F.col(f"to {c}") for c in ENDS)
+    old = segment()
+    dot = (old[2] - old[0]) * (new[2] - new[0]) + (old[3] - old[1]) * (new[3] - new[1])
+    turned = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.nullif(length(old) * length(new), F.lit(0.0))))))
+    fine = (length(new) >= least) & (F.coalesce(turned, F.lit(0.0)) <= bend)
+    return moved.select("id", *(F.when(fine, n).otherwise(o).alias(c) for c, n, o in zip(ENDS, new, old, strict=True)))
+
+
 def duplicate_supplements(supplement: DataFrame, base: DataFrame, cell: float, angle: float = 25.0, near: float = 8.0, least: float = 0.92, longest: float = 1.5, whole: float = 0.98) -> DataFrame:
     """id of the supplement segments that one base segment doubles."""
     a, b = segment("a_"), segment("b_")

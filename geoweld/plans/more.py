@@ -18,13 +18,13 @@ def _near(s: str, b: str, r: float) -> str:
     return f"{one('x')} AND {one('y')}"
 
 
-def _covered(name: str, r: float, angle: float = 90.0) -> str:
+def _covered(name: str, r: float, angle: float = 90.0, of: str = "sb") -> str:
     """CTEs that end in `name`: id, b_id, lo, hi of where along each supplement a base segment of like direction lies within r."""
     turn = "((degrees(atan2({0}y2 - {0}y1, {0}x2 - {0}x1)) + 360) % 180)"
     s, b = turn.format("s."), turn.format("b.")
     return f"""{name}_p AS (SELECT s.id, b.id AS b_id, s.x1, s.y1, s.x2 - s.x1 AS dx, s.y2 - s.y1 AS dy, b.x1 AS wx, b.y1 AS wy, b.x2 AS cx, b.y2 AS cy, b.x2 - b.x1 AS ux, b.y2 - b.y1 AS uy,
     sqrt((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2) AS own, sqrt((b.x2 - b.x1) ** 2 + (b.y2 - b.y1) ** 2) AS long
-  FROM sb s JOIN sa b ON {_near('s', 'b', r)} WHERE least(abs({s} - {b}), 180 - abs({s} - {b})) <= {angle}),
+  FROM {of} s JOIN sa b ON {_near('s', 'b', r)} WHERE least(abs({s} - {b}), 180 - abs({s} - {b})) <= {angle}),
 {name}_c AS (SELECT *, nullif(dx * dx + dy * dy, 0) AS sq, ((x1 - wx) * ux + (y1 - wy) * uy) / nullif(long, 0) AS p0, (dx * ux + dy * uy) / nullif(long, 0) AS dp,
     ((y1 - wy) * ux - (x1 - wx) * uy) / nullif(long, 0) AS q0, (dy * ux - dx * uy) / nullif(long, 0) AS dq FROM {name}_p),
 {name}_r AS (SELECT *, ((x1 - wx) * dx + (y1 - wy) * dy) / sq AS h0, ((x1 - cx) * dx + (y1 - cy) * dy) / sq AS h1, ((x1 - wx) ** 2 + (y1 - wy) ** 2 - {r} ** 2) / sq AS e0, ((x1 - cx) ** 2 + (y1 - cy) ** 2 - {r} ** 2) / sq AS e1,
@@ -43,10 +43,10 @@ def _point_to(b: str) -> str:
     return f"CASE WHEN {d} > 0 THEN greatest(0, least(1, ((x - {b}.x1) * ({b}.x2 - {b}.x1) + (y - {b}.y1) * ({b}.y2 - {b}.y1)) / {d})) ELSE 0 END"
 
 
-def _sampled(name: str, r: float, angle: float = 90.0) -> str:
+def _sampled(name: str, r: float, angle: float = 90.0, of: str = "sb", step: float = 5.0) -> str:
     """CTEs that end in `name`: id, mean, p90, far of the distances of samples of each supplement to the base."""
     beside = f"b.x1 + t * (b.x2 - b.x1) - x AS ox, b.y1 + t * (b.y2 - b.y1) - y AS oy"
-    return f"""{name}_n AS (SELECT *, greatest(ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 5) + 1, 3)::INT AS n FROM sb),
+    return f"""{name}_n AS (SELECT *, greatest(ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / {step}) + 1, 3)::INT AS n FROM {of}),
 {name}_s AS (SELECT id, i, (degrees(atan2(y2 - y1, x2 - x1)) + 360) % 180 AS way, x1 + i / (n - 1) * (x2 - x1) AS x, y1 + i / (n - 1) * (y2 - y1) AS y FROM (SELECT *, unnest(range(n)) AS i FROM {name}_n)),
 {name}_d AS (SELECT id, i, min(sqrt(ox ** 2 + oy ** 2)) AS d FROM (SELECT o.id, i, {beside} FROM (SELECT s.id, s.i, s.x, s.y, b.id AS b_id, {_point_to('b')} AS t
     FROM {name}_s s JOIN sa b ON x - {r} <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= x + {r} AND y - {r} <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= y + {r}

@@ -13,18 +13,52 @@ from geoweld.operators import matching as M
 from geoweld.operators import poi
 from geoweld.operators.tiling import tiles_for
 from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, other_boxes, other_points, other_segments
-from geoweld.plans.more import _covered, _sampled
+from geoweld.plans.more import _covered, _point_to, _sampled
 from geoweld.plans.registry import query, table
+from geoweld.plans.spatial import _LINES
 from geoweld.streaming import events as E
 
 
-@query(f"""WITH {SQL['sa']}, {SQL['sb']}, {_covered('c10', 10.0, 22.0)}, {_covered('c1', 1.0, 22.0)}, {_sampled('d', 19.0, 22.0)}, u AS (SELECT id, sum(greatest(0, hi - greatest(lo, coalesce(upto, -1)))) AS covered FROM c10_o GROUP BY id),
+@query(f"""WITH {SQL['sa']}, {SQL['sb']}, {_covered('c10', 12.0, 22.0)}, {_covered('c1', 1.0, 22.0)}, {_sampled('d', 19.0, 22.0, step=30.0)}, u AS (SELECT id, sum(greatest(0, hi - greatest(lo, coalesce(upto, -1)))) AS covered FROM c10_o GROUP BY id),
 t AS (SELECT DISTINCT id FROM c1 WHERE hi > lo) SELECT u.id FROM u JOIN t USING (id) JOIN d USING (id) WHERE covered >= 0.82 AND mean <= 6 AND p90 <= 10 AND far <= 18""")
 def crossing_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplements that touch a base line of like direction and run along it."""
     return L.crossing_duplicates(other_segments(spark, sf_dir), base_segments(spark, sf_dir), CELL)
 
 
+def _union_of(name: str, made: str) -> str:
+    return f"{name} AS (SELECT id, sum(greatest(0, hi - greatest(lo, coalesce(upto, -1)))) AS covered FROM {made}_o GROUP BY id)"
+
+
+def _ends(name: str, of: str, r: float, tie: str = "") -> str:
+    """CTE of each end of `of` with its nearest points of the base within r."""
+    return f"""{name}_f AS (SELECT id, 1 AS k, x1 AS x, y1 AS y FROM {of} UNION ALL SELECT id, 2, x2, y2 FROM {of}),
+{name}_g AS (SELECT f.id, f.k, f.x, f.y, b.id AS b_id, b.x1, b.y1, b.x2, b.y2, {_point_to('b')} AS t FROM {name}_f f JOIN {tie or 'sa'} b ON {'f.id <> b.id AND ' if tie else ''}x - {r} <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= x + {r} AND y - {r} <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= y + {r}),
+{name} AS (SELECT *, x1 + t * (x2 - x1) AS px, y1 + t * (y2 - y1) AS py, sqrt((x1 + t * (x2 - x1) - x) ** 2 + (y1 + t * (y2 - y1) - y) ** 2) AS d FROM {name}_g WHERE sqrt((x1 + t * (x2 - x1) - x) ** 2 + (y1 + t * (y2 - y1) - y) ** 2) <= {r})"""
+
+
+@query(f"""{_LINES}, best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY haus, angle, b_id) = 1), mb AS (SELECT sb.* FROM sb WHERE id IN (SELECT b_id FROM best)), {_covered('r3', 3.0, of='mb')},
+gap AS (SELECT id, coalesce(upto, 0) AS lo, lo AS hi FROM r3_o WHERE lo > coalesce(upto, 0) UNION ALL SELECT mb.id, coalesce(max(r3.hi), 0), 1 FROM mb LEFT JOIN r3 USING (id) GROUP BY mb.id HAVING coalesce(max(r3.hi), 0) < 1),
+pt AS (SELECT id * 100 + row_number() OVER (PARTITION BY id ORDER BY lo) AS id, x1 + lo * (x2 - x1) AS x1, y1 + lo * (y2 - y1) AS y1, x1 + hi * (x2 - x1) AS x2, y1 + hi * (y2 - y1) AS y2 FROM gap JOIN mb USING (id) WHERE (hi - lo) * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) >= 5
+  UNION ALL SELECT id * 100, x1, y1, x2, y2 FROM sb WHERE id NOT IN (SELECT b_id FROM best)),
+{_covered('c8', 8.0, 25.0, 'pt')}, {_covered('c6', 6.0, 18.0, 'pt')}, {_covered('c12', 12.0, of='pt')}, {_covered('c22', 12.0, 22.0, 'pt')}, {_covered('c1', 1.0, 22.0, 'pt')}, {_sampled('d12', 12.0, of='pt')}, {_sampled('d32', 32.0, of='pt')}, {_sampled('d19', 19.0, 22.0, 'pt', 30.0)},
+{_union_of('u6', 'c6')}, {_union_of('u12', 'c12')}, {_union_of('u22', 'c22')}, {_ends('h12', 'pt', 12.0)}, hh AS (SELECT id FROM h12 GROUP BY id HAVING count(DISTINCT k) = 2),
+gone AS (SELECT id FROM c8 WHERE hi - lo >= 0.92 AND (own <= 1.5 * long OR hi - lo >= 0.98) UNION SELECT u6.id FROM u6 JOIN d12 USING (id) WHERE covered >= 0.9 AND mean <= 4 AND p90 <= 7
+  UNION SELECT u12.id FROM u12 JOIN hh USING (id) JOIN d32 USING (id) WHERE covered >= 0.85 AND mean <= 6 AND p90 <= 10 AND far <= 16
+  UNION SELECT u22.id FROM u22 JOIN d19 USING (id) WHERE covered >= 0.82 AND mean <= 6 AND p90 <= 10 AND far <= 18 AND u22.id IN (SELECT id FROM c1 WHERE hi > lo)),
+kept AS (SELECT * FROM pt WHERE id NOT IN (SELECT id FROM gone)), net AS (SELECT * FROM kept UNION ALL SELECT -1 - id, x1, y1, x2, y2 FROM sa), {_ends('tie', 'kept', 1.0, 'net')}, tied AS (SELECT id, count(DISTINCT k) AS n FROM tie GROUP BY id),
+fast AS (SELECT kept.* FROM kept LEFT JOIN tied USING (id) WHERE NOT ((coalesce(n, 0) = 0 AND sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) <= 30) OR (coalesce(n, 0) = 1 AND sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) <= 12))),
+{_ends('sn', 'fast', 10.0)}, one AS (SELECT id, k, px, py FROM sn QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY d, b_id) = 1),
+mv AS (SELECT f.*, coalesce(p.px, x1) AS u1, coalesce(p.py, y1) AS v1, coalesce(q.px, x2) AS u2, coalesce(q.py, y2) AS v2 FROM fast f LEFT JOIN one p ON f.id = p.id AND p.k = 1 LEFT JOIN one q ON f.id = q.id AND q.k = 2),
+ok AS (SELECT *, sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2) >= 1 AND coalesce(degrees(acos(greatest(-1, least(1, ((x2 - x1) * (u2 - u1) + (y2 - y1) * (v2 - v1)) / nullif(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) * sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2), 0))))), 0) <= 35 AS fine FROM mv)
+SELECT -1 - id AS id, id AS "of", 0 AS part, 'base' AS role, x1, y1, x2, y2 FROM sa
+UNION ALL SELECT id, id // 100, (id % 100)::INT, CASE WHEN id % 100 = 0 THEN 'supplement' ELSE 'residual' END, round(CASE WHEN fine THEN u1 ELSE x1 END, 4), round(CASE WHEN fine THEN v1 ELSE y1 END, 4), round(CASE WHEN fine THEN u2 ELSE x2 END, 4), round(CASE WHEN fine THEN v2 ELSE y2 END, 4) FROM ok""")
+def conflated_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road conflation from match to snap: the base network and what supplements add to it."""
+    made = L.conflated(base_segments(spark, sf_dir), other_segments(spark, sf_dir), CELL)
+    return made.select("id", "of", "part", "role", *(F.round(c, 4).alias(c) for c in lines.ENDS))
+
+
 @query(f"""WITH {SQL['sa']}, {SQL['b']}, i AS (SELECT s.id, greatest(CASE WHEN s.x1 = s.x2 THEN 0 ELSE least((b.minx - s.x1) / (s.x2 - s.x1), (b.maxx - s.x1) / (s.x2 - s.x1)) END, CASE WHEN s.y1 = s.y2 THEN 0 ELSE least((b.miny - s.y1) / (s.y2 - s.y1), (b.maxy - s.y1) / (s.y2 - s.y1)) END, 0) AS lo,
     least(CASE WHEN s.x1 = s.x2 THEN 1 ELSE greatest((b.minx - s.x1) / (s.x2 - s.x1), (b.maxx - s.x1) / (s.x2 - s.x1)) END, CASE WHEN s.y1 = s.y2 THEN 1 ELSE greatest((b.miny - s.y1) / (s.y2 - s.y1), (b.maxy - s.y1) / (s.y2 - s.y1)) END, 1) AS hi
   FROM sa s JOIN b ON least(s.x1, s.x2) <= b.maxx AND b.minx <= greatest(s.x1, s.x2) AND least(s.y1, s.y2) <= b.maxy AND b.miny <= greatest(s.y1, s.y2)),

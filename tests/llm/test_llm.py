@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty and odd rows."""
 
+import os
 import random
 import re
 import zlib
@@ -120,6 +121,26 @@ def test_ann_recall_ties_and_odd_rows(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_ann_recall_on_the_table(spark):
+    where = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(where):
+        pytest.skip("no tables")
+    df = spark.read.parquet(where)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.vec_id is not None and r.embedding is not None and None not in r.embedding]
+    rows = [(i, v) for i, v in rows if len(v) == 64 and np.isfinite(v).all() and v.any()]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = asked = 0
+    found = {}
+    for r in ann.nearest(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, v in rows:
+        if q % 20 == 0:
+            score = m @ v
+            top = [i for i in ids[np.lexsort((ids, -score))] if i != q][:20]
+            hits, asked = hits + len(found[q] & set(top)), asked + len(top)
+    assert asked and hits / asked >= 0.9
+
+
 # --- 3 html -------------------------------------------------------------------------------------
 
 

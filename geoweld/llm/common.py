@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweld.operators.components import checkpointed, shared_folder  # noqa: F401
+from geoweld.operators.naming import free_name  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,23 +24,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one on one machine, and an error elsewhere."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and context.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a copy in the shared folder, which outlives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextmanager
 def session_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
     """Runtime settings of Spark SQL, underscores for dots, that hold within."""
@@ -51,11 +36,3 @@ def session_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't use yet."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name

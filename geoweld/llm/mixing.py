@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Every row gets a hash-random key. Within its source, rows stand in the order of
-that key; the key's leading bits cut a source into ranges of similar size, so a
+that key; Spark deals them by ranges of similar size, so a
 source that holds most of the rows is ordered by many tasks. The words before a
 row are the words of the ranges before its range, which come from one small row
 a range, plus a running sum within the range. A source's budget is then cut
@@ -10,13 +10,12 @@ exactly: whole epochs first, then the rows up to the remainder.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import WORD, checkpointed
-
-#: Leading hexadecimal digits of the key that name the ranges of a source.
-RANGE_DIGITS = 3
+from geoweld.llm.common import WORD, checkpointed, free_name
 
 
 def word_count(text: Column) -> Column:
@@ -50,7 +49,7 @@ def cyclic_targets(totals: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.
     )
 
 
-def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 11, range_digits: int = RANGE_DIGITS) -> DataFrame:
+def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 11, more: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each row the mix takes.
 
     Repeats count: a row may be taken once an epoch, up to `most` times its
@@ -58,20 +57,22 @@ def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3.0, 1.0,
     row at the cut gives only the words up to it. A null source is a source of
     its own; a null text has size 0 and gives 0. Rows that agree in doc_id,
     source and size are alike, so their order doesn't matter; reruns agree.
-    Other columns of docs are left out.
+    Columns of docs other than those of more are left out.
+
+    Rows are sorted by ranges of source, hash key, size and row, so neither a large source nor
+    many rows of one doc_id, or of none, lie in one range.
     """
-    sized = checkpointed(
-        docs.select("doc_id", "source", size.cast("long").alias("size")).withColumn(
-            "key", F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id"), F.col("source")))
-        ).withColumn("range", F.substring("key", 1, range_digits))
-    )
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id"), F.col("source")))
+    sized = checkpointed(docs.select("doc_id", "source", size.cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *more))
+    dealt = sized.repartitionByRange(F.col("source").asc_nulls_last(), "key", "doc_id", "size", "row")
+    sized = checkpointed(dealt.withColumn("range", F.spark_partition_id()))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     totals = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = cyclic_targets(totals, weights, share, most)
     in_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select("source", "range", F.coalesce(F.sum("range_size").over(in_source), F.lit(0)).alias("range_start"))
     starts = starts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(in_range), F.lit(0)))
     placed = placed.join(
         starts.withColumnsRenamed({"source": "of", "range": "at"}),
@@ -81,7 +82,7 @@ def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = (3.0, 1.0,
     epochs = F.when(whole > 0, F.floor(budget / F.greatest(whole, F.lit(1)))).otherwise(0).cast("long")
     rest = budget - epochs * whole - F.col("range_start") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *more)
 
 
 def mix_documents(docs: DataFrame, size: Column, **params) -> DataFrame:
@@ -89,16 +90,15 @@ def mix_documents(docs: DataFrame, size: Column, **params) -> DataFrame:
 
     The row at a source's cut is thus the only one that gives more than the
     budget. Rows that share a doc_id and a source share one decision: the mix
-    counts their words together. A row without words comes once: it costs nothing.
+    counts their words together; so do those without a doc_id that share source and text. A row without words comes once: it costs nothing.
     Columns are those of docs.
     """
-    unit = docs.groupBy("doc_id", "source").agg(F.sum(size).alias("unit_size"))
-    taken = mixed(unit, F.col("unit_size"), **params)
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    unit = docs.groupBy("doc_id", "source", own.alias("of_text")).agg(F.sum(size).alias("unit_size"))
+    taken = mixed(unit, F.col("unit_size"), more=["of_text"], **params)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
-    chosen = taken.select(F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), copies.alias("copies")).where("copies > 0")
-    d = docs.alias("d")
-    return (
-        d.join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.of_doc")) & F.col("d.source").eqNullSafe(F.col("c.of_source")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("c.copies"))))
-        .select("d.*")
-    )
+    chosen = taken.select(F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), "of_text", copies.alias("copies")).where("copies > 0")
+    d, copy = docs.alias("d"), free_name(docs, "copy")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.of_doc")) & F.col("d.source").eqNullSafe(F.col("c.of_source"))
+    of_text = F.when(F.col("d.doc_id").isNull(), F.xxhash64("d.text")).eqNullSafe(F.col("c.of_text"))
+    return d.join(chosen.alias("c"), same & of_text).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("c.copies")))).select("d.*")

@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweld.llm.common import checkpointed, free_name, session_settings
-from geoweld.llm.components import connected_components
 from geoweld.llm.shingles import shingle_sets
+from geoweld.operators.components import connected_components
 
 #: The k of the prefixes.
 SHARED = (1, 2, 4, 8, 16)

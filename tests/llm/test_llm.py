@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweld.llm import ann, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, tokens, url_filters
-from geoweld.llm.components import connected_components
+from geoweld.operators.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +70,26 @@ def test_mixing_targets_and_cut(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mixing_of_rows_without_ids(spark):
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(1, 30)) for _ in range(200)] + [prose(rng, 9)] * 40 + ["w " * 20000]
+    docs = documents(spark, texts, [rng.choice("ab") for _ in texts]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("copy", F.lit(1)).withColumn("of_text", F.lit(2))
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(WORD.findall(r.text))
+    got = mixing.mixed(docs.repartition(4), mixing.word_count(F.col("text"))).collect()
+    assert len(got) == len(texts)
+    for s in sizes:
+        assert sum(r.taken for r in got if r.source == s) == int(next(r.target for r in got if r.source == s))
+    made = mixing.mix_documents(docs, mixing.word_count(F.col("text"))).collect()
+    again = mixing.mix_documents(docs.repartition(3), mixing.word_count(F.col("text"))).collect()
+    assert sorted(map(str, made)) == sorted(map(str, again)) and made[0].copy == 1 and made[0].of_text == 2
+    target = targets_by_hand(sizes)
+    longest = {s: max(Counter(r.text for r in made if r.source == s).get(t, 0) * len(WORD.findall(t)) for t in set(r.text for r in made if r.source == s)) for s in sizes}
+    for s in sizes:
+        assert target[s] - 1 <= sum(len(WORD.findall(r.text)) for r in made if r.source == s) <= target[s] + longest[s]
+
+
 def test_mixing_empty_and_repeats(spark):
     empty = documents(spark, []).limit(0)
     assert mixing.mixed(empty, mixing.word_count(F.col("text"))).count() == 0

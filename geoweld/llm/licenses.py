@@ -28,7 +28,6 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -100,7 +99,8 @@ class Templates:
 
 
 def units(text: str) -> Iterator[str]:
-    """Lines; paragraphs (parted by empty lines) of several lines; a whole text of several paragraphs."""
+    """Lines; paragraphs (parted by empty lines) of several lines; a whole text of several paragraphs. CRLF ends a line as LF does."""
+    text = text.replace("\r\n", "\n")
     paragraphs = text.split("\n\n")
     for p in paragraphs:
         lines = p.split("\n")

@@ -141,13 +141,13 @@ def _values(rows: tuple) -> str:
 OP6_SQL = rf"""
 WITH folded AS (
   SELECT row_number() OVER () AS r, doc_id,
-         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+         replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(13) || chr(10), chr(10)) AS t
   FROM documents),
 unit AS (
   SELECT r, row_number() OVER () AS u, regexp_extract_all(x, '[a-z0-9]+') AS w
   FROM (SELECT r, unnest(string_split(t, chr(10)) || string_split(t, chr(10) || chr(10)) || [t]) AS x FROM folded)),
 ub AS (
-  SELECT DISTINCT r, u, w[i] AS a, w[i + 1] AS b FROM (SELECT r, u, w, unnest(range(1, len(w))) AS i FROM unit WHERE len(w) BETWEEN 2 AND 400)),
+  SELECT DISTINCT r, u, w[i] AS a, w[i + 1] AS b FROM (SELECT r, u, w, unnest(range(1, len(w))) AS i FROM unit WHERE len(w) >= 2)),
 us AS (SELECT u, count(*) AS n FROM ub GROUP BY u),
 template AS (
   SELECT row_number() OVER () AS k, name, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM (VALUES {_values(licenses.TEMPLATES)}) v(name, t)),

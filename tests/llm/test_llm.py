@@ -386,9 +386,10 @@ def test_license_scan_tells_near_notices_and_whole_texts(spark):
         "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
         "CC-BY-3.0": "Licensed under CC BY 3.0",
     }
-    texts = [*want.values(), *(" ".join(t.split()[:-60]) for _, t in licenses.TEXTS)]
+    whole = [" ".join(t.split()[:-60]) if len(t) > 5000 else t.replace("<year>", "2024").replace("<owner>", "A. Person and others").replace("<copyright holders>", "A. Person").replace("\n", "\r\n") for _, t in licenses.TEXTS]
+    texts = [*want.values(), *whole]
     got = {r.doc_id: r.license for r in licenses.scanned(documents(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == [*want, *(n for n, _ in licenses.TEXTS)] and len(licenses.TEXTS) == 7
+    assert [got[i] for i in range(len(texts))] == [*want, *(n for n, _ in licenses.TEXTS)] and len(licenses.TEXTS) == 12
 
 
 # --- 7 and 8 tokens -------------------------------------------------------------------------------------------

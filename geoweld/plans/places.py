@@ -18,7 +18,7 @@ from geoweld.plans.spatial import _FUSED, _LINES
 
 
 @query(f"""WITH {SQL['sa']}, {SQL['sb']}, {_covered('c', 2.0)}, m AS (SELECT id, max_by(b_id, (hi - lo, -b_id)) AS original, max(hi - lo) AS share FROM c GROUP BY id)
-SELECT sb.id, CASE WHEN share > 0 THEN original END AS original, CASE WHEN share > 0 THEN (original % 7)::VARCHAR ELSE 'new' END AS class, round(greatest(share, 0), 6) AS share FROM sb LEFT JOIN m USING (id)""")
+SELECT sb.id, CASE WHEN share > 0 THEN original END AS original, CASE WHEN share > 0 THEN (original % 7)::VARCHAR ELSE 'new' END AS class, round(greatest(share, 0) + 0.0, 6) AS share FROM sb LEFT JOIN m USING (id)""")
 def carried_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplement with the attribute of the base line that lies along most of it."""
     base = base_segments(spark, sf_dir).withColumn("class", (F.col("id") % 7).cast("string"))

@@ -121,6 +121,14 @@ def quadkey_tile(key: Column) -> tuple[Column, Column]:
     return folded(0), folded(1)
 
 
+def tile_bounds(column: Column, row: Column, level: Column) -> tuple[Column, Column, Column, Column]:
+    """West, south, east and north of a Web Mercator tile, in degrees."""
+    wide = F.pow(F.lit(2.0), level)
+    lon = lambda x: x / wide * 360 - 180
+    lat = lambda y: F.degrees(F.atan(F.sinh(F.lit(3.141592653589793) * (1 - 2 * y / wide))))
+    return lon(column), lat(row + 1), lon(column + 1), lat(row)
+
+
 #: Alphabet of geohashes. Fixed value.
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 

@@ -239,6 +239,28 @@ def joined_ends(segments: DataFrame, cell: float, radius: float) -> DataFrame:
     return segments.drop(*ENDS).join(both, "id").select(*(c for c in segments.columns if c not in ENDS), F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
 
 
+def planarized(segments: DataFrame, cell: float, digits: int = 6) -> DataFrame:
+    """id, part, x1, y1, x2, y2: segments cut where others cross or touch them within, so that they meet at ends only.
+
+    Places along a segment are told apart to so many digits of its length. Lines that lie on each other aren't cut.
+    """
+    x1, y1, x2, y2 = segment("a_")
+    x3, y3, x4, y4 = segment("b_")
+    pairs = grid_join(boxed(segments), boxed(segments), cell, keep=F.col("a_id") != F.col("b_id"))
+    across = (x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)
+    step = F.nullif(across, F.lit(0.0))
+    cut = pairs.select(F.col("a_id").alias("id"), (((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / step).alias("t"), (((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / step).alias("u"))
+    # rounded before it is judged, as a touch may come out a hair beyond an end
+    at = F.round("t", digits)
+    inner = F.when((at > 0) & (at < 1) & (F.round("u", digits).between(0.0, 1.0)), at)
+    found = cut.groupBy("id").agg(F.array_sort(F.collect_set(inner)).alias("cuts"))
+    ends = F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0)))
+    spans = F.transform(F.slice(ends, 2, F.size(ends)), lambda hi, i: F.struct(F.get(ends, i).alias("lo"), hi.alias("hi")))
+    each = segments.join(found, "id", "left").select("id", *segment(), F.posexplode(spans).alias("part", "s"))
+    place = lambda a, b, t: F.col(a) + (F.col(b) - F.col(a)) * F.col(f"s.{t}")
+    return each.select("id", "part", place("x1", "x2", "lo").alias("x1"), place("y1", "y2", "lo").alias("y1"), place("x1", "x2", "hi").alias("x2"), place("y1", "y2", "hi").alias("y2"))
+
+
 def suppressed_in_order(edges: DataFrame) -> DataFrame:
     """id of the rows that the sequential rule drops: from the first on, a row that stands drops those it has an edge to.
 

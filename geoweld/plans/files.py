@@ -108,6 +108,18 @@ def tile_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder).groupBy(F.col("tile").cast("long").alias("tile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("height"), 2).alias("total"))
 
 
+@query("""SELECT c_mktsegment AS segment, v AS version, v = 'a2' AS reused, CASE WHEN v = 'b' THEN count(*) * 2 ELSE count(*) END AS n FROM customer, (VALUES ('a1'), ('a2'), ('b')) t(v) GROUP BY 1, 2""")
+def cached_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source kept under its version: read again as it is, made anew for another version."""
+    folder, customers = _folder(spark), table(spark, sf_dir, "customer").select("c_mktsegment")
+    out = None
+    for name, token, make in (("a1", "a", lambda: customers), ("a2", "a", lambda: customers.limit(0)), ("b", "b", lambda: customers.union(customers))):
+        layer, reused = V.cached_layer(spark, folder, token, make)
+        one = layer.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n")).select("segment", F.lit(name).alias("version"), F.lit(reused).alias("reused"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("""WITH s AS (SELECT o_orderstatus AS status, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1)
 SELECT f AS "format", status, n, mean FROM s, (VALUES ('csv'), ('json'), ('md')) v(f)""")
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:

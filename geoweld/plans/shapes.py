@@ -13,7 +13,7 @@ from geoweld.operators import matching as M
 from geoweld.operators import poi
 from geoweld.operators.tiling import tiles_for
 from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, other_boxes, other_points, other_segments
-from geoweld.plans.more import _covered, _point_to, _sampled
+from geoweld.plans.more import _covered, _near, _point_to, _sampled
 from geoweld.plans.registry import query, table
 from geoweld.plans.spatial import _LINES
 from geoweld.streaming import events as E
@@ -97,6 +97,40 @@ def sharp_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_at_sharp_turns(_routes(spark, sf_dir)).select("id", "part", F.size("points").alias("n_points"))
 
 
+@query(f"""WITH {SQL['sa']}, p AS (SELECT a.id, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS w, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS tn, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS un
+  FROM sa a JOIN sa b ON a.id <> b.id AND {_near('a', 'b', 0)}),
+c AS (SELECT DISTINCT id, round(tn / w, 6) AS t FROM p WHERE w <> 0 AND round(tn / w, 6) > 0 AND round(tn / w, 6) < 1 AND round(un / w, 6) BETWEEN 0 AND 1),
+e AS (SELECT id, t FROM c UNION ALL SELECT id, 0 FROM sa UNION ALL SELECT id, 1 FROM sa), s AS (SELECT id, t AS lo, lead(t) OVER (PARTITION BY id ORDER BY t) AS hi, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS part FROM e)
+SELECT id, part::INT AS part, round(x1 + (x2 - x1) * lo, 4) AS x1, round(y1 + (y2 - y1) * lo, 4) AS y1, round(x1 + (x2 - x1) * hi, 4) AS x2, round(y1 + (y2 - y1) * hi, 4) AS y2 FROM s JOIN sa USING (id) WHERE hi IS NOT NULL""")
+def planarized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut where they cross."""
+    return lines.planarized(base_segments(spark, sf_dir), CELL).select("id", "part", *(F.round(c, 4).alias(c) for c in lines.ENDS))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 4 AS a, (p_partkey // 4) % 4 AS b, (p_partkey // 16) % 4 AS c FROM part), t AS (SELECT p_partkey, (a & 1) * 4 + (b & 1) * 2 + (c & 1) AS x, (a >> 1) * 4 + (b >> 1) * 2 + (c >> 1) AS y FROM k)
+SELECT p_partkey, x::INT AS x, y::INT AS y, round(x / 8 * 360 - 180, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 8)))), 6) AS south, round((x + 1) / 8 * 360 - 180, 6) AS east, round(degrees(atan(sinh(pi() * (1 - 2 * y / 8)))), 6) AS north FROM t""")
+def quadkey_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of quadkeys and their bounds."""
+    k = F.col("p_partkey")
+    digit = lambda n: (F.floor(k / n) % 4).cast("string")
+    x, y = G.quadkey_tile(F.concat(digit(1), digit(4), digit(16)))
+    made = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"), y.alias("y"))
+    bounds = zip(("west", "south", "east", "north"), G.tile_bounds(F.col("x"), F.col("y"), F.lit(3)), strict=True)
+    return made.select("p_partkey", "x", "y", *(F.round(b, 6).alias(n) for n, b in bounds))
+
+
+@query(f"""WITH {SQL['a']}, {SQL['b']}, {SQL['pairs']}, d AS (SELECT p.*, sqrt(((a.minx + a.maxx - b.minx - b.maxx) / 2) ** 2 + ((a.miny + a.maxy - b.miny - b.maxy) / 2) ** 2) AS d FROM pairs p JOIN a ON a.id = a_id JOIN b ON b.id = b_id WHERE shared > 0)
+SELECT a_id, b_id, round(1 - d / 70, 6) AS location, round(least(area_a, area_b) / greatest(area_a, area_b), 6) AS area, round(shared / greatest(area_a, area_b), 6) AS overlap, 0.0::DOUBLE AS orientation, 1.0::DOUBLE AS shape FROM d""")
+def shape_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of squares that share area: place, area, overlap, direction and shape."""
+    pairs = M.similar_boxes(base_boxes(spark, sf_dir), other_boxes(spark, sf_dir), CELL).where("shared > 0")
+    side = lambda s: F.col(f"{s}_maxx") - F.col(f"{s}_minx")
+    middle = lambda s: [(F.col(f"{s}_min{c}") + F.col(f"{s}_max{c}")) / 2 for c in "xy"]
+    shape = lambda s: (side(s) * side(s), side(s), side(s), F.lit(0.0))
+    made = P.shape_similarity(shape("a"), shape("b"), G.distance(*middle("a"), *middle("b")), F.col("shared"))
+    return pairs.select("a_id", "b_id", *(F.round(c, 6).alias(n) for n, c in made.items()))
+
+
 @query(f"""WITH {SQL['sa']} SELECT CASE WHEN x1 > x2 OR x1 = x2 AND y1 > y2 THEN x2 ELSE x1 END AS x1, CASE WHEN x1 > x2 OR x1 = x2 AND y1 > y2 THEN y2 ELSE y1 END AS y1, CASE WHEN x1 > x2 OR x1 = x2 AND y1 > y2 THEN x1 ELSE x2 END AS x2, CASE WHEN x1 > x2 OR x1 = x2 AND y1 > y2 THEN y1 ELSE y2 END AS y2, count(*) AS n FROM sa GROUP BY 1, 2, 3, 4""")
 def directed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line once, whichever way it is drawn."""

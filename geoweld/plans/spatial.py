@@ -236,14 +236,15 @@ def poi_geohash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoweld.operators.poi import geohash_candidates
 
     place = lambda df: df.withColumn("lon", F.col("x") / 1000).withColumn("lat", F.col("y") / 1000)
-    return geohash_candidates(place(base_points(spark, sf_dir)), place(other_points(spark, sf_dir)), 6, 0.75)
+    parts = place(other_points(spark, sf_dir))
+    return geohash_candidates(parts, parts, 6, 0.75)
 
 
 @query()
 def part_name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name scores of the distinct part names that share their first two words, which bounds how many meet."""
+    """Name scores of the distinct part names, of which there are few, that share their first word."""
     from geoweld.plans.registry import table
 
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("word", F.array_join(F.slice(F.split("name", " "), 1, 2), " "))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("word", F.split("name", " ")[0])
     pairs = names.alias("a").join(names.alias("b"), "word").where("a.name < b.name").select(F.col("a.name").alias("left"), F.col("b.name").alias("right")).distinct()
     return pairs.withColumn("score", F.round(name_score(F.col("left"), F.col("right")), 6))

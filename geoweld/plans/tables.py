@@ -12,7 +12,7 @@ from geoweld.operators import quality as Q
 from geoweld.operators import relational as R
 from geoweld.operators.grid_join import best_per
 from geoweld.operators.tiling import partition_bbox
-from geoweld.plans.derived import CELL, SQL, base_boxes, base_segments
+from geoweld.plans.derived import CELL, SQL, base_boxes, base_segments, other_boxes
 from geoweld.plans.registry import query, table
 from geoweld.streaming import events as E
 
@@ -268,21 +268,21 @@ def cleaning_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", action.alias("action"), points.alias("points"))
 
 
-@query("""WITH z AS (SELECT i AS id, i * 8.0 AS minx, i * 5.0 AS miny, i * 8.0 + 6 AS maxx, i * 5.0 + 7 AS maxy FROM range(40) t(i)), p AS (SELECT r, c, (r * 31 + c * 17) % 50 AS v FROM range(220) a(r), range(330) b(c)),
-n AS (SELECT id, v, count(*) AS n FROM z JOIN p ON c BETWEEN minx AND maxx AND r BETWEEN miny AND maxy WHERE v > 0 GROUP BY 1, 2)
-SELECT id, sum(n)::BIGINT AS n, min(v)::DOUBLE AS low, max(v)::DOUBLE AS high, max_by(v, (n, v))::DOUBLE AS dominant FROM n GROUP BY id""")
+@query(f"""WITH {SQL['a']}, {SQL['b']}, p AS (SELECT minx AS x, miny AS y, height % 7 AS v FROM b), n AS (SELECT a.id, v, count(*) AS n FROM a JOIN p ON x BETWEEN minx AND maxx AND y BETWEEN miny AND maxy WHERE v > 0 AND v <> 6 GROUP BY 1, 2)
+SELECT id, sum(n)::BIGINT AS n, min(v) AS low, max(v) AS high, max_by(v, (n, v)) AS dominant FROM n GROUP BY id""")
 def zonal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    zones = spark.range(40).select("id", (i * 8.0).alias("minx"), (i * 5.0).alias("miny"), (i * 8.0 + 6).alias("maxx"), (i * 5.0 + 7).alias("maxy"))
-    r, c = F.floor(i / 330), i % 330
-    pixels = spark.range(220 * 330).select(c.cast("double").alias("x"), r.cast("double").alias("y"), ((r * 31 + c * 17) % 50).cast("double").alias("value"))
-    return Q.zonal_statistics(zones, pixels, 16.0).withColumnRenamed("a_id", "id")
+    """Pixels, one at each box's corner, within the boxes of the other layer; 6 means no data."""
+    pixels = other_boxes(spark, sf_dir).select(F.col("minx").alias("x"), F.col("miny").alias("y"), (F.col("height") % 7).alias("value"))
+    return Q.zonal_statistics(base_boxes(spark, sf_dir), pixels, CELL, 6.0).withColumnRenamed("a_id", "id")
 
 
-@query("""SELECT format('tile_{:03d}_{:03d}', r, c) AS tile_id, (c * 5000 + 100)::DOUBLE AS minx, least(c * 5000 + 5100, 23100)::DOUBLE AS maxx, (r * 5000)::DOUBLE AS miny, least(r * 5000 + 5000, 12000)::DOUBLE AS maxy,
-  greatest(c * 5000 + 36, 100)::DOUBLE AS bminx, least(least(c * 5000 + 5100, 23100) + 64, 23100)::DOUBLE AS bmaxx FROM range(3) a(r), range(5) b(c)""")
+@query(f"""WITH {SQL['a']}, m AS (SELECT min(minx) AS x1, min(miny) AS y1, max(maxx) AS x2, max(maxy) AS y2 FROM a), t AS (SELECT *, unnest(range(ceil((x2 - x1) / 150)::BIGINT)) AS c FROM m), u AS (SELECT *, unnest(range(ceil((y2 - y1) / 150)::BIGINT)) AS r FROM t)
+SELECT format('tile_{{:03d}}_{{:03d}}', r, c) AS tile_id, x1 + c * 150 AS minx, least(x1 + c * 150 + 150, x2) AS maxx, y1 + r * 150 AS miny, least(y1 + r * 150 + 150, y2) AS maxy,
+  greatest(x1 + c * 150 - 64, x1) AS bminx, least(least(x1 + c * 150 + 150, x2) + 64, x2) AS bmaxx FROM u""")
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = partition_bbox(spark, (100.0, 0.0, 23100.0, 12000.0))
+    """The tiles of a layer's bounds."""
+    m = base_boxes(spark, sf_dir).agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
+    t = partition_bbox(spark, tuple(m), 150.0)
     return t.select("tile_id", "minx", "maxx", "miny", "maxy", F.col("buffered.minx").alias("bminx"), F.col("buffered.maxx").alias("bmaxx"))
 
 

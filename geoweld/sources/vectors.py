@@ -8,6 +8,9 @@ reaches the Parquet statistics.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +169,19 @@ def write_geojson(df: DataFrame, path: str) -> None:
     geojson(df).write.mode("overwrite").text(path)
 
 
+def cached_layer(spark: SparkSession, folder: str, version: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The layer that is kept under a version token, and whether it was there; else what make gives, which is kept.
+
+    A version is whole once Spark has written its _SUCCESS file; what a lost run left is written anew.
+    """
+    path = f"{folder}/version={hashlib.sha256(version.encode()).hexdigest()}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    if not there:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), there
+
+
 def write_report(df: DataFrame, folder: str, order: list[str]) -> None:
     """A summary table, which is small, in order as CSV, JSON lines and a Markdown table, in folders of these names."""
     rows = df.orderBy(*order).coalesce(1)

@@ -237,7 +237,7 @@ def poi_geohash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     place = lambda df: df.withColumn("lon", F.col("x") / 1000).withColumn("lat", F.col("y") / 1000)
     parts = place(other_points(spark, sf_dir))
-    return geohash_candidates(parts, parts, 6, 0.75)
+    return geohash_candidates(parts, parts, 5, 0.75)
 
 
 @query()

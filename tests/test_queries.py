@@ -52,7 +52,7 @@ def test_queries_without_sql_equal_brute_force(spark):
     want = {(a, b): round(ratio(a, b), 6) for a in names for b in names if a < b and a.split()[0] == b.split()[0]}
     got = QUERIES["part_name_scores"](spark, DIR).collect()
     assert {(r.left, r.right): r.score for r in got} == want and len(got) == len(want) > 0
-    cell = lambda k: (math.floor((k * 6101 % 1009 / 1000 + 180) / 360 * 2**15), math.floor(((k * 90001 % 1009 + 1009 * (k // 1009)) / 1000 + 90) / 180 * 2**15))
+    cell = lambda k: (math.floor((k * 6101 % 1009 / 1000 + 180) / 360 * 2**13), math.floor(((k * 90001 % 1009 + 1009 * (k // 1009)) / 1000 + 90) / 180 * 2**12))
     near = {(a, b): round(ratio(m, n), 6) for a, m in parts for b, n in parts if max(abs(p - q) for p, q in zip(cell(a), cell(b), strict=True)) <= 1}
     got = QUERIES["poi_geohash_match"](spark, DIR).collect()
     assert {(r.a_id, r.b_id): r.score for r in got} == {k: s for k, s in near.items() if s >= 0.75 or s == 0} and len(got) > len(parts)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from geoweld.operators.components import checkpointed, shared_folder  # noqa: F401
 from geoweld.operators.naming import free_name  # noqa: F401
 
+#: While texts go to Python and the result is kept at once: batches of a few MB, however long the texts are.
+SMALL_BATCHES = {"spark_sql_execution_arrow_maxBytesPerBatch": "4194304"}
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

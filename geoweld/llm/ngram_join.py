@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import checkpointed, free_name, session_settings
+from geoweld.llm.common import SMALL_BATCHES, checkpointed, free_name, session_settings
 from geoweld.llm.shingles import shingle_sets
 from geoweld.operators.components import connected_components
 
@@ -58,6 +58,7 @@ STEPS = 32
 SETTINGS = {
     "spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true",
     "spark_sql_execution_arrow_maxRecordsPerBatch": "1000",
+    **SMALL_BATCHES,
 }
 #: Bits of the filter that tells documents whose sets are wanted while texts are read (2 MB).
 FILTER_BITS = 24

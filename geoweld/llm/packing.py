@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import checkpointed
+from geoweld.llm.common import SMALL_BATCHES, checkpointed, session_settings
 from geoweld.llm.tokens import encoder, public_tokenizer
 
 #: A bin with a gap of more than this part of its room is open.
@@ -149,7 +149,8 @@ def packed_documents(docs: DataFrame, room: int = 2048, end_id: int = 0, path: s
 
     kind = f"{PACKED}, open boolean"
     names = [x.split()[0] for x in kind.split(", ")]
-    packed = checkpointed(docs.select("doc_id", "text").mapInArrow(pack, kind))
+    with session_settings(docs.sparkSession, **SMALL_BATCHES):
+        packed = checkpointed(docs.select("doc_id", "text").mapInArrow(pack, kind))
     done, turn, tasks = [], 0, packed.select(F.shiftright("sequence_id", 34)).distinct().count()
     while tasks > 1:
         pieces, bins = _rest(packed)

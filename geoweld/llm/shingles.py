@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split into words at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 def in_pieces(texts: pa.Array, size: int = TEXT_BYTES) -> Iterator[pa.Array]:

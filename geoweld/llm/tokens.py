@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweld.llm.common import session_settings
+from geoweld.llm.common import SMALL_BATCHES, session_settings
 
 #: Words that a Python worker remembers; beyond, it starts anew.
 REMEMBERED = 700_000
@@ -321,7 +321,7 @@ def input_bytes(df: DataFrame) -> int | None:
 
 def write_shards(shards: DataFrame, folder: str) -> None:
     """Parquet with small row groups, as a shard is one row of some MB."""
-    with session_settings(shards.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=BATCH_ROWS):
+    with session_settings(shards.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=BATCH_ROWS, **SMALL_BATCHES):
         shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoweld.functions.text import decay_weight
 from geoweld.operators import assignment as A
+from geoweld.operators import catalog as C
 from geoweld.operators import matching as M
 from geoweld.operators import ranking as K
 from geoweld.operators.components import checkpointed
@@ -103,6 +104,17 @@ def pattern_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("pattern", "name").agg(F.count_distinct("p_partkey").alias("algorithms"), F.count_distinct("t").alias("types"), F.round(F.avg(F.col("p_size") / 50), 6).alias("fit"))
 
 
+@query("""WITH n AS (SELECT 'part' AS kind, 'p' || p_partkey AS key, p_name AS text FROM part UNION SELECT 'brand', 'b' || p_brand, p_brand FROM part UNION SELECT 'customer', 'c' || c_custkey, c_mktsegment || ' ' || c_name FROM customer UNION SELECT 'supplier', 's' || s_suppkey, s_name FROM supplier),
+h AS (SELECT kind, key, contains(lower(text), 'furniture')::INT + contains(lower(text), 'cold')::INT + contains(lower(text), '00001')::INT AS hits FROM n) SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, key LIMIT 25""")
+def knowledge_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of four kinds with the most of a question's words."""
+    part, customer, supplier = (table(spark, sf_dir, t) for t in ("part", "customer", "supplier"))
+    node = lambda df, kind, letter, key, text: df.select(F.lit(kind).alias("kind"), F.concat(F.lit(letter), F.col(key).cast("string")).alias("key"), text.alias("text"))
+    nodes = node(part, "part", "p", "p_partkey", F.col("p_name")).union(node(part, "brand", "b", "p_brand", F.col("p_brand")))
+    nodes = nodes.union(node(customer, "customer", "c", "c_custkey", F.concat_ws(" ", "c_mktsegment", "c_name"))).union(node(supplier, "supplier", "s", "s_suppkey", F.col("s_name"))).distinct()
+    return C.token_search(nodes, "text", "Furniture cold 00001", "key", 25).select("kind", "key", "hits")
+
+
 @query("""WITH c AS (SELECT user_id, event_type, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS place, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, '>' ORDER BY place, n DESC, event_type) AS strategies FROM c GROUP BY 1""")
 def recovery_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies of each run in the order in which they are tried."""

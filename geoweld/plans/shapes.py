@@ -11,6 +11,7 @@ from geoweld.operators import line_cleanup as L
 from geoweld.operators import lines
 from geoweld.operators import matching as M
 from geoweld.operators import poi
+from geoweld.operators.grid_join import grid_join
 from geoweld.operators.tiling import tiles_for
 from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, other_boxes, other_points, other_segments
 from geoweld.plans.more import _covered, _near, _point_to, _sampled
@@ -155,6 +156,23 @@ def joined_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.joined_ends(base_segments(spark, sf_dir), CELL, 2.0)
 
 
+def _far(p: str, q: str) -> str:
+    """How far the vertices of segment p lie from segment q at most, of the pairs' columns."""
+    one = lambda k: (
+        f"(SELECT sqrt(({p}x{k} - {q}x1 - t * ({q}x2 - {q}x1)) ** 2 + ({p}y{k} - {q}y1 - t * ({q}y2 - {q}y1)) ** 2) FROM (SELECT CASE WHEN {q}x1 = {q}x2 AND {q}y1 = {q}y2 THEN 0 "
+        f"ELSE greatest(0, least(1, (({p}x{k} - {q}x1) * ({q}x2 - {q}x1) + ({p}y{k} - {q}y1) * ({q}y2 - {q}y1)) / (({q}x2 - {q}x1) ** 2 + ({q}y2 - {q}y1) ** 2))) END AS t))"
+    )
+    return f"greatest({one(1)}, {one(2)})"
+
+
+@query(f"{_LINES}, f AS (SELECT a_id, b_id, greatest({_far('a', 'b')}, {_far('b', 'a')}) AS d FROM p) SELECT a_id, b_id, round(d, 6) AS hausdorff FROM f WHERE d <= 10")
+def segment_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two layers within 10 of each other by the Hausdorff distance from vertices to lines."""
+    near = grid_join(lines.boxed(base_segments(spark, sf_dir)), lines.boxed(other_segments(spark, sf_dir)), CELL, 20.0)
+    d = G.segment_hausdorff(lines.segment("a_"), lines.segment("b_"))
+    return near.withColumn("d", d).where("d <= 10").select("a_id", "b_id", F.round("d", 6).alias("hausdorff"))
+
+
 @query(f"""WITH {SQL['a']} SELECT id, round((maxx - minx) * sqrt(2), 6) AS long_side, round((maxx - minx) * sqrt(2), 6) AS short_side, round(2 * (maxx - minx) ** 2, 6) AS area, minx AS cx, miny AS cy, 1.0::DOUBLE AS aspect FROM a""")
 def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of squares that stand on a corner."""
@@ -184,7 +202,7 @@ def priority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY pa.id ORDER BY round(1 - sqrt((pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2) / 25, 6) DESC, pb.id) = 1""")
 def poi_match_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By geohash and name, or, as no name is alike here, by distance."""
-    from geoweld.operators.grid_join import grid_join, points
+    from geoweld.operators.grid_join import points
 
     place = lambda df: df.withColumn("lon", F.col("x") / 1000).withColumn("lat", F.col("y") / 1000)
     a, b = base_points(spark, sf_dir), other_points(spark, sf_dir)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweld.llm import ann, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, tokens, url_filters
+from geoweld.llm import ann, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, runs, tokens, url_filters
 from geoweld.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,18 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.FIGURES, "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = runs.with_runs(docs.select("doc_id", runs.with_planted_tail(docs).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    length, period = best["length"], -best["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["start"]).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -220,6 +232,7 @@ QUERIES: dict[str, Query] = {
         op8_best_two_fit,
         op9_url_filter,
         op10_quality_cascade,
+        op11_periodic_runs,
     )
 }
 

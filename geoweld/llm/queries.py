@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweld.llm import ann, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, runs, tokens, url_filters
+from geoweld.llm import ann, divergence, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, runs, tokens, url_filters
 from geoweld.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -219,6 +223,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n_lang FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n_lang)::HUGEINT AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(gn.n, 0) + v.v) AS p,
+         1 + 1000000000::HUGEINT * (k.n_lang + 1) // (v.n + v.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+         LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM rows_ QUALIFY part = 'pair' OR rank <= 200
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -233,6 +267,7 @@ QUERIES: dict[str, Query] = {
         op9_url_filter,
         op10_quality_cascade,
         op11_periodic_runs,
+        op12_source_divergence,
     )
 }
 
@@ -242,4 +277,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": OP6_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_quality_cascade": OP10_SQL,
+    "op12_source_divergence": OP12_SQL,
 }

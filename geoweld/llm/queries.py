@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweld.llm import ann, divergence, html_text, language_id, licenses, mixing, ngram_join, packing, quality_rules, runs, tokens, url_filters
+from geoweld.llm import ann, divergence, html_text, language_id, licenses, mixing, ngram_join, packing, personal_data, quality_rules, runs, tokens, url_filters
 from geoweld.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,16 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.with_spans(docs, personal_data.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counted = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [counted(kind) for kind in personal_data.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1_SQL = rf"""
@@ -268,6 +278,7 @@ QUERIES: dict[str, Query] = {
         op10_quality_cascade,
         op11_periodic_runs,
         op12_source_divergence,
+        op13_personal_data,
     )
 }
 

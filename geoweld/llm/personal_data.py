@@ -317,13 +317,15 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", precision: float = 0.98, contexts: int = MOST_CONTEXTS, count: int = EXAMPLES) -> Model:
-    """Trees and thresholds. Contexts are the openings of the `contexts` texts of least hash, CONTEXT_CHARS of each, which is all that the driver gets.
+    """Trees and thresholds. Contexts are the openings of up to `contexts` texts, CONTEXT_CHARS of each, which is all that the driver gets.
 
+    The texts' hashes are dealt to so many classes, and each class gives the text of least hash.
     A kind's threshold is the least probability from which on a share `precision` of
     the candidates that were not learnt from is personal, and 0.5 at least; where there is none, nothing of the kind is added.
     """
     some = docs.select(F.substring(F.col(text), 1, CONTEXT_CHARS).alias("context"), F.xxhash64(text).alias("hash")).where("context is not null")
-    x, y = examples([r.context for r in some.orderBy("hash", "context").limit(contexts).collect()], count)
+    least = some.groupBy(F.pmod("hash", F.lit(contexts)).alias("class")).agg(F.min(F.struct("hash", "context")).alias("least"))
+    x, y = examples([r.context for r in least.select("class", "least.context").orderBy("class").collect()], count)
     held = np.arange(len(x)) % 3 == 0
     trees = Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held])
     p, thresholds = trees.probability(x[held]), {}

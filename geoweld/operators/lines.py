@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,38 +274,3 @@ def suppressed_in_order(edges: DataFrame) -> DataFrame:
         rest = left.join(stands, "id", "left_anti").join(hit, "id", "left_anti")
         left = checkpointed(rest.join(hit.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other"))
     return reduce(DataFrame.union, gone) if gone else edges.select("id").limit(0)
-
-
-def chained(lines: DataFrame) -> DataFrame:
-    """key, part, points: segments (key, x1, y1, x2, y2) of each key merged into chains at points where just two meet."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[tuple, list[int]] = {}
-        rows = [((a, b), (c, d)) for a, b, c, d in pdf[list(ENDS)].sort_values(list(ENDS)).itertuples(index=False)]
-        for i, (a, b) in enumerate(rows):
-            ends.setdefault(a, []).append(i)
-            ends.setdefault(b, []).append(i)
-        used, chains = set(), []
-
-        def walk(start: tuple, i: int) -> Iterator[tuple]:
-            yield start
-            while i not in used:
-                used.add(i)
-                a, b = rows[i]
-                start = b if start == a else a
-                yield start
-                onward = [j for j in ends[start] if j not in used]
-                if len(ends[start]) != 2 or not onward:
-                    return
-                i = onward[0]
-
-        for point in sorted(p for p in ends if len(ends[p]) != 2):
-            for i in ends[point]:
-                if i not in used:
-                    chains.append(list(walk(point, i)))
-        for i, (a, _) in enumerate(rows):
-            if i not in used:
-                chains.append(list(walk(a, i)))
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "part": range(len(chains)), "points": [[{"x": x, "y": y} for x, y in c] for c in chains]})
-
-    return lines.groupBy("key").applyInPandas(merge, "key long, part int, points array<struct<x:double,y:double>>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
 from geoweld.functions import text as S
-from geoweld.operators import catalog, lines, matching, poi, quality, relational, tiling
+from geoweld.operators import catalog, chains, lines, matching, poi, quality, relational, tiling
 from geoweld.operators.grid_join import grid_join, points
 
 BOX = "id long, minx double, miny double, maxx double, maxy double"
@@ -183,7 +183,7 @@ def test_suppression_in_order_and_chains(spark):
     assert ids(lines.suppressed_in_order(chain)) == [1, 3, 5, 6]
     assert lines.suppressed_in_order(chain.limit(0)).count() == 0
     made = spark.createDataFrame([(9, 0.0, 0.0, 1.0, 0.0), (9, 2.0, 0.0, 1.0, 0.0), (9, 7.0, 7.0, 8.0, 8.0)], "key long, x1 double, y1 double, x2 double, y2 double")
-    assert sorted(len(r.points) for r in lines.chained(made).collect()) == [2, 3]
+    assert sorted(len(r.points) for r in chains.merged_lines(made, ["key"]).collect()) == [2, 3]
 
 
 def test_geohash(spark):

@@ -15,9 +15,12 @@ other pages share, in slots where wording differs, are copies of one article.
 The elements of valid classes bound the template's slots: a block of text is in
 the slot of the lowest one around it. Slots whose own text is links over the whole
 host are menus, the texts of valid once-a-page classes are fixed wording, and
-the remaining slots hold the main text. An author's own mark of the main part
-(article, main), if it holds half of what remains, or of what isn't (nav, footer, a class like "sidebar") goes
-before the deduced template. Hosts with one page have no template and go by marks alone.
+the remaining slots hold the main text. Where the template is firm (the class is on nine
+tenths of the host's pages, which have five distinct articles or more) menus, and elements that hold nothing but fixed wording, go wherever they stand. Labels then
+choose among the slots that remain: what an author marks as no part of the text (nav, footer, a class like "sidebar") goes, and
+the marked main part (article, main) is the text if it holds half of what remains; a template that isn't firm doesn't cut into it. Hosts with one page have no template and go by labels alone.
+
+Reading a page takes time and memory in proportion to its length, however deep it nests and whatever it leaves open.
 """
 
 from __future__ import annotations
@@ -41,14 +44,15 @@ from geoweld.llm.common import checkpointed, free_name
 #: Elements without an end tag, elements whose content is not text (the first take in all up to their end tag, and the
 #: rest of a page that has none), elements that bound a block. Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style textarea title"
-EMBEDDED = "noscript template svg math iframe object select canvas audio video"
+RAW = frozenset("script style textarea title".split())
+EMBEDDED = frozenset("noscript template svg math iframe object select canvas audio video".split())
+END_TAGS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW | EMBEDDED}
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: What a label says of a slot.
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset("article articlebody main maincontent".split())
-SKIP_TAGS = frozenset(f"nav footer aside form menu dialog button head fieldset search {EMBEDDED}".split())
+SKIP_TAGS = EMBEDDED | frozenset("nav footer aside form menu dialog button head fieldset search".split())
 SKIP_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adbox sponsor sponsored promo promotion banner breadcrumb breadcrumbs "
     "comment comments commentlist disqus replies respond consent cookie cookies gdpr footer copyright form login signup "
@@ -59,17 +63,13 @@ SKIP_WORDS = frozenset(
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
 #: Words by which a class name only says what a part has beside it, or how it stands.
 ABOUT = frozenset("has have with without no not is open closed on off enabled disabled hidden free".split())
-ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})(?![\w:-]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<embedded>{'|'.join(EMBEDDED.split())})(?![\w:-]){ATTRIBUTES}(?<!/)>.*?</(?P=embedded)\s*>"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRIBUTES})>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+QUOTES = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-zA-Z]+")
 NUMBER = re.compile(r"\d+")
+#: Character references with more digits than any character has.
+LONG_ZEROS, LONG_REFERENCE = re.compile(r"&#0{8,}"), re.compile(r"&#[0-9]{9,};?")
 
 #: A token of a page: how often it stands there, and the element a text is in (0 for none, and for elements).
 TOKENS = "host string, page long, token long, n long, parent long, text boolean"
@@ -77,30 +77,35 @@ TOKENS = "host string, page long, token long, n long, parent long, text boolean"
 SEQUENCE = "host string, page long, tokens array<long>, around array<int>, chars array<int>, links array<int>, flags array<int>"
 #: What a page tells of a class (kind 0: order, nesting and article) or of a slot (kind 1: the slot around it and its own text).
 FACTS = "host string, kind int, id long, shape long, article long, chars long, link_chars long, kept boolean"
-MEMBER = "struct<token: long, text: boolean, parent: long, n: long, class: long>"
+MEMBER = "struct<token: long, text: boolean, parent: long, n: long, class: long, firm: boolean>"
 MAIN, SKIP, TOP = 1, 2, 4
+#: Distinct articles of a host from which on its template may cut into a part that is marked as the main one.
+FIRM_ARTICLES = 5
 #: Bytes of templates that are sent to every executor rather than joined by a shuffle of whole pages.
 SENT_BYTES = 32 << 20
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     token: int
-    path: str
     skip: bool = False
     main: bool = False
     parent: Node | None = None
+    slot: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    nodes: tuple[Node, ...]
+    node: Node | None
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        whole = "".join(self.parts)
+        if "&#" in whole:
+            whole = LONG_REFERENCE.sub("\ufffd", LONG_ZEROS.sub("&#0", whole))
+        return " ".join(html.unescape(whole).split())
 
 
 def _hash(text: str) -> int:
@@ -110,7 +115,8 @@ def _hash(text: str) -> int:
 def _node(parent: Node | None, tag: str, attrs: str) -> Node:
     # ids often number the page's items, classes name its parts
     names = [NUMBER.sub("", b or c or d) if k.lower() == "id" else b or c or d for k, b, c, d in ATTRIBUTE.findall(attrs)] if attrs else []
-    path = f"{parent.path if parent else ''}/{tag}{''.join('.' + x for x in names)}"
+    # the path down to an element is told by its parent's token and its own names
+    token = _hash(f"{parent.token if parent else ''}/{tag}{''.join('.' + x for x in names)}")
     whole, pieces = set(), set()
     for name in (x.lower() for n in names for x in n.split()):
         own = WORDS.findall(name)
@@ -123,7 +129,68 @@ def _node(parent: Node | None, tag: str, attrs: str) -> Node:
     # a main part is only skipped by a name that is such a word as a whole
     named = tag not in ("html", "body") and bool((whole if is_main else pieces) & SKIP_WORDS)
     skip = bool(parent and parent.skip) or tag in SKIP_TAGS or header or named
-    return Node(tag, _hash(path), path, skip, main, parent)
+    return Node(tag, token, skip, main, parent)
+
+
+class Markup:
+    """Goes through a page's markup from left to right: (start, end, tag, whether it ends an element, attributes), no tag for what is only left out."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_mark = page.rfind(">")
+        self.unended: set[str] = set()  # embedded elements that no further end tag closes
+        self.unbalanced: set[int] = set()  # places of quotes and marks from which no attributes end
+
+    def _attributes_end(self, at: int) -> int:
+        """Where the tag whose attributes begin here ends, minding quotes, or -1."""
+        seen = []
+        while (m := QUOTES.search(self.page, at)) and m.start() not in self.unbalanced:
+            if m.group() == ">":
+                return m.start()
+            seen.append(m.start())
+            at = self.page.find(m.group(), m.end()) + 1
+            if not at:
+                break
+        self.unbalanced.update(seen)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        page, n = self.page, len(self.page)
+        at = page.find("<")
+        while at >= 0:
+            end, tag, closes, attrs = self._one(at, n)
+            if end > at:
+                yield at, end, tag, closes, attrs
+            at = page.find("<", max(end, at + 1))
+
+    def _one(self, at: int, n: int) -> tuple[int, str, bool, str]:
+        """The end of the markup at this place, or the place itself if it is text, and what it is."""
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (end + 3 if end >= 0 else n), "", False, ""
+        m = NAME.match(page, at)
+        if self.last_mark < at:
+            cut_off = (m or page.startswith("</", at)) and page.find("<", at + 1) < 0
+            return (n if cut_off else at), "", False, ""
+        if page.startswith(("<!", "<?"), at):
+            return page.find(">", at) + 1, "", False, ""
+        if not m:
+            return at, "", False, ""
+        tag, closes = m.group(1).lower(), page[at + 1] == "/"
+        mark = self._attributes_end(m.end())
+        if mark < 0:
+            return page.find(">", at) + 1, "", False, ""
+        attrs = page[m.end() : mark]
+        if not closes and tag in RAW:
+            end = END_TAGS[tag].search(page, mark + 1)
+            return (end.end() if end else n), "", False, ""
+        if not closes and tag in EMBEDDED and not attrs.endswith("/") and tag not in self.unended:
+            end = END_TAGS[tag].search(page, mark + 1)
+            if end:
+                return end.end(), "", False, ""
+            self.unended.add(tag)
+        return mark + 1, tag, closes, attrs
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -131,42 +198,45 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     nodes: list[Node] = []
     blocks: list[Block] = []
     stack: list[Node] = []
-    current = Block(())
-    at = links = 0
+    bounding: list[int] = []  # places in the stack of elements that bound a block
+    standing: Counter = Counter()  # how many elements of each tag are open
+    current = Block(None)
+    at = 0
 
     def add(text: str) -> None:
         if text:
             current.parts.append(text)
-            if links:
+            if standing["a"]:
                 current.link_chars += len(text)
 
     def close_block() -> None:
         nonlocal current
         if current.parts:
             blocks.append(current)
-        current = Block(tuple(stack))
+        current = Block(stack[-1] if stack else None)
 
     def pop_to(depth: int) -> None:
-        nonlocal links
         for x in stack[depth:]:
-            links -= x.tag == "a"
+            standing[x.tag] -= 1
         del stack[depth:]
+        while bounding and bounding[-1] >= depth:
+            bounding.pop()
 
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, closes, attrs in Markup(page):
+        add(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             add(" ")
             continue
-        if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if depth is None:
+        if closes:
+            if not standing[tag]:
                 continue
-            bounds = tag in BLOCK or any(x.tag in BLOCK for x in stack[depth:])
+            depth = len(stack) - 1
+            while stack[depth].tag != tag:
+                depth -= 1
+            bounds = bool(bounding) and bounding[-1] >= depth
             pop_to(depth)
             if bounds:
                 close_block()
@@ -174,17 +244,19 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         bounds = tag in BLOCK
         if bounds:  # a new block ends an open paragraph; an item ends the item before
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
+            for i in reversed(bounding):
                 if stack[i].tag in ends:
                     pop_to(i)
                     break
-                if stack[i].tag in BLOCK and stack[i].tag != "p":
+                if stack[i].tag != "p":
                     break
-        node = _node(stack[-1] if stack else None, tag, m["attrs"])
+        node = _node(stack[-1] if stack else None, tag, attrs)
         nodes.append(node)
-        if tag not in VOID and not m["attrs"].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
+            if bounds:
+                bounding.append(len(stack))
             stack.append(node)
-            links += tag == "a"
+            standing[tag] += 1
         if bounds:
             close_block()
     add(page[at:])
@@ -193,7 +265,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
 
 
 def _text_token(block: Block, text: str) -> int:
-    return _hash(f"{block.nodes[-1].path if block.nodes else ''}={text}")
+    return _hash(f"{block.node.token if block.node else ''}={text}")
 
 
 def page_sequence(source: str) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
@@ -209,7 +281,7 @@ def page_sequence(source: str) -> tuple[list[int], list[int], list[int], list[in
             column.append(value)
 
     for b in blocks:
-        inner = b.nodes[-1] if b.nodes else None
+        inner = b.node
         while inner and id(inner) not in at:
             place(next(placed))
         if text := b.text():
@@ -259,10 +331,12 @@ class Members:
                 outer = elements[self.of[tokens[up]]] if up >= 0 else []
                 nests.add((self.of[tokens[up]], tokens[outer[bisect_left(outer, i) - 1]]) if up >= 0 else None)
             yield 0, known, _hash(repr((first, nests))) if shape and len(nests) == 1 else 0, article, 0, 0, False
-        around_main = set()
+        around_main = set()  # marked main parts and what is around them
         for i, flag in enumerate(flags):
-            while flag & MAIN and (i := around[i]) >= 0 and i not in around_main:
-                around_main.add(i)
+            if flag & MAIN and chars[i] < 0 and not (around[i] >= 0 and flags[around[i]] & MAIN):
+                while i >= 0 and i not in around_main:
+                    around_main.add(i)
+                    i = around[i]
         own: dict[int, list] = {}
         for i, token in enumerate(tokens):
             if slot[i] == i:
@@ -288,6 +362,12 @@ class Template:
         self.fixed = {r["token"] for r in rows if r["text"]}
         elements = {r["token"]: r for r in rows if not r["text"]}
         self.bounds = {t for t, r in elements.items() if r["valid"]}
+        worded: Counter = Counter()
+        for r in rows:
+            if r["text"]:
+                worded[r["parent"]] += r["n"]
+        wording = {t for t, r in elements.items() if worded[t] >= 0.9 * r["n"]}  # elements that hold fixed wording wherever they stand
+        self.firm = {r["token"] for r in rows if r["firm"] and r["valid"] and (not r["text"] or r["parent"] in wording)}
         chars: Counter = Counter()
         links: Counter = Counter()
         kept = set()
@@ -302,31 +382,48 @@ class Template:
         self.menus = {t for t in self.bounds - kept if links[t] > link_share * chars[t]}
         self.link_share = link_share
 
+    def place(self, nodes: list[Node]) -> None:
+        """Tell each element of a page, in order, its slot: the lowest bound at or around it."""
+        for x in nodes:
+            x.slot = x.token if x.token in self.bounds else x.parent.slot if x.parent else 0
+
     def is_menu(self, block: Block, length: int, token: int) -> bool:
         """Links and fixed wording of a slot of links; other text in it isn't the menu's."""
-        slot = next((x.token for x in reversed(block.nodes) if x.token in self.bounds), 0)
-        return slot in self.menus and (block.link_chars > self.link_share * length or token in self.fixed)
+        return bool(block.node) and block.node.slot in self.menus and (block.link_chars > self.link_share * length or token in self.fixed)
+
+
+@dataclass(slots=True)
+class Piece:
+    """A block of text: what the template says of it (a menu's, fixed wording, and whether it says so firmly) and what the labels say."""
+
+    text: str
+    menu: bool
+    fixed: bool
+    firm: bool
+    main: bool
+    skip: bool
 
 
 def main_text(source: str, template: Template) -> str:
     """The page's main text, given the host's template."""
-    _, blocks = parse(source)
-    found = []
+    nodes, blocks = parse(source)
+    template.place(nodes)
+    pieces = []
     for b in blocks:
-        inner = b.nodes[-1] if b.nodes else None
-        text = b.text()
-        if not text or (inner and inner.skip):
-            continue
-        token = _text_token(b, text)
-        is_main = bool(inner and inner.main)
-        if is_main or not template.is_menu(b, len(text), token):
-            found.append((is_main, token in template.fixed, text))
-    marked = [t for is_main, _, t in found if is_main]
-    free = [t for is_main, is_fixed, t in found if not is_fixed and not is_main]
+        text, node = b.text(), b.node
+        if text:
+            token = _text_token(b, text)
+            menu, fixed = template.is_menu(b, len(text), token), token in template.fixed
+            firm = fixed and token in template.firm or menu and node.slot in template.firm
+            pieces.append(Piece(text, menu, fixed, firm, bool(node and node.main), bool(node and node.skip)))
+    left = [x for x in pieces if not x.skip and (x.main or not x.menu)]
+    left = [x for x in left if not x.firm] or left
+    marked = [x.text for x in left if x.main]
+    free = [x.text for x in left if not x.fixed and not x.main]
     if marked and sum(map(len, marked)) >= sum(map(len, free)):
         return "\n\n".join(marked)
     # what is marked is the lesser part, as a teaser is beside the story
-    return "\n\n".join(free or [t for _, _, t in found])
+    return "\n\n".join(free or [x.text for x in left])
 
 
 def host_of(url: Column) -> Column:
@@ -389,11 +486,12 @@ def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9
     ).where("pages > 1")
     of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
     frequent = seen.join(of_host, "host").where(F.col("pages") >= least_share * F.col("of_host"))
-    classes = frequent.groupBy("host", "pages", "n", "digest").agg(F.collect_list(F.struct("token", "text", "parent")).alias("tokens")).where("size(tokens) > 1")
-    member = classes.select("host", "n", F.xxhash64("pages", "n", "digest").alias("class"), F.col("pages") == F.col("n"), F.explode("tokens").alias("t")).toDF("host", "n", "class", "once", "t")
+    firm = F.max(F.col("pages") >= agreement * F.col("of_host")).alias("firm")
+    classes = frequent.groupBy("host", "pages", "n", "digest").agg(F.collect_list(F.struct("token", "text", "parent")).alias("tokens"), firm).where("size(tokens) > 1")
+    member = classes.select("host", "n", F.xxhash64("pages", "n", "digest").alias("class"), F.col("pages") == F.col("n"), "firm", F.explode("tokens").alias("t")).toDF("host", "n", "class", "once", "firm", "t")
     # a text that repeats on a page bounds no slot and is no wording of the template
-    member = member.select("host", "t.token", "t.text", "t.parent", "n", "class", "once").where("once OR NOT text")
-    of_class = F.struct("token", "text", "parent", "n", "class").cast(MEMBER)
+    member = member.select("host", "t.token", "t.text", "t.parent", "n", "class", "firm", "once").where("once OR NOT text")
+    of_class = F.struct("token", "text", "parent", "n", "class", "firm").cast(MEMBER)
     members = checkpointed(member.groupBy("host").agg(F.to_json(F.collect_list(of_class)).alias("members")))
 
     told = parsed.join(sent(members, "members"), "host").mapInPandas(facts, FACTS)
@@ -411,10 +509,10 @@ def templates(pages: DataFrame, least_share: float = 0.5, agreement: float = 0.9
     )
     fits = f"x -> x.kind = 0 AND x.most.shape <> 0 AND x.most.pages >= {agreement} * x.pages AND x.most.articles >= greatest(2, {least_share} * articles)"
     valid = by_host.withColumn("valid", F.expr(f"transform(filter(facts, {fits}), x -> x.id)"))
-    wording = "transform(filter(members, m -> m.text AND articles > 2 AND array_contains(valid, m.class)), m -> named_struct('token', m.token, 'text', true, 'valid', true, 'parent', 0L, 'chars', 0L, 'link_chars', 0L, 'kept', false))"
+    wording = f"transform(filter(members, m -> m.text AND articles > 2 AND array_contains(valid, m.class)), m -> named_struct('token', m.token, 'text', true, 'valid', true, 'parent', m.parent, 'n', m.n, 'chars', 0L, 'link_chars', 0L, 'kept', false, 'firm', m.firm AND articles >= {FIRM_ARTICLES}))"
     bounds = "transform(filter(members, m -> NOT m.text), m -> m)"
     of_token = "map_from_entries(transform(filter(facts, x -> x.kind = 1), x -> struct(x.id, x)))"
-    slots = "transform(elements, m -> named_struct('token', m.token, 'text', false, 'valid', array_contains(valid, m.class), 'parent', slot[m.token].most.shape, 'chars', slot[m.token].chars, 'link_chars', slot[m.token].link_chars, 'kept', slot[m.token].kept))"
+    slots = f"transform(elements, m -> named_struct('token', m.token, 'text', false, 'valid', array_contains(valid, m.class), 'parent', slot[m.token].most.shape, 'n', m.n, 'chars', slot[m.token].chars, 'link_chars', slot[m.token].link_chars, 'kept', slot[m.token].kept, 'firm', m.firm AND articles >= {FIRM_ARTICLES}))"
     members = members.withColumn("members", F.from_json("members", f"array<{MEMBER}>"))
     whole = valid.join(members, "host").withColumn("elements", F.expr(bounds)).withColumn("slot", F.expr(of_token))
     return whole.select("host", F.expr(f"to_json(concat({wording}, {slots}))").alias("template"))  # read once a host, not once a page

@@ -1,8 +1,11 @@
 """The training-data operators against brute force, and on nulls, empty and odd rows."""
 
+import json
 import os
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -226,6 +229,97 @@ def test_html_loses_no_text(body):
     assert html_text.main_text(f"<html><body>{body}</body></html>", html_text.Template([])) == "Real"
 
 
+def test_html_firm_template_cuts_into_marked_parts(spark):
+    more = "<div class='m'>Share this story with friends</div><ul class='r'><li><a href='/x'>Other story {i}</a></li><li><a href='/y'>One more {i}</a></li></ul>"
+    bodies = lambda n: [f"<article><p>Own words {i} of a story</p>{more.format(i=i)}<p>And its end {i}</p></article>" for i in range(n)]
+    assert texts_of_pages(spark, bodies(8)) == [f"Own words {i} of a story\n\nAnd its end {i}" for i in range(8)]
+    assert all("Share" in t for t in texts_of_pages(spark, bodies(3)))  # three pages are too few to be sure
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<a '", "<a '>", "<svg>", "</p>", "<b><hr>", "<p><div><b>", "<!", "&#1", "<li>x", "</svg ", '<a href="x">y'])
+def test_html_takes_time_and_memory_by_length(piece):
+    page = piece * (1_000_000 // len(piece))
+    tracemalloc.start()
+    began = time.perf_counter()
+    html_text.main_text(page, html_text.Template([]))
+    took, most = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert took < 30 and most < 200e6  # tracing slows it down several times
+
+
+def test_html_of_references_beyond_any_character():
+    assert html_text.main_text(f"a &#{'1' * 6000}; &#{'0' * 6000}65; b", html_text.Template([])) == "a \ufffd A b"
+
+
+def classes_by_hand(pages):
+    """Element and text tokens of one host's pages by their whole occurrence vectors: {token: (class, once a page, is text)}."""
+    counts, text = {}, {}
+    for k, page in enumerate(pages):
+        tokens, _, chars, _, _ = html_text.page_sequence(page)
+        for t, n in zip(tokens, chars, strict=True):
+            counts.setdefault(t, [0] * len(pages))[k] += 1
+            text[t] = n >= 0
+    by_vector = {}
+    for t, vector in counts.items():
+        on = sum(n > 0 for n in vector)
+        if on > 1 and 2 * on >= len(pages):
+            by_vector.setdefault(tuple(vector), []).append(t)
+    return {t: (vector, max(vector) == 1, text[t]) for vector, ts in by_vector.items() if len(ts) > 1 for t in ts}
+
+
+def valid_by_hand(pages, known):
+    """Vectors of classes whose tokens come in one order, over and over, in one slot of one other class, on nine tenths of their pages."""
+    good = set()
+    for vector in {v for v, once, text in known.values()}:
+        shapes = Counter()
+        for page in pages:
+            tokens, around, chars, _, _ = html_text.page_sequence(page)
+            own = [i for i, t in enumerate(tokens) if t in known and known[t][0] == vector and (known[t][1] or not known[t][2])]
+            size = len({t for t, x in known.items() if x[0] == vector and (x[1] or not x[2])})
+            if not own:
+                continue
+            order = [tokens[i] for i in own]
+            regular = len(set(order[:size])) == size and order == order[:size] * (len(order) // size)
+            slots = set()
+            for i in own[::size]:
+                up = around[i]
+                while up >= 0 and (tokens[up] not in known or known[tokens[up]][0] == vector):
+                    up = around[up]
+                if up < 0:
+                    slots.add(None)
+                    continue
+                outer = [j for j, t in enumerate(tokens) if t in known and known[t][0] == known[tokens[up]][0] and chars[j] < 0 and j < i]
+                slots.add((known[tokens[up]][0], tokens[outer[-1]]))
+            shapes[(tuple(order[:size]), *slots) if regular and len(slots) == 1 else None] += 1
+        most, n = max(shapes.items(), key=lambda x: (x[1], x[0] is not None))
+        if most and n >= 0.9 * sum(shapes.values()):
+            good.add(vector)
+    return good
+
+
+def test_html_templates_equal_brute_force(spark):
+    rng = random.Random(9)
+    hosts = {}
+    for h in range(6):
+        menu = "".join(f"<li class=k><a href='/{k}'>Entry {k}</a></li>" for k in range(rng.randrange(2, 6)))
+        loose = rng.choice(["", "<div class='s'>Sometimes here</div>"])
+        hosts[f"h{h}.example"] = [
+            f"<body><ul class='t'>{menu}</ul><div class='n'>Always the same {h}</div>{loose if rng.random() < 0.7 else ''}<div class='c'>"
+            + "".join(f"<p>Own {h} {i} {j}</p>" for j in range(rng.randrange(1, 5))) + "</div><div class='f'>End of it <i>all</i></div></body>" for i in range(7)
+        ]
+    rows = [(host, i, page) for host, pages in hosts.items() for i, page in enumerate(pages)]
+    found = html_text.templates(spark.createDataFrame(rows, "host string, page_id long, source string")).collect()
+    got = {r.host: json.loads(r.template) for r in found}
+    for host, pages in hosts.items():
+        known = classes_by_hand(pages)
+        good = valid_by_hand(pages, known)
+        assert {r["token"] for r in got[host] if not r["text"] and r["valid"]} == {t for t, (v, once, text) in known.items() if not text and v in good}
+        assert {r["token"] for r in got[host] if r["text"]} == {t for t, (v, once, text) in known.items() if text and once and v in good}
+        for page, text in zip(pages, (html_text.main_text(p, html_text.Template(got[host])) for p in pages), strict=True):
+            # what few pages have is no wording of the template
+            assert text.removeprefix("Sometimes here\n\n") == "\n\n".join(re.findall("<p>(.*?)</p>", page)), host
+
+
 def test_html_odd_pages(spark, monkeypatch):
     long = "<p>" + "</p><p>".join(f"line {i} of it" for i in range(30000)) + "</p>"
     bodies = [f"<div class='x2'>Always the same words</div><div class='x3'><p>Own words {i}</p></div>" for i in range(8)]

@@ -591,6 +591,25 @@ def test_url_filter_as_of(spark):
     assert not any(r.blocked for r in url_filters.judged(c, entries.limit(0)).collect())
 
 
+def test_url_filters_of_long_urls_and_hot_keys(spark):
+    rng = random.Random(12)
+    entries = [(i, rng.choice(["hot.example", "hot.example", "a.hot.example/x/x/", "hot.example/x/"]), rng.choice(["block", "allow", "remove"]), rng.randrange(400)) for i in range(600)]
+    urls = ["http://hot.example/" + "x/" * 50000, "http://" + "a." * 40000 + "hot.example/x/y", "http://a.hot.example/x/x/x", "http://hot.example", "http://other.example/x/"]
+    captures = [(i, rng.choice(urls[:2]) if i < 20 else rng.choice(urls[2:]), rng.randrange(420)) for i in range(900)]
+    day = lambda df: df.withColumn("at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("at")))
+    c = day(spark.createDataFrame(captures, "page_id long, url string, at int"))
+    got = {r.page_id: (r.blocked, r.rule_id) for r in url_filters.judged(c.repartition(5), day(spark.createDataFrame(entries, "entry_id int, key string, action string, at int")), at="at").collect()}
+    for i, url, at in captures:
+        host, path = re.match(r"http://([^/]+)(.*)", url).groups()
+        best = None
+        for key in {k for _, k, _, _ in entries}:
+            if key == host or host.endswith("." + key) or (key.endswith("/") and (host + path).startswith(key)):
+                held = max(((d, e, a) for e, k, a, d in entries if k == key and d <= at), default=None)
+                if held and held[2] != "remove":
+                    best = max(best or (0,), (len(key), held[1], held[2]))
+        assert got[i] == ((best[2] == "block", best[1]) if best else (False, None)), (url[:40], at)
+
+
 # --- 10 quality ----------------------------------------------------------------------------------------------------
 
 

@@ -260,11 +260,12 @@ class Shard:
         self.n_null = int(row["n_null"])
 
     def numbers(self, keys: np.ndarray) -> np.ndarray:
-        """The documents' numbers in the shard, -1 where the fingerprint is another key's: one hash and one probe a key."""
+        """The documents' numbers in the shard, -1 for foreign keys: one hash and one probe a key; where the fingerprint agrees the key itself is compared."""
         if not len(self.slots):
             return np.full(len(keys), -1)
         at = slot_of(keys, self.seeds, len(self.slots))
-        return np.where(self.marks[at] == fingerprint(keys), self.slots[at].astype(np.int64), -1)
+        found = self.slots[at].astype(np.int64)
+        return np.where((self.marks[at] == fingerprint(keys)) & (self.keys[found - self.n_null] == keys), found, -1)
 
     def span(self, number: int) -> tuple[int, int]:
         return (int(self.ends[number - 1]) if number else 0), int(self.ends[number])
@@ -279,8 +280,8 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
 
     A null text gives the end id alone. A shard closes once its ids reach
     shard_bytes, so only a document longer than that makes a longer one. The
-    texts are dealt by ranges of doc_id, of partition_bytes or as partitions_for tells; rows that repeat a doc_id stay
-    together in the order of their texts. shard_id ascends with the documents.
+    texts are dealt by ranges of doc_id, of partition_bytes or as partitions_for tells. Rows that repeat a doc_id follow
+    each other in the order of their texts' openings, and of a hash, and may lie in several ranges, however many they are. shard_id ascends with the documents.
     Other columns are left out; an empty table gives no shards.
     """
 
@@ -304,8 +305,10 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
 
     size = input_bytes(docs)
     parts = [] if size is None else [-(-size // partition_bytes) if partition_bytes else partitions_for(size)]
-    dealt = docs.select("doc_id", "text").repartitionByRange(*parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(build, SHARD)
+    # the last of them tells rows apart that are alike, so that ranges may split them
+    order = ["doc_id", "opening", "hash", "row"]
+    rows = docs.select("doc_id", "text", F.substring("text", 1, 16).alias("opening"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    return rows.repartitionByRange(*parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(build, SHARD)
 
 
 def partitions_for(size: int) -> int:

@@ -113,10 +113,15 @@ def sgd(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: in
     return embed @ layer, bias
 
 
-def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800, max_labels: int = 256, most_rows: int = 4096, buckets: int = 1 << 14, dim: int = 16, epochs: int = 12, rate: float = 0.5, refuse: float = 0.001, seed: int = 5) -> Model:
-    """Fit on about per_label rows of each of the max_labels commonest labels, and most_rows of them all, among the usable rows.
+#: Rows of each label that are learnt from, however many labels there are.
+LEAST_ROWS = 8
 
-    So the sample has about most_rows rows at most, each of no more than 6 bytes a bucket (400 MB if all texts fill
+
+def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800, most_labels: int = 4096, most_rows: int = 4096, buckets: int = 1 << 14, dim: int = 16, epochs: int = 12, rate: float = 0.5, refuse: float = 0.001, seed: int = 5) -> Model:
+    """Fit on about per_label rows of each label, and most_rows of them all but LEAST_ROWS of each, among the usable rows.
+
+    Every label is learnt; as the model takes 4 bytes a bucket and label, more than most_labels (256 MB) are an error.
+    The sample has about most_rows rows at most, or LEAST_ROWS a label, each of no more than 6 bytes a bucket (400 MB if all texts fill
     all buckets; some 6 KB a row is usual); they are chosen by a
     hash of the key, of whatever type, so reruns choose alike. Rows with a null label or key, or a text without letters, are not
     learnt from. Without any such row the model knows no label and predicts
@@ -126,14 +131,16 @@ def train(docs: DataFrame, usable: Column, text: str = "text", label: str = "lan
     rows = docs.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.xxhash64(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")
     )
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+    sizes = rows.groupBy("label").count().limit(most_labels + 1).collect()
+    if len(sizes) > most_labels:
+        raise ValueError(f"more than {most_labels} labels: a model of them all may not fit into memory")
     labels = tuple(sorted(r["label"] for r in sizes))
     if not labels:
         return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    of_each = min(per_label, most_rows // len(labels))
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["label"]), F.lit(min(1.0, of_each / r["count"])))))
+    of_each = min(per_label, max(LEAST_ROWS, most_rows // len(labels)))
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, of_each / r["count"])) for r in sizes], "label string, share double")
     draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / (1 << 30)
-    sample = rows.where(draw < share[F.col("label")])
+    sample = rows.join(F.broadcast(shares), "label").where(draw < F.col("share")).select("key", "label", "text")  # most_labels rows
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

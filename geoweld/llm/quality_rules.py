@@ -148,6 +148,10 @@ RULES = (
 BASE = ("too_short", "repetitive")
 
 
+#: Partitions of the sample, whose size doesn't grow with the table.
+SAMPLE_PARTITIONS = 4
+
+
 def rule_costs(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = 4000, seed: int = 7, runs: int = 2) -> list[RuleCost]:
     """Cost and selectivity of each rule on about sample_rows rows, the most by rejection per cost first.
 
@@ -157,7 +161,8 @@ def rule_costs(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text
     """
     total = docs.count()
     share = min(1.0, sample_rows / total) if total else 1.0
-    sample = docs.select(F.col(text).alias("text")).sample(False, share, seed)
+    # in a few partitions, or each of the runs would have a task for every one of the table's
+    sample = docs.select(F.col(text).alias("text")).sample(False, share, seed).repartition(SAMPLE_PARTITIONS)
     sample = checkpointed(sample.withColumn("words", words_of(F.col("text"))))
     measures = Measures(F.col("text"), F.col("words"))
 

@@ -434,11 +434,16 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         of = checkpointed(_of_each(classes, links)).where("doc_id IS NOT NULL")
         first = of.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("f")).select("f.*")
         bare = sketches.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "version").distinct()
-        keep = checkpointed(first.union(bare))
-    version, turn = free_name(docs, "version"), free_name(docs, "turn")
-    d = docs.withColumn(version, F.xxhash64("text")).alias("d")
-    k = keep.alias("k")
-    kept = d.join(k, (F.col("d.doc_id").cast("long") == F.col("k.doc_id")) & (F.col(f"d.{version}") == F.col("k.version")), "left_semi")
-    alike = Window.partitionBy("doc_id", version).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    once = kept.withColumn(turn, F.row_number().over(alike)).where(F.col(turn) == 1).drop(turn, version)
-    return once.unionByName(docs.where("doc_id IS NULL"))
+        keep = first.union(bare)
+    # a text's rows: most stand alone and go through as they are; of several alike one is chosen, which combines before the shuffle
+    rows = sketches.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("rows"))
+    keep = checkpointed(keep.join(rows, ["doc_id", "version"]).select("doc_id", "version", (F.col("rows") > 1).alias("several")))
+    version, alike = free_name(docs, "version"), free_name(docs, "row")
+
+    def kept(several: bool) -> DataFrame:
+        d, k = docs.withColumn(version, F.xxhash64("text")).alias("d"), keep.where(F.col("several") == several).alias("k")
+        return d.join(k, (F.col("d.doc_id").cast("long") == F.col("k.doc_id")) & (F.col(f"d.{version}") == F.col("k.version")), "left_semi")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept(True).groupBy("doc_id", version).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(alike)).select(f"{alike}.*")
+    return kept(False).drop(version).unionByName(one).unionByName(docs.where("doc_id IS NULL"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
+from geoweld.functions.polygons import line_length
 from geoweld.operators.components import checkpointed, connected_components
 from geoweld.operators.grid_join import grid_join
 
@@ -187,8 +188,8 @@ def duplicate_supplements(supplement: DataFrame, base: DataFrame, cell: float, a
     return like.groupBy(F.col("a_id").alias("id")).agg(F.bool_or(dup).alias("dup")).where("dup").select("id")
 
 
-def split_at_sharp_turns(lines: DataFrame, least_angle: float = 135.0) -> DataFrame:
-    """id, part, points: polylines (id, points array<struct<x,y>>) cut at vertices that turn more sharply."""
+def split_at_sharp_turns(lines: DataFrame, least_angle: float = 135.0, least: float = 0.0) -> DataFrame:
+    """id, part, points: polylines (id, points array<struct<x,y>>) cut at vertices that turn more sharply; parts no longer than `least` go, part counts them all."""
     p = F.col("points")
     at = lambda i: F.get(p, i)
     angle = lambda i: G.turn_angle(at(i - 1)["x"], at(i - 1)["y"], at(i)["x"], at(i)["y"], at(i + 1)["x"], at(i + 1)["y"])
@@ -196,16 +197,17 @@ def split_at_sharp_turns(lines: DataFrame, least_angle: float = 135.0) -> DataFr
     cuts = F.concat(F.array(F.lit(0)), F.filter(inner, lambda i: angle(i) < least_angle), F.array(F.size(p) - 1))
     cut = lines.where(F.size("points") > 1).withColumn("cuts", cuts)
     spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda k: F.slice(p, F.get("cuts", k) + 1, F.get("cuts", k + 1) - F.get("cuts", k) + 1))
-    return cut.select("id", F.posexplode(spans).alias("part", "points"))
+    return cut.select("id", F.posexplode(spans).alias("part", "points")).where(line_length(F.col("points")) > least)
 
 
-def split_by_length(segments: DataFrame, most: float) -> DataFrame:
-    """id, part (from 1), x1, y1, x2, y2: each segment in equal pieces, as few as keep to `most`; one without length stays."""
-    n = F.greatest(F.ceil(length(segment()) / most), F.lit(1)).cast("int")
-    cut = segments.select("id", *segment(), n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    at = lambda a, b, k: (F.col(a) + (F.col(b) - F.col(a)) * k / F.col("n"))
-    k = F.col("part")
-    return cut.select("id", "part", at("x1", "x2", k - 1).alias("x1"), at("y1", "y2", k - 1).alias("y1"), at("x1", "x2", k).alias("x2"), at("y1", "y2", k).alias("y2"))
+def split_by_length(segments: DataFrame, most: float, least: float = 0.0) -> DataFrame:
+    """id, part (from 1), x1, y1, x2, y2: each segment in pieces of length `most` and a rest; pieces no longer than `least` go."""
+    long = length(segment())
+    n = F.greatest(F.ceil(long / most), F.lit(1)).cast("int")
+    cut = segments.select("id", *segment(), long.alias("long"), n.alias("n")).withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    low, high = (F.col("part") - 1) * most, F.least(F.col("part") * most, F.col("long"))
+    at = lambda a, b, d: F.when(d == F.col("long"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * d / F.col("long"))
+    return cut.where(high - low > least).select("id", "part", at("x1", "x2", low).alias("x1"), at("y1", "y2", low).alias("y1"), at("x1", "x2", high).alias("x2"), at("y1", "y2", high).alias("y2"))
 
 
 def ring_segments(layer: DataFrame) -> DataFrame:

@@ -72,10 +72,12 @@ def erased_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.groupBy("id").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum(lines.length(lines.segment())), 4).alias("len"))
 
 
-@query(f"""WITH {SQL['sa']}, n AS (SELECT *, greatest(ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 7), 1)::INT AS n FROM sa), k AS (SELECT *, unnest(range(1, n + 1))::INT AS part FROM n)
-SELECT id, part, round(x1 + (x2 - x1) * (part - 1) / n, 6) AS x1, round(y1 + (y2 - y1) * (part - 1) / n, 6) AS y1, round(x1 + (x2 - x1) * part / n, 6) AS x2, round(y1 + (y2 - y1) * part / n, 6) AS y2 FROM k""")
+@query(f"""WITH {SQL['sa']}, n AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS long FROM sa), k AS (SELECT *, unnest(range(1, greatest(ceil(long / 7), 1)::INT + 1))::INT AS part FROM n),
+c AS (SELECT *, (part - 1) * 7 AS lo, least(part * 7, long) AS hi FROM k)
+SELECT id, part, round(x1 + (x2 - x1) * lo / long, 6) AS x1, round(y1 + (y2 - y1) * lo / long, 6) AS y1, round(x1 + (x2 - x1) * hi / long, 6) AS x2, round(y1 + (y2 - y1) * hi / long, 6) AS y2 FROM c WHERE hi - lo > 1""")
 def lines_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.split_by_length(base_segments(spark, sf_dir), 7.0).select("id", "part", *(F.round(c, 6).alias(c) for c in lines.ENDS))
+    """Lines in full lengths of 7 and a rest."""
+    return lines.split_by_length(base_segments(spark, sf_dir), 7.0, 1.0).select("id", "part", *(F.round(c, 6).alias(c) for c in lines.ENDS))
 
 
 _ROUTES = """o AS (SELECT l_orderkey AS id, l_partkey::DOUBLE AS x, l_suppkey::DOUBLE AS y, row_number() OVER w AS i, lag(l_partkey) OVER w AS px, lag(l_suppkey) OVER w AS py, lead(l_partkey) OVER w AS nx, lead(l_suppkey) OVER w AS ny, count(*) OVER (PARTITION BY l_orderkey) AS n
@@ -91,11 +93,13 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_ROUTES}, v AS (SELECT *, (px - x) * (nx - x) + (py - y) * (ny - y) AS dot, sqrt((px - x) ** 2 + (py - y) ** 2) * sqrt((nx - x) ** 2 + (ny - y) ** 2) AS len FROM o WHERE n > 1),
 c AS (SELECT id, i, n, coalesce(px IS NOT NULL AND nx IS NOT NULL AND len > 0 AND degrees(acos(greatest(-1, least(1, dot / len)))) < 135, FALSE) AS cut FROM v),
-s AS (SELECT *, sum(cut::INT) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
-SELECT id, part::INT AS part, count(*)::INT AS n_points FROM (SELECT id, coalesce(before, 0) AS part FROM s UNION ALL SELECT id, coalesce(before, 0) + 1 FROM s WHERE cut) GROUP BY 1, 2""")
+s AS (SELECT *, sum(cut::INT) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+p AS (SELECT s.id, part, s.i FROM (SELECT id, i, coalesce(before, 0) AS part FROM s UNION ALL SELECT id, i, coalesce(before, 0) + 1 FROM s WHERE cut) s),
+d AS (SELECT p.*, sqrt((o.x - lag(o.x) OVER w) ** 2 + (o.y - lag(o.y) OVER w) ** 2) AS step FROM p JOIN o ON o.id = p.id AND o.i = p.i WINDOW w AS (PARTITION BY p.id, part ORDER BY p.i))
+SELECT id, part::INT AS part, count(*)::INT AS n_points FROM d GROUP BY 1, 2 HAVING sum(step) > 25""")
 def sharp_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polylines cut where they turn sharply."""
-    return lines.split_at_sharp_turns(_routes(spark, sf_dir)).select("id", "part", F.size("points").alias("n_points"))
+    return lines.split_at_sharp_turns(_routes(spark, sf_dir), least=25.0).select("id", "part", F.size("points").alias("n_points"))
 
 
 @query(f"""WITH {SQL['sa']}, p AS (SELECT a.id, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS w, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS tn, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS un

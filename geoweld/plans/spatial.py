@@ -189,7 +189,7 @@ def road_match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_LINES}, best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY haus, angle, b_id) = 1)
 SELECT id, 'base' AS src FROM sa UNION ALL SELECT id, 'supplement' FROM sb WHERE id NOT IN (SELECT b_id FROM best)""")
-def road_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base lines and the supplements that are no base line's best candidate."""
     best = best_per(_line_candidates(spark, sf_dir), "a_id", F.col("hausdorff_m"), F.col("angle_diff_deg"), F.col("b_id"))
     rest = other_segments(spark, sf_dir).join(best.select(F.col("b_id").alias("id")).distinct(), "id", "left_anti")

@@ -5,6 +5,9 @@ A box is four columns (minx, miny, maxx, maxy), a segment (x1, y1, x2, y2).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,6 +113,55 @@ def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, F.log(F.tan(F.radians(lat) / 2 + F.lit(0.7853981633974483))) * MERCATOR_RADIUS
 
 
+def _series(n: float, *rows: tuple[float, ...]) -> list[float]:
+    """Coefficients of n^j, n^(j+1), ... for each j from 1, added up."""
+    return [sum(c * n ** (j + k) for k, c in enumerate(row)) for j, row in enumerate(rows, 1)]
+
+
+#: WGS 84 and the zones' scale and false origin. Fixed values.
+EQUATOR, FLATTENING, SCALE, FALSE_EAST, FALSE_SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N = FLATTENING / (2 - FLATTENING)
+#: Radius of the rectifying sphere, and Krueger's series to the fourth power of the third flattening. Fixed values.
+RECTIFYING = EQUATOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+TO_GRID = _series(_N, (1 / 2, -2 / 3, 5 / 16, 41 / 180), (13 / 48, -3 / 5, 557 / 1440), (61 / 240, -103 / 140), (49561 / 161280,))
+FROM_GRID = _series(_N, (1 / 2, -2 / 3, 37 / 96, -1 / 360), (1 / 48, 1 / 15, -437 / 1440), (17 / 480, -37 / 840), (4397 / 161280,))
+TO_LATITUDE = _series(_N, (2, -2 / 3, -2, 116 / 45), (7 / 3, -8 / 5, -227 / 45), (56 / 15, -136 / 35), (4279 / 630,))
+
+
+def to_utm(lon: Column, lat: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres in a zone, on the southern grid if south; far beyond the zone the series loses its millimetres."""
+    e = 2 * math.sqrt(_N) / (1 + _N)
+    sine, turn = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    east = eta + sum((c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(TO_GRID, 1)), F.lit(0.0))
+    north = xi + sum((c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(TO_GRID, 1)), F.lit(0.0))
+    return FALSE_EAST + SCALE * RECTIFYING * east, F.when(south, FALSE_SOUTH).otherwise(0.0) + SCALE * RECTIFYING * north
+
+
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees."""
+    xi = (north - F.when(south, FALSE_SOUTH).otherwise(0.0)) / (SCALE * RECTIFYING)
+    eta = (east - FALSE_EAST) / (SCALE * RECTIFYING)
+    x = xi - sum((c * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, c in enumerate(FROM_GRID, 1)), F.lit(0.0))
+    y = eta - sum((c * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, c in enumerate(FROM_GRID, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi + sum((c * F.sin(2 * j * chi) for j, c in enumerate(TO_LATITUDE, 1)), F.lit(0.0))
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183, F.degrees(lat)
+
+
+def box_to(b: tuple[Column, ...], project: Callable[[Column, Column], tuple[Column, Column]], pieces: int = 20) -> tuple[Column, ...]:
+    """The box around a box's projected edges, each in so many pieces, as straight edges may bulge."""
+    at = lambda low, high: F.transform(F.sequence(F.lit(0), F.lit(pieces)), lambda i: low + (high - low) * i / pieces)
+    edges = [(at(b[0], b[2]), b[1], 0), (at(b[0], b[2]), b[3], 0), (at(b[1], b[3]), b[0], 1), (at(b[1], b[3]), b[2], 1)]
+    xs, ys = ([_along(moving, fixed, upright, axis, project) for moving, fixed, upright in edges] for axis in (0, 1))
+    return F.least(*map(F.array_min, xs)), F.least(*map(F.array_min, ys)), F.greatest(*map(F.array_max, xs)), F.greatest(*map(F.array_max, ys))
+
+
+def _along(moving: Column, fixed: Column, upright: int, axis: int, project: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    return F.transform(moving, lambda v: (project(fixed, v) if upright else project(v, fixed))[axis])
+
+
 def quadkey_tile(key: Column) -> tuple[Column, Column]:
     """Column and row of a quadkey's tile: digit bits 1 and 2, the first digit highest."""
     digits = F.transform(F.split(key, ""), lambda d: F.coalesce(F.expr("null").cast("int"), d.try_cast("int")))

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoweld.operators.components import checkpointed
+
 
 def transform_paths(edges: DataFrame, start: str, goal: str, most: int = 3) -> DataFrame:
     """depth, path: the shortest path from start to goal in at most `most` steps, of equals the first in order of its nodes.
 
-    edges (source, target). The frontier grows by one join a step, without
-    nodes of the path again. No row if there is none; equal ends give a path of one node.
+    edges (source, target). Each step is one join; of the paths to a node only the first in order goes on, and only
+    those to nodes not reached before, so there are no more paths than nodes. No row if there is none; equal ends give a path of one node.
     """
     spark = edges.sparkSession
     e = edges.select("source", "target").distinct()
     frontier = spark.createDataFrame([(0, start, [start])], "depth int, node string, path array<string>")
     found = frontier
     for _ in range(most):
-        step = frontier.join(e, F.col("node") == F.col("source")).where(~F.array_contains("path", F.col("target")))
-        frontier = step.select((F.col("depth") + 1).alias("depth"), F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
+        step = frontier.join(e, F.col("node") == F.col("source")).join(found.select(F.col("node").alias("target")), "target", "left_anti")
+        ahead = step.select((F.col("depth") + 1).alias("depth"), F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
+        frontier = checkpointed(ahead.groupBy("depth", "node").agg(F.min("path").alias("path")))
         found = found.union(frontier)
     return found.where(F.col("node") == goal).orderBy("depth", "path").limit(1).select("depth", "path")
 

@@ -80,28 +80,27 @@ def dangling(lines: DataFrame, cell: float, radius: float = 1.0, one_free: float
 
 
 def conflated(base: DataFrame, supplement: DataFrame, cell: float, radius: float = 3.0, least: float = 5.0) -> DataFrame:
-    """id, of, part, role, x1, y1, x2, y2: the base network with what supplements add to it.
+    """of, part, role, x1, y1, x2, y2: the base network with what supplements add to it; `of` is the line's id.
 
     A supplement that is some base line's best match adds only its parts beyond radius of the base (part from 1, role residual), any other one
     the whole of it (part 0, role supplement). Of these the ones go that one base line, several, a corridor along the
     base or a crossing of it double, then the short ones that hang loose in the network. The ends of the rest are moved
-    to the base where that doesn't bend them. The id of a supplement's part is 100 times its own plus the part; base lines keep theirs as `of` and
-    have role base.
+    to the base where that doesn't bend them. Base lines have part 0 and role base.
     """
     best = best_per(line_candidates(base, supplement, cell), "a_id", F.col("hausdorff_m"), F.col("angle_diff_deg"), F.col("b_id"))
     matched = checkpointed(best.select(F.col("b_id").alias("id")).distinct())
     ends = [F.col(c) for c in ENDS]
-    whole = supplement.join(matched, "id", "left_anti").select((F.col("id") * 100).alias("id"), *ends)
-    rest = residuals(supplement.join(matched, "id", "left_semi"), base, cell, radius, least).select((F.col("id") * 100 + F.col("part")).alias("id"), *ends)
+    named = lambda part, base: F.struct(F.lit(base).alias("base"), F.col("id").alias("of"), part.cast("int").alias("part")).alias("id")
+    whole = supplement.join(matched, "id", "left_anti").select(named(F.lit(0), False), *ends)
+    rest = residuals(supplement.join(matched, "id", "left_semi"), base, cell, radius, least).select(named(F.col("part"), False), *ends)
     parts = checkpointed(whole.union(rest))
     doubles = [duplicate_supplements(parts, base, cell), group_duplicates(parts, base, cell), near_base_returns(parts, base, cell), crossing_duplicates(parts, base, cell)]
     gone = doubles[0]
     for df in doubles[1:]:
         gone = gone.union(df)
     left = checkpointed(parts.join(gone.distinct(), "id", "left_anti"))
-    network = left.union(base.select((-1 - F.col("id")).alias("id"), *ends))
+    network = left.union(base.select(named(F.lit(0), True), *ends))
     tied = left.join(dangling(network, cell), "id", "left_anti")
     snapped = snapped_segments(tied, base, cell)
-    part = (F.col("id") % 100).cast("int")
-    added = snapped.select("id", F.floor(F.col("id") / 100).alias("of"), part.alias("part"), F.when(part == 0, "supplement").otherwise("residual").alias("role"), *ends)
-    return base.select((-1 - F.col("id")).alias("id"), F.col("id").alias("of"), F.lit(0).alias("part"), F.lit("base").alias("role"), *ends).union(added)
+    added = snapped.select("id.of", "id.part", F.when(F.col("id.part") == 0, "supplement").otherwise("residual").alias("role"), *ends)
+    return base.select(F.col("id").alias("of"), F.lit(0).alias("part"), F.lit("base").alias("role"), *ends).union(added)

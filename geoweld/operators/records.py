@@ -310,10 +310,10 @@ def semantic_hash(columns: Sequence[Column]) -> Column:
 
 def box_hash(box: Sequence[Column], digits: int = 7) -> Column:
     """SHA-1 of a rounded box."""
-    return F.sha1(F.concat_ws(",", *(F.format_number(c, digits) for c in box)))
+    return F.sha1(F.concat_ws(",", *(F.format_string(f"%.{digits}f", c) for c in box)))
 
 
 def location_of(text: Column, ends: Sequence[str] = ("please", "with", "using", "for")) -> Column:
-    """The place that follows "in" or "for" in a request, up to punctuation or one of the words after which it ends; null if there is none."""
+    """The place that follows "in" or "of" in a request, up to punctuation or one of the words after which it ends; null if there is none."""
     stop = "|".join(ends)
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b(?:in|of)\s+([A-Za-z][A-Za-z' -]*?)(?=\s+(?:{stop})\b|[,.;!?]|$)", 1)), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,6 +128,26 @@ def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("quantile"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], key: Sequence[str] = ()) -> DataFrame:
+    """key, q0, q1, ...: quantiles of each key's values by linear interpolation. Keys without a value have no row.
+
+    Distinct values of all keys are ranked in ranges together, so a key may have any number of them.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = checkpointed(with_running_total(sizes, [*key, "v"], "c", "before"))
+    per = ranked.groupBy(*key).agg(F.sum("c").alias("n"), F.min("before").alias("start"))
+    alike = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in key]
+    both = ranked.alias("r").join(per.alias("p"), reduce(Column.__and__, alike)) if key else ranked.alias("r").crossJoin(F.broadcast(per.alias("p")))
+    own = F.col("r.before") - F.col("p.start")
+    aggregates = []
+    for i, share in enumerate(shares):
+        at = share * (F.col("p.n") - 1)
+        holds = lambda k: (own <= k) & (k < own + F.col("r.c"))
+        low, high = (F.max(F.when(holds(k), F.col("r.v"))) for k in (F.floor(at), F.ceil(at)))
+        aggregates.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"q{i}"))
+    return both.groupBy(*(F.col(f"r.{k}") for k in key)).agg(*aggregates)
+
+
 def set_metrics(expected: Column, found: Column) -> dict[str, Column]:
     """precision, recall and F1 of two arrays as sets; recall is 1 if nothing is expected, precision 1 only if nothing is found either."""
     hits, n_e, n_f = F.size(F.array_intersect(expected, found)), F.size(F.array_distinct(expected)), F.size(F.array_distinct(found))

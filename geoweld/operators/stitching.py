@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoweld.functions.text import semantic_null
 from geoweld.operators.naming import first_rows, free_name, row_digest
+from geoweld.operators.relational import exact_quantiles
 
 
 def first_source_per_tile(rows: DataFrame, tile: str, priority: str) -> DataFrame:
@@ -68,7 +69,6 @@ def aligned(base: DataFrame, other: DataFrame, cell: float, radius: float) -> Da
 def alignment_summary(matches: DataFrame, n_base: int, n_other: int) -> DataFrame:
     """recall, precision and deviation of matches (a_id, b_id, dist); a ratio without denominator is 1."""
     ratio = lambda n, d: F.round(n / d, 6) if d else F.lit(1.0)
-    return matches.agg(
-        ratio(F.count_distinct("a_id"), n_base).alias("recall"), ratio(F.count_distinct("b_id"), n_other).alias("precision"),
-        F.round(F.percentile("dist", 0.5), 6).alias("p50"), F.round(F.percentile("dist", 0.95), 6).alias("p95"),
-    )
+    counts = matches.agg(ratio(F.count_distinct("a_id"), n_base).alias("recall"), ratio(F.count_distinct("b_id"), n_other).alias("precision"))
+    ranks = exact_quantiles(matches, "dist", (0.5, 0.95))  # one row
+    return counts.crossJoin(ranks).select("recall", "precision", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95"))

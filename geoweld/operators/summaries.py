@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
+from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import grid_join, points
 from geoweld.operators.naming import first_rows, row_digest
+from geoweld.operators.nearest import nearest_rows
 from geoweld.operators.relational import top_k
 
 
@@ -75,14 +77,11 @@ def telemetry(events: DataFrame, per: str, size: str, duration: str) -> DataFram
     return events.groupBy(per).agg(F.count_distinct("kind").alias("kinds"), F.count(F.lit(1)).alias("n_events"), F.sum(size).alias("bytes"), F.round(F.sum(duration), 4).alias("seconds"), F.max_by("kind", F.struct(duration, "kind")).alias("slowest"))
 
 
-def sample_audit(rows: DataFrame, other: DataFrame, cell: float, radius: float = 100.0, k: int = 30) -> DataFrame:
-    """id, dist, covered of the first k boxes: how far their middle is from the other layer (null beyond radius), and the largest share of their area that one of its boxes covers."""
+def sample_audit(rows: DataFrame, other: DataFrame, cell: float, k: int = 30) -> DataFrame:
+    """id, dist, covered of the first k boxes: how far their middle is from the other layer (null if that is empty), and the largest share of their area that one of its boxes covers."""
     some = top_k(rows, k, F.asc("id"))
     cx, cy = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
-    placed = points(some.select("id", cx.alias("x"), cy.alias("y")))
-    gap = lambda p, low, high: F.greatest(F.lit(0.0), F.col(low) - p, p - F.col(high))
-    d = F.sqrt(F.pow(gap(F.col("a_x"), "b_minx", "b_maxx"), 2) + F.pow(gap(F.col("a_y"), "b_miny", "b_maxy"), 2))
-    near = grid_join(placed, other, cell, radius).withColumn("d", d).where(F.col("d") <= radius).groupBy(F.col("a_id").alias("id")).agg(F.min("d").alias("dist"))
+    near = nearest_rows(some.select("id", cx.alias("x"), cy.alias("y")), other, cell).select(F.col("a_id").alias("id"), "dist")
     a, b = G.box("a_"), G.box("b_")
     met = grid_join(some, other, cell).groupBy(F.col("a_id").alias("id")).agg(F.max(G.shared_area(a, b) / G.box_area(a)).alias("covered"))
     return some.select("id").join(near, "id", "left").join(met, "id", "left").select("id", F.round("dist", 6).alias("dist"), F.round(F.coalesce("covered", F.lit(0.0)), 6).alias("covered"))
@@ -98,7 +97,7 @@ def sampled_from_tiles(boxes: DataFrame, tiles: DataFrame, cell: float) -> DataF
 
 def grounding(plan: DataFrame, patterns: DataFrame, algorithms: DataFrame, types: DataFrame) -> DataFrame:
     """plan, steps, grounded: whether each step's pattern, algorithm and type are among those offered, and so for the whole plan."""
-    known = lambda df, c: F.broadcast(df.select(c, F.lit(True).alias(f"{c} known")).distinct())
+    known = lambda df, c: df.select(c, F.lit(True).alias(f"{c} known")).distinct()
     each = plan.join(known(patterns, "pattern"), "pattern", "left").join(known(algorithms, "algorithm"), "algorithm", "left").join(known(types, "type"), "type", "left")
     fine = F.col("pattern known").isNotNull() & F.col("algorithm known").isNotNull() & F.col("type known").isNotNull()
     return each.groupBy("plan").agg(F.count(F.lit(1)).alias("steps"), F.count_if(fine).alias("fine"), F.bool_and(fine).alias("grounded"))
@@ -127,6 +126,38 @@ def separated_boxes(boxes: DataFrame, cell: float, delete_share: float = 0.65) -
     return pairs.where((area > 0) & (G.shared_area(a, b) >= delete_share * area)).select(small.alias("id")).distinct()
 
 
+def displaced_boxes(boxes: DataFrame, cell: float, delete_share: float = 0.65, step: float = 3.0, rounds: int = 6, least: float = 0.2) -> DataFrame:
+    """id, the box, dx, dy, moved of the boxes that stay once overlaps of `least` area or more are mended.
+
+    Boxes mostly covered by a larger one go first (see separated_boxes). In round i of all pairs that still overlap, but for those of two boxes moved
+    before, the smaller box (of equals the one with the smaller id) moves by i times step away from the
+    middle of the one it overlaps most, all at once. Of pairs left after the rounds the smaller one goes, so none overlaps. Sizes never change.
+    """
+    sized = boxes.withColumns({"area": G.box_area(G.box()), "dx": F.lit(0.0), "dy": F.lit(0.0), "moved": F.lit(False)})
+    left = checkpointed(sized.join(separated_boxes(boxes, cell, delete_share), "id", "left_anti"))
+
+    def conflicts() -> DataFrame:
+        pairs = grid_join(left, left, cell, keep=F.col("a_id") < F.col("b_id"))
+        return pairs.withColumn("overlap", G.shared_area(G.box("a_"), G.box("b_"))).where(F.col("overlap") >= least)
+
+    first = F.col("a_area") <= F.col("b_area")
+    pick = lambda c, own: F.when(first, F.col(f"{'a' if own else 'b'}_{c}")).otherwise(F.col(f"{'b' if own else 'a'}_{c}"))
+    middle = lambda c, own: (pick(f"min{c}", own) + pick(f"max{c}", own)) / 2
+    for i in range(1, rounds + 1):
+        way = F.struct((middle("x", True) - middle("x", False)).alias("x"), (middle("y", True) - middle("y", False)).alias("y"))
+        told = conflicts().where(~(F.col("a_moved") & F.col("b_moved"))).select(pick("id", True).alias("id"), way.alias("way"), F.struct("overlap", (-pick("id", False)).alias("other")).alias("by"))
+        moves = checkpointed(told.groupBy("id").agg(F.max_by("way", "by").alias("way")))
+        if moves.isEmpty():
+            break
+        x, y = F.col("way.x"), F.col("way.y")
+        far = F.sqrt(x * x + y * y)
+        go = [F.when(F.col("way").isNull(), 0.0).when(far > 0, i * step * v / far).otherwise(alone) for v, alone in ((x, i * step), (y, 0.0))]
+        shifted = left.join(moves, "id", "left").withColumns({"goes x": go[0], "goes y": go[1]})
+        new = {f"{end}{c}": F.col(f"{end}{c}") + F.col(f"goes {c}") for end in ("min", "max", "d") for c in "xy"}
+        left = checkpointed(shifted.withColumns({**new, "moved": F.col("moved") | F.col("way").isNotNull()}).drop("way", "goes x", "goes y"))
+    return left.join(conflicts().select(pick("id", True).alias("id")).distinct(), "id", "left_anti").drop("area")
+
+
 def clipped_boxes(boxes: DataFrame, window: tuple[float, float, float, float]) -> DataFrame:
     """The boxes that share area with the window, cut to it."""
     x1, y1, x2, y2 = map(F.lit, window)

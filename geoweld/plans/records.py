@@ -228,10 +228,10 @@ def non_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", refused.alias("refused"), F.expr(R.like_filter("p_name", ["BOLT", "cold w"])).alias("listed"))
 
 
-@query("""SELECT s_suppkey, sha256('{"name":"' || s_name || '","nation":' || CASE WHEN s_nationkey % 2 = 0 THEN 'null' ELSE s_nationkey::VARCHAR END || '}') AS content, sha1(printf('%.7f', s_nationkey / 4) || ',' || printf('%.7f', s_suppkey % 10 + 0.125)) AS box FROM supplier""")
+@query("""SELECT s_suppkey, sha256('{"name":"' || s_name || '","nation":' || CASE WHEN s_nationkey % 2 = 0 THEN 'null' ELSE s_nationkey::VARCHAR END || '}') AS content, sha1(printf('%.7f', s_nationkey / 4) || ',' || printf('%.7f', s_suppkey * 1237.5 + 0.125)) AS box FROM supplier""")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.when(F.col("s_nationkey") % 2 != 0, F.col("s_nationkey"))
-    box = (F.col("s_nationkey") / 4, F.col("s_suppkey") % 10 + 0.125)
+    box = (F.col("s_nationkey") / 4, F.col("s_suppkey") * 1237.5 + 0.125)
     return table(spark, sf_dir, "supplier").select("s_suppkey", R.semantic_hash([F.col("s_name").alias("name"), nation.alias("nation")]).alias("content"), R.box_hash(box).alias("box"))
 
 
@@ -491,7 +491,7 @@ def run_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL['a']}, {SQL['b']}, s AS (SELECT *, (minx + maxx) / 2 AS x, (miny + maxy) / 2 AS y FROM a ORDER BY id LIMIT 30),
 d AS (SELECT s.id, min(sqrt(greatest(0, b.minx - x, x - b.maxx) ** 2 + greatest(0, b.miny - y, y - b.maxy) ** 2)) AS dist, max(greatest(0, least(s.maxx, b.maxx) - greatest(s.minx, b.minx)) * greatest(0, least(s.maxy, b.maxy) - greatest(s.miny, b.miny)) / ((s.maxx - s.minx) * (s.maxy - s.miny))) AS covered FROM s, b GROUP BY s.id)
-SELECT id, CASE WHEN dist <= 100 THEN round(dist, 6) END AS dist, round(covered, 6) AS covered FROM d""")
+SELECT id, round(dist, 6) AS dist, round(covered, 6) AS covered FROM d""")
 def sample_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first thirty boxes against the other layer."""
     return Y.sample_audit(base_boxes(spark, sf_dir), other_boxes(spark, sf_dir), CELL)

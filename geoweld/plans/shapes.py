@@ -52,12 +52,12 @@ fast AS (SELECT kept.* FROM kept LEFT JOIN tied USING (id) WHERE NOT ((coalesce(
 {_ends('sn', 'fast', 10.0)}, one AS (SELECT id, k, px, py FROM sn QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY d, b_id) = 1),
 mv AS (SELECT f.*, coalesce(p.px, x1) AS u1, coalesce(p.py, y1) AS v1, coalesce(q.px, x2) AS u2, coalesce(q.py, y2) AS v2 FROM fast f LEFT JOIN one p ON f.id = p.id AND p.k = 1 LEFT JOIN one q ON f.id = q.id AND q.k = 2),
 ok AS (SELECT *, sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2) >= 1 AND coalesce(degrees(acos(greatest(-1, least(1, ((x2 - x1) * (u2 - u1) + (y2 - y1) * (v2 - v1)) / nullif(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) * sqrt((u2 - u1) ** 2 + (v2 - v1) ** 2), 0))))), 0) <= 35 AS fine FROM mv)
-SELECT -1 - id AS id, id AS "of", 0 AS part, 'base' AS role, x1, y1, x2, y2 FROM sa
-UNION ALL SELECT id, id // 100, (id % 100)::INT, CASE WHEN id % 100 = 0 THEN 'supplement' ELSE 'residual' END, round(CASE WHEN fine THEN u1 ELSE x1 END, 4), round(CASE WHEN fine THEN v1 ELSE y1 END, 4), round(CASE WHEN fine THEN u2 ELSE x2 END, 4), round(CASE WHEN fine THEN v2 ELSE y2 END, 4) FROM ok""")
+SELECT id AS "of", 0 AS part, 'base' AS role, x1, y1, x2, y2 FROM sa
+UNION ALL SELECT id // 100, (id % 100)::INT, CASE WHEN id % 100 = 0 THEN 'supplement' ELSE 'residual' END, round(CASE WHEN fine THEN u1 ELSE x1 END, 4), round(CASE WHEN fine THEN v1 ELSE y1 END, 4), round(CASE WHEN fine THEN u2 ELSE x2 END, 4), round(CASE WHEN fine THEN v2 ELSE y2 END, 4) FROM ok""")
 def conflated_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Road conflation from match to snap: the base network and what supplements add to it."""
     made = L.conflated(base_segments(spark, sf_dir), other_segments(spark, sf_dir), CELL)
-    return made.select("id", "of", "part", "role", *(F.round(c, 4).alias(c) for c in lines.ENDS))
+    return made.select("of", "part", "role", *(F.round(c, 4).alias(c) for c in lines.ENDS))
 
 
 @query(f"""WITH {SQL['sa']}, {SQL['b']}, i AS (SELECT s.id, greatest(CASE WHEN s.x1 = s.x2 THEN 0 ELSE least((b.minx - s.x1) / (s.x2 - s.x1), (b.maxx - s.x1) / (s.x2 - s.x1)) END, CASE WHEN s.y1 = s.y2 THEN 0 ELSE least((b.miny - s.y1) / (s.y2 - s.y1), (b.maxy - s.y1) / (s.y2 - s.y1)) END, 0) AS lo,

@@ -10,6 +10,7 @@ from geoweld.functions import text as S
 from geoweld.operators import catalog as C
 from geoweld.operators import quality as Q
 from geoweld.operators import relational as R
+from geoweld.operators.relational import exact_quantiles
 from geoweld.operators.grid_join import best_per
 from geoweld.operators.tiling import partition_bbox
 from geoweld.plans.derived import CELL, SQL, base_boxes, base_segments, other_boxes
@@ -49,9 +50,10 @@ def layer_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_brand, round(quantile_cont(p_retailprice, 0.5), 6) AS p50, round(quantile_cont(p_retailprice, 0.95), 6) AS p95, round(avg(p_size), 6) AS mean_size FROM part GROUP BY p_brand""")
 def percentiles_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(
-        F.round(F.percentile("p_retailprice", 0.5), 6).alias("p50"), F.round(F.percentile("p_retailprice", 0.95), 6).alias("p95"), F.round(F.avg("p_size"), 6).alias("mean_size")
-    )
+    part = table(spark, sf_dir, "part")
+    sizes = part.groupBy("p_brand").agg(F.round(F.avg("p_size"), 6).alias("mean_size"))
+    ranks = exact_quantiles(part, "p_retailprice", (0.5, 0.95), ["p_brand"])
+    return sizes.join(ranks, "p_brand").select("p_brand", F.round("q0", 6).alias("p50"), F.round("q1", 6).alias("p95"), "mean_size")
 
 
 @query("""WITH s AS (SELECT unnest(string_split(p_type || ';' || CASE WHEN p_size % 3 = 0 THEN p_brand ELSE '' END, ';')) AS s FROM part)

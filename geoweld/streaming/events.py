@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from geoweld.operators.components import shared_folder
+from geoweld.operators.components import checkpointed, shared_folder
 from geoweld.operators.naming import first_rows
 
 
@@ -54,6 +55,47 @@ def run_available(spark: SparkSession, source: DataFrame, plan: Callable[[DataFr
     return spark.read.schema(made.schema).parquet(f"{folder}/rows")
 
 
+def intake(spark: SparkSession, source: DataFrame, folder: str, schema: str, key: str, required: Sequence[str]) -> dict[str, DataFrame]:
+    """What the JSON texts (value) that source's stream has now come to: taken, refused, repeated and ledger.
+
+    The given text is `document` there. One that can't be read, or lacks a required field, is refused with its reason; of texts with one key the
+    first in order is taken and the others are repeated, ones taken by earlier batches included. Every batch writes
+    all of it, and its counts into the ledger, to folders of its own, which it replaces when it is run again, and looks at batches before it only; so
+    a batch that breaks off and runs again changes nothing. Later calls with the folder go on where the last one ended.
+    """
+    broken = "what can't be read"
+    fields = T.StructType.fromDDL(schema)
+    readable = T.StructType([*fields.fields, T.StructField(broken, T.StringType())])
+    places = {name: f"{folder}/{name}" for name in ("taken", "refused", "repeated", "ledger")}
+
+    def batch(df: DataFrame, n: int) -> None:
+        read = df.select(F.col("value").alias("document"), F.from_json("value", readable, {"columnNameOfCorruptRecord": broken}).alias("row"))
+        row = lambda c: F.col("row")[c]
+        reason = F.when(F.col("document").isNull() | row(broken).isNotNull() | F.col("row").isNull(), F.lit("unreadable"))
+        for c in dict.fromkeys((key, *required)):
+            reason = reason.when(row(c).isNull(), F.lit(f"without {c}"))
+        told = checkpointed(read.withColumn("reason", reason))
+        told.where("reason IS NOT NULL").select("document", "reason").write.mode("overwrite").parquet(f"{places['refused']}/batch={n}")
+        good = told.where("reason IS NULL").select("document", *(row(c).alias(c) for c in fields.names))
+        turn = F.row_number().over(Window.partitionBy(key).orderBy("document"))
+        numbered = good.withColumn("turn", turn)
+        if n:
+            kept = spark.read.schema(f"{schema}, batch long").parquet(places["taken"]).where(F.col("batch") < n).select(key).distinct()
+            numbered = numbered.join(kept.withColumn("known", F.lit(True)), key, "left")
+        else:
+            numbered = numbered.withColumn("known", F.lit(None).cast("boolean"))
+        numbered = checkpointed(numbered)
+        fresh = F.col("known").isNull() & (F.col("turn") == 1)
+        numbered.where(fresh).select(*fields.names).write.mode("overwrite").parquet(f"{places['taken']}/batch={n}")
+        numbered.where(~fresh).select("document", key).write.mode("overwrite").parquet(f"{places['repeated']}/batch={n}")
+        counts = numbered.agg(F.count_if(fresh).alias("taken"), F.count_if(~fresh).alias("repeated")).crossJoin(told.agg(F.count_if(F.col("reason").isNotNull()).alias("refused")))
+        counts.write.mode("overwrite").parquet(f"{places['ledger']}/batch={n}")
+
+    source.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    schemas = {"taken": schema, "refused": "document string, reason string", "repeated": f"document string, {key} {fields[key].dataType.simpleString()}", "ledger": "taken long, repeated long, refused long"}
+    return {name: spark.read.schema(f"{schemas[name]}, batch long").parquet(place) for name, place in places.items()}
+
+
 def due_and_expired(jobs: DataFrame, now: str) -> DataFrame:
     """jobs with `state`: expired once its window has ended, else due from its next retry on, else waiting."""
     t = F.lit(now).cast("timestamp")

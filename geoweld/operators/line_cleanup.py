@@ -28,9 +28,21 @@ def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radiu
     return each.groupBy("id").agg(F.avg("d").alias("mean"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("far"))
 
 
-def corridor_coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float, keep: Column) -> DataFrame:
-    """id, covered: share of each supplement segment within radius of those base segments that keep admits."""
-    near = grid_join(boxed(supplement), boxed(base), cell, radius, keep)
+#: The widest corridor of the rules below.
+CORRIDOR = 12.0
+
+
+def near_pairs(supplement: DataFrame, base: DataFrame, cell: float, radius: float = CORRIDOR) -> DataFrame:
+    """Pairs of segments whose boxes lie within radius, kept, so that the rules that go by narrower corridors share one join."""
+    return checkpointed(grid_join(boxed(supplement), boxed(base), cell, radius))
+
+
+def corridor_coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float, keep: Column, pairs: DataFrame | None = None) -> DataFrame:
+    """id, covered: share of each supplement segment within radius of those base segments that keep admits.
+
+    pairs, if given, are all pairs of them within radius or more.
+    """
+    near = grid_join(boxed(supplement), boxed(base), cell, radius, keep) if pairs is None else pairs.where(keep)
     parts = with_covered_interval(near, radius)
     return parts.groupBy(F.col("a_id").alias("id")).agg(union_length(F.collect_list("part")).alias("covered"))
 
@@ -39,30 +51,29 @@ def _turned(most: float) -> Column:
     return G.angle_difference(G.bearing(*segment("a_")), G.bearing(*segment("b_"))) <= most
 
 
-def group_duplicates(supplement: DataFrame, base: DataFrame, cell: float, radius: float = 6.0, angle: float = 18.0, least: float = 0.90, mean: float = 4.0, p90: float = 7.0) -> DataFrame:
+def group_duplicates(supplement: DataFrame, base: DataFrame, cell: float, radius: float = 6.0, angle: float = 18.0, least: float = 0.90, mean: float = 4.0, p90: float = 7.0, pairs: DataFrame | None = None) -> DataFrame:
     """id of segments that several base segments of like direction double together."""
-    covered = corridor_coverage(supplement, base, cell, radius, _turned(angle)).where(F.col("covered") >= least)
+    covered = corridor_coverage(supplement, base, cell, radius, _turned(angle), pairs).where(F.col("covered") >= least)
     some = supplement.join(covered.select("id"), "id", "left_semi")
     near = sampled_distances(some, base, cell, 2 * radius)
     return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90)).select("id")
 
 
-def near_base_returns(supplement: DataFrame, base: DataFrame, cell: float, radius: float = 12.0, least: float = 0.85, mean: float = 6.0, p90: float = 10.0, far: float = 16.0) -> DataFrame:
+def near_base_returns(supplement: DataFrame, base: DataFrame, cell: float, radius: float = 12.0, least: float = 0.85, mean: float = 6.0, p90: float = 10.0, far: float = 16.0, pairs: DataFrame | None = None) -> DataFrame:
     """id of segments with both ends near the base that run along it."""
-    ends = supplement.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)))).alias("e")).select("id", "e.*")
-    d = G.point_segment_distance(F.col("a_x"), F.col("a_y"), *segment("b_"))
-    hit = grid_join(points(ends), boxed(base), cell, radius).where(d <= radius).select(F.col("a_id").alias("id"), F.col("a_end").alias("end")).distinct()
-    both = hit.groupBy("id").count().where("count = 2").select("id")
-    some = supplement.join(both, "id", "left_semi")
-    along = corridor_coverage(some, base, cell, radius, F.lit(True)).where(F.col("covered") >= least).select("id")
-    near = sampled_distances(some.join(along, "id", "left_semi"), base, cell, 2 * far)
+    pairs = near_pairs(supplement, base, cell, radius) if pairs is None else pairs
+    d = [G.point_segment_distance(F.col(f"a_x{k}"), F.col(f"a_y{k}"), *segment("b_")) for k in (1, 2)]
+    both = pairs.groupBy(F.col("a_id").alias("id")).agg(*(F.min(x).alias(f"d{k}") for k, x in enumerate(d, 1))).where((F.col("d1") <= radius) & (F.col("d2") <= radius)).select("id")
+    along = corridor_coverage(supplement, base, cell, radius, F.lit(True), pairs).where(F.col("covered") >= least).select("id")
+    near = sampled_distances(supplement.join(both, "id", "left_semi").join(along, "id", "left_semi"), base, cell, 2 * far)
     return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90) & (F.col("far") <= far)).select("id")
 
 
-def crossing_duplicates(supplement: DataFrame, base: DataFrame, cell: float, corridor: float = 12.0, touch: float = 1.0, angle: float = 22.0, least: float = 0.82, mean: float = 6.0, p90: float = 10.0, far: float = 18.0, step: float = 30.0) -> DataFrame:
+def crossing_duplicates(supplement: DataFrame, base: DataFrame, cell: float, corridor: float = 12.0, touch: float = 1.0, angle: float = 22.0, least: float = 0.82, mean: float = 6.0, p90: float = 10.0, far: float = 18.0, step: float = 30.0, pairs: DataFrame | None = None) -> DataFrame:
     """id of segments that touch or cross base segments of like direction and run along these: one road drawn twice, a little off."""
-    along = corridor_coverage(supplement, base, cell, corridor, _turned(angle)).where(F.col("covered") >= least).select("id")
-    touching = corridor_coverage(supplement, base, cell, touch, _turned(angle)).where("covered > 0").select("id")
+    pairs = near_pairs(supplement, base, cell, corridor) if pairs is None else pairs
+    along = corridor_coverage(supplement, base, cell, corridor, _turned(angle), pairs).where(F.col("covered") >= least).select("id")
+    touching = corridor_coverage(supplement, base, cell, touch, _turned(angle), pairs).where("covered > 0").select("id")
     some = supplement.join(along, "id", "left_semi").join(touching, "id", "left_semi")
     near = sampled_distances(some, base, cell, far + 1, step, angle)
     return near.where((F.col("mean") <= mean) & (F.col("p90") <= p90) & (F.col("far") <= far)).select("id")
@@ -94,7 +105,8 @@ def conflated(base: DataFrame, supplement: DataFrame, cell: float, radius: float
     whole = supplement.join(matched, "id", "left_anti").select(named(F.lit(0), False), *ends)
     rest = residuals(supplement.join(matched, "id", "left_semi"), base, cell, radius, least).select(named(F.col("part"), False), *ends)
     parts = checkpointed(whole.union(rest))
-    doubles = [duplicate_supplements(parts, base, cell), group_duplicates(parts, base, cell), near_base_returns(parts, base, cell), crossing_duplicates(parts, base, cell)]
+    pairs = near_pairs(parts, base, cell)
+    doubles = [rule(parts, base, cell, pairs=pairs) for rule in (duplicate_supplements, group_duplicates, near_base_returns, crossing_duplicates)]
     gone = doubles[0]
     for df in doubles[1:]:
         gone = gone.union(df)

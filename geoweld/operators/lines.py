@@ -178,10 +178,10 @@ def snapped_segments(supplement: DataFrame, base: DataFrame, cell: float, radius
     return moved.select("id", *(F.when(fine, n).otherwise(o).alias(c) for c, n, o in zip(ENDS, new, old, strict=True)))
 
 
-def duplicate_supplements(supplement: DataFrame, base: DataFrame, cell: float, angle: float = 25.0, near: float = 8.0, least: float = 0.92, longest: float = 1.5, whole: float = 0.98) -> DataFrame:
-    """id of the supplement segments that one base segment doubles."""
+def duplicate_supplements(supplement: DataFrame, base: DataFrame, cell: float, angle: float = 25.0, near: float = 8.0, least: float = 0.92, longest: float = 1.5, whole: float = 0.98, pairs: DataFrame | None = None) -> DataFrame:
+    """id of the supplement segments that one base segment doubles. pairs, if given, are all pairs of them within near or more."""
     a, b = segment("a_"), segment("b_")
-    pairs = grid_join(boxed(supplement), boxed(base), cell, near)
+    pairs = grid_join(boxed(supplement), boxed(base), cell, near) if pairs is None else pairs
     like = with_covered_interval(pairs.where(G.angle_difference(G.bearing(*a), G.bearing(*b)) <= angle), near)
     like = like.withColumn("covered", F.coalesce(F.col("part.hi") - F.col("part.lo"), F.lit(0.0)))
     dup = (F.col("covered") >= least) & ((length(a) <= longest * length(b)) | (F.col("covered") >= whole))

@@ -75,10 +75,11 @@ UNION ALL SELECT u12.id, 'return' FROM u12 JOIN h USING (id) JOIN d32 USING (id)
 def line_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplements that one base line, several, or a corridor along the base double."""
     s, b = other_segments(spark, sf_dir), base_segments(spark, sf_dir)
+    near = L.near_pairs(s, b, CELL)
     return (
-        lines.duplicate_supplements(s, b, CELL).select("id", F.lit("pair").alias("rule"))
-        .union(L.group_duplicates(s, b, CELL).select("id", F.lit("group")))
-        .union(L.near_base_returns(s, b, CELL).select("id", F.lit("return")))
+        lines.duplicate_supplements(s, b, CELL, pairs=near).select("id", F.lit("pair").alias("rule"))
+        .union(L.group_duplicates(s, b, CELL, pairs=near).select("id", F.lit("group")))
+        .union(L.near_base_returns(s, b, CELL, pairs=near).select("id", F.lit("return")))
     )
 
 

@@ -74,10 +74,10 @@ def erased_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL['sa']}, n AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS long FROM sa), k AS (SELECT *, unnest(range(1, greatest(ceil(long / 7), 1)::INT + 1))::INT AS part FROM n),
 c AS (SELECT *, (part - 1) * 7 AS lo, least(part * 7, long) AS hi FROM k)
-SELECT id, part, round(x1 + (x2 - x1) * lo / long, 6) AS x1, round(y1 + (y2 - y1) * lo / long, 6) AS y1, round(x1 + (x2 - x1) * hi / long, 6) AS x2, round(y1 + (y2 - y1) * hi / long, 6) AS y2 FROM c WHERE hi - lo > 1""")
+SELECT id, part, round(x1 + (x2 - x1) * lo / long, 6) + 0.0 AS x1, round(y1 + (y2 - y1) * lo / long, 6) + 0.0 AS y1, round(x1 + (x2 - x1) * hi / long, 6) + 0.0 AS x2, round(y1 + (y2 - y1) * hi / long, 6) + 0.0 AS y2 FROM c WHERE hi - lo > 1""")
 def lines_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in full lengths of 7 and a rest."""
-    return lines.split_by_length(base_segments(spark, sf_dir), 7.0, 1.0).select("id", "part", *(F.round(c, 6).alias(c) for c in lines.ENDS))
+    return lines.split_by_length(base_segments(spark, sf_dir), 7.0, 1.0).select("id", "part", *((F.round(c, 6) + 0.0).alias(c) for c in lines.ENDS))
 
 
 _ROUTES = """o AS (SELECT l_orderkey AS id, l_partkey::DOUBLE AS x, l_suppkey::DOUBLE AS y, row_number() OVER w AS i, lag(l_partkey) OVER w AS px, lag(l_suppkey) OVER w AS py, lead(l_partkey) OVER w AS nx, lead(l_suppkey) OVER w AS ny, count(*) OVER (PARTITION BY l_orderkey) AS n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
 from geoweld.operators import summaries as Y
+from geoweld.operators import tile_jobs as J
 from geoweld.operators.components import shared_folder
+from geoweld.operators.grid_join import best_per, grid_join
+from geoweld.operators.matching import similar_boxes
 from geoweld.operators.nearest import nearest_rows
-from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, other_points
+from geoweld.operators.tiling import partition_bbox
+from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, other_boxes, other_points
 from geoweld.plans.registry import query, table
 from geoweld.streaming import events as E
 
@@ -130,3 +135,49 @@ def aspect_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long by short side of boxes."""
     made = base_boxes(spark, sf_dir).withColumns({"maxx": F.col("maxx") + F.col("id") % 7, "maxy": F.col("maxy") - F.col("id") % 3})
     return made.select("id", F.round(G.aspect_ratio(G.box()), 6).alias("ratio"))
+
+
+_TILE = 100.0
+_TILE_ROWS = "tile_id string, id long, minx double, miny double, maxx double, maxy double, ref_id long, similarity double"
+
+
+def _tile_job(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A job over tiles that is broken off after two batches and then goes on: its folder and tiles."""
+    a, b = base_boxes(spark, sf_dir), other_boxes(spark, sf_dir)
+    top = a.agg(F.max("maxy")).first()[0] or 0.0
+    tiles = partition_bbox(spark, (0.0, 0.0, 500.0, _TILE * math.ceil(top / _TILE)), _TILE, 30.0)
+
+    def build(some: DataFrame) -> DataFrame:
+        wide = some.select("tile_id", *(F.col(f"buffered.{c}").alias(c) for c in G.BOX))
+        dealt = [grid_join(x, wide, _TILE).select(F.col("b_tile_id").alias("tile_id"), *(F.col(f"a_{c}").alias(c) for c in ("id", *G.BOX))) for x in (a, b)]
+        pairs = similar_boxes(*dealt, CELL).where("a_tile_id = b_tile_id AND similarity >= 0.3")
+        best = best_per(pairs, ["a_tile_id", "a_id"], F.col("similarity").desc(), F.col("b_id"))
+        return best.select(F.col("a_tile_id").alias("tile_id"), F.col("a_id").alias("id"), *(F.col(f"a_{c}").alias(c) for c in G.BOX), F.col("b_id").alias("ref_id"), "similarity")
+
+    folder = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    size = max(1, -(-tiles.count() // 4))
+    J.run_tiles(tiles, build, folder, size, most_batches=2)
+    J.run_tiles(tiles, build, folder, size)
+    return folder, tiles
+
+
+_TILES_SQL = f"""WITH {SQL['a']}, {SQL['b']}, {SQL['pairs']}, s AS (SELECT *, shared / least(area_a, area_b) AS sim FROM pairs WHERE shared / least(area_a, area_b) >= 0.3)"""
+
+
+@query(f"{_TILES_SQL} SELECT a_id AS id, b_id AS ref_id, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) = 1")
+def resumed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best matches by tiles, of a job that was broken off and went on, put together: as without tiles."""
+    folder, tiles = _tile_job(spark, sf_dir)
+    whole = J.stitched(J.tile_rows(spark, folder, _TILE_ROWS), tiles, "id")
+    return whole.select("id", "ref_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""{_TILES_SQL}, t AS (SELECT i, j, greatest(i * 100.0 - 30, 0) AS minx, greatest(j * 100.0 - 30, 0) AS miny, least(i * 100.0 + 130, 500) AS maxx, least(j * 100.0 + 130, top) AS maxy
+  FROM range(5) x(i), (SELECT ceil(max(maxy) / 100) * 100 AS top FROM a), range((SELECT ceil(max(maxy) / 100)::BIGINT FROM a)) y(j)),
+w AS (SELECT DISTINCT i, j, a_id FROM s JOIN a ON a.id = a_id JOIN b ON b.id = b_id JOIN t ON a.minx <= t.maxx AND t.minx <= a.maxx AND a.miny <= t.maxy AND t.miny <= a.maxy AND b.minx <= t.maxx AND t.minx <= b.maxx AND b.miny <= t.maxy AND t.miny <= b.maxy)
+SELECT (SELECT count(*) FROM t) AS tiles, (SELECT least(4, ceil(count(*) / ceil(count(*) / 4.0))) FROM t)::BIGINT AS batches, (SELECT count(*) FROM w) AS rows_in_manifest, (SELECT count(*) FROM w) AS rows_written, (SELECT count(DISTINCT a_id) FROM s) AS rows_stitched""")
+def tile_job_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job over tiles has done, counted from its manifests and from its rows."""
+    folder, tiles = _tile_job(spark, sf_dir)
+    rows = J.tile_rows(spark, folder, _TILE_ROWS)
+    return J.evidence(spark, folder, rows, J.stitched(rows, tiles, "id"))

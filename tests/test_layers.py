@@ -112,3 +112,47 @@ def test_parts_beyond_ninety_nine_keep_their_line(spark):
     base = spark.createDataFrame([(1, 0.0, 12.0, 6000.0, 12.0), *((10 + i, 40.0 * i, -2.0, 40.0 * i, 2.0) for i in range(150))], line)
     got = line_cleanup.conflated(base, supplement, 60.0).where("role <> 'base'").collect()
     assert {r.of for r in got} == {7} and {r.role for r in got} == {"residual"} and max(r.part for r in got) > 99
+
+
+def test_tile_jobs_go_on_and_tell_lost_rows(spark, tmp_path):
+    from geoweld.operators import tile_jobs as J
+    from geoweld.operators.tiling import partition_bbox
+
+    tiles, folder, schema = partition_bbox(spark, (0.0, 0.0, 40.0, 20.0), 10.0, 2.0), str(tmp_path / "job"), "tile_id string, id long, minx double, miny double, maxx double, maxy double"
+    tried = []
+
+    def build(some):
+        ids = sorted(r.tile_id for r in some.collect())
+        tried.append(ids)
+        if len(tried) == 2:
+            raise RuntimeError("broken off")
+        b = F.col("buffered")
+        return some.where("tile_id <> 'tile_001_003'").select("tile_id", F.lit(7).cast("long").alias("id"), b["minx"].alias("minx"), b["miny"].alias("miny"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"))
+
+    with pytest.raises(RuntimeError):
+        J.run_tiles(tiles, build, folder, 3)
+    assert J.finished(spark, folder).count() == 3
+    assert J.run_tiles(tiles, build, folder, 3) == 2 and J.run_tiles(tiles, build, folder, 3) == 0
+    assert [len(x) for x in tried] == [3, 3, 3, 2] and tried[1] == tried[2]
+    rows = J.tile_rows(spark, folder, schema)
+    assert rows.count() == 7 and J.finished(spark, folder).count() == 8  # a tile without rows is done too
+    whole = J.stitched(rows, tiles, "id")
+    assert whole.count() == 1
+    got = J.evidence(spark, folder, rows, whole).first()
+    assert tuple(got) == (8, 3, 7, 7, 1)
+    # rows of a batch that has no manifest don't count, rows that are missing do
+    rows.limit(1).write.parquet(f"{folder}/rows/batch=orphan")
+    assert J.tile_rows(spark, folder, schema).count() == 7
+    spark.createDataFrame([("tile_009_009", 4, "gone")], J.MANIFEST).write.mode("append").parquet(f"{folder}/manifest")
+    with pytest.raises(ValueError, match="tile_009_009"):
+        J.tile_rows(spark, folder, schema)
+
+
+def test_owned_rows_lie_in_one_tile(spark):
+    from geoweld.operators import tile_jobs as J
+    from geoweld.operators.tiling import partition_bbox
+
+    tiles = partition_bbox(spark, (0.0, 0.0, 20.0, 10.0), 10.0, 0.0)
+    boxes = [(i, x - 1.0, y - 1.0, x + 1.0, y + 1.0) for i, (x, y) in enumerate([(0.0, 0.0), (10.0, 5.0), (20.0, 10.0), (9.9, 10.0), (25.0, 5.0)])]
+    rows = spark.createDataFrame([(t, *map(lambda v: v, b)) for t in ("tile_000_000", "tile_000_001") for b in boxes], f"tile_id string, {BOX}")
+    assert sorted((r.id, r.tile_id[-1]) for r in J.owned(rows, tiles).collect()) == [(0, "0"), (1, "1"), (2, "1"), (3, "0")]

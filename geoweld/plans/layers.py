@@ -16,8 +16,11 @@ from geoweld.operators.grid_join import best_per, grid_join
 from geoweld.operators.matching import similar_boxes
 from geoweld.operators.nearest import nearest_rows
 from geoweld.operators.tiling import partition_bbox
-from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, other_boxes, other_points
+from geoweld.operators.zonal import zonal_statistics
+from geoweld.plans.derived import CELL, SQL, _at, base_boxes, base_points, other_boxes, other_points
+from geoweld.plans.overlays import _pieces, shaped
 from geoweld.plans.registry import query, table
+from geoweld.sources.rasters import read_blocks, write_rasters
 from geoweld.streaming import events as E
 
 # every ninth customer lies far from all parts
@@ -181,3 +184,32 @@ def tile_job_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, tiles = _tile_job(spark, sf_dir)
     rows = J.tile_rows(spark, folder, _TILE_ROWS)
     return J.evidence(spark, folder, rows, J.stitched(rows, tiles, "id"))
+
+
+# a raster of 50 x 50 pixels for each square of 100 that orders lie in; a pixel's value goes by its place, and some hold none
+_PIXEL = "(o_orderkey * 37 + floor(o_orderkey / 7)) % 9 + 1"
+
+
+def _pixel_rows() -> list[str]:
+    x, y = _at("o_orderkey", 7919, 104729, 401)
+    return [f"CAST(floor({x} / 2) AS INT) AS px", f"CAST(floor({y} / 2) AS INT) AS py", f"CAST({_PIXEL} AS DOUBLE) AS value"]
+
+
+_PIXELS_SQL = f"px AS (SELECT px, py, max(value) AS value FROM (SELECT {', '.join(_pixel_rows())} FROM orders) GROUP BY 1, 2)"
+
+
+@query(f"""WITH {SQL['a']}, {_PIXELS_SQL}, {_pieces('ap', 'a')},
+h AS (SELECT ap.id, px.value, count(*) AS n FROM ap JOIN px ON 2 * px + 1 >= minx AND 2 * px + 1 < maxx AND 2 * py + 1 >= miny AND 2 * py + 1 < maxy GROUP BY 1, 2),
+t AS (SELECT id, sum(n)::BIGINT AS n, min(value) AS low, max(value) AS high, round(sum(value * n) / sum(n), 6) AS mean, max_by(value, (n, value)) AS dominant FROM h GROUP BY 1)
+SELECT a.id, coalesce(n, 0)::BIGINT AS n, low, high, mean, dominant FROM a LEFT JOIN t USING (id)""")
+def raster_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters written from a table and read again by blocks: count, least, greatest, mean and dominant value within each shape."""
+    pixels = table(spark, sf_dir, "orders").selectExpr(*_pixel_rows()).groupBy("px", "py").agg(F.max("value").alias("value"))
+    corner = [F.floor(F.col(p) / 50).alias(c) for p, c in (("px", "rx"), ("py", "ry"))]
+    placed = pixels.select("px", "py", "value", *corner).select(
+        F.concat_ws("-", "rx", "ry").alias("raster"), (F.col("px") - F.col("rx") * 50).cast("int").alias("col"), (49 - (F.col("py") - F.col("ry") * 50)).cast("int").alias("row"), "value",
+        (F.col("rx") * 100.0).alias("left"), (F.col("ry") * 100.0 + 100).alias("top"),
+    )
+    folder = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
+    write_rasters(placed, folder, "left", "top", 50, 2.0, "i2", 0, 32).count()
+    return zonal_statistics(shaped(base_boxes(spark, sf_dir)), read_blocks(spark, folder), 64.0).select("id", "n", "low", "high", F.round("mean", 6).alias("mean"), "dominant")

@@ -313,6 +313,19 @@ def box_hash(box: Sequence[Column], digits: int = 7) -> Column:
     return F.sha1(F.concat_ws(",", *(F.format_string(f"%.{digits}f", c) for c in box)))
 
 
+def projected(df: DataFrame, without: Sequence[str] = (), rounded: dict[str, int] | None = None, filled: dict[str, object] | None = None) -> DataFrame:
+    """df without some columns, with others rounded to so many digits and nulls of others filled; columns it lacks, in whatever case, are no error."""
+    gone = {c.lower() for c in without}
+    digits, fill = ({k.lower(): v for k, v in (x or {}).items()} for x in (rounded, filled))
+    out = []
+    for c in df.columns:
+        if c.lower() not in gone:
+            made = F.col(f"`{c}`")
+            made = F.round(made, digits[c.lower()]) if c.lower() in digits else made
+            out.append((F.coalesce(made, F.lit(fill[c.lower()])) if c.lower() in fill else made).alias(c))
+    return df.select(*out)
+
+
 def location_of(text: Column, ends: Sequence[str] = ("please", "with", "using", "for")) -> Column:
     """The place that follows "in" or "of" in a request, up to punctuation or one of the words after which it ends; null if there is none."""
     stop = "|".join(ends)

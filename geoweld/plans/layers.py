@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
+from geoweld.functions.overlay import shapes_area
+from geoweld.operators import records as R
 from geoweld.operators import summaries as Y
 from geoweld.operators import tile_jobs as J
 from geoweld.operators.components import shared_folder
@@ -21,6 +23,7 @@ from geoweld.plans.derived import CELL, SQL, _at, base_boxes, base_points, other
 from geoweld.plans.overlays import _pieces, shaped
 from geoweld.plans.registry import query, table
 from geoweld.sources.rasters import read_blocks, write_rasters
+from geoweld.sources.shapefiles import read_bundles, write_bundles
 from geoweld.streaming import events as E
 
 # every ninth customer lies far from all parts
@@ -213,3 +216,24 @@ def raster_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
     write_rasters(placed, folder, "left", "top", 50, 2.0, "i2", 0, 32).count()
     return zonal_statistics(shaped(base_boxes(spark, sf_dir)), read_blocks(spark, folder), 64.0).select("id", "n", "low", "high", F.round("mean", 6).alias("mean"), "dominant")
+
+
+@query(f"""WITH {SQL['a']}, {_pieces('ap', 'a')} SELECT a.id, CASE WHEN a.id % 3 = 0 THEN 1 ELSE 2 END AS n_rings, round(area, 6) AS area, round(a.height, 2) AS height
+FROM a JOIN ap_area USING (id) WHERE minx <= 300 AND 100 <= maxx AND miny <= 700 AND 50 <= maxy""")
+def bundled_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer written as archives of shapefiles, whose names of fields are cut, and read again within a window."""
+    a = base_boxes(spark, sf_dir)
+    layer = shaped(a).join(a.select(F.col("id"), F.col("height").cast("double").alias("height_of_building")), "id")
+    folder = f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    write_bundles(layer, folder, "polygon", 400).count()
+    got = read_bundles(spark, folder, (100.0, 50.0, 300.0, 700.0))
+    return got.select(
+        F.col("attributes")["id"].cast("long").alias("id"), F.size("parts").alias("n_rings"), F.round(shapes_area("parts"), 6).alias("area"), F.round(F.col("attributes")["height_of_"].cast("double"), 2).alias("height"),
+    )
+
+
+@query("SELECT s_suppkey, s_name, coalesce(s_nationkey, -1) AS s_nationkey, round(s_acctbal, 1) AS s_acctbal FROM (SELECT s_suppkey, s_name, CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier)")
+def projected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without some of its columns, others rounded or filled."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey")).alias("s_nationkey"), "s_acctbal", F.lit("x").alias("extra"))
+    return R.projected(s, ["EXTRA", "not there"], {"s_acctbal": 1}, {"s_nationkey": -1})

@@ -113,23 +113,28 @@ def read_blocks(spark: SparkSession, path: str, window: tuple[float, float, floa
     return files.select("path", "content").mapInArrow(decode, BLOCK)
 
 
+def put_file(folder: str, name: str, raw: bytes) -> str:
+    """Write a file under another name and move it into place; folder is a URI that pyarrow knows or a path. Gives its path."""
+    place = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    system, root = fs.FileSystem.from_uri(place)
+    system.create_dir(root)
+    with system.open_output_stream(f"{root}/.{name}.part") as out:
+        out.write(raw)
+    system.move(f"{root}/.{name}.part", f"{root}/{name}")
+    return f"{root}/{name}"
+
+
 def write_rasters(pixels: DataFrame, folder: str, left: str, top: str, size: int, pixel: float, dtype: str = "f4", nodata: float | None = None, tile: int = 64) -> DataFrame:
     """Write one TIFF file for each raster of pixels (raster, col, row, value; left and top are columns of the raster's corner) of size times size pixels; gives raster and path.
 
-    Pixels without a row hold nodata. folder is a URI that pyarrow knows or a path; a file is written under another name and moved into place, so a task that runs again replaces it.
+    Pixels without a row hold nodata. A file is moved into place as a whole, so a task that runs again replaces it.
     """
-    place = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         values = np.full((size, size), 0 if nodata is None else nodata, dtype)
         values[pdf["row"], pdf["col"]] = pdf["value"]
-        name = f"raster-{pdf['raster'].iloc[0]}.tif"
-        system, root = fs.FileSystem.from_uri(place.replace("file:/", "file:///", 1) if place.startswith("file:/") and not place.startswith("file://") else place)
-        system.create_dir(root)
-        with system.open_output_stream(f"{root}/.{name}.part") as out:
-            out.write(tiff_bytes(values, float(pdf[left].iloc[0]), float(pdf[top].iloc[0]), pixel, pixel, nodata, tile))
-        system.move(f"{root}/.{name}.part", f"{root}/{name}")
-        return pd.DataFrame({"raster": [str(pdf["raster"].iloc[0])], "path": [f"{root}/{name}"]})
+        raw = tiff_bytes(values, float(pdf[left].iloc[0]), float(pdf[top].iloc[0]), pixel, pixel, nodata, tile)
+        return pd.DataFrame({"raster": [str(pdf["raster"].iloc[0])], "path": [put_file(folder, f"raster-{pdf['raster'].iloc[0]}.tif", raw)]})
 
     named = pixels.select("raster", "col", "row", "value", left, top)
     return named.groupBy(F.col("raster").alias("key")).applyInPandas(write, "raster string, path string")

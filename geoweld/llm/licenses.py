@@ -67,9 +67,14 @@ WORD = re.compile("[a-z0-9]+")
 FOUND = "doc_id long, license string, score double, n_units long, matched string"
 
 
-def bigrams(text: str) -> set[tuple[str, str]]:
+def pairs_of(text: str) -> list[tuple[str, str]]:
+    """The bigrams of a text, in order."""
     words = WORD.findall(text.lower() if text.isascii() else text.translate(_FOLD))
-    return set(zip(words, words[1:]))
+    return list(zip(words, words[1:]))
+
+
+def bigrams(text: str) -> set[tuple[str, str]]:
+    return set(pairs_of(text))
 
 
 _FOLD = {i: i + 32 for i in range(65, 91)}
@@ -77,13 +82,44 @@ _FOLD = {i: i + 32 for i in range(65, 91)}
 
 class Templates:
     def __init__(self, templates: Sequence[tuple[str, str]], least: float):
-        sets = sorted(((bigrams(t), name) for name, t in templates), key=lambda x: (len(x[0]), x[1]))
-        self.names, self.sizes, self.least = [n for _, n in sets], [len(s) for s, _ in sets], least
+        known = sorted(((bigrams(t), name, len(pairs_of(t))) for name, t in templates), key=lambda x: (len(x[0]), x[1]))
+        self.sets, self.names, self.spans = (list(x) for x in zip(*known, strict=True))
+        self.sizes, self.least = list(map(len, self.sets)), least
         self.having: dict[tuple[str, str], list[int]] = {}
-        for i, (s, _) in enumerate(sets):
+        for i, s in enumerate(self.sets):
             for g in s:
                 self.having.setdefault(g, []).append(i)
 
+    def within(self, text: str) -> Iterator[tuple[float, str, int, int]]:
+        """Coefficient, licence, first word and words of the best stretch of a text for each licence that it holds amid other words.
+
+        A stretch has as many words as the template and begins with one of its bigrams. Only templates of
+        which the text has enough bigrams for any stretch to reach `least` are looked at, in one pass each.
+        """
+        pairs = pairs_of(text)
+        shared = Counter(i for g in self.having.keys() & set(pairs) for i in self.having[g])
+        for i, n in shared.items():
+            size, span, own = self.sizes[i], self.spans[i], self.sets[i]
+            if len(pairs) <= span or n * (2 - self.least) < self.least * size - 1e-9:
+                continue
+            counts: dict[tuple[str, str], int] = {}
+            hits = end = 0
+            best = (0.0, 0)
+            for start, first in enumerate(pairs):
+                while end < min(len(pairs), start + span):
+                    g = pairs[end]
+                    counts[g] = counts.get(g, 0) + 1
+                    hits += counts[g] == 1 and g in own
+                    end += 1
+                if first in own:
+                    best = max(best, (2 * hits / (len(counts) + size), -start))
+                counts[first] -= 1
+                if not counts[first]:
+                    del counts[first]
+                    hits -= first in own
+            if best[0] >= self.least:
+                yield best[0], self.names[i], -best[1], span + 1
+
     def best(self, unit: str) -> tuple[float, str] | None:
         """The highest coefficient of at least `least`, and its licence; of equals the first name."""
         own = bigrams(unit)
@@ -115,7 +151,8 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES +
     """doc_id, license, score, n_units, matched for every row of docs.
 
     The licence and coefficient of the unit that fits best, how many units reach
-    `least`, and that unit. Of equal coefficients the first name wins, then the
+    `least`, and that unit. Units are lines, paragraphs, the whole text and, for each licence, the
+    stretch of as many words as its template has that fits it best, so a notice amid other words is found too. Of equal coefficients the first name wins, then the
     first unit. Nulls for a text without such a unit, or a null one (0 units).
     Rows repeat as in docs; other columns are left out.
     """
@@ -127,6 +164,9 @@ def scanned(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES +
             rows = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 hits = [(*hit, u) for u in units(text or "") if len(u) >= 2 * shortest and (hit := known.best(u))]
+                amid = [(score, name, at, n) for score, name, at, n in known.within(text or "") if not any(h[1] == name and h[0] >= score for h in hits)]
+                words = [w for w in WORD.findall((text or "").translate(_FOLD))] if amid else []
+                hits += [(score, name, " ".join(words[at : at + n])) for score, name, at, n in amid]
                 top = min(hits, key=lambda x: (-x[0], x[1]), default=(None, None, None))
                 rows.append((key, top[1], top[0], len(hits), top[2]))
             columns = list(zip(*rows)) or [()] * 5

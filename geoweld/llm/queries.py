@@ -182,7 +182,16 @@ ts AS (SELECT k, count(*) AS n FROM tb GROUP BY k),
 hit AS (
   SELECT r, name, 2.0::DOUBLE * c / (us.n + ts.n) AS score
   FROM (SELECT r, u, k, name, count(*) AS c FROM ub JOIN tb USING (a, b) GROUP BY ALL) JOIN us USING (u) JOIN ts USING (k)),
-best AS (SELECT r, name, score FROM hit WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, name) = 1)
+tw AS (SELECT k, name, len(w) - 1 AS span, n AS size FROM template JOIN ts USING (k)),
+db AS (SELECT r, i, w[i] AS a, w[i + 1] AS b FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM (SELECT r, regexp_extract_all(t, '[a-z0-9]+') AS w FROM folded))),
+enough AS (SELECT r, k FROM (SELECT DISTINCT r, a, b FROM db) JOIN tb USING (a, b) JOIN tw USING (k) GROUP BY r, k, size HAVING 3 * count(*) >= 2 * size),
+amid AS (
+  SELECT h.r, h.i, tw.k, tw.name, tw.size, count(DISTINCT (d.a, d.b)) AS own, count(DISTINCT (d.a, d.b)) FILTER (x.k IS NOT NULL) AS shared
+  FROM (SELECT DISTINCT db.r, k, i FROM db JOIN tb USING (a, b) SEMI JOIN enough ON enough.r = db.r AND enough.k = tb.k) h JOIN tw ON tw.k = h.k JOIN (SELECT r AS dr, max(i) AS n FROM db GROUP BY r) z ON z.dr = h.r AND z.n > tw.span
+    JOIN db d ON d.r = h.r AND d.i BETWEEN h.i AND h.i + tw.span - 1 LEFT JOIN tb x ON x.k = tw.k AND x.a = d.a AND x.b = d.b
+  GROUP BY ALL),
+every_hit AS (SELECT r, name, score FROM hit UNION ALL SELECT r, name, 2.0::DOUBLE * shared / (own + size) FROM amid),
+best AS (SELECT r, name, score FROM every_hit WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, name) = 1)
 SELECT doc_id, name AS license, score FROM folded LEFT JOIN best USING (r)
 """
 

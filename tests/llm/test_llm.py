@@ -472,6 +472,32 @@ def test_license_scan(spark):
     assert licenses.scanned(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_finds_notices_amid_other_words(spark):
+    rng = random.Random(6)
+    named = dict(licenses.TEMPLATES)
+    texts = [f"{prose(rng, 80)} {named[n]} {prose(rng, 300)}" for n in named] + [f"{prose(rng, 9)} {licenses.TEXTS[0][1]} {prose(rng, 50)}", prose(rng, 200000) + " Released under the MIT license " + prose(rng, 9), "the license of the " * 40000]
+    got = {r.doc_id: r for r in licenses.scanned(documents(spark, texts)).collect()}
+    for i, n in enumerate(named):
+        assert got[i].score == 1.0 and licenses.bigrams(got[i].matched) == licenses.bigrams(dict(licenses.TEMPLATES)[got[i].license]) and got[i].license <= n
+    assert [got[len(named) + i].license for i in range(3)] == [licenses.TEXTS[0][0], "MIT", None]
+
+
+def test_license_windows_equal_brute_force():
+    rng = random.Random(3)
+    templates = [("a", "x y z x y"), ("b", "p q r s t u v"), ("c", "x y p q")]
+    known = licenses.Templates(templates, 0.8)
+    for _ in range(300):
+        text = " ".join(rng.choice("xyzpqrstuv") if rng.random() < 0.5 else rng.choice(templates)[1] for _ in range(rng.randrange(12)))
+        pairs, want = licenses.pairs_of(text), {}
+        for name, t in templates:
+            own, span = licenses.bigrams(t), len(licenses.pairs_of(t))
+            if len(pairs) > span:
+                found = [(2 * len(own & set(pairs[i : i + span])) / (len(set(pairs[i : i + span])) + len(own)), -i) for i, g in enumerate(pairs) if g in own]
+                if found and max(found)[0] >= 0.8:
+                    want[name] = (max(found)[0], -max(found)[1])
+        assert {name: (score, at) for score, name, at, _ in known.within(text)} == want
+
+
 def test_license_scan_tells_near_notices_and_whole_texts(spark):
     notice = "This {} is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.\n\nx"
     want = {

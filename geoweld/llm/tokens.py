@@ -281,7 +281,7 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
     A null text gives the end id alone. A shard closes once its ids reach
     shard_bytes, so only a document longer than that makes a longer one. The
     texts are dealt by ranges of doc_id, of partition_bytes or as partitions_for tells. Rows that repeat a doc_id follow
-    each other in the order of their texts' openings, and of a hash, and may lie in several ranges, however many they are. shard_id ascends with the documents.
+    each other in the order of their texts' openings and may lie in several ranges, however many they are. shard_id ascends with the documents.
     Other columns are left out; an empty table gives no shards.
     """
 
@@ -306,8 +306,8 @@ def token_shards(docs: DataFrame, path: str | None = None, end_id: int | None =
     size = input_bytes(docs)
     parts = [] if size is None else [-(-size // partition_bytes) if partition_bytes else partitions_for(size)]
     # the last of them tells rows apart that are alike, so that ranges may split them
-    order = ["doc_id", "opening", "hash", "row"]
-    rows = docs.select("doc_id", "text", F.substring("text", 1, 16).alias("opening"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "opening", "row"]
+    rows = docs.select("doc_id", "text", F.substring("text", 1, 16).alias("opening"), F.monotonically_increasing_id().alias("row"))
     return rows.repartitionByRange(*parts, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(build, SHARD)
 
 

@@ -385,16 +385,15 @@ def best_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.best_candidates(rows, "name", "country", ["x"], "score", 1).select(F.lower("name").alias("name"), F.col("country").cast("int").alias("country"), (F.round("x", 1) + F.lit(0.0)).alias("x"), "score")
 
 
-@query("""WITH r AS (SELECT o_orderkey % 3 AS slice, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS own, o_custkey % 40 AS shape, o_orderstatus = 'P' AS line FROM orders),
-k AS (SELECT slice, own, count(*) AS n FROM r WHERE NOT line AND own IS NOT NULL GROUP BY 1, 2)
-SELECT 'ids' AS what, count(*) AS n FROM k UNION ALL SELECT 'lines', count(DISTINCT shape) FROM r WHERE line""")
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 3 AS slice, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS own, o_custkey % 40 AS shape, o_orderstatus = 'P' AS line FROM orders)
+SELECT 'area' AS what, slice, 'id' || own AS shape FROM r WHERE NOT line AND own IS NOT NULL GROUP BY slice, own
+UNION ALL SELECT 'area', slice, 'key' || o_orderkey FROM r WHERE NOT line AND own IS NULL UNION ALL SELECT DISTINCT 'line', NULL, shape::VARCHAR FROM r WHERE line""")
 def deduplicated_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles put together: areas once for each id of a slice, lines once for each shape."""
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select((k % 3).alias("slice"), F.when(k % 4 > 0, F.col("o_custkey")).alias("osm_id"), F.when(F.col("o_orderstatus") == "P", (F.col("o_custkey") % 40).cast("string")).otherwise(F.when(k % 4 > 0, F.concat(F.lit("id"), "o_custkey")).otherwise(F.concat(F.lit("key"), k))).alias("shape"), (F.col("o_orderstatus") == "P").alias("line"))
     made = Y.deduplicated_slices(rows, ["canonical_id", "osm_id"], "shape", F.col("line"))
-    what = F.when(F.col("line"), "lines").when(F.col("osm_id").isNotNull(), "ids")
-    return made.where("line OR osm_id IS NOT NULL").groupBy(what.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return made.select(F.when(F.col("line"), "line").otherwise("area").alias("what"), F.when(~F.col("line"), F.col("slice")).alias("slice"), "shape")
 
 
 @query("""SELECT user_id, string_agg(event_type, ',' ORDER BY first, event_type) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) GROUP BY 1""")

@@ -191,15 +191,15 @@ def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL['a']}, {SQL['b']}, {SQL['pairs']}, s AS (SELECT id, minx + 6 AS minx, miny + 6 AS miny, maxx + 6 AS maxx, maxy + 6 AS maxy FROM a),
 u AS (SELECT id, 'first' AS source, minx, miny, maxx, maxy FROM a UNION ALL SELECT id, 'second', minx, miny, maxx, maxy FROM b WHERE id NOT IN (SELECT b_id FROM pairs WHERE shared / least(area_a, area_b) >= 0.3))
-SELECT source, count(*) AS n FROM u GROUP BY 1
-UNION ALL SELECT 'third', count(*) FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE s.minx <= u.maxx AND u.minx <= s.maxx AND s.miny <= u.maxy AND u.miny <= s.maxy
+SELECT source, id FROM u
+UNION ALL SELECT 'third', id FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE s.minx <= u.maxx AND u.minx <= s.maxx AND s.miny <= u.maxy AND u.miny <= s.maxy
   AND (least(s.maxx, u.maxx) - greatest(s.minx, u.minx)) * (least(s.maxy, u.maxy) - greatest(s.miny, u.miny)) >= 0.3 * least((s.maxx - s.minx) * (s.maxy - s.miny), (u.maxx - u.minx) * (u.maxy - u.miny)))""")
 def priority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers by priority: each adds what none before it has."""
     a = base_boxes(spark, sf_dir)
     third = a.withColumns({c: F.col(c) + 6 for c in ("minx", "miny", "maxx", "maxy")})
     fused = M.priority_cascade([("first", a), ("second", other_boxes(spark, sf_dir)), ("third", third)], CELL, 0.3)
-    return fused.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return fused.select("source", "id")
 
 
 @query(f"""WITH {SQL['pa']}, {SQL['pb']} SELECT pa.id AS a_id, pb.id AS b_id, round(1 - sqrt((pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2) / 25, 6) AS score FROM pa JOIN pb ON abs(pa.x - pb.x) <= 25 AND abs(pa.y - pb.y) <= 25 WHERE (pa.x - pb.x) ** 2 + (pa.y - pb.y) ** 2 <= 625

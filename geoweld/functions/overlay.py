@@ -30,8 +30,10 @@ GRAIN = 1e-12
 NEAR = 1e-10
 #: Sine of the least angle at which edges cross.
 STEEP = 1e-9
-#: Edges times edges that are compared at once.
-BLOCK = 1 << 20
+#: Edges times edges that are compared at once; their figures fit a core's cache.
+BLOCK = 1 << 16
+#: Shapes, or pairs of them, that are worked on at once.
+ROWS = 1 << 11
 
 Rings = list[list[tuple[float, float]]]
 #: Whether a face is inside the result, from whether it is inside either shape.
@@ -174,8 +176,69 @@ def regions(shapes: pa.Array, fill: str = "odd") -> tuple[np.ndarray, np.ndarray
 
 
 def areas(edges: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """The area that the directed pieces of each of n groups enclose."""
-    return np.bincount(group, (edges[:, 0] * edges[:, 3] - edges[:, 2] * edges[:, 1]) / 2, n) if len(edges) else np.zeros(n)
+    """The area that the directed pieces of each of n groups enclose, measured from a height of the group's own, so that far from the origin no digits are lost."""
+    ground = np.zeros(n)
+    ground[group] = edges[:, 1]
+    return np.bincount(group, (edges[:, 0] - edges[:, 2]) * ((edges[:, 1] + edges[:, 3]) / 2 - ground[group]), n) if len(edges) else np.zeros(n)
+
+
+def pieces_of(shapes: pa.Array, fill: str = "odd") -> tuple[pa.ListArray, np.ndarray]:
+    """The boundary of each shape as flat numbers x1, y1, x2, y2 a piece, the inside on the left, and its area.
+
+    Pieces that run straight up or down are left out: shared_areas looks at what lies below a piece.
+    """
+    edges, group = regions(shapes, fill)
+    size = areas(edges, group, len(shapes))
+    level = edges[:, 0] != edges[:, 2]
+    edges, group = edges[level], group[level]
+    order = np.argsort(group, kind="stable")
+    offsets = np.searchsorted(group[order], np.arange(len(shapes) + 1)) * 4
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(edges[order].ravel())), size
+
+
+def _flat(pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces as rows, the first of each shape, and how many it has."""
+    n = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False) // 4
+    return pieces.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4), np.cumsum(n) - n, n
+
+
+def shared_areas(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """The area that each shape of a shares with that of b, both as pieces_of gives them.
+
+    A shape is the sum of what lies below its pieces, those to the left counting up and those to the right down; so what two shapes share is the sum,
+    over pairs of their pieces, of what lies below both, and neither is cut. Where that is measured from
+    cancels out, so it starts at a point of the pair's own.
+    """
+    (p, _, na), (q, begin, nb) = _flat(a), _flat(b)
+    of = np.repeat(np.arange(len(na)), na)
+    size, out = nb[of], np.zeros(len(na))
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(of):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+        own = np.arange(at, to)
+        i = np.repeat(own, size[own])
+        j = np.repeat(begin[of[own]] - ends[own] + size[own] + before, size[own]) + np.arange(len(i))
+        at = to
+        ex1, ex2, fx1, fx2 = p[i, 0], p[i, 2], q[j, 0], q[j, 2]
+        low = np.maximum(np.minimum(ex1, ex2), np.minimum(fx1, fx2))
+        wide = np.minimum(np.maximum(ex1, ex2), np.maximum(fx1, fx2)) - low
+        met = np.flatnonzero(wide > 0)
+        if not len(met):
+            continue
+        i, j, low, wide = i[met], j[met], low[met], wide[met]
+        (ex1, ey1, ex2, ey2), (fx1, fy1, fx2, fy2) = p[i].T, q[j].T
+        ground = q[begin[of[i]], 1]
+        ey1, ey2, fy1, fy2 = ey1 - ground, ey2 - ground, fy1 - ground, fy2 - ground
+        up, vp = (ey2 - ey1) / (ex2 - ex1), (fy2 - fy1) / (fx2 - fx1)
+        e, f = ey1 + (low - ex1) * up, fy1 + (low - fx1) * vp
+        g, h = e + wide * up, f + wide * vp
+        d, k = np.abs(e - f), np.abs(g - h)
+        apart = np.where((e > f) == (g > h), d + k, (d * d + k * k) / np.maximum(d + k, 1e-300))
+        below = wide * (e + f + g + h - apart) / 4
+        out += np.bincount(of[i], np.where((ex1 > ex2) == (fx1 > fx2), below, -below), len(out))
+    return out
 
 
 def rings_of(edges: np.ndarray) -> Rings:
@@ -222,6 +285,12 @@ def rings_by_group(edges: np.ndarray, group: np.ndarray, n: int) -> list[Rings]:
     return [rings_of(edges[order[i:j]]) if i < j else [] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _by_parts(measure: Callable[..., np.ndarray], *columns: pa.Array) -> np.ndarray:
+    """What measure says of the columns' rows, ROWS at a time, so that memory doesn't grow with batches."""
+    n = len(columns[0])
+    return np.concatenate([np.zeros(0), *(measure(*(c.slice(i, ROWS) for c in columns)) for i in range(0, n, ROWS))])
+
+
 def _as_parts(rows: list[Rings | None]) -> pa.Array:
     return pa.array([None if r is None else [[{"x": x, "y": y} for x, y in ring] for ring in r] for r in rows], ARROW_PARTS)
 
@@ -232,7 +301,7 @@ def shapes_area(parts: str | Column, fill: str = "odd") -> Column:
     @F.arrow_udf("double")
     def area(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for shapes in batches:
-            yield pa.array(areas(*regions(shapes, fill), len(shapes)))
+            yield pa.array(_by_parts(lambda some: areas(*regions(some, fill), len(some)), shapes))
 
     return area(parts)
 
@@ -240,21 +309,52 @@ def shapes_area(parts: str | Column, fill: str = "odd") -> Column:
 def overlay_area(a: str | Column, b: str | Column, operation: str = "intersection", fill: str = "odd") -> Column:
     """Area of the overlay of two shapes; a null shape is empty."""
 
+    def measured(left: pa.Array, right: pa.Array) -> np.ndarray:
+        (p, own), (q, other) = pieces_of(left, fill), pieces_of(right, fill)
+        both = shared_areas(p, q)
+        return {"intersection": both, "union": own + other - both, "difference": own - both, "symmetric": own + other - 2 * both}[operation]
+
     @F.arrow_udf("double")
     def area(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pa.array(areas(*overlaid_edges(left, right, operation, fill), len(left)))
+            yield pa.array(_by_parts(measured, left, right))
 
     return area(a, b)
 
 
+def measured(parts: str | Column, fill: str = "odd") -> Column:
+    """A shape's area, and its boundary as pieces_of gives it."""
+
+    @F.arrow_udf("struct<area: double, pieces: array<double>>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for shapes in batches:
+            some = [pieces_of(shapes.slice(i, ROWS), fill) for i in range(0, len(shapes), ROWS)]
+            pieces = pa.concat_arrays([pa.array([], pa.list_(pa.float64())), *(p for p, _ in some)])
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0), *(area for _, area in some)])), pieces], ["area", "pieces"])
+
+    # told to be nondeterministic so that filters on it aren't pushed down, which would work it out twice
+    return made.asNondeterministic()(parts)
+
+
+def pieces_shared(a: str | Column, b: str | Column) -> Column:
+    """Area that two shapes share, both as pieces_of gives them."""
+
+    @F.arrow_udf("double")
+    def area(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            yield pa.array(shared_areas(left, right))
+
+    return area.asNondeterministic()(a, b)
+
+
 def overlay(a: str | Column, b: str | Column, operation: str = "intersection", fill: str = "odd") -> Column:
     """The overlay of two shapes as rings, outer ones turning left and holes right; none where nothing is left."""
 
     @F.arrow_udf(PARTS)
     def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield _as_parts(rings_by_group(*overlaid_edges(left, right, operation, fill), len(left)))
+            some = [(left.slice(i, ROWS), right.slice(i, ROWS)) for i in range(0, len(left), ROWS)]
+            yield pa.concat_arrays([_as_parts([]), *(_as_parts(rings_by_group(*overlaid_edges(x, y, operation, fill), len(x))) for x, y in some)])
 
     return made(a, b)
 
@@ -265,7 +365,8 @@ def repaired(parts: str | Column, fill: str = "odd") -> Column:
     @F.arrow_udf(PARTS)
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for shapes in batches:
-            yield _as_parts([r or None for r in rings_by_group(*regions(shapes, fill), len(shapes))])
+            some = [shapes.slice(i, ROWS) for i in range(0, len(shapes), ROWS)]
+            yield pa.concat_arrays([_as_parts([]), *(_as_parts([r or None for r in rings_by_group(*regions(x, fill), len(x))]) for x in some)])
 
     return made(parts)
 
@@ -276,7 +377,7 @@ def is_valid(parts: str | Column) -> Column:
     @F.arrow_udf("boolean")
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for shapes in batches:
-            yield pa.array(sound(shapes))
+            yield pa.array(_by_parts(sound, shapes).astype(bool))
 
     return told(parts)
 

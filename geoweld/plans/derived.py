@@ -53,6 +53,12 @@ SQL = {
 }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores by id: tables are small files, whose rows make far more work than their bytes tell."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
+
+
 def base_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*BASE)
 

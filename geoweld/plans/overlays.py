@@ -10,7 +10,7 @@ from geoweld.operators import chains as C
 from geoweld.operators import matching as M
 from geoweld.operators import shapes as S
 from geoweld.operators.components import checkpointed
-from geoweld.plans.derived import CELL, SQL, base_boxes, other_boxes
+from geoweld.plans.derived import CELL, SQL, base_boxes, other_boxes, spread
 from geoweld.plans.registry import query, table
 
 #: Shares of a box from which shapes are made, by id % 3: an L, a ring with a hole, two members. Each a list of rings of (x, y).
@@ -34,6 +34,7 @@ def _rings(rings: list) -> str:
 
 def shaped(boxes: DataFrame) -> DataFrame:
     """id and parts: a shape in each box."""
+    boxes = spread(boxes)
     of = " ".join(f"WHEN {k} THEN {_rings(rings)}" for k, rings in enumerate(_SHAPES))
     return boxes.selectExpr("id", f"CASE CAST(id % 3 AS INT) {of} END AS parts")
 
@@ -115,7 +116,7 @@ _BROKEN = (
 def repaired_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bow ties, spikes and holes drawn the wrong way, made sound."""
     of = " ".join(f"WHEN {k} THEN {_rings(rings)}" for k, rings in enumerate(_BROKEN))
-    broken = base_boxes(spark, sf_dir).selectExpr("id", f"CASE CAST(id % 3 AS INT) {of} END AS parts").withColumn("sound", O.is_valid("parts"))
+    broken = spread(base_boxes(spark, sf_dir)).selectExpr("id", f"CASE CAST(id % 3 AS INT) {of} END AS parts").withColumn("sound", O.is_valid("parts"))
     made = S.repaired(broken)
     return made.select("id", F.size("parts").alias("n_rings"), F.round(O.shapes_area("parts"), 6).alias("area"), "sound", O.is_valid("parts").alias("repaired"))
 

@@ -91,6 +91,21 @@ def test_joins_and_clips_of_shapes(spark):
     assert cut.columns == ["id", "parts", "name", "mask"] and [(r.id, r["mask"], len(r.parts)) for r in cut.collect()] == [(0, 0, 2)]
 
 
+def test_shared_areas_are_not_cut_and_not_worked_out_twice(spark, monkeypatch):
+    rng = random.Random(11)
+    some = lambda: [[(rng.randrange(9) + rng.random() * rng.randrange(2), rng.randrange(9)) for _ in range(rng.randrange(3, 8))] for _ in range(rng.randrange(3))]
+    a, b = (pa.array([[[{"x": 1e3 + x, "y": 4e3 + y} for x, y in r] for r in some()] for _ in range(300)], O.ARROW_PARTS) for _ in range(2))
+    want = {(k, fill): O.areas(*O.overlaid_edges(a, b, k, fill), 300) for k in O.OPERATIONS for fill in O.FILLS}
+    monkeypatch.setattr(O, "BLOCK", 50)
+    for fill in O.FILLS:
+        (p, own), (q, other) = O.pieces_of(a, fill), O.pieces_of(b, fill)
+        both = O.shared_areas(p, q)
+        assert np.abs(both - want["intersection", fill]).max() < 1e-6 and np.abs(own + other - both - want["union", fill]).max() < 1e-6
+    shapes = layer(spark, [rect(0, 0, 6, 6)], [rect(9, 9, 12, 12)])
+    plan = S.similar_shapes(shapes, shapes, 4.0).select("a_id", "similarity")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 or plan.count("area(") == 1
+
+
 def test_dissolved_layer_equals_its_raster(spark):
     rng = random.Random(3)
     shapes, grid = [], np.zeros((28, 28), bool)

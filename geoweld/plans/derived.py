@@ -68,6 +68,16 @@ def other_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.selectExpr(*OTHER)
 
 
+#: Latitudes that a strip of points takes up.
+_STRIP = 80
+
+
+def on_globe(points: DataFrame) -> DataFrame:
+    """points spread, with lon and lat, a thousandth of x and y, in strips of _STRIP degrees beside each other, so that none lies beyond a pole, where all cells are one."""
+    strip = f"floor(y / {_STRIP * 1000})"
+    return spread(points).selectExpr("*", f"pmod(x / 1000 + 2 * {strip} + 180, 360) - 180 AS lon", f"(y - {_STRIP * 1000} * {strip}) / 1000 AS lat")
+
+
 def base_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*SEGMENT_A)
 

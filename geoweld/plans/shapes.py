@@ -13,7 +13,7 @@ from geoweld.operators import matching as M
 from geoweld.operators import poi
 from geoweld.operators.grid_join import grid_join
 from geoweld.operators.tiling import tiles_for
-from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, other_boxes, other_points, other_segments
+from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, on_globe, other_boxes, other_points, other_segments
 from geoweld.plans.more import _covered, _near, _point_to, _sampled
 from geoweld.plans.registry import query, table
 from geoweld.plans.spatial import _LINES
@@ -208,9 +208,8 @@ def poi_match_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By geohash and name, or, as no name is alike here, by distance."""
     from geoweld.operators.grid_join import points
 
-    place = lambda df: df.withColumn("lon", F.col("x") / 1000).withColumn("lat", F.col("y") / 1000)
     a, b = base_points(spark, sf_dir), other_points(spark, sf_dir)
-    by_hash = poi.geohash_candidates(place(a), place(b), 6, 0.75)
+    by_hash = poi.geohash_candidates(on_globe(a), on_globe(b), 6, 0.75)
     d = G.distance(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"))
     by_distance = grid_join(points(a), points(b), 25.0, 25.0).where(d <= 25).select("a_id", "b_id", F.round(1 - d / 25, 6).alias("score"))
     return poi.matched_with_fallback(by_hash, by_distance)

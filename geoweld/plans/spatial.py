@@ -12,7 +12,7 @@ from geoweld.functions.text import name_score
 from geoweld.operators import matching as M
 from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import best_per, grid_join, nearest_within, points
-from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, other_boxes, other_points, other_segments
+from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, on_globe, other_boxes, other_points, other_segments
 from geoweld.operators.relational import exact_quantile
 from geoweld.plans.registry import query
 
@@ -235,8 +235,7 @@ def poi_geohash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates in the geohash cell and around it whose names score 0.75 or more, or 0."""
     from geoweld.operators.poi import geohash_candidates
 
-    place = lambda df: df.withColumn("lon", F.col("x") / 1000).withColumn("lat", F.col("y") / 1000)
-    parts = place(other_points(spark, sf_dir))
+    parts = on_globe(other_points(spark, sf_dir))
     return geohash_candidates(parts, parts, 5, 0.75)
 
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from geoweld.plans import ORACLE_SQL, QUERIES
+from geoweld.plans.derived import on_globe
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,6 +59,15 @@ def test_queries_without_sql_equal_brute_force(spark):
     assert {(r.a_id, r.b_id): r.score for r in got} == {k: s for k, s in near.items() if s >= 0.75 or s == 0} and len(got) > len(parts)
 
 
+def test_points_of_any_key_lie_on_the_globe(spark):
+    points = spark.range(0, 7_200_000, 977).selectExpr("id", "CAST(id * 6101 % 1009 AS DOUBLE) AS x", "CAST(id * 90001 % 1009 + 1009 * floor(id / 1009) AS DOUBLE) AS y")
+    got = on_globe(points)
+    assert got.where("abs(lat) > 89 OR lon < -180 OR lon >= 180").count() == 0
+    # within a strip as before, and no two points at one place
+    assert got.where("y < 80000 AND (lon <> x / 1000 OR lat <> y / 1000)").where("abs(lon - x / 1000) > 1e-9 OR lat <> y / 1000").count() == 0
+    assert got.selectExpr("round(lon, 6) AS a", "round(lat, 6) AS b").distinct().count() == points.count()
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

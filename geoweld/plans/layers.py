@@ -189,7 +189,8 @@ def tile_job_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.evidence(spark, folder, rows, J.stitched(rows, tiles, "id"))
 
 
-# a raster of 50 x 50 pixels for each square of 100 that orders lie in; a pixel's value goes by its place, and some hold none
+# a raster of _SIDE x _SIDE pixels for each square of twice that that orders lie in, so that there are few files for many rows; a pixel's value goes by its place, and some hold none
+_SIDE = 256
 _PIXEL = "(o_orderkey * 37 + floor(o_orderkey / 7)) % 9 + 1"
 
 
@@ -208,13 +209,13 @@ SELECT a.id, coalesce(n, 0)::BIGINT AS n, low, high, mean, dominant FROM a LEFT
 def raster_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rasters written from a table and read again by blocks: count, least, greatest, mean and dominant value within each shape."""
     pixels = table(spark, sf_dir, "orders").selectExpr(*_pixel_rows()).groupBy("px", "py").agg(F.max("value").alias("value"))
-    corner = [F.floor(F.col(p) / 50).alias(c) for p, c in (("px", "rx"), ("py", "ry"))]
+    corner = [F.floor(F.col(p) / _SIDE).alias(c) for p, c in (("px", "rx"), ("py", "ry"))]
     placed = pixels.select("px", "py", "value", *corner).select(
-        F.concat_ws("-", "rx", "ry").alias("raster"), (F.col("px") - F.col("rx") * 50).cast("int").alias("col"), (49 - (F.col("py") - F.col("ry") * 50)).cast("int").alias("row"), "value",
-        (F.col("rx") * 100.0).alias("left"), (F.col("ry") * 100.0 + 100).alias("top"),
+        F.concat_ws("-", "rx", "ry").alias("raster"), (F.col("px") - F.col("rx") * _SIDE).cast("int").alias("col"), (_SIDE - 1 - (F.col("py") - F.col("ry") * _SIDE)).cast("int").alias("row"), "value",
+        (F.col("rx") * 2.0 * _SIDE).alias("left"), ((F.col("ry") + 1) * 2.0 * _SIDE).alias("top"),
     )
     folder = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
-    write_rasters(placed, folder, "left", "top", 50, 2.0, "i2", 0, 32).count()
+    write_rasters(placed, folder, "left", "top", _SIDE, 2.0, "i2", 0, 32).count()
     return zonal_statistics(shaped(base_boxes(spark, sf_dir)), read_blocks(spark, folder), 64.0).select("id", "n", "low", "high", F.round("mean", 6).alias("mean"), "dominant")
 
 

@@ -57,6 +57,17 @@ def test_statistics_over_blocks_and_files(spark, tmp_path):
     assert zonal_statistics(shapes, blocks, 16.0, low=2.0, high=4.0).where("id = 2 AND low >= 2 AND high <= 4").count() == 1
 
 
+def test_values_of_blocks_go_into_no_join(spark, tmp_path):
+    pixels = pd.DataFrame([("r", c, r, 1.0 + (c + r) % 3, 0.0, 200.0) for r in range(200) for c in range(200)], columns=["raster", "col", "row", "value", "left", "top"])
+    R.write_rasters(spark.createDataFrame(pixels), str(tmp_path), "left", "top", 200, 1.0, "i2", 0, 16).collect()
+    blocks = R.read_blocks(spark, str(tmp_path))
+    assert blocks.count() == 169  # more than leave a task together
+    shapes = spark.createDataFrame([(i, [[(0.0, 0.0), (150.0 + i, 0.0), (150.0 + i, 90.0), (0.0, 90.0)]]) for i in range(40)], "id long, parts array<array<struct<x:double,y:double>>>")
+    found = zonal_statistics(shapes, blocks, 16.0)
+    assert {r.id: r.n for r in found.collect()} == {i: (150 + i) * 90 for i in range(40)}
+    assert "b_values" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bundle_round_trip(spark, tmp_path):
     square, inner = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]
     rows = [(1, [square, inner], "Tür", 2.5), (2, None, None, None), (3, [[(9.0, 9.0), (10.0, 9.0), (9.0, 11.0)]], "x" * 300, -1.0)]

@@ -189,8 +189,8 @@ def tile_job_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.evidence(spark, folder, rows, J.stitched(rows, tiles, "id"))
 
 
-# a raster of _SIDE x _SIDE pixels for each square of twice that that orders lie in, so that there are few files for many rows; a pixel's value goes by its place, and some hold none
-_SIDE = 256
+# a raster of _SIDE x _SIDE pixels for each square of twice that side that orders lie in; a pixel's value goes by its place, and some hold none
+_SIDE = 50
 _PIXEL = "(o_orderkey * 37 + floor(o_orderkey / 7)) % 9 + 1"
 
 

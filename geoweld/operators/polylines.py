@@ -7,6 +7,12 @@ measure, from 0 to 1, and intervals of all its segments unite over the whole lin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,8 @@ from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import grid_join
 from geoweld.operators.lines import union_length, with_covered_interval
 
+#: What rounding may add to a distance, where boxes rule out pairs that are looked at more closely later.
+SLACK = 1e-6
 INTERVALS = "array<struct<lo:double,hi:double>>"
 
 
@@ -70,11 +78,52 @@ def vertex_hausdorff(p: Column, q: Column) -> Column:
     return F.greatest(one(p, q), one(q, p))
 
 
+#: Vertices and sides that are compared at a time.
+COMPARED = 1 << 18
+
+
+def _farthest(p: pa.Array, q: pa.Array) -> np.ndarray:
+    """For each pair of lines how far the vertices of p lie from q at most; nan where there is no vertex or no side."""
+    offsets = [np.asarray(x.offsets, np.int64) for x in (p, q)]
+    size = [np.asarray(pc.fill_null(pc.list_value_length(x), 0), np.int64) for x in (p, q)]
+    (px, py), (qx, qy) = ([np.asarray(x.values.field(c), np.float64) for c in "xy"] for x in (p, q))
+    sides = np.maximum(size[1] - 1, 0)
+    v = np.repeat(np.arange(len(p)), np.where(sides > 0, size[0], 0))  # the pair of each vertex
+    first = np.cumsum(np.bincount(v, minlength=len(p))) - np.bincount(v, minlength=len(p))
+    at = offsets[0][v] + np.arange(len(v)) - first[v]
+    near = np.full(len(v), np.inf)
+    upto = np.cumsum(sides[v])
+    low = 0
+    while low < len(v):  # a vertex's sides stay together where they are no more than that
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] - sides[v[low]] + COMPARED, "right")))
+        for begin in range(0, int(sides[v[low]]) if high == low + 1 else 1, COMPARED):
+            n = np.minimum(sides[v[low:high]] - begin, COMPARED)
+            i = np.repeat(np.arange(low, high), n)
+            start = np.cumsum(n) - n
+            j = offsets[1][v[i]] + begin + np.arange(len(i)) - np.repeat(start, n)
+            x, y, x1, y1 = px[at[i]], py[at[i]], qx[j], qy[j]
+            dx, dy = qx[j + 1] - x1, qy[j + 1] - y1
+            squared = dx * dx + dy * dy
+            t = np.clip(np.divide((x - x1) * dx + (y - y1) * dy, squared, out=np.zeros(len(i)), where=squared > 0), 0.0, 1.0)
+            ox, oy = x1 + t * dx - x, y1 + t * dy - y
+            near[low:high] = np.minimum(near[low:high], np.minimum.reduceat(np.sqrt(ox * ox + oy * oy), start))
+        low = high
+    far = np.full(len(p), -np.inf)
+    np.maximum.at(far, v, near)
+    return np.where(np.isinf(far) & (far < 0), np.nan, far)
+
+
 def line_hausdorff(p: Column, q: Column) -> Column:
-    """Hausdorff distance from vertices to the other line, both ways."""
-    near = lambda v, s: G.point_segment_distance(v["x"], v["y"], s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"])
-    one = lambda a, b: F.array_max(F.transform(a, lambda v: F.array_min(F.transform(_sides(b), lambda s: near(v, s)))))
-    return F.greatest(one(p, q), one(q, p))
+    """Hausdorff distance from vertices to the other line, both ways; null where a line has less than two points."""
+
+    @F.arrow_udf("double")
+    def far(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            found = np.maximum(_farthest(a, b), _farthest(b, a))
+            yield pa.array(found, mask=np.isnan(found))
+
+    # told to be nondeterministic so that filters on it aren't pushed down, which would work it out twice
+    return far.asNondeterministic()(p, q)
 
 
 def boxed_lines(lines: DataFrame) -> DataFrame:
@@ -93,21 +142,58 @@ def covered_parts(pairs: DataFrame, lines: DataFrame, others: DataFrame, radius:
     return made.groupBy("a_id", "b_id").agg(F.collect_list(F.when(F.col("part").isNotNull(), own)).alias("parts"))
 
 
+def measured_lines(lines: DataFrame) -> DataFrame:
+    """id, points, their box, long and way of each line, in a copy, as joins by boxes look at both sides more than once."""
+    several = F.size("points") > 1
+    made = boxed_lines(lines.select("id", "points")).withColumns({"long": F.when(several, line_length(F.col("points"))), "way": F.when(several, line_direction(F.col("points")))})
+    return checkpointed(made)
+
+
+def _near_lines(base: DataFrame, other: DataFrame, cell: float, radius: float, angle: float, similar: float, keep: Column) -> DataFrame:
+    """a_id, b_id, angle, similarity of measured lines near each other that are alike in direction and length."""
+    slim = [x.where("long > 0").select("id", *BOX, "long", "way") for x in (base, other)]
+    near = grid_join(*slim, cell, radius, keep).withColumns({"angle": G.angle_difference(F.col("a_way"), F.col("b_way")), "similarity": G.length_similarity(F.col("a_long"), F.col("b_long"))})
+    return near.where((F.col("angle") <= angle) & (F.col("similarity") >= similar))
+
+
+def lines_within(base: DataFrame, other: DataFrame, cell: float, most: float, radius: float = 20.0, angle: float = 45.0, similar: float = 0.05) -> DataFrame:
+    """a_id, b_id, hausdorff: lines whose boxes come within radius, alike in direction and length, with a discrete Hausdorff distance of up to `most`.
+
+    Every vertex then has one of the other line within `most`, so sides of the boxes are no farther apart either, which spares
+    most pairs the look at their vertices.
+    """
+    a, b = G.box("a_"), G.box("b_")
+    sides = reduce(Column.__and__, (F.abs(p - q) <= most + SLACK for p, q in zip(a, b, strict=True)))
+    made = [measured_lines(x) for x in (base, other)]
+    pairs = _near_lines(*made, cell, radius, angle, similar, sides).select("a_id", "b_id")
+    p, q = (x.select(F.col("id").alias(f"{k}_id"), F.col("points").alias(f"{k}_points")) for k, x in zip("ab", made, strict=True))
+    far = pairs.join(p, "a_id").join(q, "b_id").select("a_id", "b_id", vertex_hausdorff(F.col("a_points"), F.col("b_points")).alias("hausdorff"))
+    return checkpointed(far).where(F.col("hausdorff") <= most)
+
+
+def _matches(base: DataFrame, other: DataFrame, cell: float, radius: float = 20.0, angle: float = 45.0, similar: float = 0.05, least: float = 0.80, hausdorff: float = 15.0) -> DataFrame:
+    """matched_lines of measured lines, with `parts`, where along b the base line covers it."""
+    a, b = G.box("a_"), G.box("b_")
+    # what of b lies beyond the base line's box and radius is as long as it reaches out, to either side
+    spare = F.greatest(F.lit(0.0), F.lit(1.0 - least)) * F.col("b_long") + SLACK
+    out = lambda d: F.greatest(F.lit(0.0), d - radius)
+    inside = reduce(Column.__and__, (out(a[i] - b[i]) + out(b[i + 2] - a[i + 2]) <= spare for i in (0, 1)))
+    alike = checkpointed(_near_lines(base, other, cell, radius, angle, similar, inside).select("a_id", "b_id", "angle", "similarity"))
+    turned = alike.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
+    parts = covered_parts(turned, other, base, radius).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "parts", union_length(F.col("parts")).alias("covered"))
+    good = alike.join(checkpointed(parts).where(F.col("covered") >= least), ["a_id", "b_id"])
+    p, q = (x.select(F.col("id").alias(f"{k}_id"), F.col("points").alias(f"{k}_points")) for k, x in (("a", base), ("b", other)))
+    far = good.join(p, "a_id").join(q, "b_id").withColumn("hausdorff", line_hausdorff(F.col("a_points"), F.col("b_points")))
+    return far.select("a_id", "b_id", "angle", "similarity", "covered", "hausdorff", F.when(F.col("hausdorff") <= hausdorff, 1).otherwise(2).alias("label"), "parts")
+
+
 def matched_lines(base: DataFrame, other: DataFrame, cell: float, radius: float = 20.0, angle: float = 45.0, similar: float = 0.05, least: float = 0.80, hausdorff: float = 15.0) -> DataFrame:
     """a_id, b_id, angle, similarity, covered, hausdorff, label of lines of other (b) that a base line (a) covers.
 
     Of lines near each other and alike in direction and length, those match that lie for a share `least` or more of their length within
     radius of the base line. label is 1 up to the given Hausdorff distance, 2 beyond it.
     """
-    made = [boxed_lines(x.where(F.size("points") > 1)).withColumns({"long": line_length(F.col("points")), "way": line_direction(F.col("points"))}).where("long > 0") for x in (base, other)]
-    near = grid_join(*made, cell, radius).withColumns({"angle": G.angle_difference(F.col("a_way"), F.col("b_way")), "similarity": G.length_similarity(F.col("a_long"), F.col("b_long"))})
-    alike = checkpointed(near.where((F.col("angle") <= angle) & (F.col("similarity") >= similar)).select("a_id", "b_id", "angle", "similarity"))
-    turned = alike.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
-    parts = covered_parts(turned, other, base, radius).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), union_length(F.col("parts")).alias("covered"))
-    good = alike.join(parts.where(F.col("covered") >= least), ["a_id", "b_id"])
-    p, q = (x.select(F.col("id").alias(f"{k}_id"), F.col("points").alias(f"{k}_points")) for k, x in (("a", base), ("b", other)))
-    far = good.join(p, "a_id").join(q, "b_id").withColumn("hausdorff", line_hausdorff(F.col("a_points"), F.col("b_points")))
-    return far.select("a_id", "b_id", "angle", "similarity", "covered", "hausdorff", F.when(F.col("hausdorff") <= hausdorff, 1).otherwise(2).alias("label"))
+    return _matches(measured_lines(base), measured_lines(other), cell, radius, angle, similar, least, hausdorff).drop("parts")
 
 
 def gaps(parts: Column) -> Column:
@@ -129,18 +215,18 @@ def fused_lines(base: DataFrame, other: DataFrame, cell: float, radius: float =
     A line of other that matches no base line is a supplement; of one that does, the parts longer than least_part that lie beyond radius of
     all base lines it matches are residuals, part from 1. Labels are ids in order, joined by commas.
     """
-    matches = checkpointed(matched_lines(base, other, cell, radius, **rules))
+    base, other = measured_lines(base), measured_lines(other)
+    matches = checkpointed(_matches(base, other, cell, radius, **rules))
     listed = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("label") == k, F.col("b_id")))).cast("array<string>"), ",").alias(f"label{k}")
     labels = matches.groupBy(F.col("a_id").alias("id")).agg(listed(1), listed(2))
     whole = base.select("id", "points").join(labels, "id", "left").select(F.lit("base").alias("role"), "id", F.lit(0).alias("part"), *(F.coalesce(f"label{k}", F.lit("")).alias(f"label{k}") for k in (1, 2)), "points")
-    used = matches.select(F.col("b_id").alias("id")).distinct()
     none = [F.lit("").alias("label1"), F.lit("").alias("label2")]
-    rest = other.join(used, "id", "left_anti").select(F.lit("supplement").alias("role"), "id", F.lit(0).alias("part"), *none, "points")
-    parts = covered_parts(matches.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")), other, base, radius)
-    over = parts.groupBy(F.col("a_id").alias("id")).agg(F.flatten(F.collect_list("parts")).alias("parts"))
-    left = other.join(over, "id").select("id", "points", measures(F.col("points")).alias("m"), F.explode(gaps(F.col("parts"))).alias("gap"))
+    over = checkpointed(matches.groupBy(F.col("b_id").alias("id")).agg(F.flatten(F.collect_list("parts")).alias("parts")))
+    rest = other.join(over.select("id"), "id", "left_anti").select(F.lit("supplement").alias("role"), "id", F.lit(0).alias("part"), *none, "points")
+    left = over.select("id", F.explode(gaps(F.col("parts"))).alias("gap"))
+    cut = left.join(other.select("id", "points", "long"), "id").where((F.col("gap.hi") - F.col("gap.lo")) * F.col("long") > least_part)
+    cut = cut.select("id", "points", "gap", measures(F.col("points")).alias("m"))
     long = F.element_at("m", -1)
-    cut = left.where((F.col("gap.hi") - F.col("gap.lo")) * long > least_part)
     made = cut.select("id", F.row_number().over(Window.partitionBy("id").orderBy("gap.lo")).alias("part"), part_of(F.col("points"), F.col("m"), F.col("gap.lo") * long, F.col("gap.hi") * long).alias("points"))
     return whole.union(rest).union(made.select(F.lit("residual").alias("role"), "id", "part", *none, "points"))
 

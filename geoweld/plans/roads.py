@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from geoweld.functions.polygons import line_length
 from geoweld.operators import polylines as L
-from geoweld.operators.grid_join import grid_join
 from geoweld.plans.derived import _at
 from geoweld.plans.more import _covered
 from geoweld.plans.registry import query, table
@@ -88,11 +87,8 @@ h AS (SELECT a_id, b_id, greatest((SELECT 0), max(near)) AS d FROM (SELECT a_id,
 SELECT a_id, b_id, round(d, 6) AS hausdorff FROM h WHERE d <= 12""")
 def line_vertex_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines within 12 of each other by the discrete Hausdorff distance of their vertices."""
-    a, b = (L.boxed_lines(_lines(spark, sf_dir, v).where(F.size("points") > 1)).withColumns({"long": line_length(F.col("points")), "way": L.line_direction(F.col("points"))}) for v in (_VERTEX, _BESIDE))
-    turn = F.abs(F.col("a_way") - F.col("b_way"))
-    alike = (F.least(turn, 180 - turn) <= 45) & (F.least("a_long", "b_long") / F.greatest("a_long", "b_long") >= 0.05)
-    near = grid_join(a.where("long > 0"), b.where("long > 0"), CELL, RADIUS, alike).withColumn("d", L.vertex_hausdorff(F.col("a_points"), F.col("b_points")))
-    return near.where("d <= 12").select("a_id", "b_id", F.round("d", 6).alias("hausdorff"))
+    near = L.lines_within(_lines(spark, sf_dir, _VERTEX), _lines(spark, sf_dir, _BESIDE), CELL, 12.0, RADIUS)
+    return near.select("a_id", "b_id", F.round("hausdorff", 6).alias("hausdorff"))
 
 
 @query(f"""WITH it AS (SELECT DISTINCT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS n FROM lineitem), {_sql_lines('av', 'sa', 'al', _VERTEX)},

@@ -65,3 +65,45 @@ def test_pieces_by_length(spark):
     assert [r.part for r in L.split_by_length(df, 7.0, 2.0).where("id = 1").orderBy("part").collect()] == [0, 1, 2]
     total = L.split_by_length(df, 7.0).where("id = 1").agg(F.sum(line_length(F.col("points"))).alias("t")).first().t
     assert total == pytest.approx(23.0)
+
+
+def test_only_pairs_with_like_boxes_are_looked_at(spark, monkeypatch):
+    rng = random.Random(9)
+    walk = lambda: [(x := rng.uniform(0, 60), y := rng.uniform(0, 60))] + [(x := x + rng.uniform(1, 9), y := y + rng.uniform(-3, 3)) for _ in range(rng.randrange(0, 6))]
+    a, b = [(i, walk()) for i in range(80)] + [(80, None)], [(i, walk()) for i in range(80)]
+    one = lambda s, t: max(min(math.dist(u, v) for v in t) for u in s)
+    looked, inner = [], L.vertex_hausdorff
+    monkeypatch.setattr(L, "vertex_hausdorff", lambda p, q: looked.append(True) or inner(p, q))
+    got = {(r.a_id, r.b_id): r.hausdorff for r in L.lines_within(lines(spark, *a), lines(spark, *b), 30.0, 12.0, 12.0, 180.0, 0.0).collect()}
+    want = {(i, j): max(one(p, q), one(q, p)) for i, p in a for j, q in b if p and min(len(p), len(q)) > 1 and max(one(p, q), one(q, p)) <= 12}
+    assert looked and got == pytest.approx(want) and len(want) > 20
+
+
+def test_matches_equal_all_pairs_and_lines_are_measured_once(spark, monkeypatch):
+    rng = random.Random(4)
+    walk = lambda: [(x := rng.uniform(0, 40), y := rng.uniform(0, 8))] + [(x := x + rng.uniform(4, 9), y := y + rng.uniform(-3, 3)) for _ in range(rng.randrange(1, 6))]
+    a, b = [(i, walk()) for i in range(60)], [(i, walk()) for i in range(60)]
+    from geoweld.operators.lines import union_length
+
+    every = lines(spark, *a).select(F.col("id").alias("b_id")).crossJoin(lines(spark, *b).select(F.col("id").alias("a_id")))
+    want = {(r.b_id, r.a_id): r.c for r in L.covered_parts(every, lines(spark, *b), lines(spark, *a), 5.0).select("a_id", "b_id", union_length(F.col("parts")).alias("c")).collect() if r.c >= 0.8}
+    measured, inner = [], L.measured_lines
+    monkeypatch.setattr(L, "measured_lines", lambda x: measured.append(1) or inner(x))
+    got = L.matched_lines(lines(spark, *a), lines(spark, *b), 30.0, 5.0, 180.0, 0.0, 0.8, 4.0).collect()
+    assert {(r.a_id, r.b_id): r.covered for r in got} == pytest.approx(want) and len(want) > 20 and len(measured) == 2
+    p, q = dict(a), dict(b)
+    far = lambda r: max(max(to_line(v, q[r.b_id]) for v in p[r.a_id]), max(to_line(v, p[r.a_id]) for v in q[r.b_id]))
+    assert [r.hausdorff for r in got] == pytest.approx([far(r) for r in got]) and all(r.label == (1 if r.hausdorff <= 4 else 2) for r in got)
+
+
+def test_distances_of_long_lines_by_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng, kind = random.Random(2), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    rows = [[[(rng.random(), rng.random()) for _ in range(rng.randrange(2, 30))] for _ in range(20)] for _ in range(2)]
+    p, q = (pa.array([None, []] + [[{"x": x, "y": y} for x, y in r] for r in side], kind).slice(0) for side in rows)
+    want = [max(to_line(v, t) for v in s) for s, t in zip(*rows, strict=True)]
+    for most in (1, 7, 1 << 18):
+        monkeypatch.setattr(L, "COMPARED", most)
+        got = L._farthest(p, q)
+        assert math.isnan(got[0]) and math.isnan(got[1]) and list(got[2:]) == pytest.approx(want) and list(L._farthest(p.slice(5), q.slice(5))) == pytest.approx(want[3:])

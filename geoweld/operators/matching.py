@@ -107,6 +107,7 @@ def priority_cascade(layers: list[tuple[str, DataFrame]], cell: float, least: fl
 
 def relation_class(pairs: DataFrame) -> DataFrame:
     """pairs with n_b (partners of a_id), n_a (partners of b_id) and relation: 1:1, 1:N, N:1 or M:N."""
+    pairs = checkpointed(pairs)  # looked at three times, and found by a join
     per_a = pairs.groupBy("a_id").agg(F.count_distinct("b_id").alias("n_b"))
     per_b = pairs.groupBy("b_id").agg(F.count_distinct("a_id").alias("n_a"))
     kind: Column = (

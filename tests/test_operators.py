@@ -238,3 +238,14 @@ def test_relational(spark):
     assert sorted(r.id for r in relational.with_minted_ids(raw, "raw", ["raw"]).collect()) == [7, 8, 9]
     got = relational.normalized_columns(spark.createDataFrame([(" ", "B")], "a string, b string"), {"name": ["a", "b"], "none": ["q"]}).first()
     assert (got["name"], got["none"]) == ("B", None)
+
+
+def test_classes_of_relations_find_their_pairs_once(spark):
+    from geoweld.operators.matching import relation_class
+
+    sides = [(1, 10), (1, 11), (2, 12), (3, 13), (4, 13), (5, 14), (5, 15), (6, 15), (2, 12)]
+    pairs = spark.createDataFrame([(a, [b]) for a, b in sides], "a_id long, bs array<long>").selectExpr("a_id", "explode(bs) AS b_id")
+    made = relation_class(pairs)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.a_id, r.b_id, r.relation) for r in made.collect())
+    assert got == [(1, 10, "1:N"), (1, 11, "1:N"), (2, 12, "1:1"), (2, 12, "1:1"), (3, 13, "N:1"), (4, 13, "N:1"), (5, 14, "1:N"), (5, 15, "M:N"), (6, 15, "N:1")]

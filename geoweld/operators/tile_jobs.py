@@ -2,8 +2,8 @@
 
 Tiles are worked on in batches. A batch's rows are written to a folder of their own, and after them its
 manifest: the tiles and how many rows each has. Spark's writers put files in
-place by renaming, so a manifest is there as a whole or not at all, and rows without one
-don't count. A restart looks at the manifests and runs only the tiles that none lists. Before tiles are put
+place by renaming, so a manifest's files are there whole or not at all; each line of one tells of a tile whose rows are all
+written, so it holds without the others, and rows of tiles without one don't count. A restart looks at the manifests and runs only the tiles that none lists. Before tiles are put
 together the rows are counted again and compared.
 """
 
@@ -50,7 +50,8 @@ def run_tiles(tiles: DataFrame, build: Callable[[DataFrame], DataFrame], folder:
         build(some).write.parquet(place)
         counts = spark.read.parquet(place).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
         done = some.select("tile_id").join(counts, "tile_id", "left").select("tile_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-        done.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+        # as many files as it takes: put into one partition, the join before it would run in one task, whose sorts keep their memory until it ends
+        done.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/manifest")
     return turns
 
 

@@ -156,3 +156,19 @@ def test_owned_rows_lie_in_one_tile(spark):
     boxes = [(i, x - 1.0, y - 1.0, x + 1.0, y + 1.0) for i, (x, y) in enumerate([(0.0, 0.0), (10.0, 5.0), (20.0, 10.0), (9.9, 10.0), (25.0, 5.0)])]
     rows = spark.createDataFrame([(t, *map(lambda v: v, b)) for t in ("tile_000_000", "tile_000_001") for b in boxes], f"tile_id string, {BOX}")
     assert sorted((r.id, r.tile_id[-1]) for r in J.owned(rows, tiles).collect()) == [(0, "0"), (1, "1"), (2, "1"), (3, "0")]
+
+
+def test_a_manifest_is_not_written_by_one_task(spark, tmp_path):
+    from geoweld.operators import tile_jobs as J
+
+    tiles = spark.range(40).selectExpr("CAST(id AS STRING) AS tile_id")
+    folder, was = str(tmp_path / "job"), {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(was, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        assert J.run_tiles(tiles, lambda some: some.where("tile_id <> '7'"), folder) == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "job" / "manifest").glob("*.parquet"))) > 1
+    assert {r.tile_id: r.n for r in J.finished(spark, folder).collect()} == {str(i): int(i != 7) for i in range(40)}

@@ -70,6 +70,20 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, radius: float = 0.
     return pairs if keep is None else pairs.where(keep)
 
 
+def corner_join(left: DataFrame, right: DataFrame, cell: float, most: float, keep: Column | None = None) -> DataFrame:
+    """Pairs of rows whose boxes lie no farther apart than `most` at any side; columns a_* and b_*.
+
+    Shapes within a Hausdorff distance are such pairs. They meet by their lower left corners alone, so that each row of right lies in one cell.
+    """
+    upper = {"maxx": "upper x of the box", "maxy": "upper y of the box"}
+    made = [df.withColumns({name: F.col(c) for c, name in upper.items()} | {"maxx": F.col("minx"), "maxy": F.col("miny")}) for df in (left, right)]
+    pairs = grid_join(*made, cell, most)
+    for name in upper.values():
+        pairs = pairs.where(F.abs(F.col(f"a_{name}") - F.col(f"b_{name}")) <= most)
+    pairs = pairs.select(*(F.col(f"{k}_{upper.get(c, c)}").alias(f"{k}_{c}") for k, df in (("a", left), ("b", right)) for c in df.columns))
+    return pairs if keep is None else pairs.where(keep)
+
+
 def best_per(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, which should be total."""
     return first_rows(df, [key] if isinstance(key, str) else key, order)

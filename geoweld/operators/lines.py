@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from geoweld.functions import geometry as G
 from geoweld.functions.polygons import line_length
 from geoweld.operators.components import checkpointed, connected_components
-from geoweld.operators.grid_join import grid_join
+from geoweld.operators.grid_join import corner_join, grid_join
 
 ENDS = ("x1", "y1", "x2", "y2")
+#: Direction and length of segments, under names that no layer has.
+WAY, LONG = "way of the line", "length of the line"
+#: What rounding may add to a distance, where boxes rule out pairs that are looked at more closely later.
+SLACK = 1e-6
 
 
 def segment(prefix: str = "") -> tuple[Column, ...]:
@@ -28,12 +32,19 @@ def length(s: tuple[Column, ...]) -> Column:
     return G.distance(*s)
 
 
+def measured(segments: DataFrame) -> DataFrame:
+    """segments boxed, with direction and length, which a join would work out for each pair otherwise."""
+    return boxed(segments).withColumns({WAY: G.bearing(*segment()), LONG: length(segment())})
+
+
 def line_candidates(base: DataFrame, other: DataFrame, cell: float, radius: float = 20.0, angle: float = 45.0, similar: float = 0.2, hausdorff: float = 15.0) -> DataFrame:
     """Pairs near each other, of like direction and length; the dearest test comes last."""
     a, b = segment("a_"), segment("b_")
-    near = grid_join(boxed(base), boxed(other), cell, radius).withColumns({
-        "angle_diff_deg": G.angle_difference(G.bearing(*a), G.bearing(*b)), "length_similarity": G.length_similarity(length(a), length(b)),
-    })
+    p, q = G.box("a_"), G.box("b_")
+    meet = G.boxes_meet((p[0] - radius, p[1] - radius, p[2] + radius, p[3] + radius), q)
+    near = corner_join(measured(base), measured(other), cell, hausdorff + SLACK, meet).withColumns({
+        "angle_diff_deg": G.angle_difference(F.col(f"a_{WAY}"), F.col(f"b_{WAY}")), "length_similarity": G.length_similarity(F.col(f"a_{LONG}"), F.col(f"b_{LONG}")),
+    }).drop(*(f"{k}_{c}" for k in "ab" for c in (WAY, LONG)))
     alike = near.where((F.col("angle_diff_deg") <= angle) & (F.col("length_similarity") >= similar))
     return alike.withColumn("hausdorff_m", G.vertex_hausdorff(a, b)).where(F.col("hausdorff_m") <= hausdorff)
 

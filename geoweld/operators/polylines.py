@@ -21,10 +21,8 @@ from geoweld.functions.geometry import BOX
 from geoweld.functions.polygons import _sides, bounds, line_length
 from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import grid_join
-from geoweld.operators.lines import union_length, with_covered_interval
+from geoweld.operators.lines import SLACK, union_length, with_covered_interval
 
-#: What rounding may add to a distance, where boxes rule out pairs that are looked at more closely later.
-SLACK = 1e-6
 INTERVALS = "array<struct<lo:double,hi:double>>"
 
 

@@ -11,7 +11,7 @@ from geoweld.operators import line_cleanup as L
 from geoweld.operators import lines
 from geoweld.operators import matching as M
 from geoweld.operators import poi
-from geoweld.operators.grid_join import grid_join
+from geoweld.operators.grid_join import corner_join, grid_join
 from geoweld.operators.tiling import tiles_for
 from geoweld.plans.derived import CELL, SQL, base_boxes, base_points, base_segments, on_globe, other_boxes, other_points, other_segments
 from geoweld.plans.more import _covered, _near, _point_to, _sampled
@@ -172,7 +172,7 @@ def _far(p: str, q: str) -> str:
 @query(f"{_LINES}, f AS (SELECT a_id, b_id, greatest({_far('a', 'b')}, {_far('b', 'a')}) AS d FROM p) SELECT a_id, b_id, round(d, 6) AS hausdorff FROM f WHERE d <= 10")
 def segment_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of two layers within 10 of each other by the Hausdorff distance from vertices to lines."""
-    near = grid_join(lines.boxed(base_segments(spark, sf_dir)), lines.boxed(other_segments(spark, sf_dir)), CELL, 20.0)
+    near = corner_join(lines.boxed(base_segments(spark, sf_dir)), lines.boxed(other_segments(spark, sf_dir)), CELL, 10.0 + lines.SLACK)
     d = G.segment_hausdorff(lines.segment("a_"), lines.segment("b_"))
     return near.withColumn("d", d).where("d <= 10").select("a_id", "b_id", F.round("d", 6).alias("hausdorff"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoweld.functions import geometry as G
 from geoweld.operators.grid_join import grid_join
-from geoweld.operators.lines import boxed, length, segment, with_covered_interval
+from geoweld.operators.lines import LONG, WAY, boxed, length, measured, segment, with_covered_interval
 
 
 def carried_attributes(segments: DataFrame, originals: DataFrame, cell: float, radius: float, attribute: str, new: str = "new") -> DataFrame:
@@ -26,8 +26,8 @@ def carried_attributes(segments: DataFrame, originals: DataFrame, cell: float, r
 def labelled_pairs(base: DataFrame, other: DataFrame, cell: float, radius: float = 20.0, hausdorff: float = 15.0, similar: float = 0.2, angle: float = 45.0) -> DataFrame:
     """a_id, b_id, label of lines near each other: 1 within the Hausdorff distance, else 2 if of like length and direction."""
     a, b = segment("a_"), segment("b_")
-    near = grid_join(boxed(base), boxed(other), cell, radius)
-    like = (G.length_similarity(length(a), length(b)) > similar) & (G.angle_difference(G.bearing(*a), G.bearing(*b)) < angle)
+    near = grid_join(measured(base.select("id", *segment())), measured(other.select("id", *segment())), cell, radius)
+    like = (G.length_similarity(F.col(f"a_{LONG}"), F.col(f"b_{LONG}")) > similar) & (G.angle_difference(F.col(f"a_{WAY}"), F.col(f"b_{WAY}")) < angle)
     label = F.when(G.vertex_hausdorff(a, b) <= hausdorff, 1).when(like, 2)
     return near.select("a_id", "b_id", label.alias("label")).where("label IS NOT NULL")
 

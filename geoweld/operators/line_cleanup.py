@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoweld.functions import geometry as G
 from geoweld.operators.components import checkpointed
 from geoweld.operators.grid_join import best_per, grid_join, points
-from geoweld.operators.lines import ENDS, boxed, duplicate_supplements, length, line_candidates, residuals, segment, snapped_segments, union_length, with_covered_interval
+from geoweld.operators.lines import ENDS, SLACK, boxed, duplicate_supplements, length, line_candidates, residuals, segment, snapped_segments, union_length, with_covered_interval
 
 
 def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radius: float, step: float = 5.0, angle: float = 90.0) -> DataFrame:
@@ -21,9 +21,10 @@ def sampled_distances(supplement: DataFrame, base: DataFrame, cell: float, radiu
     at = supplement.select("id", *segment(), n.alias("n"), G.bearing(*segment()).alias("way")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     t = F.col("i") / (F.col("n") - 1)
     placed = at.select("id", "i", "way", (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"))
-    d = G.point_segment_distance(F.col("a_x"), F.col("a_y"), *segment("b_"))
-    like = None if angle >= 90 else G.angle_difference(F.col("a_way"), G.bearing(*segment("b_"))) <= angle
-    near = grid_join(points(placed), boxed(base), cell, radius, like).groupBy(F.col("a_id").alias("id"), F.col("a_i").alias("i")).agg(F.min(d).alias("d"))
+    d = G.point_segment_distance(F.col("b_x"), F.col("b_y"), *segment("a_"))
+    like = None if angle >= 90 else G.angle_difference(F.col("b_way"), G.bearing(*segment("a_"))) <= angle
+    # the base is widened, not the samples, which are several times as many, so that each of these lies in one cell
+    near = grid_join(boxed(base.select(*segment())), points(placed), cell, radius + SLACK, like).groupBy(F.col("b_id").alias("id"), F.col("b_i").alias("i")).agg(F.min(d).alias("d"))
     each = placed.join(near, ["id", "i"], "left").withColumn("d", F.when(F.col("d") <= radius, F.col("d")).otherwise(float("inf")))
     return each.groupBy("id").agg(F.avg("d").alias("mean"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("far"))
 
@@ -33,8 +34,9 @@ CORRIDOR = 12.0
 
 
 def near_pairs(supplement: DataFrame, base: DataFrame, cell: float, radius: float = CORRIDOR) -> DataFrame:
-    """Pairs of segments whose boxes lie within radius, kept, so that the rules that go by narrower corridors share one join."""
-    return checkpointed(grid_join(boxed(supplement), boxed(base), cell, radius))
+    """Pairs of segments (ids and ends) whose boxes lie within radius, kept, so that the rules that go by narrower corridors share one join."""
+    sides = [boxed(x.select("id", *segment())) for x in (supplement, base)]
+    return checkpointed(grid_join(*sides, cell, radius).select(*(f"{k}_{c}" for k in "ab" for c in ("id", *ENDS))))
 
 
 def corridor_coverage(supplement: DataFrame, base: DataFrame, cell: float, radius: float, keep: Column, pairs: DataFrame | None = None) -> DataFrame:

@@ -249,3 +249,28 @@ def test_classes_of_relations_find_their_pairs_once(spark):
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r.a_id, r.b_id, r.relation) for r in made.collect())
     assert got == [(1, 10, "1:N"), (1, 11, "1:N"), (2, 12, "1:1"), (2, 12, "1:1"), (3, 13, "N:1"), (4, 13, "N:1"), (5, 14, "1:N"), (5, 15, "M:N"), (6, 15, "N:1")]
+
+
+def test_joins_by_corners_equal_all_pairs_and_copy_less(spark):
+    from geoweld.operators.assignment import labelled_pairs
+    from geoweld.operators.grid_join import corner_join
+    from geoweld.operators.line_cleanup import near_pairs
+    from geoweld.operators.lines import line_candidates
+
+    rng = random.Random(3)
+    boxes = lambda: [(i, x := rng.uniform(-50, 50), y := rng.uniform(-50, 50), x + rng.uniform(0, 30), y + rng.uniform(0, 30)) for i in range(120)]
+    a, b = boxes(), [*boxes(), (120, 0.0, 0.0, float("inf"), 1.0), (121, None, 0.0, 1.0, 1.0)]
+    kind = "id long, minx double, miny double, maxx double, maxy double"
+    made = corner_join(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 9.0, 8.0)
+    assert made.columns == [f"{k}_{c}" for k in "ab" for c in ("id", "minx", "miny", "maxx", "maxy")]
+    want = {(p[0], q[0]) for p in a for q in b if None not in q and all(abs(u - v) <= 8 for u, v in zip(p[1:], q[1:], strict=True))}
+    got = made.collect()
+    assert {(r.a_id, r.b_id) for r in got} == want and len(got) == len(want) > 10
+    assert {tuple(r[:5]) for r in got} <= set(a) and {tuple(r[5:]) for r in got} <= set(b)
+    ends = "id long, x1 double, y1 double, x2 double, y2 double, name string"
+    s, t = (spark.createDataFrame([(*r, "x") for r in rows[:120]], ends) for rows in (a, b))
+    # directions are worked out for each line before they meet, and what isn't looked at isn't kept
+    for df in (line_candidates(s, t, 40.0), labelled_pairs(s, t, 40.0)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ATAN2" in plan and "ATAN2" not in plan[: plan.index("Join Inner")]
+    assert near_pairs(s, t, 40.0).columns == [f"{k}_{c}" for k in "ab" for c in ("id", "x1", "y1", "x2", "y2")]

@@ -17,6 +17,8 @@ never meet in the prefix join. They are joined by the shingles that they add, wh
 and rare: classes x and y at most L apart share at least
 (added(x) + added(y) + |lacking(x) - lacking(y)| - L) / 2 of these. Where that is
 nothing, sizes are close, and classes of such sizes are compared by what they lack.
+A class of another centre that would meet many members at many shingles is a guest of theirs: its
+difference from their consensus is taken too, and it meets them by that instead.
 
 Only components are wanted, so links within one needn't all be tried: in both joins the members
 outside a shingle's or a centre's largest part meet all of another one. No group is
@@ -275,30 +277,38 @@ def _centres(compared: DataFrame) -> DataFrame:
     return of.select(F.array_max(F.filter("near", lambda x: x["far"] <= NEARLY * F.col("least")))["a"].alias("a"), "b")
 
 
-def _members(docs: DataFrame, classes: DataFrame, entries: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links found at pivots, and id, centre, size (the centre's), n, added, lacking of each class that has a centre."""
+def _differing(chosen: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """id, centre, size (the centre's), n, added, lacking of the pairs (a, b) of a centre and a class, where sets has both."""
+    differ = _compared(chosen, sets, percent, whole=True).drop("similar")
+    size = classes.select(F.col("id").alias("a"), F.col("n").alias("size"))
+    n = F.col("size") + F.size("added") - F.size("lacking")
+    return checkpointed(differ.join(size, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), "size", n.alias("n"), "added", "lacking"))
+
+
+def _members(docs: DataFrame, classes: DataFrame, entries: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links found at pivots, each class that has a centre with its difference (see _differing), and the sets of all classes that were tried."""
     tried = _tried(entries, percent)
     sets = _sets_of(docs, _ends(tried, classes), width)
     compared = _compared(tried, sets, percent)
     chosen = checkpointed(_centres(compared))
-    differ = _compared(chosen, sets, percent, whole=True).drop("similar")
-    size = classes.select(F.col("id").alias("a"), F.col("n").alias("size"))
-    n = F.col("size") + F.size("added") - F.size("lacking")
-    members = differ.join(size, "a").select(F.col("b").alias("id"), F.col("a").alias("centre"), "size", n.alias("n"), "added", "lacking")
-    return compared.where("similar").select("a", "b"), checkpointed(members)
+    return compared.where("similar").select("a", "b"), _differing(chosen, sets, classes, percent), sets
 
 
-def _refined(members: DataFrame) -> DataFrame:
-    """members with differences from the centre's consensus: what most of its members hold.
+def _consensus(members: DataFrame) -> DataFrame:
+    """centre, more, fewer: the shingles that most members of a centre hold and it doesn't, and those that they lack.
 
     A pivot has changes of its own, which all others would seem to lack or add alike.
     Most members have no more than twice the average difference in common, so a centre's list is short.
     """
     each = members.select("centre", F.explode("added").alias("token"), F.lit(True).alias("more")).union(members.select("centre", F.explode("lacking"), F.lit(False)))
     counts = each.groupBy("centre", "token", "more").count().join(members.groupBy("centre").agg(F.count(F.lit(1)).alias("of")), "centre").where("2 * count > of")
+    return checkpointed(counts.groupBy("centre").agg(F.collect_list(F.when(F.col("more"), F.col("token"))).alias("more"), F.collect_list(F.when(~F.col("more"), F.col("token"))).alias("fewer")))
+
+
+def _refined(members: DataFrame, consensus: DataFrame) -> DataFrame:
+    """members with differences from the centre's consensus instead of the centre."""
     none = F.array().cast("array<long>")
-    of = counts.groupBy("centre").agg(F.collect_list(F.when(F.col("more"), F.col("token"))).alias("more"), F.collect_list(F.when(~F.col("more"), F.col("token"))).alias("fewer"))
-    known = members.join(of, "centre", "left").withColumns({x: F.coalesce(x, none) for x in ("more", "fewer")})
+    known = members.join(consensus, "centre", "left").withColumns({x: F.coalesce(x, none) for x in ("more", "fewer")})
     return checkpointed(known.select(
         "id", "centre", (F.col("size") + F.size("more") - F.size("fewer")).alias("size"), "n",
         F.concat(F.array_except("added", "more"), F.array_except("fewer", "lacking")).alias("added"),
@@ -318,7 +328,7 @@ def _to_nearest(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _centre_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one centre and different parts, from their differences."""
+    """Links (a, b) between classes of one centre and different parts, from their differences. A class may have several centres."""
     of = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     sizes = of.groupBy("centre", "part").count()
     main = sizes.groupBy("centre").agg(F.max(F.struct("count", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -334,10 +344,10 @@ def _centre_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFra
 
     wide = ["lacking_a", "lacking_b", "added_a", "added_b"]
     met = outside.withColumn("token", F.explode("added_a")).drop(*wide).join(every.withColumn("token", F.explode("added_b")).drop(*wide), ["centre", "token"]).where(once)
-    counted = met.groupBy("id_a", "id_b", limit.alias("limit"), least.alias("least"), (F.col("more_a") + F.col("more_b") + F.col("less_a") + F.col("less_b")).alias("all")).agg(F.count(F.lit(1)).alias("shared"))
+    counted = met.groupBy("centre", "id_a", "id_b", limit.alias("limit"), least.alias("least"), (F.col("more_a") + F.col("more_b") + F.col("less_a") + F.col("less_b")).alias("all")).agg(F.count(F.lit(1)).alias("shared"))
     left = checkpointed(counted.where("shared >= least"))
-    lacking = of.select("id", "lacking")
-    both = left.join(lacking.withColumnsRenamed({"id": "id_a", "lacking": "lacking_a"}), "id_a").join(lacking.withColumnsRenamed({"id": "id_b", "lacking": "lacking_b"}), "id_b")
+    lacking = of.select("centre", "id", "lacking")
+    both = left.join(lacking.withColumnsRenamed({"id": "id_a", "lacking": "lacking_a"}), ["centre", "id_a"]).join(lacking.withColumnsRenamed({"id": "id_b", "lacking": "lacking_b"}), ["centre", "id_b"])
     common = F.size(F.array_intersect("lacking_a", "lacking_b"))
     by_added = both.where(F.col("all") - 2 * F.col("shared") - 2 * common <= F.col("limit")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
@@ -362,16 +372,32 @@ def _centre_links(members: DataFrame, parts: DataFrame, percent: int) -> DataFra
     return checkpointed(by_added.union(by_sizes))
 
 
-def _prefix_links(docs: DataFrame, classes: DataFrame, entries: DataFrame, centre: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different centres and parts, by their prefixes."""
-    placed = entries.join(centre, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+def _placed(entries: DataFrame, centre: DataFrame, parts: DataFrame) -> DataFrame:
+    """The entries that count at shingles of several cells (a centre's members) and parts, with the shingle's largest cell, `main`, and how many of it hold it, `often`."""
+    placed = entries.where("level <= k").join(centre, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.select("token", "id", "n", "level", "k", F.coalesce("centre", "id").alias("cell"), F.coalesce("component", "id").alias("part"))
     sizes = placed.groupBy("token", "cell").agg(F.count(F.lit(1)).alias("count"), F.min("part").alias("low"), F.max("part").alias("high"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("count", "cell"))["cell"].alias("main"), F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).where("cells > 1 AND low <> high")
-    open_ = checkpointed(placed.join(main.select("token", "main"), "token"))
-    outside = _side(open_.where("cell <> main"), "a", "part", "cell")
-    every = _side(open_, "b", "part", "cell", "main")
-    met = outside.join(every, "token").where("part_a <> part_b AND cell_a <> cell_b AND (cell_b = main_b OR a < b)")
+    main = sizes.groupBy("token").agg(F.max(F.struct("count", "cell")).alias("most"), F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).where("cells > 1 AND low <> high")
+    return checkpointed(placed.join(main.select("token", F.col("most.cell").alias("main"), F.col("most.count").alias("often")), "token"))
+
+
+def _guests(placed: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Classes of other cells that would meet the members of a centre at many of its hubs, with their differences from it, as _differing gives them."""
+    near = placed.where((F.col("cell") != F.col("main")) & (F.col("often") >= HUB)).groupBy("main", "id").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = checkpointed(near.where(F.col("shared") >= HUB).select(F.col("main").alias("a"), F.col("id").alias("b")))
+    return _differing(chosen, sets, classes, percent)
+
+
+def _prefix_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, guests: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different centres and parts, by their prefixes.
+
+    Entries outside a shingle's largest cell meet all others there, but a guest's don't meet those of its host.
+    """
+    outside = placed.where("cell <> main").join(guests.select("id", F.col("centre").alias("main"), F.lit(True).alias("guest")), ["id", "main"], "left")
+    inner = F.explode(F.when(F.col("guest"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    every = _side(placed, "b", "part", "cell", "main").withColumn("inner", F.col("cell_b") == F.col("main_b"))
+    met = _side(outside.withColumn("inner", inner), "a", "part", "cell", "inner").withColumnRenamed("inner_a", "inner").join(every, ["token", "inner"])
+    met = met.where("part_a <> part_b AND cell_a <> cell_b AND (inner OR a < b)")
     left = checkpointed(_candidates(met, percent))
     sets = _sets_of(docs, _ends(left, classes), width)
     return _compared(left, sets, percent).where("similar").select("a", "b")
@@ -381,13 +407,15 @@ def _class_components(docs: DataFrame, sketches: DataFrame, width: int, percent:
     """The classes (id, doc_id, version, ...) and the links between them, both checkpointed."""
     classes = checkpointed(_classes(sketches))
     entries = _repeated_entries(docs, classes, width, percent)
-    links, members = _members(docs, classes, entries, width, percent)
-    members = _refined(members)
+    links, members, sets = _members(docs, classes, entries, width, percent)
+    consensus = _consensus(members)
+    members = _refined(members, consensus)
     links = links.union(_to_nearest(members, percent))
     parts = checkpointed(connected_components(links))
-    centre = members.select("id", "centre")
-    links = links.union(_centre_links(members, parts, percent))
-    links = links.union(_prefix_links(docs, classes, entries, centre, parts, width, percent))
+    placed = _placed(entries, members.select("id", "centre"), parts)
+    guests = _guests(placed, sets, classes, percent)
+    links = links.union(_centre_links(members.union(_refined(guests, consensus).select(members.columns)), parts, percent))
+    links = links.union(_prefix_links(docs, classes, placed, guests, width, percent))
     return classes, checkpointed(links)
 
 

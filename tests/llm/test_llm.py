@@ -418,6 +418,21 @@ def test_join_of_large_groups_near_the_threshold(spark, width, percent):
     assert got == brute_components(texts, width, percent)
 
 
+def test_classes_beside_a_large_group_do_not_meet_all_of_it_at_each_shingle(spark, monkeypatch):
+    rng, rows, candidates = random.Random(3), [], ngram_join._candidates
+    first = prose(rng, 150, 5000).split()
+    near = edited(rng, first, 12)
+    texts = [" ".join(edited(rng, first, rng.randrange(3, 9))) for _ in range(300)] + [" ".join(edited(rng, near, rng.randrange(1, 3))) for _ in range(20)]
+
+    def counted(met, percent):
+        rows.append(met.count())
+        return candidates(met, percent)
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similarity_components(documents(spark, texts), 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85) and rows[0] < 20 * 300
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]

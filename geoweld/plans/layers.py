@@ -19,7 +19,7 @@ from geoweld.operators.matching import similar_boxes
 from geoweld.operators.nearest import nearest_rows
 from geoweld.operators.tiling import partition_bbox
 from geoweld.operators.zonal import zonal_statistics
-from geoweld.plans.derived import CELL, SQL, _at, base_boxes, base_points, other_boxes, other_points
+from geoweld.plans.derived import CELL, SQL, _at, base_boxes, base_points, other_boxes, other_points, spread
 from geoweld.plans.overlays import _pieces, shaped
 from geoweld.plans.registry import query, table
 from geoweld.sources.rasters import read_blocks, write_rasters
@@ -105,7 +105,7 @@ g AS (SELECT s_suppkey, {_E} AS x, {_NORTH} AS y FROM p)
 SELECT s_suppkey, round(min(x), 3) AS minx, round(min(y), 3) AS miny, round(max(x), 3) AS maxx, round(max(y), 3) AS maxy FROM g GROUP BY 1""")
 def projected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in degrees as boxes on a zone's grid, by their edges."""
-    b = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"{_WEST} AS w", f"{_SOUTH} AS s")
+    b = spread(table(spark, sf_dir, "supplier").withColumn("id", F.col("s_suppkey"))).selectExpr("s_suppkey", f"{_WEST} AS w", f"{_SOUTH} AS s")
     project = lambda lon, lat: G.to_utm(lon, lat, F.lit(35), F.lit(False))
     made = G.box_to((F.col("w"), F.col("s"), F.col("w") + 1.5, F.col("s") + 2.0), project)
     return b.select("s_suppkey", *(F.round(c, 3).alias(n) for c, n in zip(made, G.BOX, strict=True)))

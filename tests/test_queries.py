@@ -73,3 +73,7 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_projected_boxes_are_dealt_over_the_cores(spark):
+    assert QUERIES["projected_boxes"](spark, DIR).rdd.getNumPartitions() > 4

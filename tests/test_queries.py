@@ -77,3 +77,8 @@ def test_entry_runs(spark):
 
 def test_projected_boxes_are_dealt_over_the_cores(spark):
     assert QUERIES["projected_boxes"](spark, DIR).rdd.getNumPartitions() > 4
+
+
+def test_steps_of_patterns_are_not_shuffled_by_their_kind_of_source(spark):
+    plan = QUERIES["pattern_scores"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source_type" not in plan.split("BroadcastExchange")[0] and "BroadcastHashJoin [source_type" in plan

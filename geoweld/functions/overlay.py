@@ -94,7 +94,13 @@ def cut_edges(edges: np.ndarray, layer: np.ndarray, group: np.ndarray) -> tuple[
     reach = np.repeat(np.maximum.reduceat(np.abs(edges).max(axis=1), first), np.diff(np.r_[first, len(group)]))
     near = NEAR * reach
     rows, shares, places = [np.arange(len(edges))] * 2, [np.zeros(len(edges)), np.ones(len(edges))], [edges[:, :2], edges[:, 2:]]
+    low, high = (f(edges[:, :2], edges[:, 2:]).T for f in (np.minimum, np.maximum))
+    low, high = low - near, high + near
     for a, b in _meetings(group):
+        close = a != b  # most edges of a shape lie apart, which their boxes tell
+        for c in (0, 1):
+            close &= (low[c][a] <= high[c][b]) & (low[c][b] <= high[c][a])
+        a, b = a[close], b[close]
         own, other = edges[a], edges[b]
         dx, dy = own[:, 2] - own[:, 0], own[:, 3] - own[:, 1]
         ex, ey = other[:, 2] - other[:, 0], other[:, 3] - other[:, 1]
@@ -279,10 +285,110 @@ def _straightened(ring: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return bends[least:] + bends[:least]
 
 
+def _numbers(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows that are alike, in the rows' order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    numbers = np.empty(len(order), np.int64)
+    numbers[order] = np.cumsum(new)
+    return numbers
+
+
+def _following(edges: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The place of the piece that follows each one, sorted by group and ends, as far to the left as possible; -1 where none leaves its end."""
+    m = len(edges)
+    node = _numbers(np.tile(group, 2), *np.concatenate([edges[:, :2], edges[:, 2:]]).T)
+    leave = np.bincount(node[:m], minlength=2 * m)
+    begin, ways = (np.cumsum(leave) - leave)[node[m:]], leave[node[m:]]
+    after = np.where(ways > 0, begin, -1)
+    many = np.flatnonzero(ways > 1)
+    i = np.repeat(many, ways[many])
+    j = np.repeat(begin[many], ways[many]) + np.arange(len(i)) - np.repeat(np.cumsum(ways[many]) - ways[many], ways[many])
+    back = np.arctan2(edges[i, 1] - edges[i, 3], edges[i, 0] - edges[i, 2])
+    turn = (back - np.arctan2(edges[j, 3] - edges[j, 1], edges[j, 2] - edges[j, 0])) % (2 * math.pi)
+    order = np.lexsort((np.where(turn == 0, 2 * math.pi, turn), i))
+    after[many] = j[order][np.flatnonzero(np.r_[True, i[order][1:] != i[order][:-1]])] if len(i) else j
+    return after
+
+
+def _places(after: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first piece of each one's ring and its place from there, by pointer doubling; rings have `longest` pieces at most."""
+    own = np.arange(len(after))
+    first, to = own, after
+    rounds = range(int(longest).bit_length())
+    for _ in rounds:
+        first, to = np.minimum(first, first[to]), to[to]
+    steps = (first != own).astype(np.int64)
+    to = np.where(steps > 0, after, own)
+    for _ in rounds:
+        steps, to = steps + steps[to], to[to]
+    return first, np.where(first == own, 0, np.bincount(first, minlength=len(own))[first] - steps)
+
+
+def ring_points(edges: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of the rings of all groups' directed pieces, the sizes of the rings and their groups; rings as rings_of gives them, in order.
+
+    Each piece is followed by one, so all rings are walked at once. Only groups in which some piece isn't
+    followed by just one, as rounding may leave them, are walked a piece at a time.
+    """
+    order = np.lexsort((*edges.T[::-1], group))
+    edges, group = edges[order], group[order]
+    m = len(edges)
+    after = _following(edges, group)
+    wrong = (after < 0) | (np.bincount(after[after >= 0], minlength=m) != 1)
+    odd = np.unique(group[wrong])
+    plain = ~np.isin(group, odd)
+    size = np.bincount(np.cumsum(np.r_[True, group[1:] != group[:-1]])) if m else np.zeros(1, int)
+    ring, place = _places(np.where(plain, after, np.arange(m)), size.max())
+    order = np.lexsort((place, ring))
+    order = order[plain[order]]
+    xy, ring, of = edges[order, :2], ring[order], group[order]
+    # only bends stay
+    new = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]]) if len(ring) else np.zeros(0, int)
+    last = np.r_[new[1:], len(ring)] - 1 if len(ring) else new
+    before, behind = np.arange(len(ring)) - 1, np.arange(len(ring)) + 1
+    before[new], behind[last] = last, new
+    a, b = xy - xy[before], xy[behind] - xy
+    across, along = np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]), (a * b).sum(axis=1)
+    bend = (across > 1e-9 * (np.hypot(*a.T) * np.hypot(*b.T))) | (along < 0)
+    xy, ring, of = xy[bend], ring[bend], of[bend]
+    ring = _numbers(ring)
+    size = np.bincount(ring)
+    long = size[ring] > 2
+    xy, ring, of = xy[long], _numbers(ring[long]), of[long]
+    size = np.bincount(ring)
+    new = np.cumsum(size) - size
+    # each starts at its least point
+    least = np.lexsort((*xy.T[::-1], ring))[new] - new
+    place = (np.arange(len(ring)) - new[ring] - least[ring]) % size[ring]
+    order = np.lexsort((place, ring))
+    xy, of = xy[order], of[new]
+    for g in odd:
+        found = rings_of(edges[group == g])
+        xy = np.concatenate([xy, *(np.array(r).reshape(-1, 2) for r in found)])
+        size, of = np.r_[size, [len(r) for r in found]].astype(np.int64), np.r_[of, np.full(len(found), g)]
+    new = np.cumsum(size) - size
+    order = np.lexsort((*(xy[new + k, c] for k in (2, 1, 0) for c in (1, 0)), of))
+    moved = size[order]
+    points = np.repeat(new[order] - (np.cumsum(moved) - moved), moved) + np.arange(len(xy))
+    return xy[points], moved, of[order]
+
+
+def parts_by_group(edges: np.ndarray, group: np.ndarray, n: int, empty: bool = True) -> pa.ListArray:
+    """The rings of n groups as shapes; those of groups without any are empty, or null."""
+    xy, size, of = ring_points(edges, group)
+    offsets = lambda ends: pa.array(np.asarray(ends, np.int32))
+    rings = pa.ListArray.from_arrays(offsets(np.r_[0, np.cumsum(size)]), pa.StructArray.from_arrays([pa.array(c) for c in (xy[:, 0].copy(), xy[:, 1].copy())], ["x", "y"]))
+    ends = np.searchsorted(of, np.arange(n + 1))
+    return pa.ListArray.from_arrays(offsets(ends), rings, ARROW_PARTS, mask=None if empty else pa.array(ends[1:] == ends[:-1]))
+
+
 def rings_by_group(edges: np.ndarray, group: np.ndarray, n: int) -> list[Rings]:
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(n + 1))
-    return [rings_of(edges[order[i:j]]) if i < j else [] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    xy, size, of = ring_points(edges, group)
+    rings, ends = [list(map(tuple, r.tolist())) for r in np.split(xy, np.cumsum(size)[:-1])], np.searchsorted(of, np.arange(n + 1))
+    return [rings[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _by_parts(measure: Callable[..., np.ndarray], *columns: pa.Array) -> np.ndarray:
@@ -291,8 +397,9 @@ def _by_parts(measure: Callable[..., np.ndarray], *columns: pa.Array) -> np.ndar
     return np.concatenate([np.zeros(0), *(measure(*(c.slice(i, ROWS) for c in columns)) for i in range(0, n, ROWS))])
 
 
-def _as_parts(rows: list[Rings | None]) -> pa.Array:
-    return pa.array([None if r is None else [[{"x": x, "y": y} for x, y in ring] for ring in r] for r in rows], ARROW_PARTS)
+def _in_parts(made: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """What made gives for the columns' rows, ROWS at a time."""
+    return pa.concat_arrays([made(*(c.slice(i, ROWS) for c in columns)) for i in range(0, max(len(columns[0]), 1), ROWS)])
 
 
 def shapes_area(parts: str | Column, fill: str = "odd") -> Column:
@@ -348,15 +455,23 @@ def pieces_shared(a: str | Column, b: str | Column) -> Column:
 
 
 def overlay(a: str | Column, b: str | Column, operation: str = "intersection", fill: str = "odd") -> Column:
-    """The overlay of two shapes as rings, outer ones turning left and holes right; none where nothing is left."""
+    """The overlay of two shapes as rings, as overlaid gives them."""
+    return overlaid(a, b, operation, fill)["parts"]
 
-    @F.arrow_udf(PARTS)
+
+def overlaid(a: str | Column, b: str | Column, operation: str = "intersection", fill: str = "odd") -> Column:
+    """The overlay of two shapes: parts, its rings, outer ones turning left and holes right, none where nothing is left, and area."""
+
+    def cut(left: pa.Array, right: pa.Array) -> pa.Array:
+        edges, group = overlaid_edges(left, right, operation, fill)
+        return pa.StructArray.from_arrays([parts_by_group(edges, group, len(left)), pa.array(areas(edges, group, len(left)))], ["parts", "area"])
+
+    @F.arrow_udf(f"struct<parts: {PARTS}, area: double>")
     def made(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            some = [(left.slice(i, ROWS), right.slice(i, ROWS)) for i in range(0, len(left), ROWS)]
-            yield pa.concat_arrays([_as_parts([]), *(_as_parts(rings_by_group(*overlaid_edges(x, y, operation, fill), len(x))) for x, y in some)])
+            yield _in_parts(cut, left, right)
 
-    return made(a, b)
+    return made.asNondeterministic()(a, b)  # see measured
 
 
 def repaired(parts: str | Column, fill: str = "odd") -> Column:
@@ -365,10 +480,25 @@ def repaired(parts: str | Column, fill: str = "odd") -> Column:
     @F.arrow_udf(PARTS)
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for shapes in batches:
-            some = [shapes.slice(i, ROWS) for i in range(0, len(shapes), ROWS)]
-            yield pa.concat_arrays([_as_parts([]), *(_as_parts([r or None for r in rings_by_group(*regions(x, fill), len(x))]) for x in some)])
+            yield _in_parts(lambda some: parts_by_group(*regions(some, fill), len(some), empty=False), shapes)
+
+    return made.asNondeterministic()(parts)  # see measured
+
+
+def repaired_and_checked(parts: str | Column, fill: str = "odd") -> Column:
+    """parts as repaired gives them, their area, and whether they are sound (repaired) and the shape was (sound); in one pass, so that a task needs one worker."""
+
+    def checked(some: pa.Array) -> pa.Array:
+        made = parts_by_group(*regions(some, fill), len(some), empty=False)
+        columns = {"parts": made, "area": pa.array(areas(*regions(made, fill), len(made))), "repaired": pa.array(sound(made)), "sound": pa.array(sound(some))}
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    @F.arrow_udf(f"struct<parts: {PARTS}, area: double, repaired: boolean, sound: boolean>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for shapes in batches:
+            yield _in_parts(checked, shapes)
 
-    return made(parts)
+    return made.asNondeterministic()(parts)  # see measured
 
 
 def is_valid(parts: str | Column) -> Column:
@@ -388,19 +518,17 @@ def sound(shapes: pa.Array) -> np.ndarray:
     rings = shapes.flatten()
     few = pc.less(pc.fill_null(pc.list_value_length(rings), 0), 3).to_numpy(zero_copy_only=False)
     good[pc.list_parent_indices(shapes).to_numpy(zero_copy_only=False)[few]] = False
-    _, start, times = np.unique(np.column_stack([_ring_numbers(shapes), edges[:, :2]]), axis=0, return_index=True, return_counts=True) if len(edges) else (0, np.zeros(0, int), np.zeros(0, int))
-    good[group[start[times > 1]]] = False  # a ring comes back to a point
+    points = _numbers(_ring_numbers(shapes), *edges[:, :2].T)
+    good[group[np.bincount(points)[points] > 1]] = False  # a ring comes back to a point
     pieces, _, of = cut_edges(edges, np.zeros(len(edges), np.int64), group)
-    if len(pieces):
-        back = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
-        _, start, times = np.unique(np.column_stack([of, np.where(back[:, None], pieces[:, [2, 3, 0, 1]], pieces)]), axis=0, return_index=True, return_counts=True)
-        good[of[start[times > 1]]] = False  # two sides lie on each other
-        # a vertex may touch a side from within; a crossing cuts both sides at a point that is no vertex
-        vertices = np.column_stack([group, edges[:, :2]])
-        known = {tuple(v) for v in vertices.tolist()}
-        for g, p in zip(of.tolist(), pieces[:, :2].tolist(), strict=True):
-            if (g, *p) not in known:
-                good[g] = False
+    back = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
+    sides = _numbers(of, *np.where(back[:, None], pieces[:, [2, 3, 0, 1]], pieces).T)
+    good[of[np.bincount(sides)[sides] > 1]] = False  # two sides lie on each other
+    # a vertex may touch a side from within; a crossing cuts both sides at a point that is no vertex
+    points = _numbers(np.r_[group, of], *np.concatenate([edges[:, :2], pieces[:, :2]]).T)
+    known = np.zeros(len(points) + 1, bool)
+    known[points[: len(edges)]] = True
+    good[of[~known[points[len(edges) :]]]] = False
     return good[:n]
 
 

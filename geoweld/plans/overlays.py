@@ -99,8 +99,8 @@ SELECT a_id AS id, b_id AS mask, round(shared, 6) AS area FROM s""")
 def clipped_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes cut to the boundaries of areas, which are concave, holed or in two parts themselves."""
     masks = table(spark, sf_dir, "supplier").selectExpr(*_MASK_BOX.split(", ")).withColumns({"maxx": F.col("minx") + 60, "maxy": F.col("miny") + 60})
-    cut = S.clipped(shaped(base_boxes(spark, sf_dir)), shaped(masks), CELL)
-    return cut.select("id", "mask", F.round(O.shapes_area("parts"), 6).alias("area"))
+    cut = S.clipped(shaped(base_boxes(spark, sf_dir)), shaped(masks), CELL, "area")
+    return cut.select("id", "mask", F.round("area", 6).alias("area"))
 
 
 #: Broken shapes in a box by id % 3: a bow tie, a box with a spike, a box about another drawn the same way.
@@ -116,9 +116,9 @@ _BROKEN = (
 def repaired_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bow ties, spikes and holes drawn the wrong way, made sound."""
     of = " ".join(f"WHEN {k} THEN {_rings(rings)}" for k, rings in enumerate(_BROKEN))
-    broken = spread(base_boxes(spark, sf_dir)).selectExpr("id", f"CASE CAST(id % 3 AS INT) {of} END AS parts").withColumn("sound", O.is_valid("parts"))
-    made = S.repaired(broken)
-    return made.select("id", F.size("parts").alias("n_rings"), F.round(O.shapes_area("parts"), 6).alias("area"), "sound", O.is_valid("parts").alias("repaired"))
+    broken = spread(base_boxes(spark, sf_dir)).selectExpr("id", f"CASE CAST(id % 3 AS INT) {of} END AS parts")
+    made = S.repaired_and_checked(broken)
+    return made.select("id", F.size("parts").alias("n_rings"), F.round("area", 6).alias("area"), "sound", "repaired")
 
 
 @query(f"""WITH {SQL['a']}, c AS (SELECT DISTINCT id % 3 AS layer, x, y FROM (SELECT id, y, unnest(range(minx::BIGINT, maxx::BIGINT)) AS x, miny, maxy FROM (SELECT *, unnest(range(miny::BIGINT, maxy::BIGINT)) AS y FROM a))),

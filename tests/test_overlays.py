@@ -83,6 +83,33 @@ def test_repair_and_soundness(spark):
     assert S.repaired(layer(spark, twice), "nonzero").select(O.shapes_area("parts").alias("a")).first().a == 7.0
 
 
+def test_rings_that_meet_at_their_least_point_stay_apart():
+    tri = lambda *p: [(0, 0), *p]
+    shapes = arrow([[tri((2, -2), (2, -1)), tri((2, 1), (2, 2))], []])
+    made = O.parts_by_group(*O.regions(shapes), 2, empty=False)
+    assert [p and [[(q["x"], q["y"]) for q in r] for r in p] for p in made.to_pylist()] == [[tri((2, -2), (2, -1)), tri((2, 1), (2, 2))], None]
+    assert O.sound(made).tolist() == [True, False]
+
+
+def test_rings_walked_at_once_equal_those_walked_one_by_one():
+    rng = random.Random(13)
+    crooked = [[[(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(rng.randrange(3, 12))] for _ in range(rng.randrange(3))] for _ in range(200)]
+    edges, group = O.regions(arrow(crooked))
+    open_ = np.array([(0.0, 0.0, 2.0, 0.0), (2.0, 0.0, 2.0, 2.0), (2.0, 2.0, 0.0, 1.0)])  # as rounding may leave them
+    edges, group = np.concatenate([edges, open_]), np.r_[group, [200] * 3]
+    assert O.rings_by_group(edges, group, 201) == [O.rings_of(edges[group == g]) for g in range(201)]
+    assert O.rings_by_group(np.zeros((0, 4)), np.zeros(0, int), 2) == [[], []]
+
+
+def test_repair_and_clipping_need_one_pass_of_python(spark):
+    shapes = layer(spark, [[(0, 0), (2, 2), (2, 0), (0, 2)]], [rect(1, 1, 3, 3)]).repartition(3, "id")
+    plans = [S.repaired_and_checked(shapes).select("id", "area", "sound", "repaired", F.size("parts")), S.clipped(shapes, shapes, 4.0, "size").select("id", "mask", "size")]
+    for df in plans:
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, plans[0].collect())) == [(0, 2.0, False, True, 2), (1, 4.0, True, True, 1)]
+    assert {(r.id, r["mask"]): r["size"] for r in plans[1].collect()} == pytest.approx({(0, 0): 2.0, (0, 1): 0.5, (1, 0): 0.5, (1, 1): 4.0})
+
+
 def test_joins_and_clips_of_shapes(spark):
     a, b = layer(spark, [rect(0, 0, 6, 6), rect(2, 2, 4, 4)], None, [rect(50, 50, 51, 51)]), layer(spark, [rect(1, 1, 5, 5)], [rect(2, 2, 4, 4)], [rect(6, 0, 8, 6)])
     got = S.similar_shapes(a, b, 4.0).collect()

@@ -8,6 +8,8 @@ corner of the common box, so no distinct is needed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,14 @@ def grid_join(left: DataFrame, right: DataFrame, cell: float, radius: float = 0.
     size = cell * F.pow(F.lit(float(MOST_CELLS)), F.col(LEVEL))
     first = (F.col(AT[0]) == F.floor(F.greatest(wide[0], b[0]) / size)) & (F.col(AT[1]) == F.floor(F.greatest(wide[1], b[1]) / size))
     coarser = F.col(LEVEL) == F.greatest(f"a_{LEVEL}", f"b_{LEVEL}")
-    pairs = l.join(r, [LEVEL, *AT]).where(coarser & boxes_meet(wide, b) & first).drop(LEVEL, *AT, f"a_{LEVEL}", f"b_{LEVEL}")
-    return pairs if keep is None else pairs.where(keep)
+    # a sort-merge join compares by the first column alone where it can, so that which tells most rows apart, the grid's row, comes first
+    cells = [AT[1], AT[0], LEVEL]
+    r = r.withColumnsRenamed({c: f"b_{c} of the cell" for c in cells})
+    met = reduce(Column.__and__, [F.col(c) == F.col(f"b_{c} of the cell") for c in cells])
+    if keep is not None:
+        met &= keep
+    pairs = l.join(r, met & coarser & boxes_meet(wide, b) & first)
+    return pairs.drop(*cells, *(f"b_{c} of the cell" for c in cells), f"a_{LEVEL}", f"b_{LEVEL}")
 
 
 def corner_join(left: DataFrame, right: DataFrame, cell: float, most: float, keep: Column | None = None) -> DataFrame:

@@ -127,7 +127,7 @@ l AS (SELECT layer, count(*) AS length FROM (SELECT layer, x, y, side FROM e GRO
 SELECT layer, count(*)::DOUBLE AS area, any_value(length)::DOUBLE AS length FROM c JOIN l USING (layer) GROUP BY layer""")
 def dissolved_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area and boundary of the union of all boxes of each of three layers."""
-    boxes = base_boxes(spark, sf_dir).selectExpr("id", f"{_rings(_SHAPES[1][:1])} AS parts", "id % 3 AS layer")
+    boxes = spread(base_boxes(spark, sf_dir)).selectExpr("id", f"{_rings(_SHAPES[1][:1])} AS parts", "id % 3 AS layer")
     made = S.dissolved_measures(S.dissolved_boundary(boxes, CELL, ["layer"]), ["layer"])
     return made.select("layer", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
 

@@ -156,6 +156,21 @@ def test_dissolving_by_key_with_slanted_sides(spark):
     assert got == pytest.approx({"a": union(tri(0), tri(2)), "b": union(tri(0), tri(1.3)), None: 1.0})
 
 
+def test_dissolving_tests_no_shape_against_its_own_sides(spark, monkeypatch):
+    asked = []
+    join = S.grid_join
+    monkeypatch.setattr(S, "grid_join", lambda left, right, *args, **more: asked.append((left.columns, join(left, right, *args, **more))) or asked[-1][1])
+    df = layer(spark, [rect(0, 0, 4, 4)], [rect(2, 2, 6, 6)], [rect(2, 2, 6, 6)], [rect(20, 20, 22, 22)]).withColumn("k", F.when(F.col("id") < 3, "a"))
+    got = {r.k: (r.area, r.length) for r in S.dissolved_measures(S.dissolved_boundary(df, 4.0, ["k"]), ["k"]).collect()}
+    assert got == {"a": (28.0, 24.0), None: (4.0, 8.0)}
+    columns, near = asked[-1]
+    assert not {"x1", "y1", "x2", "y2"} & set(columns)  # pieces go there by their middles alone
+    # two squares lie on each other, so their sides are the first's and meet the second too; the last meets nothing
+    assert near.where("a_own = b_id").count() == 0 and near.where("a_own = 3").count() == 0 and near.count() > 0
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join [row of the grid" in plan or "HashJoin" in plan
+
+
 def test_chains(spark):
     rows = [(1, 0, 0, 1, 0), (1, 2, 0, 1, 0), (1, 2, 0, 3, 1), (1, 2, 0, 3, -1), (2, 0, 0, 1, 0), (2, 1, 1, 1, 0), (2, 1, 1, 0, 0), (3, 5, 5, 5, 5), (4, 1, 1, 2, 2), (4, 1, 1, 2, 2), (None, 1, 1, 2, 2)]
     df = spark.createDataFrame([(k, *map(float, r)) for k, *r in rows], LINES)

@@ -18,7 +18,8 @@ def geohash_candidates(base: DataFrame, other: DataFrame, precision: int = 8, le
     lon, lat = F.col("lon"), F.col("lat")
     ring = prefixed(base.withColumn("cell", F.explode(geohash_ring(lon, lat, precision))), "a_")
     own = prefixed(other.withColumn("cell", geohash(lon, lat, precision)), "b_")
-    pairs = ring.join(own, F.col("a_cell") == F.col("b_cell")).select("a_id", "b_id", F.round(name_score("a_name", "b_name"), 6).alias("score"))
+    # points are few bytes in their files, and of the nine cells of each Spark's sizes tell nothing, so it would broadcast them all through the driver
+    pairs = ring.hint("merge").join(own, F.col("a_cell") == F.col("b_cell")).select("a_id", "b_id", F.round(name_score("a_name", "b_name"), 6).alias("score"))
     return pairs.where((F.col("score") >= least) | (F.col("score") == 0))
 
 

@@ -212,6 +212,15 @@ def test_geohash_candidates_keep_zero_scores(spark):
     assert poi.matched_with_fallback(found.limit(0), found).count() == 1
 
 
+def test_geohash_candidates_send_no_points_through_the_driver_and_score_once(spark):
+    schema = "id long, name string, lon double, lat double"
+    a = spark.createDataFrame([(1, "Clinic", 1.0, 1.0), (2, "School", 1.0, 1.0), (3, None, 1.00001, 1.0), (4, "Clinic", 5.0, 1.0)], schema)
+    found = poi.geohash_candidates(a, a)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1.0), (1, 3, 0.0), (2, 2, 1.0), (2, 3, 0.0), (3, 1, 0.0), (3, 2, 0.0), (3, 3, 0.0), (4, 4, 1.0)]
+
+
 def test_topology_tiles_and_zones(spark):
     row = quality.line_topology(segments(spark, (1, 0, 0, 10, 0), (2, 10, 0, 20, 0), (3, 5, 5, 5, 5))).first()
     assert (row.zero_length, row.dangles) == (1, 2)

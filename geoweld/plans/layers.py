@@ -191,6 +191,8 @@ def tile_job_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # a raster of _SIDE x _SIDE pixels for each square of twice that side that orders lie in; a pixel's value goes by its place, and some hold none
 _SIDE = 50
+# rows of rasters in a file, of five rasters each
+_ROWS = 32
 _PIXEL = "(o_orderkey * 37 + floor(o_orderkey / 7)) % 9 + 1"
 
 
@@ -213,9 +215,10 @@ def raster_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = pixels.select("px", "py", "value", *corner).select(
         F.concat_ws("-", "rx", "ry").alias("raster"), (F.col("px") - F.col("rx") * _SIDE).cast("int").alias("col"), (_SIDE - 1 - (F.col("py") - F.col("ry") * _SIDE)).cast("int").alias("row"), "value",
         (F.col("rx") * 2.0 * _SIDE).alias("left"), ((F.col("ry") + 1) * 2.0 * _SIDE).alias("top"),
+        F.floor(F.col("ry") / _ROWS).alias("strip"),
     )
     folder = f"{shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
-    write_rasters(placed, folder, "left", "top", _SIDE, 2.0, "i2", 0, 32).count()
+    write_rasters(placed, folder, "left", "top", _SIDE, 2.0, "i2", 0, 32, "strip").count()
     return zonal_statistics(shaped(base_boxes(spark, sf_dir)), read_blocks(spark, folder), 64.0).select("id", "n", "low", "high", F.round("mean", 6).alias("mean"), "dominant")
 
 

@@ -1,6 +1,7 @@
 """Rasters and shapefile bundles: round trips, windows, odd files."""
 
 import io
+import pathlib
 import struct
 import zipfile
 
@@ -31,6 +32,48 @@ def test_tiff_round_trip(dtype, nodata):
         list(R.tiff_blocks(b"II" + bytes(40)))
 
 
+def test_pages_of_a_tiff_file_are_read_and_overviews_are_not():
+    rng = np.random.default_rng(4)
+    images = [(rng.integers(0, 9, (21, 21)).astype("u1"), 30.0 * k, 50.0) for k in range(3)]
+    raw = R.tiff_pages(images, 1.0, 1.0, -12, 16)  # odd sizes, so that directories would begin at odd places
+    found = list(R.tiff_blocks(raw))
+    assert [b[0] for b in found] == list(range(12)) and [b[1] for b in found[::4]] == [0.0, 30.0, 60.0]
+    for k, (values, *_) in enumerate(images):
+        assert (found[4 * k][-1].reshape(16, 16) == values[:16, :16]).all() and (found[4 * k + 3][-1].reshape(5, 5) == values[16:, 16:]).all()
+    assert [b[0] for b in R.tiff_blocks(raw, (61.0, 49.0, 62.0, 50.0))] == [8]
+    # the second and third are no pages but smaller copies of the first, which other programs write
+    second = struct.unpack_from("<I", raw, 10 + 12 * struct.unpack_from("<H", raw, 8)[0])[0]
+    assert second % 2 == 0 and struct.unpack_from("<HHII", raw, second + 2) == (R.SUBFILE, 4, 1, R.PAGE)
+    third = struct.unpack_from("<I", raw, second + 2 + 12 * struct.unpack_from("<H", raw, second)[0])[0]
+    other = bytearray(raw)
+    for at in (second, third):
+        struct.pack_into("<I", other, at + 10, 1)
+    assert [b[0] for b in R.tiff_blocks(bytes(other))] == [0, 1, 2, 3]
+    struct.pack_into("<I", other, third + 2 + 12 * struct.unpack_from("<H", raw, third)[0], second)
+    with pytest.raises(ValueError, match="circle"):
+        list(R.tiff_blocks(bytes(other)))
+
+
+def test_many_small_rasters_lie_in_few_files(spark, tmp_path):
+    rows = [(f"r{k}", k // 4, k % 5, k % 3, 1.0 + k, 10.0 * k, 10.0) for k in range(10)]
+    pixels = spark.createDataFrame(rows, "raster string, strip long, col int, row int, value double, left double, top double")
+    wrote = R.write_rasters(pixels, str(tmp_path), "left", "top", 5, 2.0, "i2", 0, 16, "strip").collect()
+    assert sorted(r.raster for r in wrote) == sorted(r[0] for r in rows) and len({r.path for r in wrote}) == len(list(tmp_path.glob("*.tif"))) == 3
+    got = {(r.minx, r.maxy, *np.flatnonzero(r["values"]), max(r["values"])) for r in R.read_blocks(spark, str(tmp_path)).collect()}
+    assert got == {(left, top, row * 5 + col, value) for _, _, col, row, value, left, top in rows}
+
+
+def test_raster_heights_writes_fewer_files_than_rasters(spark):
+    from geoweld.operators.components import shared_folder
+    from geoweld.plans import QUERIES
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("rasters-*"))
+    QUERIES["raster_heights"](spark, "/root/testdata/sf0.001")
+    (new,) = set(folder.glob("rasters-*")) - before
+    assert len(list(new.glob("*.tif"))) == 1  # of 75 squares, in 15 rows
+
+
 def test_statistics_over_blocks_and_files(spark, tmp_path):
     rng = np.random.default_rng(5)
     grid = rng.integers(0, 6, (40, 40))

@@ -10,7 +10,7 @@ together the rows are counted again and compared.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +32,16 @@ def finished(spark: SparkSession, folder: str) -> DataFrame:
     return first_rows(found, ["tile_id"], ["batch"])
 
 
-def run_tiles(tiles: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, batch_tiles: int = 1000, most_batches: int | None = None) -> int:
+def run_tiles(tiles: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, batch_tiles: int = 1000, most_batches: int | None = None, order: Sequence[str] = ("tile_id",)) -> int:
     """Work on the tiles (tile_id, ...) that aren't done yet, and tell how many batches it took.
 
     build makes the rows, with tile_id, of a DataFrame of tiles, in one plan over all of a batch's. A job ends early after most_batches, or when
-    build fails; called again it goes on. Tiles without rows are done too.
+    build fails; called again it goes on. Tiles without rows are done too. Batches take the tiles in their order, which should be total; where that is
+    by place, a batch's tiles lie together, and build can leave out what is far from all of them before it moves anything.
     """
     spark = tiles.sparkSession
     left = tiles.join(finished(spark, folder).select("tile_id"), "tile_id", "left_anti")
-    numbered = with_row_numbers(left, ["tile_id"], "number").withColumn("turn", F.floor((F.col("number") - 1) / batch_tiles)).drop("number")
+    numbered = with_row_numbers(left, order, "number").withColumn("turn", F.floor((F.col("number") - 1) / batch_tiles)).drop("number")
     turns = numbered.agg(F.max("turn")).first()[0]
     turns = 0 if turns is None else int(turns) + 1
     for turn in range(turns if most_batches is None else min(turns, most_batches)):

@@ -17,7 +17,7 @@ from geoweld.operators.components import shared_folder
 from geoweld.operators.grid_join import best_per, grid_join
 from geoweld.operators.matching import similar_boxes
 from geoweld.operators.nearest import nearest_rows
-from geoweld.operators.tiling import partition_bbox
+from geoweld.operators.tiling import dealt_to_tiles, partition_bbox
 from geoweld.operators.zonal import zonal_statistics
 from geoweld.plans.derived import CELL, SQL, _at, base_boxes, base_points, other_boxes, other_points, spread
 from geoweld.plans.overlays import _pieces, shaped
@@ -143,7 +143,7 @@ def aspect_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", F.round(G.aspect_ratio(G.box()), 6).alias("ratio"))
 
 
-_TILE = 100.0
+_TILE, _OVERLAP = 100.0, 30.0
 _TILE_ROWS = "tile_id string, id long, minx double, miny double, maxx double, maxy double, ref_id long, similarity double"
 
 
@@ -151,19 +151,23 @@ def _tile_job(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A job over tiles that is broken off after two batches and then goes on: its folder and tiles."""
     a, b = base_boxes(spark, sf_dir), other_boxes(spark, sf_dir)
     top = a.agg(F.max("maxy")).first()[0] or 0.0
-    tiles = partition_bbox(spark, (0.0, 0.0, 500.0, _TILE * math.ceil(top / _TILE)), _TILE, 30.0)
+    whole = (0.0, 0.0, 500.0, _TILE * math.ceil(top / _TILE))
+    tiles = partition_bbox(spark, whole, _TILE, _OVERLAP)
 
     def build(some: DataFrame) -> DataFrame:
-        wide = some.select("tile_id", *(F.col(f"buffered.{c}").alias(c) for c in G.BOX))
-        dealt = [grid_join(x, wide, _TILE).select(F.col("b_tile_id").alias("tile_id"), *(F.col(f"a_{c}").alias(c) for c in ("id", *G.BOX))) for x in (a, b)]
-        pairs = similar_boxes(*dealt, CELL).where("a_tile_id = b_tile_id AND similarity >= 0.3")
-        best = best_per(pairs, ["a_tile_id", "a_id"], F.col("similarity").desc(), F.col("b_id"))
-        return best.select(F.col("a_tile_id").alias("tile_id"), F.col("a_id").alias("id"), *(F.col(f"a_{c}").alias(c) for c in G.BOX), F.col("b_id").alias("ref_id"), "similarity")
+        ends = some.agg(*(f(f"buffered.{c}").alias(c) for f, c in zip((F.min, F.min, F.max, F.max), G.BOX, strict=True))).first()
+        near = [x.where(G.boxes_meet(G.box(), tuple(F.lit(ends[c]) for c in G.BOX))) for x in (a, b)]
+        # pairs are found once, not in each tile; two boxes that meet each other meet the same tile just where their common box does
+        found = similar_boxes(*near, _TILE).where("similarity >= 0.3")
+        common = (*(F.greatest(f"a_{c}", f"b_{c}") for c in ("minx", "miny")), *(F.least(f"a_{c}", f"b_{c}") for c in ("maxx", "maxy")))
+        pairs = dealt_to_tiles(found, common, whole, _TILE, _OVERLAP).select("row", "col", F.col("a_id").alias("id"), *(F.col(f"a_{c}").alias(c) for c in G.BOX), F.col("b_id").alias("ref_id"), "similarity")
+        dealt = pairs.join(some.select("row", "col", "tile_id"), ["row", "col"])
+        return best_per(dealt, ["row", "col", "id"], F.col("similarity").desc(), F.col("ref_id")).select("tile_id", "id", *G.BOX, "ref_id", "similarity")
 
     folder = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
     size = max(1, -(-tiles.count() // 4))
-    J.run_tiles(tiles, build, folder, size, most_batches=2)
-    J.run_tiles(tiles, build, folder, size)
+    J.run_tiles(tiles, build, folder, size, most_batches=2, order=["row", "col"])
+    J.run_tiles(tiles, build, folder, size, order=["row", "col"])
     return folder, tiles
 
 

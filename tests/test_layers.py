@@ -148,6 +148,32 @@ def test_tile_jobs_go_on_and_tell_lost_rows(spark, tmp_path):
         J.tile_rows(spark, folder, schema)
 
 
+def test_boxes_are_dealt_to_the_tiles_that_they_meet(spark):
+    from geoweld.operators.tiling import dealt_to_tiles, partition_bbox
+
+    rng = random.Random(2)
+    corners = [(rng.uniform(-9, 60), rng.uniform(-9, 60)) for _ in range(200)] + [(7.3 * i, 7.3 * j) for i in range(7) for j in range(7)]
+    boxes = spark.createDataFrame([(i, x, y, x + rng.choice((0, 1.5, 20)), y + rng.choice((0, 3, 9))) for i, (x, y) in enumerate(corners)], BOX)
+    for whole, size, overlap in (((0.0, 0.0, 50.0, 30.0), 7.3, 2.1), ((-3.1, 0.1, 50.0, 30.0), 0.7, 0.0), ((0.0, 0.0, 0.0, 0.0), 5.0, 1.0)):
+        b = F.col("buffered")
+        near = partition_bbox(spark, whole, size, overlap).crossJoin(boxes.select("id", *(F.col(c).alias(f"its {c}") for c in G.BOX)))
+        want = near.where(G.boxes_meet(tuple(b[c] for c in G.BOX), tuple(F.col(f"its {c}") for c in G.BOX))).select("id", "row", "col").collect()
+        got = dealt_to_tiles(boxes, G.box(), whole, size, overlap).select("id", "row", "col").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+
+
+def test_a_batch_of_tiles_moves_only_what_lies_near_it(spark, monkeypatch):
+    from geoweld.plans import QUERIES, layers
+
+    asked, similar = [], layers.similar_boxes
+    monkeypatch.setattr(layers, "similar_boxes", lambda a, b, *args: asked.append((a.count(), b.count())) or similar(a, b, *args))
+    got = QUERIES["tile_job_evidence"](spark, "/root/testdata/sf0.001").first()
+    assert got.batches == len(asked) == 4 and got.rows_in_manifest == got.rows_written
+    a, b = layers.base_boxes(spark, "/root/testdata/sf0.001").count(), layers.other_boxes(spark, "/root/testdata/sf0.001").count()
+    # a fourth of the rows each, and those of the overlaps
+    assert all(x < 0.5 * a and y < 0.5 * b for x, y in asked) and sum(x for x, _ in asked) >= a
+
+
 def test_owned_rows_lie_in_one_tile(spark):
     from geoweld.operators import tile_jobs as J
     from geoweld.operators.tiling import partition_bbox

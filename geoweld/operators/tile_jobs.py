@@ -21,6 +21,8 @@ from geoweld.operators.naming import first_rows, row_digest
 from geoweld.operators.relational import with_row_numbers
 
 MANIFEST = "tile_id string, n long, batch string"
+#: How tiles are joined: they are short rows, but as many as the area asks for, so they don't go through the driver.
+JOIN = "merge"
 
 
 def finished(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +42,7 @@ def run_tiles(tiles: DataFrame, build: Callable[[DataFrame], DataFrame], folder:
     by place, a batch's tiles lie together, and build can leave out what is far from all of them before it moves anything.
     """
     spark = tiles.sparkSession
-    left = tiles.join(finished(spark, folder).select("tile_id"), "tile_id", "left_anti")
+    left = tiles.hint(JOIN).join(finished(spark, folder).select("tile_id"), "tile_id", "left_anti")
     numbered = with_row_numbers(left, order, "number").withColumn("turn", F.floor((F.col("number") - 1) / batch_tiles)).drop("number")
     turns = numbered.agg(F.max("turn")).first()[0]
     turns = 0 if turns is None else int(turns) + 1
@@ -50,7 +52,7 @@ def run_tiles(tiles: DataFrame, build: Callable[[DataFrame], DataFrame], folder:
         place = f"{folder}/rows/batch={batch}"
         build(some).write.parquet(place)
         counts = spark.read.parquet(place).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
-        done = some.select("tile_id").join(counts, "tile_id", "left").select("tile_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+        done = some.select("tile_id").hint(JOIN).join(counts, "tile_id", "left").select("tile_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
         # as many files as it takes: put into one partition, the join before it would run in one task, whose sorts keep their memory until it ends
         done.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/manifest")
     return turns
@@ -59,9 +61,9 @@ def run_tiles(tiles: DataFrame, build: Callable[[DataFrame], DataFrame], folder:
 def tile_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The rows of all tiles that are done, with tile_id; an error if they aren't as many as the manifests say."""
     done = finished(spark, folder)
-    rows = spark.read.schema(f"{schema}, batch string").parquet(f"{folder}/rows").join(done.select("tile_id", "batch"), ["tile_id", "batch"], "left_semi").drop("batch")
+    rows = spark.read.schema(f"{schema}, batch string").parquet(f"{folder}/rows").hint(JOIN).join(done.select("tile_id", "batch"), ["tile_id", "batch"], "left_semi").drop("batch")
     counts = rows.groupBy("tile_id").agg(F.count(F.lit(1)).alias("found"))
-    wrong = done.join(counts, "tile_id", "left").where(F.col("n") != F.coalesce("found", F.lit(0))).limit(5).collect()
+    wrong = done.hint(JOIN).join(counts, "tile_id", "left").where(F.col("n") != F.coalesce("found", F.lit(0))).limit(5).collect()
     if wrong:
         raise ValueError(f"tiles whose rows aren't those of their manifest: {[(r['tile_id'], r['n'], r['found']) for r in wrong]}")
     return rows
@@ -75,7 +77,7 @@ def owned(rows: DataFrame, tiles: DataFrame) -> DataFrame:
     for c in "xy":
         at = (F.col(f"min{c}") + F.col(f"max{c}")) / 2
         inside &= (at >= F.col(f"tile min{c}")) & ((at < F.col(f"tile max{c}")) | ((at == F.col(f"tile max{c}")) & (F.col(f"tile max{c}") == F.col(f"top {c}"))))
-    return rows.join(t, "tile_id").crossJoin(F.broadcast(edges)).where(inside).select(*rows.columns)
+    return rows.hint(JOIN).join(t, "tile_id").crossJoin(F.broadcast(edges)).where(inside).select(*rows.columns)
 
 
 def stitched(rows: DataFrame, tiles: DataFrame, key: str) -> DataFrame:

@@ -161,7 +161,7 @@ def _tile_job(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
         found = similar_boxes(*near, _TILE).where("similarity >= 0.3")
         common = (*(F.greatest(f"a_{c}", f"b_{c}") for c in ("minx", "miny")), *(F.least(f"a_{c}", f"b_{c}") for c in ("maxx", "maxy")))
         pairs = dealt_to_tiles(found, common, whole, _TILE, _OVERLAP).select("row", "col", F.col("a_id").alias("id"), *(F.col(f"a_{c}").alias(c) for c in G.BOX), F.col("b_id").alias("ref_id"), "similarity")
-        dealt = pairs.join(some.select("row", "col", "tile_id"), ["row", "col"])
+        dealt = pairs.hint(J.JOIN).join(some.select("row", "col", "tile_id"), ["row", "col"])
         return best_per(dealt, ["row", "col", "id"], F.col("similarity").desc(), F.col("ref_id")).select("tile_id", "id", *G.BOX, "ref_id", "similarity")
 
     folder = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"

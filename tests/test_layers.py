@@ -174,6 +174,20 @@ def test_a_batch_of_tiles_moves_only_what_lies_near_it(spark, monkeypatch):
     assert all(x < 0.5 * a and y < 0.5 * b for x, y in asked) and sum(x for x, _ in asked) >= a
 
 
+def test_tiles_do_not_go_through_the_driver(spark, tmp_path):
+    from geoweld.operators import tile_jobs as J
+    from geoweld.operators.tiling import partition_bbox
+
+    tiles = partition_bbox(spark, (0.0, 0.0, 20.0, 10.0), 10.0, 0.0)
+    schema, folder = "tile_id string, id long, minx double, miny double, maxx double, maxy double", str(tmp_path / "job")
+    assert J.run_tiles(tiles, lambda some: some.select("tile_id", F.lit(1).cast("long").alias("id"), *G.BOX), folder) == 1
+    whole = J.stitched(J.tile_rows(spark, folder, schema), tiles, "id")
+    assert whole.count() == 1
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    # only the one row of the tiles' upper ends is sent to all
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
 def test_owned_rows_lie_in_one_tile(spark):
     from geoweld.operators import tile_jobs as J
     from geoweld.operators.tiling import partition_bbox
